@@ -1,0 +1,16 @@
+"""The shortest way from documents to an audited subset."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chaffline.operators.subsets import audit_subsets
+from chaffline.plans.views import sample_labels, texts
+from chaffline.scorers.registry import get_scorer
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    ranking = get_scorer("heuristic_filtering").score(
+        texts(spark, folder), sample_labels(spark, folder)
+    )
+    return audit_subsets(ranking, [30])

@@ -53,7 +53,7 @@ SCORERS = {
         Scorer("semantic_dedup", FEATURES, (*_ID, "features"), redundancy_scores),
         Scorer("heuristic_filtering", TEXT, (*_ID, "text"), heuristic_scores),
         Scorer("llm_classifier", TOKEN_DISTRIBUTIONS, (*_ID, "probs"), entropy_scores),
-        Scorer("random", SAMPLES, _ID, random_scores),
+        Scorer("random", SAMPLES, _ID, random_scores, single_precision=False),
     )
 }
 

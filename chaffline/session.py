@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,20 @@ def broadcast_if_small(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     """
     small = frame.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(frame) if small else frame
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once.
+
+    Not needed where it is installed on every machine.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_chaffline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="chaffline-package-")) / "chaffline.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._chaffline_shipped = True
