@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-from chaffline.plans import analysis, ranking, text, vectors
+from chaffline.plans import analysis, flagship, ranking, text, vectors
 
-QUERIES = {**ranking.QUERIES, **text.QUERIES, **vectors.QUERIES, **analysis.QUERIES}
+QUERIES = {
+    **ranking.QUERIES,
+    **text.QUERIES,
+    **vectors.QUERIES,
+    **analysis.QUERIES,
+    **flagship.QUERIES,
+}

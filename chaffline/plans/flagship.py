@@ -1,12 +1,26 @@
-"""The shortest way from documents to an audited subset."""
+"""Whole ways through the library: from documents to an audited subset, to a best method."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chaffline.operators.subsets import audit_subsets
-from chaffline.plans.views import sample_labels, texts
+from chaffline.operators import prep
+from chaffline.operators.curves import aggregate_curves, best_method_per_budget, primary_metric
+from chaffline.operators.grid import evaluation_grid
+from chaffline.operators.splits import VALIDATION, stratified_split
+from chaffline.operators.subsets import audit_subsets, build_subsets, retained_rows
+from chaffline.plans.analysis import COUNTS_SQL
+from chaffline.plans.views import labelled_ids, prediction_log, sample_labels, texts
+from chaffline.scorers.base import rank_together
 from chaffline.scorers.registry import get_scorer
+from chaffline.session import checkpoint_folder, cut_lineage
+from chaffline.streaming import forgetting as streaming
+
+GRID_BUDGETS = [0, 30, 70]
+GRID_SEEDS = [32]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,3 +28,56 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
         texts(spark, folder), sample_labels(spark, folder)
     )
     return audit_subsets(ranking, [30])
+
+
+def labelled_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of the labelled documents, apart by split, and the train texts."""
+    ids = labelled_ids(spark, folder)
+    labels = retained_rows(sample_labels(spark, folder), ids)
+    chosen = retained_rows(texts(spark, folder), ids)
+    every = sample_labels(spark, folder)
+    split = cut_lineage(stratified_split(every, int(every.count() * 0.2)))
+    rows = cut_lineage(prep.text_features(chosen).join(labels, "sample_id"))
+    of_validation = split.filter(F.col("split") == VALIDATION)
+    of_train = split.filter(F.col("split") != VALIDATION)
+    return retained_rows(rows, of_train), retained_rows(rows, of_validation), retained_rows(chosen, of_train)
+
+
+def grid_runs(spark: SparkSession, folder: str, methods: list[str]) -> DataFrame:
+    train, validation, train_texts = labelled_parts(spark, folder)
+    labels = train.select("sample_id", "label")
+    inputs = {"random": labels, "heuristic_filtering": train_texts, "semantic_dedup": train}
+    ranking = rank_together([get_scorer(m).scores(inputs[m], labels) for m in methods])
+    subsets = cut_lineage(build_subsets(ranking, GRID_BUDGETS))
+    return evaluation_grid(train, validation, subsets, GRID_SEEDS, test=validation)
+
+
+def grid(spark: SparkSession, folder: str) -> DataFrame:
+    return grid_runs(spark, folder, ["random", "heuristic_filtering"])
+
+
+def corpus_to_best_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Text, features, scores, subsets, runs, curves, best method: all in one go."""
+    runs = grid_runs(spark, folder, ["random", "heuristic_filtering", "semantic_dedup"])
+    return best_method_per_budget(aggregate_curves(runs), primary_metric("accuracy"))
+
+
+def streaming_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prediction log read as a stream until it is used up."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    events = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    )
+    place = f"{checkpoint_folder(spark)}/streaming-{uuid.uuid4().hex}"
+    streaming.start_forgetting(prediction_log(events), place).awaitTermination()
+    return streaming.read_forgetting_counts(spark, place)
+
+
+QUERIES = {
+    "evaluation_grid": (grid, None),
+    "corpus_to_best_method": (corpus_to_best_method, None),
+    "streaming_forgetting_counts": (
+        streaming_forgetting_counts,
+        f"WITH {COUNTS_SQL} SELECT * FROM counts",
+    ),
+}

@@ -16,8 +16,7 @@ def forgetting_counts(log: DataFrame) -> DataFrame:
 
     The log is first cut into range partitions of (seed, sample, epoch, step); a sample with a
     large share of all rows then spans several of them. Steps are counted inside each segment
-    and the segments of a sample, few rows, are joined end to end. A step counts when the row
-    before was correct; the one before the first counts as wrong.
+    and the segments of a sample, few rows, are joined end to end.
     """
     segmented = log.select(*_KEYS, *_ORDER, "correct").repartitionByRange(*_KEYS, *_ORDER)
     segmented = segmented.withColumn("_segment", F.spark_partition_id())
@@ -27,18 +26,28 @@ def forgetting_counts(log: DataFrame) -> DataFrame:
         segmented.withColumn("_fell", F.lag("correct").over(inside) > F.col("correct"))
         .groupBy(*_KEYS, "_segment")
         .agg(
-            F.count_if("_fell").alias("_falls"),
-            F.min(F.struct(place.alias("at"), "correct")).alias("_first"),
-            F.max(F.struct(place.alias("at"), "correct")).alias("_last"),
-            F.max("correct").alias("_learnt"),
+            F.min(place).alias("first_at"),
+            F.min(F.struct(place, "correct"))["correct"].alias("first_correct"),
+            F.max(F.struct(place, "correct"))["correct"].alias("last_correct"),
+            F.count_if("_fell").alias("falls"),
+            F.max("correct").alias("learnt"),
         )
     )
-    between = Window.partitionBy(*_KEYS).orderBy("_first.at")
-    fell_between = F.lag("_last.correct", 1, 0).over(between) > F.col("_first.correct")
+    return join_segments(segments)
+
+
+def join_segments(segments: DataFrame) -> DataFrame:
+    """Counts per (seed, sample) from its segments, which follow each other by `first_at`.
+
+    A step from correct to wrong may also lie between two segments. The row before the very
+    first counts as wrong.
+    """
+    between = Window.partitionBy(*_KEYS).orderBy("first_at")
+    fell_between = F.lag("last_correct", 1, 0).over(between) > F.col("first_correct")
     return (
-        segments.withColumn("_falls", F.col("_falls") + fell_between.cast("long"))
+        segments.withColumn("_falls", F.col("falls") + fell_between.cast("long"))
         .groupBy(*_KEYS)
-        .agg(F.sum("_falls").alias("forgetting"), (F.max("_learnt") == 1).alias("ever_learnt"))
+        .agg(F.sum("_falls").alias("forgetting"), (F.max("learnt") == 1).alias("ever_learnt"))
     )
 
 
