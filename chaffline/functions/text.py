@@ -22,7 +22,7 @@ def characters(text: Column) -> Column:
 
 def overlapping_grams(text: Column, size: int) -> Column:
     """All `size`-character windows, found in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
 def whole_chunks(text: Column, length: int) -> Column:

@@ -186,12 +186,10 @@ def scaling_law_curve(curves: DataFrame, fits: DataFrame) -> DataFrame:
 
 # Comparison with the full data --------------------------------------------------------------
 
-_OF_METHOD = Window.partitionBy("method")
-
-
 def _baseline(metric: Metric) -> Column:
     """The method's own value on the full data, NULL where it has none."""
-    return F.max(F.when(F.col("percent_removed") == 0, F.col(metric.column))).over(_OF_METHOD)
+    full = F.when(F.col("percent_removed") == 0, F.col(metric.column))
+    return F.max(full).over(Window.partitionBy("method"))
 
 
 def relative_performance(curves: DataFrame, metric: Metric) -> DataFrame:
@@ -199,7 +197,8 @@ def relative_performance(curves: DataFrame, metric: Metric) -> DataFrame:
 
     Without a full-data row the best value is the baseline; a zero baseline becomes tiny.
     """
-    best = (F.max if metric.higher_is_better else F.min)(metric.column).over(_OF_METHOD)
+    extreme = F.max if metric.higher_is_better else F.min
+    best = extreme(nan_to_null(metric.column)).over(Window.partitionBy("method"))
     baseline = F.coalesce(_baseline(metric), best)
     baseline = F.when(baseline == 0, F.lit(ZERO_BASELINE)).otherwise(baseline)
     return curves.select(
