@@ -20,11 +20,6 @@ def characters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
-def overlapping_grams(text: Column, size: int) -> Column:
-    """All `size`-character windows, found in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
-
-
 def whole_chunks(text: Column, length: int) -> Column:
     """Consecutive pieces of exactly `length` characters; a shorter tail is dropped."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{{length}}}"), F.lit(0))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chaffline.functions.numeric import nan_to_null, one_decimal, ratio
+from chaffline.session import cut_lineage
 
 RUN_SCHEMA = T.StructType(
     [
@@ -326,8 +327,9 @@ def _number(pattern: str, value: Column) -> Column:
 
 def conclusion_lines(curves: DataFrame, metric: Metric, fits: DataFrame | None = None) -> DataFrame:
     """(section, ordinal, line): the conclusions as text, to be read in that order."""
-    fits = fit_scaling_law(curves, metric) if fits is None else fits
-    analysis = budget_analysis(curves, metric)
+    # Written out, a few rows each: every part of the text reads them.
+    fits = cut_lineage(fit_scaling_law(curves, metric) if fits is None else fits)
+    analysis = cut_lineage(budget_analysis(curves, metric))
     name = nice_name(F.col("method"))
     section = F.concat(F.lit("1 "), F.col("method"))
 

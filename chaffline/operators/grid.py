@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -47,26 +49,30 @@ def evaluation_grid(
     seeds: Sequence[int],
     estimator: Callable[[int], Estimator] = gaussian_bayes,
     test: DataFrame | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Run results: a model fitted on each subset and measured on the validation rows.
 
     `train`, `validation` and `test` hold (sample_id, label, features), `subsets` what
     `build_subsets` returns. Without test rows `test_acc` is NaN. The loop runs over the cells
-    of the grid; in each, Spark fits and measures, and two numbers come back.
+    of the grid, a few at a time; in each, Spark fits and measures, and two numbers come back.
     """
     rows = _as_ml(train).persist()
     held = _as_ml(validation).persist()
     final = _as_ml(test).persist() if test is not None else None
     cells = subsets.select("method", "percent_removed").distinct().collect()
-    runs = []
-    for method, percent in sorted((c[0], c[1]) for c in cells):
+    grid = [(c[0], c[1], seed) for c in cells for seed in seeds]
+
+    def run(cell: tuple[str, int, int]) -> tuple:
+        method, percent, seed = cell
         ids = subsets.filter((F.col("method") == method) & (F.col("percent_removed") == percent))
-        chosen = retained_rows(rows, ids)
-        for seed in seeds:
-            model = estimator(seed).fit(chosen)
-            accuracy, loss = _measure(model, held)
-            test_accuracy = _measure(model, final)[0] if final is not None else float("nan")
-            runs.append((method, percent, seed, accuracy, loss, test_accuracy))
+        model = estimator(seed).fit(retained_rows(rows, ids))
+        accuracy, loss = _measure(model, held)
+        test_accuracy = _measure(model, final)[0] if final is not None else float("nan")
+        return method, percent, seed, accuracy, loss, test_accuracy
+
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        runs = sorted(pool.map(inheritable_thread_target(train.sparkSession)(run), grid))
     for frame in (rows, held, final):
         if frame is not None:
             frame.unpersist()

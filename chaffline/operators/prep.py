@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chaffline.functions.text import overlapping_grams, whole_chunks
-from chaffline.functions.vectors import unit_vector
+from chaffline.functions.grams import Featurizer, hashed_grams
+from chaffline.functions.text import whole_chunks
 from chaffline.operators.positions import with_position
 
 # Fixed value: tokens of a sample that are looked at.
@@ -89,29 +93,25 @@ def mean_pool(hidden: DataFrame) -> DataFrame:
     )
 
 
-def text_features(samples: DataFrame, buckets: int = 64, size: int = 3) -> DataFrame:
-    """(sample_id, features): hashed character grams, L2-normalised; zeros for short texts.
+def text_features(samples: DataFrame, featurize: Featurizer | None = None) -> DataFrame:
+    """(sample_id, features): one vector per text by a function from texts to an (n, d) array.
 
-    Grams of one text sit in one partition, so the count per (sample, bucket) is combined
-    before the shuffle to at most `buckets` rows a sample.
+    The function gets whole texts in Arrow batches, so any model can be put here; the default
+    needs none and hashes character grams. No row leaves its partition.
     """
-    bucket = F.pmod(F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    counts = (
-        samples.select(
-            "sample_id", F.explode_outer(overlapping_grams(F.col("text"), size)).alias("gram")
-        )
-        .select("sample_id", bucket.cast("int").alias("bucket"))
-        .groupBy("sample_id", "bucket")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
-    found = F.filter(F.collect_list(F.struct("bucket", "n")), lambda e: e["bucket"].isNotNull())
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(buckets - 1)),
-        lambda b: F.coalesce(F.try_element_at(F.col("_found"), b), F.lit(0.0)),
-    )
-    return (
-        counts.groupBy("sample_id")
-        .agg(F.map_from_entries(found).alias("_found"))
-        .select("sample_id", dense.alias("_dense"))
-        .select("sample_id", unit_vector(F.col("_dense")).alias("features"))
+    function = featurize or hashed_grams()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = function(batch.column("text").to_pylist())
+            values = pa.array(np.ascontiguousarray(vectors, dtype=np.float64).ravel())
+            offsets = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sample_id"), lists], names=["sample_id", "features"]
+            )
+
+    ids = samples.schema["sample_id"].dataType.simpleString()
+    return samples.select("sample_id", "text").mapInArrow(
+        apply, f"sample_id {ids}, features array<double>"
     )

@@ -46,11 +46,15 @@ class Codec:
         rows = build_vocabulary(texts, column).orderBy("token_id").collect()
         return cls([r.ch for r in rows])
 
+    def token_of(self, code_point: Column) -> Column:
+        """The token id of a code point, below 0 or NULL if it is unknown."""
+        return F.get(self._codes, code_point)
+
     def encode(self, text: Column) -> Column:
         """Token ids of a text; an unknown character is an error."""
 
         def token(ch: Column) -> Column:
-            found = F.get(self._codes, F.ascii(ch))
+            found = self.token_of(F.ascii(ch))
             unknown = F.concat(F.lit("character not in the vocabulary: "), ch)
             return F.when(found >= 0, found).otherwise(F.raise_error(unknown).cast("int"))
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaffline.operators import prep
-from chaffline.operators.curves import aggregate_curves, best_method_per_budget, primary_metric
+from chaffline.operators.curves import (
+    VALIDATION_ACCURACY,
+    aggregate_curves,
+    best_method_per_budget,
+)
 from chaffline.operators.grid import evaluation_grid
 from chaffline.operators.splits import VALIDATION, stratified_split
 from chaffline.operators.subsets import audit_subsets, build_subsets, retained_rows
@@ -49,7 +53,7 @@ def grid_runs(spark: SparkSession, folder: str, methods: list[str]) -> DataFrame
     inputs = {"random": labels, "heuristic_filtering": train_texts, "semantic_dedup": train}
     ranking = rank_together([get_scorer(m).scores(inputs[m], labels) for m in methods])
     subsets = cut_lineage(build_subsets(ranking, GRID_BUDGETS))
-    return evaluation_grid(train, validation, subsets, GRID_SEEDS, test=validation)
+    return evaluation_grid(train, validation, subsets, GRID_SEEDS)
 
 
 def grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +63,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
 def corpus_to_best_method(spark: SparkSession, folder: str) -> DataFrame:
     """Text, features, scores, subsets, runs, curves, best method: all in one go."""
     runs = grid_runs(spark, folder, ["random", "heuristic_filtering", "semantic_dedup"])
-    return best_method_per_budget(aggregate_curves(runs), primary_metric("accuracy"))
+    return best_method_per_budget(aggregate_curves(runs), VALIDATION_ACCURACY)
 
 
 def streaming_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from chaffline.operators import prep
 from chaffline.operators.subsets import retained_rows
 from chaffline.operators.vocabulary import Codec, build_vocabulary, decode_without_vocabulary
-from chaffline.plans.views import BLOCK_SIZE, LABELLED_IDS, SAMPLES, labelled_ids, sample_labels, table, texts
+from chaffline.plans.views import (
+    BLOCK_SIZE,
+    LABELLED_IDS,
+    SAMPLES,
+    documents,
+    labelled_ids,
+    sample_labels,
+    texts,
+)
 from chaffline.scorers import model_outputs
 from chaffline.scorers.registry import get_scorer
-from chaffline.sources.corpus import documents
+from chaffline.sources import corpus
 
 CHUNK = BLOCK_SIZE + 1
 
@@ -46,7 +54,7 @@ NUMBERS_SQL = """numbers AS (
 
 
 def scan_documents(spark, folder):
-    return documents(spark, f"{folder}/documents.parquet")
+    return corpus.documents(spark, f"{folder}/documents.parquet")
 
 
 def samples_for_subset(spark, folder):
@@ -59,7 +67,7 @@ def samples_for_subset(spark, folder):
 
 
 def char_vocab(spark, folder):
-    return build_vocabulary(table(spark, folder, "documents"))
+    return build_vocabulary(documents(spark, folder))
 
 
 def joined(tokens):
@@ -67,7 +75,7 @@ def joined(tokens):
 
 
 def encode_text(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     codec = Codec.fit(rows)
     return rows.select("doc_id", codec.encode(F.col("text")).alias("tokens")).select(
         "doc_id", joined("tokens").alias("tokens")
@@ -75,7 +83,7 @@ def encode_text(spark, folder):
 
 
 def decode_tokens(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     codec = Codec.fit(rows)
     encoded = rows.select("doc_id", codec.encode(F.col("text")).alias("tokens"))
     return encoded.select(
@@ -86,14 +94,14 @@ def decode_tokens(spark, folder):
 
 
 def chunk_text(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     return prep.chunk_texts(rows, BLOCK_SIZE).join(
         prep.number_chunks(rows, BLOCK_SIZE), ["doc_id", "chunk_idx"]
     )
 
 
 def next_token_pairs(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     codec = Codec.fit(rows)
     encoded = prep.chunk_texts(rows, BLOCK_SIZE).select(
         "doc_id", "chunk_idx", codec.encode(F.col("chunk")).alias("tokens")
@@ -114,7 +122,7 @@ def text_features(spark, folder):
 
 
 def _model(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     chunks = prep.chunk_texts(rows, BLOCK_SIZE)
     size = build_vocabulary(rows).count()
     return chunks, model_outputs.fit_bigrams(chunks, size), size
@@ -133,25 +141,16 @@ def ngram_token_loss(spark, folder):
     )
 
 
-def _ranked_chunks(spark, folder, method, per_token):
-    """Scores chunks by a per-token table keyed by (doc_id, chunk_idx)."""
-    rows = table(spark, folder, "documents")
-    numbers = prep.number_chunks(rows, BLOCK_SIZE)
-    codec = Codec.fit(rows)
-    first_target = codec.encode(F.substring("chunk", 2, 1))
-    labels = prep.chunk_texts(rows, BLOCK_SIZE).select(
-        "doc_id", "chunk_idx", F.get(first_target, F.lit(0)).cast("long").alias("label")
-    )
-    key = ["doc_id", "chunk_idx"]
-    labels = labels.join(numbers, key).select("sample_id", "label")
-    tokens = per_token.join(numbers, key).drop(*key)
-    return get_scorer(method).score(tokens, labels)
-
-
 def rank_perplexity(spark, folder):
+    """Scores chunks by the mean loss of their tokens, labelled by their first target token."""
+    rows = documents(spark, folder)
     chunks, model, _ = _model(spark, folder)
-    losses = model_outputs.pair_losses(chunks, model, ["doc_id", "chunk_idx"])
-    return _ranked_chunks(spark, folder, "perplexity_filtering", losses)
+    means = model_outputs.chunk_losses(chunks, model, ["doc_id", "chunk_idx"])
+    numbered = means.join(prep.number_chunks(rows, BLOCK_SIZE), ["doc_id", "chunk_idx"])
+    first = Codec.fit(rows).token_of(F.col("first_target"))
+    return get_scorer("perplexity_filtering").score(
+        numbered.select("sample_id", "loss", "n", first.cast("long").alias("label"))
+    )
 
 
 def context_entropy(spark, folder):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chaffline.session import spread
+from chaffline.sources import corpus as source
+
 BUDGETS = [0, 10, 20, 30, 50, 70, 90]
 BLOCK_SIZE = 128
 
@@ -15,8 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # Labelled samples ------------------------------------------------------------------------
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(source.documents(spark, f"{folder}/documents.parquet"), "doc_id")
+
+
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("sample_id"), "text")
+    return documents(spark, folder).withColumnRenamed("doc_id", "sample_id")
 
 
 def sample_labels(spark: SparkSession, folder: str) -> DataFrame:

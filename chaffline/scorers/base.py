@@ -42,7 +42,8 @@ PREDICTION_LOG = "prediction_log"
 class Scorer:
     """A named scoring method.
 
-    `compute(frame, **options)` returns (sample_id, score). `single_precision` scores are held
+    `compute(frame, **options)` returns (sample_id, score), and the label where it can carry it
+    along. `single_precision` scores are held
     as float32 before ranking; the two spectral methods keep doubles and rank from 1.
     """
 
@@ -85,6 +86,11 @@ class Scorer:
         return ranked.withColumn("method", F.lit(self.name)).select(*RANKING_SCHEMA.names)
 
 
+def carried(frame: DataFrame) -> list[str]:
+    """The label column, if the input has one."""
+    return ["label"] if "label" in frame.columns else []
+
+
 def rank_together(scored: list[DataFrame], bases: dict[str, int] | None = None) -> DataFrame:
     """One long ranking table from the scores of several methods, ranked per method at once."""
     union = scored[0]

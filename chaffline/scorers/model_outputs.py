@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chaffline.functions import vectors
 from chaffline.functions.text import characters
+from chaffline.scorers.base import carried
 from chaffline.session import broadcast_if_small, cut_lineage
 
 
+def _label(tokens: DataFrame) -> list[Column]:
+    """A sample's label from its token rows, which all hold the same."""
+    return [F.max(c).alias(c) for c in carried(tokens)]
+
+
 def perplexity_scores(losses: DataFrame, digits: int = 6) -> DataFrame:
     """exp(mean token loss) per sample.
 
@@ -18,15 +24,18 @@ def perplexity_scores(losses: DataFrame, digits: int = 6) -> DataFrame:
     """
     n = F.col("n") if "n" in losses.columns else F.lit(1)
     mean = F.sum(F.col("loss") * n) / F.sum(n)
-    return losses.groupBy("sample_id").agg(F.round(F.exp(mean), digits).alias("score"))
+    return losses.groupBy("sample_id").agg(
+        F.round(F.exp(mean), digits).alias("score"), *_label(losses)
+    )
 
 
 def entropy_scores(distributions: DataFrame, digits: int = 6) -> DataFrame:
     """Mean prediction entropy per sample over its token distributions (`probs`)."""
+    entropy = vectors.entropy(F.col("probs")).alias("entropy")
     return (
-        distributions.select("sample_id", vectors.entropy(F.col("probs")).alias("entropy"))
+        distributions.select("sample_id", *carried(distributions), entropy)
         .groupBy("sample_id")
-        .agg(F.round(F.avg("entropy"), digits).alias("score"))
+        .agg(F.round(F.avg("entropy"), digits).alias("score"), *_label(distributions))
     )
 
 
@@ -66,21 +75,29 @@ def fit_bigrams(chunks: DataFrame, vocabulary_size: int) -> DataFrame:
     )
 
 
+def _with_losses(chunks: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Every token with its loss. A model of up to `BROADCAST_ROWS` pairs is broadcast, a larger
+    one is joined by Spark, which splits the partitions of frequent pairs."""
+    lookup = broadcast_if_small(model.select("context", "next", "loss"))
+    return bigrams(chunks, keys).join(lookup, ["context", "next"])
+
+
 def token_losses(chunks: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token_pos, loss): the model's loss for every token of the chunks it was fitted on.
+    """(keys, token_pos, loss): the model's loss for every token of the chunks it was fitted on."""
+    return _with_losses(chunks, model, keys).select(*keys, "token_pos", "loss")
 
-    A model of up to `BROADCAST_ROWS` pairs is broadcast. A larger one is joined by Spark, with
-    its skew handling for the frequent pairs; `pair_losses` shuffles less then.
-    """
-    lookup = broadcast_if_small(model.select("context", "next", "loss"))
-    return bigrams(chunks, keys).join(lookup, ["context", "next"]).select(*keys, "token_pos", "loss")
 
+def chunk_losses(chunks: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, loss, n, first_target): mean token loss of each chunk, combined before a shuffle.
 
-def pair_losses(chunks: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, loss, n): token losses with equal pairs of a chunk already counted together."""
-    lookup = broadcast_if_small(model.select("context", "next", "loss"))
-    joined = bigrams(chunks, keys).join(lookup, ["context", "next"])
-    return joined.groupBy(*keys, "loss").agg(F.count(F.lit(1)).alias("n"))
+    `first_target` is a code point: with numbers only, the aggregate is hashed and not sorted.
+    """
+    first = F.max(F.when(F.col("token_pos") == 0, F.ascii("next")))
+    return (
+        _with_losses(chunks, model, keys)
+        .groupBy(*keys)
+        .agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n"), first.alias("first_target"))
+    )
 
 
 def context_entropies(model: DataFrame, vocabulary_size: int) -> DataFrame:

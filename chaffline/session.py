@@ -46,6 +46,16 @@ def broadcast_if_small(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(frame) if small else frame
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Hash `frame` over all cores if it comes in fewer partitions than there are cores.
+
+    For a scan that feeds heavy work per row: a small table in one file would keep one core
+    busy. A large table has more partitions than that and is left as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of a session, once.
 

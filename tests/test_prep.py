@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chaffline.functions.text import character_quality, characters, overlapping_grams
+from chaffline.functions.text import character_quality, characters
 from chaffline.operators import prep, splits
 from chaffline.operators.vocabulary import Codec, build_vocabulary, decode_without_vocabulary
 from chaffline.scorers import model_outputs
@@ -85,11 +85,47 @@ def test_character_quality(spark):
         assert r.q == pytest.approx(python_quality(r.text), abs=1e-12), repr(r.text)
 
 
-def test_grams_overlap(spark):
-    row = frame(spark, ["a😀\nbc"]).select(
-        overlapping_grams(F.col("text"), 3).alias("g"), characters(F.col("text")).alias("c")
-    ).first()
-    assert row.g == ["a😀\n", "😀\nb", "\nbc"] and row.c == list("a😀\nbc")
+def test_characters(spark):
+    row = frame(spark, ["a😀\nbc"]).select(characters(F.col("text")).alias("c")).first()
+    assert row.c == list("a😀\nbc")
+
+
+def gram_counts(text):
+    import hashlib
+
+    counts = [0.0] * 64
+    for i in range(len(text) - 2):
+        digest = hashlib.md5(text[i : i + 3].encode()).hexdigest()
+        counts[int(digest[:8], 16) % 64] += 1
+    length = sum(c * c for c in counts) ** 0.5 or 1.0
+    return [c / length for c in counts]
+
+
+def test_text_features_equal_counting(spark):
+    texts = [*ODD, "abc" * 50, "", "ab", "x😀y😀z"]
+    rows = frame(spark, texts).withColumnRenamed("doc_id", "sample_id")
+    found = {r.sample_id: r.features for r in prep.text_features(rows).collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == pytest.approx(gram_counts(text)), repr(text)
+
+
+def test_grams_of_slices_equal_grams_at_once(monkeypatch):
+    from chaffline.functions import grams
+
+    texts = ["hello world", "", "ab", "abcd", "ééé"]
+    whole = grams.hashed_grams()(texts)
+    monkeypatch.setattr(grams, "_CHARACTERS_AT_ONCE", 3)
+    assert (grams.hashed_grams()(texts) == whole).all()
+    assert grams.hashed_grams()([]).shape == (0, 64)
+    assert grams.hashed_grams()(["", ""]).sum() == 0
+
+
+def test_any_function_makes_features(spark):
+    import numpy as np
+
+    rows = frame(spark, ["a", "bcd"]).withColumnRenamed("doc_id", "sample_id")
+    lengths = prep.text_features(rows, lambda texts: np.array([[len(t)] for t in texts]))
+    assert {r.sample_id: r.features for r in lengths.collect()} == {0: [1.0], 1: [3.0]}
 
 
 def test_text_features_unit_length_and_short_texts(spark):
@@ -171,5 +207,5 @@ def test_counted_model_losses(spark):
     entropies = {r.context: r.entropy for r in model_outputs.context_entropies(model, 2).collect()}
     p = [0.75, 0.25]
     assert entropies["a"] == pytest.approx(-sum(x * math.log(x + 1e-10) for x in p))
-    grouped = model_outputs.pair_losses(chunks, model, ["doc_id"])
-    assert grouped.agg(F.sum("n")).first()[0] == 4
+    row = model_outputs.chunk_losses(chunks, model, ["doc_id"]).first()
+    assert (row.n, row.first_target) == (4, ord("b")) and row.loss == pytest.approx(expected[0])
