@@ -1,49 +1,63 @@
 """Exact nearest neighbours by a blocked self-join.
 
-Vectors are hashed into B blocks of bounded size and each unordered pair of blocks is one task
-group: a matrix product per tile, of which only the k best values per vector leave the task.
-Every vector travels to its B pairs, B * N * k values come back; the N * N pairs are never rows.
-Blocks are equally large whatever the data, so copies of one vector are no hot group.
+Vectors are put into blocks of bounded size and a pair of blocks is one task group: a matrix
+product per tile, of which only the k best values per vector leave the task. The N * N pairs
+are never rows, and no block grows with a cluster or with the copies of one vector.
+
+The blocks of a small table are all paired with each other. Those of a large one are cut along
+the data: a vector belongs to the nearest of a set of pivots, and crowded cells are split by a hash. Neighbours
+inside the own block give every vector a bound, and it visits another block only if the
+triangle inequality leaves room for a distance below that bound. What is skipped cannot hold a
+nearer neighbour, so the answer stays exact. In clustered data most visits fall away, for
+copies of one vector (bound 0) all of them; data without structure need all N * N products, as
+any exact method does.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chaffline.functions.vectors import unit_vector
+from chaffline.functions.arrays import as_matrix
+from chaffline.functions.keys import seeded_key
+from chaffline.functions.vectors import SHORTEST_LENGTH, length, unit_vector
+from chaffline.session import cut_lineage
 
 # Bytes of double-precision vectors in one block; a task holds two blocks.
 BLOCK_BYTES = 64 << 20
 # Rows of one block below which more blocks give no useful parallelism.
 SMALLEST_BLOCK = 256
+# Rows up to which all pairs are taken without asking for bounds, and of a block beyond.
+ALL_PAIRS_ROWS = 50_000
+BOUNDED_BLOCK = 2048
+# Pivots at most; they and their distances to a batch of vectors are held by every task.
+MOST_PIVOTS = 4096
 # Vectors per side of one matrix product.
 TILE = 2048
+# Slack on the bounds, relative to the distances, for rounding in the products.
+SLACK = 1e-7
+# Vectors whose bounds to all blocks are held at once.
+BOUND_ROWS = 256
 
 _SCHEMA = "sample_id long, nearest array<double>"
 
 
-def block_count(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks needed to bound their size, and enough of them to keep all cores busy."""
-    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    if not n:
-        return 1
-    by_size = math.ceil(n * max(width or 1, 1) * 8 / block_bytes)
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    by_cores = min(math.ceil(n / SMALLEST_BLOCK), math.ceil(math.sqrt(4 * cores)))
-    return max(by_size, by_cores, 1)
-
+def block_plan(n: int, width: int, cores: int) -> tuple[int, bool]:
+    """How many blocks to cut n vectors into, and whether to ask for bounds.
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(lists) == 0 or len(flat) % len(lists):
-        raise ValueError("all vectors must have the same length")
-    return flat.reshape(len(lists), -1)
+    Their bytes are bounded in any case. A small table gets enough blocks to keep all cores
+    busy, a large one so many that visits can be told apart.
+    """
+    by_size = math.ceil(n * max(width, 1) * 8 / BLOCK_BYTES)
+    if n > ALL_PAIRS_ROWS:
+        return max(by_size, min(MOST_PIVOTS, math.ceil(n / BOUNDED_BLOCK))), True
+    by_cores = min(math.ceil(n / SMALLEST_BLOCK), math.ceil(math.sqrt(4 * cores)))
+    return max(by_size, by_cores, 1), False
 
 
 class _Best:
@@ -67,54 +81,69 @@ class _Best:
         self.partner[start:stop] = np.take_along_axis(whom, order, 1)
 
 
-def _costs(left: np.ndarray, right: np.ndarray, euclidean: bool) -> np.ndarray:
-    products = left @ right.T
-    if not euclidean:
-        return -products
-    return (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * products
+def _squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances by the product formula; exact enough to choose, not to report."""
+    return (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * (left @ right.T)
 
 
-def _exact(rows: np.ndarray, others: np.ndarray, best: _Best, euclidean: bool) -> pa.ListArray:
-    """The kept partners' values computed directly, free of the cancellation in `_costs`."""
-    kept = np.isfinite(best.cost)
+def _exact(rows: np.ndarray, others: np.ndarray, best: _Best) -> np.ndarray:
+    """Distances to the kept partners, free of cancellation, ascending; inf where there is none."""
     values = np.full(best.cost.shape, np.inf)
-    for column in range(best.cost.shape[1]):
-        mine = kept[:, column]
-        a, b = rows[mine], others[best.partner[mine, column]]
-        if euclidean:
-            values[mine, column] = np.sqrt(((a - b) ** 2).sum(axis=1))
-        else:
-            values[mine, column] = -(a * b).sum(axis=1)
+    for column in range(values.shape[1]):
+        mine = np.isfinite(best.cost[:, column])
+        gaps = rows[mine] - others[best.partner[mine, column]]
+        values[mine, column] = np.sqrt((gaps**2).sum(axis=1))
     values.sort(axis=1)
+    return values
+
+
+def _inside(matrix: np.ndarray, k: int) -> np.ndarray:
+    """(n, k) distances to the nearest other rows of the same block."""
+    best = _Best(len(matrix), k)
+    for i in range(0, len(matrix), TILE):
+        for j in range(i, len(matrix), TILE):
+            cost = _squares(matrix[i : i + TILE], matrix[j : j + TILE])
+            if i == j:
+                np.fill_diagonal(cost, np.inf)
+            best.offer(i, cost, j)
+            if i != j:
+                best.offer(j, cost.T, i)
+    return _exact(matrix, matrix, best)
+
+
+def _between(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances from the rows of each block to the nearest ones of the other."""
+    for_left, for_right = _Best(len(left), k), _Best(len(right), k)
+    for i in range(0, len(left), TILE):
+        for j in range(0, len(right), TILE):
+            cost = _squares(left[i : i + TILE], right[j : j + TILE])
+            for_left.offer(i, cost, j)
+            for_right.offer(j, cost.T, i)
+    return _exact(left, right, for_left), _exact(right, left, for_right)
+
+
+def _as_lists(values: np.ndarray) -> pa.ListArray:
+    kept = np.isfinite(values)
     offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[np.isfinite(values)]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept]))
 
 
-def _compare_blocks(k: int, euclidean: bool):
+def _compare_blocks(k: int):
+    """Group function over a pair of blocks: each row's best values in the other block."""
+
     def compare(pair: pa.Table) -> pa.Table:
         ids = pair.column("sample_id").to_numpy()
-        block = pair.column("block").to_numpy()
-        matrix = _matrix(pair.column("vector"))
-        one_block = pair.column("row_block")[0] == pair.column("col_block")[0]
-        first = block == pair.column("row_block")[0].as_py()
-        left_ids, left = ids[first], matrix[first]
-        right_ids, right = (left_ids, left) if one_block else (ids[~first], matrix[~first])
-        for_left, for_right = _Best(len(left), k), _Best(len(right), k)
-        for i in range(0, len(left), TILE):
-            for j in range(i if one_block else 0, len(right), TILE):
-                cost = _costs(left[i : i + TILE], right[j : j + TILE], euclidean)
-                if one_block and i == j:
-                    np.fill_diagonal(cost, np.inf)
-                for_left.offer(i, cost, j)
-                if not (one_block and i == j):
-                    (for_left if one_block else for_right).offer(j, cost.T, i)
-        parts = [(left_ids, _exact(left, right, for_left, euclidean))]
-        if not one_block:
-            parts.append((right_ids, _exact(right, left, for_right, euclidean)))
+        matrix = as_matrix(pair.column("vector"))
+        first = pair.column("block").to_numpy() == pair.column("row_block")[0].as_py()
+        if pair.column("row_block")[0] == pair.column("col_block")[0]:
+            parts = [(ids, _inside(matrix, k))]
+        else:
+            left, right = _between(matrix[first], matrix[~first], k)
+            parts = [(ids[first], left), (ids[~first], right)]
         return pa.Table.from_arrays(
             [
                 pa.chunked_array([pa.array(i) for i, _ in parts], pa.int64()),
-                pa.chunked_array([v for _, v in parts], pa.list_(pa.float64())),
+                pa.chunked_array([_as_lists(v) for _, v in parts], pa.list_(pa.float64())),
             ],
             names=["sample_id", "nearest"],
         )
@@ -122,17 +151,28 @@ def _compare_blocks(k: int, euclidean: bool):
     return compare
 
 
-def _candidates(vectors: DataFrame, k: int, euclidean: bool, blocks: int | None) -> DataFrame:
-    """(sample_id, nearest): the k best values of each vector in each of its block pairs."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    blocks = blocks or block_count(vectors)
-    pairs = blocks * (blocks + 1) // 2
-    own, other = F.col("block"), F.col("_other")
+def _tasks(frame: DataFrame, groups: int) -> int:
+    """Partitions for groups of heavy work: a few per core, up to 16 groups in one.
+
+    A fixed number, as merging partitions by their bytes would serialise the products.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(groups, max(4 * cores, groups // 16)))
+
+
+def _per_pair(rows: DataFrame, k: int, pairs: int) -> DataFrame:
+    """(sample_id, nearest) from rows (row_block, col_block, block, sample_id, vector)."""
     return (
-        vectors.withColumn(
-            "block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int")
-        )
+        rows.repartition(_tasks(rows, pairs), "row_block", "col_block")
+        .groupBy("row_block", "col_block")
+        .applyInArrow(_compare_blocks(k), _SCHEMA)
+    )
+
+
+def _all_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
+    own, other = F.col("block"), F.col("_other")
+    rows = (
+        vectors.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .select(
             F.least(own, other).alias("row_block"),
@@ -141,23 +181,197 @@ def _candidates(vectors: DataFrame, k: int, euclidean: bool, blocks: int | None)
             "sample_id",
             "vector",
         )
-        # A fixed number of partitions: merging small ones would serialise heavy products.
-        .repartition(min(pairs, 20_000), "row_block", "col_block")
-        .groupBy("row_block", "col_block")
-        .applyInArrow(_compare_blocks(k, euclidean), _SCHEMA)
     )
+    return _per_pair(rows, k, blocks * (blocks + 1) // 2)
+
+
+def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add `cell`, the nearest pivot, and `radius`, the distance to it."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = as_matrix(batch.column("vector"))
+            cells = [
+                _squares(matrix[i : i + TILE], pivots).argmin(axis=1)
+                for i in range(0, len(matrix), TILE)
+            ]
+            cell = np.concatenate(cells)
+            radius = np.sqrt(((matrix - pivots[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(radius)],
+                names=[*batch.schema.names, "cell", "radius"],
+            )
+
+    return vectors.mapInArrow(
+        nearest, "sample_id long, vector array<double>, cell int, radius double"
+    )
+
+
+def _bound_blocks(k: int, pivots: np.ndarray, shells: np.ndarray):
+    """Group function over one block: neighbours inside it, and the blocks worth a look per row.
+
+    `shells` holds, by block id, the pivot of the block and the range of its radii. A vector at
+    distance r from that pivot is at least r - high or low - r away from all vectors of it. As
+    these are nearer to their pivot than to the one of this block, at distance s, the vector is
+    also at least (r * r - s * s) / 2 over the distance of the pivots away.
+    """
+    cell, low, high = shells[:, 0].astype(int), shells[:, 1], shells[:, 2]
+
+    def bound(block: pa.Table) -> pa.Table:
+        matrix = as_matrix(block.column("vector"))
+        own = block.column("block")[0].as_py()
+        inside = _inside(matrix, k)
+        reach = inside[:, -1]
+        home = cell[own]
+        twice = 2.0 * np.sqrt(((pivots - pivots[home]) ** 2).sum(axis=1))
+        # Pivots at (almost) the same place divide nothing: no bound from them.
+        twice = np.where(twice > SLACK, twice, np.inf)
+        targets: list[list[int]] = [[]] * len(matrix)
+        # A bound of 0 cannot be improved.
+        open_rows = np.flatnonzero(reach > 0)
+        for start in range(0, len(open_rows), BOUND_ROWS):
+            rows = open_rows[start : start + BOUND_ROWS]
+            squares = np.clip(_squares(matrix[rows], pivots), 0.0, None)
+            beyond = ((squares - squares[:, [home]]) / twice)[:, cell]
+            away = np.sqrt(squares)
+            slack = SLACK * (1.0 + away.max(initial=0.0))
+            away = away[:, cell]
+            gap = np.maximum(np.maximum(away - high, low - away), beyond)
+            wanted = gap < reach[rows, None] + slack
+            wanted[:, own] = False
+            for row, wants in zip(rows, wanted):
+                targets[row] = np.flatnonzero(wants).tolist()
+        return pa.Table.from_arrays(
+            [
+                block.column("sample_id"),
+                pa.chunked_array([_as_lists(inside)]),
+                block.column("block"),
+                block.column("vector"),
+                pa.chunked_array([pa.array(targets, pa.list_(pa.int32()))]),
+            ],
+            names=["sample_id", "nearest", "block", "vector", "targets"],
+        )
+
+    return bound
+
+
+def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
+    n = vectors.count()
+    rows = vectors.select("sample_id", F.col("vector").cast("array<double>").alias("vector"))
+    drawn = rows.orderBy(seeded_key(0, "sample_id"), "sample_id").limit(min(blocks, MOST_PIVOTS))
+    pivots = np.array([r.vector for r in drawn.select("vector").collect()])
+    # Written once: four steps read it, and the pivots' products need not be repeated.
+    cells = cut_lineage(_assign(rows, pivots))
+
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.ceil(F.col("_n") / math.ceil(n / blocks))
+    # One row per pivot.
+    plan = sizes.withColumn("_parts", parts).withColumn(
+        "_first", F.coalesce(F.sum("_parts").over(before), F.lit(0))
+    )
+    salt = F.pmod(F.xxhash64("sample_id"), F.col("_parts"))
+    placed = cells.join(F.broadcast(plan), "cell").withColumn(
+        "block", (F.col("_first") + salt).cast("int")
+    )
+    ranges = placed.groupBy("block").agg(F.first("cell"), F.min("radius"), F.max("radius"))
+    found = {r[0]: r[1:] for r in ranges.collect()}
+    # Collected: one row per block. A part of a cell may stay empty; nothing is in its reach.
+    empty = (0, math.inf, -math.inf)
+    shells = np.array([found.get(b, empty) for b in range(max(found) + 1)], dtype=np.float64)
+
+    bounded = cut_lineage(
+        placed.select("block", "sample_id", "vector")
+        .repartition(_tasks(placed, len(shells)), "block")
+        .groupBy("block")
+        .applyInArrow(
+            _bound_blocks(k, pivots, shells),
+            f"{_SCHEMA}, block int, vector array<double>, targets array<int>",
+        )
+    )
+    return bounded.select("sample_id", "nearest").unionByName(
+        _visits(bounded, k, math.ceil(n / blocks))
+    )
+
+
+def _visits(bounded: DataFrame, k: int, limit: int) -> DataFrame:
+    """(sample_id, nearest): each vector's best values in the blocks it has to look at.
+
+    The visitors of a block are dealt into tables of about `limit`; the block's own vectors are
+    sent to each of them. A block that everybody visits is so spread over many groups.
+    """
+    asked = bounded.select(F.explode("targets").alias("block"))
+    # One row per block.
+    plan = cut_lineage(
+        asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_tables"))
+    )
+    tables = plan.agg(F.coalesce(F.sum("_tables"), F.lit(0))).first()[0]
+    visitors = (
+        bounded.select("sample_id", "vector", F.explode("targets").alias("block"))
+        .join(F.broadcast(plan), "block")
+        .withColumn("_table", F.pmod(F.xxhash64("sample_id"), F.col("_tables")).cast("int"))
+        .select("block", "_table", "sample_id", "vector", F.lit(True).alias("visitor"))
+    )
+    hosts = (
+        bounded.join(F.broadcast(plan), "block")
+        .withColumn("_table", F.explode(F.sequence(F.lit(0), F.col("_tables") - 1)))
+        .select("block", "_table", "sample_id", "vector", F.lit(False).alias("visitor"))
+    )
+    return (
+        visitors.unionByName(hosts)
+        .repartition(_tasks(bounded, tables), "block", "_table")
+        .groupBy("block", "_table")
+        .applyInArrow(_meet(k), _SCHEMA)
+    )
+
+
+def _meet(k: int):
+    """Group function: the visitors' best values among the hosts."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        visitor = table.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
+        matrix = as_matrix(table.column("vector"))
+        guests, hosts = matrix[visitor], matrix[~visitor]
+        best = _Best(len(guests), k)
+        for i in range(0, len(guests), TILE):
+            for j in range(0, len(hosts), TILE):
+                best.offer(i, _squares(guests[i : i + TILE], hosts[j : j + TILE]), j)
+        return pa.table(
+            {
+                "sample_id": pa.array(table.column("sample_id").to_numpy()[visitor]),
+                "nearest": _as_lists(_exact(guests, hosts, best)),
+            }
+        )
+
+    return meet
 
 
 def nearest_distances(
-    vectors: DataFrame, k: int, column: str = "features", blocks: int | None = None
+    vectors: DataFrame,
+    k: int,
+    column: str = "features",
+    blocks: int | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """(sample_id, distances): ascending Euclidean distances to the k nearest other samples.
 
     Fewer than k where there are not that many others. Equal vectors are neighbours at
-    distance 0; a sample is told from itself by its row, not by its distance.
+    distance 0; a sample is told from itself by its row, not by its distance. The blocks and the
+    use of bounds follow from the size of the table unless both are given.
     """
-    rows = vectors.select("sample_id", F.col(column).alias("vector"))
-    found = _candidates(rows, k, True, blocks)
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    rows = vectors.select(
+        F.col("sample_id").cast("long").alias("sample_id"), F.col(column).alias("vector")
+    )
+    if blocks is None or bounded is None:
+        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        planned = block_plan(n, width or 1, cores)
+        blocks, bounded = blocks or planned[0], planned[1] if bounded is None else bounded
+    found = (_bounded_pairs if bounded else _all_pairs)(rows, k, blocks)
     if k == 1:
         best = F.min(F.get("nearest", F.lit(0)))
         return found.groupBy("sample_id").agg(F.array_compact(F.array(best)).alias("distances"))
@@ -166,16 +380,32 @@ def nearest_distances(
 
 
 def largest_similarity(
-    vectors: DataFrame, column: str = "features", blocks: int | None = None
+    vectors: DataFrame,
+    column: str = "features",
+    blocks: int | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """(sample_id, similarity): the largest cosine to any other sample, NULL for a lone one.
 
-    A (near) zero vector has cosine 0 with every other.
+    On unit vectors the cosine is 1 - d * d / 2 of the distance d, so the nearest one has the
+    largest. A (near) zero vector has cosine 0 with every other; those are kept out of the
+    search and counted instead.
     """
-    rows = vectors.select("sample_id", unit_vector(F.col(column)).alias("vector"))
-    best = F.min(F.get("nearest", F.lit(0)))
-    return (
-        _candidates(rows, 1, False, blocks)
-        .groupBy("sample_id")
-        .agg((-best).alias("similarity"))
+    sized = vectors.select("sample_id", F.col(column).alias("_v"), length(F.col(column)).alias("_size"))
+    zero = F.col("_size") < SHORTEST_LENGTH
+    units = sized.filter(~zero).select("sample_id", unit_vector(F.col("_v")).alias("unit"))
+    distance = F.get("distances", F.lit(0))
+    among = nearest_distances(units, 1, "unit", blocks, bounded).select(
+        "sample_id", (F.lit(1.0) - distance * distance / 2).alias("similarity")
+    )
+    zeros = sized.filter(zero).select("sample_id")
+    n_zeros, n_all = vectors.select(length(F.col(column)).alias("_size")).agg(
+        F.count_if(zero), F.count(F.lit(1))
+    ).first()
+    if not n_zeros:
+        return among
+    lone = F.lit(None).cast("double") if n_all == 1 else F.lit(0.0)
+    # NULL, where a sample has zero vectors only for company, gives way to their cosine.
+    return among.withColumn("similarity", F.greatest("similarity", F.lit(0.0))).unionByName(
+        zeros.withColumn("similarity", lone)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chaffline.functions import spectra
+from chaffline.functions.arrays import as_matrix
 from chaffline.functions.keys import seeded_key
 
 # Points of a layer used for the correlation dimension, seed of the draw.
@@ -19,12 +20,6 @@ POINTS_SEED = 0
 _PART = "sample_id long, layer int, n_tokens long, vector array<double>"
 
 
-def _as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), -1)
-
-
 def _compress_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace each layer's rows in a batch by fewer rows with the same singular values."""
     for batch in batches:
@@ -34,7 +29,7 @@ def _compress_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         samples, layers = samples[order], layers[order]
         new = np.flatnonzero((np.diff(samples) != 0) | (np.diff(layers) != 0)) + 1
         edges = np.concatenate([[0], new, [len(order)]]) if len(order) else np.zeros(1, int)
-        matrix = _as_matrix(batch.column("vector"))[order] if len(order) else np.empty((0, 0))
+        matrix = as_matrix(batch.column("vector"))[order]
         ids, which, counts, rows = [], [], [], []
         for start, stop in zip(edges[:-1], edges[1:]):
             part = spectra.compress_rows(matrix[start:stop])
@@ -58,7 +53,7 @@ def _layer_rank(layer: pa.Table) -> pa.Table:
     tokens = int(np.sum(layer.column("n_tokens").to_numpy()))
     if tokens < 2:
         raise ValueError("the effective rank needs at least 2 token vectors in a layer")
-    value = spectra.effective_rank(_as_matrix(layer.column("vector")))
+    value = spectra.effective_rank(as_matrix(layer.column("vector")))
     return pa.table(
         {
             "sample_id": [layer.column("sample_id")[0].as_py()],
@@ -99,7 +94,7 @@ def effective_rank_scores(hidden: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def _layer_dimension(layer: pa.Table) -> pa.Table:
-    points = _as_matrix(layer.column("vector"))
+    points = as_matrix(layer.column("vector"))
     usable = len(points) >= spectra.MIN_POINTS
     return pa.table(
         {

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chaffline.functions import spectra
+from chaffline.operators import neighbors
 from chaffline.operators.neighbors import largest_similarity, nearest_distances
 from chaffline.scorers import geometry
 from chaffline.scorers.registry import get_scorer
@@ -25,22 +26,24 @@ def points(n, d, seed=0):
     return np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 3, 8])
+@pytest.mark.parametrize("blocks, bounded", [(None, None), (1, False), (3, False), (1, True), (8, True)])
 @pytest.mark.parametrize("k", [1, 2, 7])
-def test_nearest_equal_brute_force(spark, blocks, k):
+def test_nearest_equal_brute_force(spark, blocks, bounded, k):
     matrix = points(120, 6)
     matrix[40:60] = matrix[0]
-    found = nearest_distances(table(spark, matrix), k, blocks=blocks).collect()
+    found = nearest_distances(table(spark, matrix), k, blocks=blocks, bounded=bounded).collect()
     expected = all_distances(matrix)[:, :k]
     assert len(found) == 120
     for r in found:
         assert r.distances == pytest.approx(expected[r.sample_id], abs=1e-9)
 
 
-def test_a_third_of_all_rows_being_copies(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_a_third_of_all_rows_being_copies(spark, bounded):
     matrix = points(900, 4, 1)
     matrix[:300] = matrix[0]
-    found = {r.sample_id: r.distances for r in nearest_distances(table(spark, matrix), 2).collect()}
+    rows = nearest_distances(table(spark, matrix), 2, blocks=12, bounded=bounded).collect()
+    found = {r.sample_id: r.distances for r in rows}
     assert all(found[i] == [0.0, 0.0] for i in range(300))
     expected = all_distances(matrix)[:, :2]
     assert np.allclose([found[i] for i in range(900)], expected, atol=1e-9)
@@ -55,10 +58,67 @@ def test_fewer_neighbours_than_asked_for(spark):
         nearest_distances(table(spark, [[0.0]]), 0)
 
 
+def test_bounds_skip_pairs_of_blocks_and_stay_exact(spark, monkeypatch):
+    """Tight clusters, one of them with a third of all rows."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 8)) * 50
+    home = np.where(np.arange(1200) % 3 == 0, 0, rng.integers(0, 20, 1200))
+    matrix = (centres[home] + rng.normal(size=(1200, 8)) * 0.1).astype(np.float32)
+    seen = []
+    visits = neighbors._visits
+
+    def counting(bounded, k, limit):
+        seen.append(bounded.agg(F.sum(F.size("targets")), F.countDistinct("block")).first())
+        return visits(bounded, k, limit)
+
+    monkeypatch.setattr(neighbors, "_visits", counting)
+    rows = nearest_distances(table(spark, matrix), 3, blocks=40, bounded=True).collect()
+    expected = all_distances(matrix)[:, :3]
+    found = {r.sample_id: r.distances for r in rows}
+    assert np.allclose([found[i] for i in range(1200)], expected, atol=1e-9)
+    looked_at, blocks = seen[0]
+    assert blocks >= 40 and looked_at < 0.3 * 1200 * blocks
+
+
+def test_plan_of_blocks():
+    assert neighbors.block_plan(0, 1, 8) == (1, False)
+    assert neighbors.block_plan(100, 64, 8) == (1, False)
+    assert neighbors.block_plan(2000, 64, 8) == (6, False)
+    blocks, bounded = neighbors.block_plan(10**7, 64, 1000)
+    assert bounded and 10**7 * 64 * 8 / blocks <= neighbors.BLOCK_BYTES
+    blocks, _ = neighbors.block_plan(10**9, 512, 1000)
+    assert 10**9 * 512 * 8 / blocks <= neighbors.BLOCK_BYTES
+
+
+def test_more_blocks_than_rows(spark):
+    matrix = points(5, 2, 12)
+    rows = nearest_distances(table(spark, matrix), 2, blocks=9, bounded=True).collect()
+    expected = all_distances(matrix)[:, :2]
+    assert all(r.distances == pytest.approx(expected[r.sample_id]) for r in rows) and len(rows) == 5
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_similarity_equals_numpy(spark, bounded):
+    matrix = points(150, 5, 13)
+    matrix[3], matrix[4] = 0, matrix[9] * 2
+    unit = matrix.astype(np.float64)
+    unit /= np.where(np.linalg.norm(unit, axis=1, keepdims=True) > 0, np.linalg.norm(unit, axis=1, keepdims=True), 1)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -1)
+    rows = largest_similarity(table(spark, matrix), blocks=6, bounded=bounded).collect()
+    found = {r.sample_id: r.similarity for r in rows}
+    assert [found[i] for i in range(150)] == pytest.approx(list(cosine.max(axis=1)), abs=1e-9)
+
+
 def test_similarity_of_zero_equal_and_lone_vectors(spark):
     matrix = [[1.0, 0.0], [2.0, 0.0], [0.0, 0.0], [0.0, -1.0]]
     found = {r.sample_id: r.similarity for r in largest_similarity(table(spark, matrix)).collect()}
     assert found == pytest.approx({0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0})
+    pair = {r.sample_id: r.similarity for r in largest_similarity(table(spark, matrix[2:])).collect()}
+    assert pair == {0: 0.0, 1: 0.0}
+    zeros = largest_similarity(table(spark, [[0.0], [0.0]])).collect()
+    assert [r.similarity for r in zeros] == [0.0, 0.0]
+    assert largest_similarity(table(spark, [[0.0]])).first().similarity is None
     lone = geometry.redundancy_scores(table(spark, [[1.0, 1.0]])).first()
     assert lone.score == 2.0
 
