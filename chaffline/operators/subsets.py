@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaffline.functions.keys import seeded_key
+from chaffline.session import cut_lineage
 
 REMOVE_EASY = "remove_easy"
 REMOVE_HARD = "remove_hard"
@@ -114,8 +115,10 @@ def removed_rows(frame: DataFrame, ids: DataFrame) -> DataFrame:
 def easy_hard_random(scores: DataFrame, limit: int = 1000, seed: int = 42) -> DataFrame:
     """The lowest, the highest and a seeded draw of min(limit, n div 4) samples each.
 
-    The groups may overlap. Each pick is a bounded top-k, so nothing is sorted as a whole.
+    The groups may overlap. Each pick is a bounded top-k, so nothing is sorted as a whole. The
+    scores, narrow rows, are written once: what they were computed from is read a single time.
     """
+    scores = cut_lineage(scores.select("sample_id", "score"))
     pick = min(limit, scores.count() // 4)
 
     def first(category: str, *order: Column | str) -> DataFrame:

@@ -16,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def whole(value: Column, by: int) -> Column:
+    """Integer division."""
+    return F.call_function("div", value, F.lit(by))
+
+
 # Labelled samples ------------------------------------------------------------------------
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,9 +66,9 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 def hidden_states(spark: SparkSession, folder: str) -> DataFrame:
     vec = F.col("vec_id")
     return table(spark, folder, "embeddings").select(
-        F.floor(vec / 40).alias("sample_id"),
+        whole(vec, 40).alias("sample_id"),
         (vec % 4).cast("int").alias("layer"),
-        F.floor(vec % 40 / 4).cast("int").alias("token_pos"),
+        whole(vec % 40, 4).cast("int").alias("token_pos"),
         F.col("embedding").alias("vector"),
     )
 
@@ -78,7 +83,7 @@ def hidden_labels(spark: SparkSession, folder: str) -> DataFrame:
     """A label per sample of the hidden states: the smallest among its rows."""
     return (
         table(spark, folder, "embeddings")
-        .groupBy(F.floor(F.col("vec_id") / 40).alias("sample_id"))
+        .groupBy(whole(F.col("vec_id"), 40).alias("sample_id"))
         .agg(F.min("label").cast("long").alias("label"))
     )
 
@@ -86,7 +91,7 @@ def hidden_labels(spark: SparkSession, folder: str) -> DataFrame:
 def logits(spark: SparkSession, folder: str) -> DataFrame:
     vec = F.col("vec_id")
     return table(spark, folder, "embeddings").select(
-        F.floor(vec / 10).alias("sample_id"),
+        whole(vec, 10).alias("sample_id"),
         (vec % 3).alias("run"),
         F.lit(0).alias("epoch"),
         F.col("label").cast("long").alias("label"),

@@ -28,7 +28,10 @@ SUBSET_SCHEMA = T.StructType(
         T.StructField("percent_removed", T.IntegerType()),
     ]
 )
-EPOCH_SCHEMA = ("val_acc_epoch", "val_acc"), ("val_loss_epoch", "val_loss")
+# Retained samples in one file of a subset.
+ROWS_PER_FILE = 10_000_000
+# Names of an epoch metric, the preferred one first.
+EPOCH_METRICS = ("val_acc_epoch", "val_acc"), ("val_loss_epoch", "val_loss")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -90,9 +93,16 @@ def load_or_create_split(spark: SparkSession, path: str, create, seed: int) -> D
     return spark.read.schema(SPLIT_SCHEMA).parquet(path)
 
 
-def save_subsets(subsets: DataFrame, folder: str) -> None:
-    """One directory per method and budget; a budget's rows are spread over several files."""
-    subsets.write.partitionBy("method", "percent_removed").mode("overwrite").parquet(folder)
+def save_subsets(subsets: DataFrame, folder: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One directory per method and budget; `position` holds the order.
+
+    A stretch of positions goes to one task, so a large budget is written by many tasks and a
+    small one does not leave a file per task.
+    """
+    stretch = F.call_function("div", F.col("position"), F.lit(rows_per_file))
+    keys = ["method", "percent_removed"]
+    dealt = subsets.repartition(*keys, stretch)
+    dealt.write.partitionBy(*keys).mode("overwrite").parquet(folder)
 
 
 def read_subsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +161,7 @@ def read_epoch_metrics(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("run"),
         F.col("epoch").try_cast("long").alias("epoch"),
-        *[metric(*names).alias(names[-1]) for names in EPOCH_SCHEMA],
+        *[metric(*names).alias(names[-1]) for names in EPOCH_METRICS],
     )
 
 

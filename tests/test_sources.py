@@ -76,8 +76,10 @@ def test_a_stored_split_wins(spark, tmp_path):
 
 def test_subsets_round_trip_and_pruning(spark, tmp_path):
     folder = str(tmp_path / "subsets")
-    A.save_subsets(build_subsets(ranking(spark), [0, 5]), folder)
+    A.save_subsets(build_subsets(ranking(spark), [0, 5]), folder, rows_per_file=600)
     back = A.read_subsets(spark, folder)
+    files = list((tmp_path / "subsets" / "method=m" / "percent_removed=5").glob("*.parquet"))
+    assert 1 <= len(files) <= 4
     five = back.filter("method = 'm' and percent_removed = 5")
     assert five.count() == 1900
     plan = five._jdf.queryExecution().executedPlan().toString()
