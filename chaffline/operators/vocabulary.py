@@ -36,6 +36,7 @@ class Codec:
     """
 
     def __init__(self, symbols: Sequence[str]) -> None:
+        self.size = len(symbols)
         ids = {ord(symbol): token_id for token_id, symbol in enumerate(symbols)}
         known = (str(ids.get(point, -1)) for point in range(max(ids, default=0) + 1))
         self._codes = F.split(F.lit(",".join(known)), ",").cast("array<int>")

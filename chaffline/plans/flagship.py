@@ -17,7 +17,8 @@ from chaffline.operators.grid import evaluation_grid
 from chaffline.operators.splits import VALIDATION, stratified_split
 from chaffline.operators.subsets import audit_subsets, build_subsets, retained_rows
 from chaffline.plans.analysis import COUNTS_SQL
-from chaffline.plans.views import labelled_ids, prediction_log, sample_labels, texts
+from chaffline.plans.ranking import QUALITY_SQL, STRATIFIED_SQL
+from chaffline.plans.views import SAMPLES, labelled_ids, prediction_log, sample_labels, texts
 from chaffline.scorers.base import rank_together
 from chaffline.scorers.registry import get_scorer
 from chaffline.session import checkpoint_folder, cut_lineage
@@ -77,9 +78,101 @@ def streaming_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:
     return streaming.read_forgetting_counts(spark, place)
 
 
+FEATURES_SQL = """grams AS (
+  SELECT doc_id AS sample_id,
+         unnest(list_transform(range(1, length(text) - 1),
+                lambda i: chars[i] || chars[i + 1] || chars[i + 2])) AS gram
+  FROM (SELECT doc_id, text, string_split(text, '') AS chars FROM documents
+        SEMI JOIN labels USING (doc_id))),
+counts AS (
+  SELECT sample_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS bucket,
+         CAST(count(*) AS DOUBLE) AS n
+  FROM grams GROUP BY ALL),
+found AS (
+  SELECT sample_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY sample_id)) AS value FROM counts),
+dense AS (
+  SELECT sample_id, bucket, coalesce(value, 0.0::DOUBLE) AS x
+  FROM (SELECT DISTINCT doc_id AS sample_id, unnest(range(64)) AS bucket FROM labels)
+  SEMI JOIN samples USING (sample_id) LEFT JOIN found USING (sample_id, bucket))"""
+
+ORDERS = {
+    "random": "SELECT sample_id, md5(concat_ws('|', '777', sample_id)) AS score FROM train",
+    "heuristic_filtering": "SELECT sample_id, score FROM quality SEMI JOIN train USING (sample_id)",
+    "semantic_dedup": """SELECT a.sample_id,
+        CAST(round(1 - max(list_dot_product(a.v, b.v)), 6) AS FLOAT) AS score
+      FROM lists a JOIN lists b ON a.sample_id <> b.sample_id GROUP BY a.sample_id""",
+}
+
+
+def grid_sql(methods: list[str]) -> str:
+    """Gaussian naive Bayes on every (method, budget), measured on the validation rows."""
+    ranked = " UNION ALL ".join(
+        f"""SELECT '{m}' AS method, sample_id,
+              row_number() OVER (ORDER BY score, sample_id) - 1 AS rank FROM ({ORDERS[m]})"""
+        for m in methods
+    )
+    return f"""{SAMPLES}, {QUALITY_SQL}, {FEATURES_SQL},
+split AS ({STRATIFIED_SQL.replace(SAMPLES + ",", "", 1)}),
+rows_ AS (
+  SELECT sample_id, label, split FROM samples JOIN split USING (sample_id)
+  SEMI JOIN (SELECT doc_id AS sample_id FROM labels) USING (sample_id)),
+train AS (SELECT sample_id, label FROM rows_ WHERE split = 'train'),
+val AS (SELECT sample_id, label FROM rows_ WHERE split = 'val'),
+lists AS (
+  SELECT sample_id, list(x ORDER BY bucket) AS v FROM dense SEMI JOIN train USING (sample_id)
+  GROUP BY sample_id),
+ranking AS ({ranked}),
+members AS (
+  SELECT method, percent_removed, sample_id, label FROM (
+    SELECT *, unnest({GRID_BUDGETS}) AS percent_removed FROM ranking, (SELECT count(*) AS n FROM train))
+  JOIN train USING (sample_id) WHERE rank >= n * percent_removed // 100),
+sums AS (
+  SELECT method, percent_removed, label, bucket, count(*) AS n, sum(x) AS s, sum(x * x) AS q
+  FROM members JOIN dense USING (sample_id) GROUP BY ALL),
+spread AS (
+  SELECT method, percent_removed, max(variance) * 1e-9::DOUBLE AS eps FROM (
+    SELECT method, percent_removed, sum(q) / sum(n) - pow(sum(s) / sum(n), 2) AS variance
+    FROM sums GROUP BY method, percent_removed, bucket) GROUP BY ALL),
+params AS (
+  SELECT method, percent_removed, label AS class, bucket, s / n AS mean,
+         q / n - pow(s / n, 2) + eps AS variance,
+         ln(n / CAST(sum(n) OVER (PARTITION BY method, percent_removed, bucket) AS DOUBLE)) AS prior
+  FROM sums JOIN spread USING (method, percent_removed)),
+likelihoods AS (
+  SELECT method, percent_removed, val.sample_id, val.label, class,
+         any_value(prior) - sum(pow(x - mean, 2) / variance + ln(2 * pi() * variance)) / 2 AS ll
+  FROM val JOIN dense USING (sample_id) JOIN params USING (bucket) GROUP BY ALL),
+shares AS (
+  SELECT *, exp(ll - max(ll) OVER w) / sum(exp(ll - top)) OVER w AS p,
+         row_number() OVER (w ORDER BY ll DESC, class) AS place
+  FROM (SELECT *, max(ll) OVER (PARTITION BY method, percent_removed, sample_id) AS top FROM likelihoods)
+  WINDOW w AS (PARTITION BY method, percent_removed, sample_id)),
+runs AS (
+  SELECT method, percent_removed, CAST({GRID_SEEDS[0]} AS BIGINT) AS seed,
+         avg(CAST(class = label AS INTEGER)) FILTER (place = 1) AS best_val_acc,
+         sum(-ln(greatest(p, 1e-12::DOUBLE))) FILTER (class = label)
+           / (SELECT count(*) FROM val) AS best_val_loss
+  FROM shares GROUP BY method, percent_removed)"""
+
+
+def rounded_grid(spark: SparkSession, folder: str) -> DataFrame:
+    runs = grid(spark, folder)
+    return runs.withColumns({c: F.round(c, 5) for c in ("best_val_acc", "best_val_loss")})
+
+
 QUERIES = {
-    "evaluation_grid": (grid, None),
-    "corpus_to_best_method": (corpus_to_best_method, None),
+    "evaluation_grid": (
+        rounded_grid,
+        f"""WITH {grid_sql(["random", "heuristic_filtering"])}
+        SELECT method, percent_removed, seed, round(best_val_acc, 5) AS best_val_acc,
+               round(best_val_loss, 5) AS best_val_loss, 'nan'::DOUBLE AS test_acc FROM runs""",
+    ),
+    "corpus_to_best_method": (
+        corpus_to_best_method,
+        f"""WITH {grid_sql(["random", "heuristic_filtering", "semantic_dedup"])}
+        SELECT percent_removed, method FROM runs WHERE percent_removed <> 0
+        QUALIFY row_number() OVER (PARTITION BY percent_removed ORDER BY best_val_acc DESC, method) = 1""",
+    ),
     "streaming_forgetting_counts": (
         streaming_forgetting_counts,
         f"WITH {COUNTS_SQL} SELECT * FROM counts",

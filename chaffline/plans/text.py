@@ -122,10 +122,11 @@ def text_features(spark, folder):
 
 
 def _model(spark, folder):
+    """(chunks, counted model, codec); one fit of the vocabulary serves both."""
     rows = documents(spark, folder)
     chunks = prep.chunk_texts(rows, BLOCK_SIZE)
-    size = build_vocabulary(rows).count()
-    return chunks, model_outputs.fit_bigrams(chunks, size), size
+    codec = Codec.fit(rows)
+    return chunks, model_outputs.fit_bigrams(chunks, codec.size), codec
 
 
 def ngram_token_loss(spark, folder):
@@ -144,10 +145,10 @@ def ngram_token_loss(spark, folder):
 def rank_perplexity(spark, folder):
     """Scores chunks by the mean loss of their tokens, labelled by their first target token."""
     rows = documents(spark, folder)
-    chunks, model, _ = _model(spark, folder)
+    chunks, model, codec = _model(spark, folder)
     means = model_outputs.chunk_losses(chunks, model, ["doc_id", "chunk_idx"])
     numbered = means.join(prep.number_chunks(rows, BLOCK_SIZE), ["doc_id", "chunk_idx"])
-    first = Codec.fit(rows).token_of(F.col("first_target"))
+    first = codec.token_of(F.col("first_target"))
     return get_scorer("perplexity_filtering").score(
         numbered.select("sample_id", "loss", "n", first.cast("long").alias("label"))
     )
@@ -155,8 +156,8 @@ def rank_perplexity(spark, folder):
 
 def context_entropy(spark, folder):
     """Entropy of the counted model's next-character distribution after every character."""
-    _, model, size = _model(spark, folder)
-    return model_outputs.context_entropies(model, size).select(
+    _, model, codec = _model(spark, folder)
+    return model_outputs.context_entropies(model, codec.size).select(
         "context", F.round("entropy", 6).alias("entropy")
     )
 
