@@ -57,14 +57,7 @@ def summary(spark, experiment, column="test_acc_mean"):
 
 
 def test_published_tables_were_read():
-    assert {e: len(m) for e, m in MEANS.items()} == {
-        "artifacts_cifar10_remove_easy": 5,
-        "artifacts_cifar10_remove_hard": 5,
-        "artifacts_mnist_remove_easy": 5,
-        "artifacts_mnist_remove_hard": 5,
-        "artifacts_tiny_shakespeare_full_remove_easy": 8,
-        "artifacts_tiny_shakespeare_full_remove_hard": 8,
-    }
+    assert sorted(len(methods) for methods in MEANS.values()) == [5, 5, 5, 5, 8, 8]
     assert len(published_fits()) == 40
 
 
