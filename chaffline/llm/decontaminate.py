@@ -107,7 +107,7 @@ def phrases_of(items: DataFrame, window: int, item_id: str = "item_id", text: st
             plain = words.to_pylist()
             rows, found = [], []
             for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                own = dict.fromkeys(" ".join(plain[s : s + window]) for s in range(a, max(b - window, a) + 1) if b > a)
+                own = dict.fromkeys(" ".join(plain[s : min(s + window, b)]) for s in range(a, max(b - window, a) + 1) if b > a)
                 found += own
                 rows += [i] * len(own)
             yield pa.RecordBatch.from_arrays(

@@ -150,6 +150,12 @@ def fit(labelled: DataFrame, pooled: float = 0.1, ridge: float = 0.02) -> Discri
     sums = np.zeros((2, 1 + width + width * width))
     if total.num_rows:
         sums[np.asarray(total["label"]), np.asarray(total["at"])] = np.asarray(total["value"])
+    return discriminant(sums, pooled, ridge)
+
+
+def discriminant(sums: np.ndarray, pooled: float = 0.1, ridge: float = 0.02) -> Discriminant | None:
+    """The classifier from each class's count, sums and sums of products (see `fit`)."""
+    width = len(STATISTICS)
     counts = sums[:, 0]
     if not counts.sum():
         return None

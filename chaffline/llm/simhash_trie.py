@@ -225,7 +225,7 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
     value = F.col("fingerprint")
     blocks = []
     for number, (first, size) in enumerate(block_edges(budget)):
-        part = F.shiftrightunsigned(value, BITS - first - size).bitwiseAND(F.lit((1 << size) - 1))
+        part = F.shiftrightunsigned(value, BITS - first - size).bitwiseAND(F.lit((1 << size) - 1 if size < BITS else -1))
         blocks.append(F.struct(F.lit(number).alias("block"), part.alias("part")))
     rows = nodes.select("node", "fingerprint", F.explode(F.array(*blocks)).alias("key"))
     rows = rows.select("node", "fingerprint", "key.block", "key.part")
