@@ -10,10 +10,13 @@ import pyarrow.compute as pc
 
 from chaffline.llm.arrays import ragged, texts_of
 
-#: Words a worker keeps at most; beyond, the store starts anew.
-STORED_WORDS = 400_000
+#: Words a worker keeps at about most; beyond, the half that is asked for most often stays.
+STORED_WORDS = 800_000
+#: Words that are encoded as one text, with a mark between them that no word has.
+WORDS_AT_ONCE = 4096
+MARK = "\u241e"
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -40,43 +43,92 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self._mark = np.array(self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids, np.uint32)
         self._clear()
 
     def _clear(self) -> None:
         self._slots: dict[str, int] = {}
         self._starts = np.zeros(1024, np.int64)
         self._counts = np.zeros(1024, np.int64)
+        self._asked = np.zeros(1024, np.int64)
         self._flat = np.zeros(4096, np.uint32)
         self._used = 0
 
+    def _forget(self) -> None:
+        """Keep the half of the words that were asked for in the most batches, the oldest first."""
+        size = len(self._slots)
+        kept = np.sort(np.argsort(-self._asked[:size], kind="stable")[: STORED_WORDS // 2])
+        words = list(self._slots)
+        starts, counts, asked = self._starts[kept], self._counts[kept], self._asked[kept]
+        self._flat = self._flat[ragged(starts, counts)]
+        self._used = len(self._flat)
+        self._slots = {words[i]: at for at, i in enumerate(kept.tolist())}
+        self._starts, self._counts, self._asked = np.cumsum(counts) - counts, counts, asked // 2
+
     def _lookup(self, words: list[str]) -> np.ndarray:
         """Slots of words, new ones being encoded and stored."""
         find = self._slots.get
         slots = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
         new = list(dict.fromkeys(words[i] for i in np.flatnonzero(slots < 0)))
         if not new:
+            self._asked[slots] += 1
             return slots
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        first, counts = len(self._slots), np.fromiter(map(len, found), np.int64, len(found))
+        parts = [self._ids_of(new[i : i + WORDS_AT_ONCE]) for i in range(0, len(new), WORDS_AT_ONCE)]
+        ids, counts = (np.concatenate(x) for x in zip(*parts))
+        first = len(self._slots)
         self._starts = _room(self._starts, first + len(new))
         self._counts = _room(self._counts, first + len(new))
+        self._asked = _room(self._asked, first + len(new))
         self._flat = _room(self._flat, self._used + int(counts.sum()))
         ends = self._used + np.cumsum(counts)
         self._starts[first : first + len(new)] = ends - counts
         self._counts[first : first + len(new)] = counts
-        self._flat[self._used : ends[-1]] = [i for ids in found for i in ids]
+        self._flat[self._used : ends[-1]] = ids
         self._used = int(ends[-1])
         self._slots.update(zip(new, range(first, first + len(new))))
+        self._asked[first : first + len(new)] = 0
         missing = np.flatnonzero(slots < 0)
         slots[missing] = np.fromiter((self._slots[words[i]] for i in missing), np.int64, len(missing))
+        self._asked[slots] += 1
         return slots
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and their numbers.
+
+        Words that begin with a space are joined by a mark and encoded as one text, as every
+        call of the library costs more than a word; its ids are found again in the result.
+        """
+        joinable = [w[:1] == " " and w[1:2] != " " and not w[-1].isspace() and MARK not in w for w in words]
+        joinable = [j and not w[1:2].isspace() for j, w in zip(joinable, words)]
+        if not all(joinable):
+            rest = [w for w, j in zip(words, joinable) if not j]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            if not any(joinable):
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                return np.array([i for ids in found for i in ids], np.uint32), counts
+            ids, counts = self._ids_of([w for w, j in zip(words, joinable) if j])
+            own = np.split(ids, np.cumsum(counts)[:-1])
+            joined, other = iter(own), iter(found)
+            every = [next(joined) if j else np.array(next(other), np.uint32) for j in joinable]
+            return np.concatenate(every), np.fromiter(map(len, every), np.int64, len(every))
+        text = "".join(w + f" {MARK}" for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        size = len(self._mark)
+        found = np.ones(len(ids) - size + 1, bool)
+        for i, code in enumerate(self._mark):
+            found &= ids[i : i + len(found)] == code
+        ends = np.flatnonzero(found)
+        counts = np.diff(ends, prepend=-size) - size
+        keep = np.ones(len(ids), bool)
+        keep[(ends[:, None] + np.arange(size)).ravel()] = False
+        return ids[keep], counts
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and the number of ids of each text."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self._slots) > STORED_WORDS:
-            self._clear()
+            self._forget()
         lists = pc.split_pattern(texts, " ")
         parts = lists.flatten()
         starts = np.asarray(lists.offsets, dtype=np.int64)

@@ -31,6 +31,21 @@ def test_words_give_the_ids_of_whole_texts(odd_rows, name):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_store_of_words_forgets_but_stays_right(odd_rows, monkeypatch):
+    import pyarrow as pa
+
+    from chaffline.llm import tokens
+
+    monkeypatch.setattr(tokens, "STORED_WORDS", 20)
+    monkeypatch.setattr(tokens, "WORDS_AT_ONCE", 7)
+    encoder, encode = Encoder(PATH), whole(PATH)
+    for _ in range(3):
+        for _, text in odd_rows:
+            own = f"{text or ''} word\u241emark \u241e end{len(text or '')}"
+            ids, counts = encoder.encode(pa.array([own, own]))
+            assert ids.tolist() == encode(own) * 2 and counts[0] == counts[1]
+
+
 def check(pieces, documents, capacity, end_id=1):
     """Documents come back whole, sequences are gapless and short enough; returns the padding share."""
     encode = whole(PATH)
