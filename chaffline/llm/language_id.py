@@ -31,6 +31,8 @@ DENSE_CODES = 1 << 22
 TEXT_BYTES = 4 << 20
 #: Characters that count in a confidence: more do not make it surer.
 CONFIDENT_CHARS = 64
+#: Code point that stands for the beginning of a text; it is no letter.
+START = 2
 
 _fold: np.ndarray | None = None
 
@@ -50,9 +52,9 @@ def _folding() -> np.ndarray:
 
 
 def folded(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as folded code points, `order` zeros before each, and the text of each code point.
+    """The texts as folded code points, `order` marks before each, and the text of each code point.
 
-    Zeros stand for the beginning of a text; runs of non-letters are one space.
+    The mark START stands for the beginning of a text; runs of non-letters are one space.
     """
     pad = order
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -63,7 +65,7 @@ def folded(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32) | (owner[1:] != owner[:-1])
     codes, owner = codes[keep], owner[keep]
     counts = np.bincount(owner, minlength=len(texts))
-    out = np.zeros(len(codes) + pad * len(texts), np.uint32)
+    out = np.full(len(codes) + pad * len(texts), START, np.uint32)
     place = np.arange(len(codes)) + pad * (owner + 1)
     out[place] = codes
     return out, np.repeat(np.arange(len(texts)), counts + pad)
@@ -82,7 +84,7 @@ def grams(codes: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray,
     key = np.zeros(len(codes) - order + 1, np.uint64)
     for i in range(order):
         key = key * size + small[i : i + len(key)]
-    real = codes[order - 1 :] != 0
+    real = codes[order - 1 :] != START
     key, owner = key[real], owner[order - 1 :][real]
     if len(letters) ** order <= DENSE_CODES:
         seen = np.bincount(key.astype(np.int64), minlength=len(letters) ** order) > 0
@@ -105,7 +107,7 @@ def _strings(rows: np.ndarray) -> list[str]:
 
 
 def count_grams(documents: DataFrame, order: int, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, gram, n) over whole texts; every text starts with `order` - 1 zero characters."""
+    """(lang, gram, n) over whole texts; every text starts with `order` - 1 marks START."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, TEXT_BYTES):

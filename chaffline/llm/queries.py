@@ -163,7 +163,7 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     chain = toxicity_chain.fit(labelled, CATEGORIES)
     return toxicity_chain.score(documents, chain).select(
         "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"),
-        *[F.col(c).alias(f"{c}_score") for c in CATEGORIES], (F.col("toxic") >= 0.5).alias("toxic"),
+        *[F.col(c).alias(f"{c}_score") for c in CATEGORIES], (F.col("toxic") >= chain.thresholds[-1]).alias("toxic"),
     )
 
 

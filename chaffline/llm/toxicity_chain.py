@@ -1,6 +1,7 @@
 """Toxicity categories by a classifier chain.
 
-Categories are predicted one after another by linear models over the words of a document; a later
+Categories are predicted one after another by linear models over the words of a document and their
+beginnings, which words of one stem share; a later
 model also sees the probabilities of the categories before it. In training those probabilities
 are out-of-fold: a document's come from models that were fitted without its fold, so a later
 model learns from predictions as good as those it will get. The models are fitted on a sample of
@@ -24,6 +25,8 @@ from chaffline.session import cut_lineage
 
 #: Labelled documents that the models are fitted on at most: those with the smallest hash of the id.
 MAX_ROWS = 20_000
+#: Lengths of the beginnings of longer words that count as words too, written with a star.
+BEGINNINGS = (4, 5)
 #: Words that the models know at most: those that depend most on a category in the sample.
 MAX_WORDS = 4096
 #: Chi-square a word must reach, and documents of the sample that must have it.
@@ -51,6 +54,19 @@ class Chain:
     categories: list[str]
     vocabulary: list[str]
     models: list[Linear] = field(default_factory=list)
+    #: Per category the probability from which on the out-of-fold predictions had the best F1.
+    thresholds: list[float] = field(default_factory=list)
+
+    def by_length(self) -> dict[int, tuple[pa.Array, np.ndarray]]:
+        """The known beginnings of each length, words under 0, with their columns."""
+        found: dict[int, list[tuple[str, int]]] = {n: [] for n in (0, *BEGINNINGS)}
+        for column, word in enumerate(self.vocabulary):
+            begun = word.endswith("*")
+            found[len(word) - 1 if begun else 0].append((word.removesuffix("*"), column))
+        return {
+            n: (pa.array([w for w, _ in own], pa.string()), np.array([c for _, c in own], np.int64))
+            for n, own in found.items()
+        }
 
     def probabilities(self, rows: np.ndarray, columns: np.ndarray, count: int) -> np.ndarray:
         """By document and category; a (row, column) pair says that a document has a known word."""
@@ -108,17 +124,35 @@ def fit_chain(
             logits = model.logits(rows, columns, count, before)
             out_of_fold[~inside, k] = np.clip(logits[~inside], -30, 30)
         chain.models.append(fit_linear(rows, columns, width, before, labels[:, k]))
+        chain.thresholds.append(best_threshold(_sigmoid(out_of_fold[:, k]), labels[:, k]))
     return chain
 
 
+def best_threshold(probabilities: np.ndarray, labels: np.ndarray) -> float:
+    """The threshold with the best F1, half-way to the next lower probability; 0.5 without positives."""
+    if not labels.sum():
+        return 0.5
+    order = np.argsort(-probabilities, kind="stable")
+    ranked = probabilities[order]
+    hits = np.cumsum(labels[order])
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    f1[:-1][ranked[1:] == ranked[:-1]] = -1.0  # equal probabilities are not told apart
+    best = int(f1.argmax())
+    return float((ranked[best] + (ranked[best + 1] if best + 1 < len(ranked) else 0.0)) / 2)
+
+
 def distinct_words(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The columns `keep` and `words`, the distinct words of `text` (null as empty)."""
+    """The columns `keep` and `words`, the distinct words and beginnings of `text` (null as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TEXT_BYTES):
             edges, words = words_of(texts_of(batch, "text"))
             plain = words.to_pylist()
-            lists = [list(dict.fromkeys(plain[a:b])) for a, b in zip(edges, edges[1:])]
+            lists = []
+            for a, b in zip(edges, edges[1:]):
+                own = set(plain[a:b])
+                begun = {w[:n] + "*" for n in BEGINNINGS for w in own if len(w) > n}
+                lists.append(sorted(own | begun))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(lists, pa.list_(pa.string()))], [*keep, "words"]
             )
@@ -165,7 +199,8 @@ def fit(labelled: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS
         .collect()
     )
     if not count:
-        return Chain(categories, [], [Linear(np.zeros(0), np.zeros(k), 0.0) for k in range(len(categories))])
+        models = [Linear(np.zeros(0), np.zeros(k), 0.0) for k in range(len(categories))]
+        return Chain(categories, [], models, [0.5] * len(categories))
 
     known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
     rows = sample.select(
@@ -193,15 +228,23 @@ def score(documents: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        vocabulary = pa.array(chain.vocabulary, pa.string())
+        known = chain.by_length()
         for batch in slices(batches, text, TEXT_BYTES):
             edges, words = words_of(texts_of(batch, text))
-            found = pc.index_in(words, value_set=vocabulary)
-            place = np.flatnonzero(np.asarray(found.is_valid()))
-            column = np.asarray(found.take(pa.array(place)), dtype=np.int64)
+            places, columns = [], []
+            for length, (names, numbers) in known.items():
+                asked = words
+                if length:
+                    long = np.flatnonzero(np.asarray(pc.utf8_length(words)) > length)
+                    asked = pc.utf8_slice_codeunits(words.take(pa.array(long)), 0, length)
+                found = pc.index_in(asked, value_set=names)
+                place = np.flatnonzero(np.asarray(found.is_valid()))
+                columns.append(numbers[np.asarray(found.take(pa.array(place)), dtype=np.int64)])
+                places.append(long[place] if length else place)
+            place, column = np.concatenate(places), np.concatenate(columns)
             row = np.searchsorted(edges, place, side="right") - 1
-            pair = np.unique(row * max(len(vocabulary), 1) + column)
-            row, column = np.divmod(pair, max(len(vocabulary), 1))
+            pair = np.unique(row * max(len(chain.vocabulary), 1) + column)
+            row, column = np.divmod(pair, max(len(chain.vocabulary), 1))
             found = chain.probabilities(row, column, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(doc_id), *(pa.array(found[:, k]) for k in range(len(chain.categories)))],

@@ -12,7 +12,7 @@ def brute_model(texts, order):
     """log P of the last character of a gram, straight from the definition."""
     counts = {order: Counter()}
     for text in texts:
-        text = "\0" * (order - 1) + text
+        text = "\2" * (order - 1) + text
         counts[order].update(text[i : i + order] for i in range(len(text) - order + 1))
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -40,7 +40,7 @@ def test_probabilities(spark, order):
     texts = {"x": ["abracadabra", "abc abd", "cab"], "y": ["zzyzx", "xyz xyzzy"]}
     rows = [(lang, t) for lang, own in texts.items() for t in own]
     model = language_id.fit_model(spark.createDataFrame(rows, "lang string, text string"), order)
-    grams = ["abra"[:order], "\0\0\0a"[-order:], "bcab"[:order], "qqqq"[:order], "yzzy"[-order:], "zabq"[-order:]]
+    grams = ["abra"[:order], "\2\2\2a"[-order:], "bcab"[:order], "qqqq"[:order], "yzzy"[-order:], "zabq"[-order:]]
     found = model.log_probabilities(grams)
     for i, lang in enumerate(model.languages):
         truth = brute_model(texts[lang], order)
@@ -49,14 +49,14 @@ def test_probabilities(spark, order):
 
 def test_probabilities_sum_to_one(spark):
     model = language_id.fit_model(spark.createDataFrame([("x", "abcabcabd"), ("x", "bad cab")], "lang string, text string"))
-    for context in ("ab", "ca", "qq", "\0\0"):
+    for context in ("ab", "ca", "qq", "\2\2"):
         every = model.log_probabilities([context + c for c in "abcd ?"])[:, 0]
         assert sum(map(math.exp, every)) == pytest.approx(1, rel=1e-4)
 
 
 def test_folding():
     codes, owner = language_id.folded(["Ab  1,c", "", "É"], 2)
-    assert codes.tolist() == [0, 0, *map(ord, "ab c"), 0, 0, 0, 0, ord("é")]
+    assert codes.tolist() == [2, 2, *map(ord, "ab c"), 2, 2, 2, 2, ord("é")]
     assert owner.tolist() == [0] * 6 + [1] * 2 + [2] * 3
 
 
