@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +18,51 @@ _ORDER = ["epoch", "step"]
 def forgetting_counts(log: DataFrame) -> DataFrame:
     """(seed, sample_id, forgetting, ever_learnt): correct-to-wrong steps in training order.
 
-    The log is first cut into range partitions of (seed, sample, epoch, step); a sample with a
-    large share of all rows then spans several of them. Steps are counted inside each segment
-    and the segments of a sample, few rows, are joined end to end.
+    The log is cut into sorted range partitions of (seed, sample, epoch, step), its only shuffle; a
+    sample with a large share of all rows then spans several of them. Each run of rows of a
+    sample in an Arrow batch becomes a segment, and the segments of a sample, few rows, are joined
+    end to end.
     """
-    segmented = log.select(*_KEYS, *_ORDER, "correct").repartitionByRange(*_KEYS, *_ORDER)
-    segmented = segmented.withColumn("_segment", F.spark_partition_id())
-    inside = Window.partitionBy(*_KEYS, "_segment").orderBy(*_ORDER)
-    place = F.struct(*_ORDER)
-    segments = (
-        segmented.withColumn("_fell", F.lag("correct").over(inside) > F.col("correct"))
-        .groupBy(*_KEYS, "_segment")
-        .agg(
-            F.min(place).alias("first_at"),
-            F.min(F.struct(place, "correct"))["correct"].alias("first_correct"),
-            F.max(F.struct(place, "correct"))["correct"].alias("last_correct"),
-            F.count_if("_fell").alias("falls"),
-            F.max("correct").alias("learnt"),
-        )
+    longs = [F.col(c).cast("long").alias(c) for c in (*_KEYS, *_ORDER)]
+    ordered = (
+        log.select(*longs, F.col("correct").cast("int").alias("correct"))
+        .repartitionByRange(*_KEYS, *_ORDER)
+        .sortWithinPartitions(*_KEYS, *_ORDER, "correct")
+    )
+    segments = ordered.mapInArrow(
+        _segments,
+        "seed long, sample_id long, first_at struct<epoch: long, step: long>, first_correct int, "
+        "last_correct int, falls long, learnt int",
     )
     return join_segments(segments)
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seed, sample, epoch, step, correct = (batch.column(i).to_numpy() for i in range(5))
+        new = np.ones(len(seed), bool)
+        new[1:] = (np.diff(seed) != 0) | (np.diff(sample) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(seed)) - 1
+        fell = np.zeros(len(seed), np.int64)
+        fell[1:] = (correct[1:] < correct[:-1]) & ~new[1:]
+        place = pa.StructArray.from_arrays([pa.array(epoch[first]), pa.array(step[first])], ["epoch", "step"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(seed[first]),
+                pa.array(sample[first]),
+                place,
+                pa.array(correct[first]),
+                pa.array(correct[last]),
+                pa.array(np.add.reduceat(fell, first)),
+                pa.array(np.maximum.reduceat(correct, first)),
+            ],
+            names=["seed", "sample_id", "first_at", "first_correct", "last_correct", "falls", "learnt"],
+        )
+
+
 def join_segments(segments: DataFrame) -> DataFrame:
     """Counts per (seed, sample) from its segments, which follow each other by `first_at`.
 

@@ -1,8 +1,10 @@
 """Forgetting counts over an arriving prediction log.
 
-State is kept per segment: a sample's steps of one epoch and one stretch of `SEGMENT_STEPS`
-steps. A step holds one row of a sample, so no segment grows beyond that, however many rows a
-sample has. Segments may arrive in any order; they are joined end to end when counts are read.
+A micro-batch is cut into pieces: the rows of a sample, epoch and stretch of `SEGMENT_STEPS` steps,
+as sorted steps with their outcomes. Pieces are written, nothing is held as state, so rows may
+arrive in any order and at any time and a stream may run for ever. When counts are read the
+pieces of a segment are merged exactly. Every `compact_every` batches the pieces written so far
+become one base, so the number of folders stays bounded.
 """
 
 from __future__ import annotations
@@ -11,65 +13,76 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chaffline.scorers.forgetting import join_segments
 
 SEGMENT_STEPS = 100_000
+COMPACT_EVERY = 32
 
 _KEY = ["seed", "sample_id", "epoch", "segment"]
-_STATE = (
-    "first_step long, last_step long, first_correct int, last_correct int, "
-    "falls long, learnt int, n_rows long, late long"
+# Steps are offsets inside the segment, 4 bytes each; outcomes are bits.
+_PIECE = "seed long, sample_id long, epoch long, segment long, n long, repeated long, steps binary, correct binary"
+_SEGMENT = (
+    "seed long, sample_id long, epoch long, first_step long, last_step long, first_correct int, "
+    "last_correct int, falls long, learnt int, n_rows long, repeated long"
 )
-_OUTPUT = f"seed long, sample_id long, epoch long, segment long, {_STATE}"
 
 
-def _extend(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState):
-    """Add a batch's rows, in step order, to a segment.
+def _pieces_of(rows: pa.Table) -> pa.Table:
+    steps = rows["step"].to_numpy()
+    correct = rows["correct"].to_numpy()
+    return _piece(rows, steps, correct, 0)
 
-    Rows at or before the last step seen are late: a transition cannot be undone, so they are
-    counted and left out.
-    """
-    rows = pd.concat([p[["step", "correct"]] for p in parts]).sort_values("step", kind="stable")
-    steps, correct = rows["step"].to_numpy(), rows["correct"].to_numpy()
-    if state.exists:
-        first_step, last_step, first, last, falls, learnt, n_rows, late = state.get
-        new = steps > last_step
-        late += int((~new).sum())
-        steps, correct = steps[new], correct[new]
-        before = np.concatenate([[last], correct])
-    else:
-        first_step, last_step, first, last = int(steps[0]), int(steps[0]), int(correct[0]), 0
-        falls = learnt = n_rows = late = 0
-        before = correct
-    if len(steps):
-        falls += int((np.diff(before) < 0).sum())
-        last_step, last = int(steps[-1]), int(correct[-1])
-        learnt = max(learnt, int(correct.max()))
-        n_rows += len(steps)
-    held = (first_step, last_step, first, last, falls, learnt, n_rows, late)
-    state.update(held)
-    yield pd.DataFrame([(*key, *held)], columns=[c.split()[0] for c in _OUTPUT.split(", ")])
-
-
-def forgetting_segments(log: DataFrame, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
-    """The changed segments of every micro-batch of a streaming log."""
+
+def _merge(pieces: pa.Table) -> pa.Table:
+    steps, correct = _unpack(pieces)
+    return _piece(pieces, steps, correct, int(np.sum(pieces["repeated"].to_numpy())))
+
+
+def _unpack(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    steps = [np.frombuffer(b, "<i4") for b in pieces["steps"].to_pylist()]
+    bits = [
+        np.unpackbits(np.frombuffer(b, np.uint8))[: len(s)]
+        for b, s in zip(pieces["correct"].to_pylist(), steps)
+    ]
+    return np.concatenate(steps), np.concatenate(bits)
+
+
+def _piece(keyed: pa.Table, steps: np.ndarray, correct: np.ndarray, repeated: int) -> pa.Table:
+    """One piece in step order. Of rows that repeat a step the wrong one counts, the rest are told."""
+    order = np.lexsort((correct, steps))
+    steps, correct = steps[order], correct[order]
+    new = np.concatenate(([True], np.diff(steps) != 0))
+    found = {k: keyed[k][:1] for k in _KEY}
+    found |= {
+        "n": pa.array([int(new.sum())], pa.int64()),
+        "repeated": pa.array([repeated + int((~new).sum())], pa.int64()),
+        "steps": pa.array([steps[new].astype("<i4").tobytes()], pa.binary()),
+        "correct": pa.array([np.packbits(correct[new].astype(bool)).tobytes()], pa.binary()),
+    }
+    return pa.table(found)
+
+
+def forgetting_pieces(log: DataFrame, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
+    """The pieces of a batch of the log: one row per segment that it touches."""
     keyed = log.select(
         F.col("seed").cast("long").alias("seed"),
         F.col("sample_id").cast("long").alias("sample_id"),
         F.col("epoch").cast("long").alias("epoch"),
         F.call_function("div", F.col("step"), F.lit(segment_steps)).alias("segment"),
-        F.col("step").cast("long").alias("step"),
+        F.pmod(F.col("step"), F.lit(segment_steps)).cast("int").alias("step"),
         F.col("correct").cast("int").alias("correct"),
     )
-    return keyed.groupBy(*_KEY).applyInPandasWithState(
-        _extend, _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    return keyed.groupBy(*_KEY).applyInArrow(_pieces_of, _PIECE)
+
+
+def merge_pieces(pieces: DataFrame) -> DataFrame:
+    """One piece per segment. A segment has at most one row per step, so a group stays bounded."""
+    return pieces.groupBy(*_KEY).applyInArrow(_merge, _PIECE)
 
 
 def start_forgetting(
@@ -77,44 +90,96 @@ def start_forgetting(
     folder: str,
     segment_steps: int = SEGMENT_STEPS,
     trigger: dict[str, Any] | None = None,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
-    """Run the operator; segments go to `folder`/segments, one directory per batch.
+    """Run the operator; pieces go to `folder`/pieces, one directory per batch.
 
-    A repeated batch replaces its own directory, so a restart does not count twice.
+    A repeated batch replaces its own directory, so a restart does not count twice. A base is
+    complete once it has its success mark; only then are the directories it holds removed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/segments/batch={batch_id}")
+        spark = batch.sparkSession
+        pieces = forgetting_pieces(batch, segment_steps)
+        pieces.write.mode("overwrite").parquet(f"{folder}/pieces/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            old = [p for p in _current(spark, folder) if not p.endswith(f"/base/upto={batch_id}")]
+            merged = merge_pieces(spark.read.schema(_PIECE).parquet(*old))
+            merged.write.mode("overwrite").parquet(f"{folder}/base/upto={batch_id}")
+            for path in old:
+                _path(spark, path)[1].delete(_path(spark, path)[0], True)
 
     return (
-        forgetting_segments(log, segment_steps)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        log.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def latest_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Each segment as of the last batch that changed it."""
-    written = spark.read.parquet(f"{folder}/segments")
-    values = [c for c in written.columns if c not in (*_KEY, "batch")]
-    return (
-        written.groupBy(*_KEY)
-        .agg(F.max_by(F.struct(*values), "batch").alias("_last"))
-        .select(*_KEY, "_last.*")
-    )
-
-
-def read_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _path(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _complete(spark: SparkSession, folder: str, kind: str) -> dict[int, str]:
+    """The written directories `kind`=number below a folder that have their success mark."""
+    path, files = _path(spark, folder)
+    if not files.exists(path):
+        return {}
+    found = {}
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        place = f"{folder}/{name}"
+        if name.startswith(f"{kind}=") and files.exists(_path(spark, f"{place}/_SUCCESS")[0]):
+            found[int(name.split("=")[1])] = place
+    return found
+
+
+def _current(spark: SparkSession, folder: str) -> list[str]:
+    """The newest base and the batches after it."""
+    bases = _complete(spark, f"{folder}/base", "upto")
+    newest = max(bases, default=-1)
+    batches = _complete(spark, f"{folder}/pieces", "batch")
+    return [p for b, p in bases.items() if b == newest] + [p for b, p in sorted(batches.items()) if b > newest]
+
+
+def _summaries(batches: Iterator[pa.RecordBatch], segment_steps: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _SEGMENT.split(", ")]
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            one = pa.Table.from_batches([batch.slice(i, 1)])
+            steps, correct = _unpack(one)
+            seed, sample, epoch, segment = (one[k][0].as_py() for k in _KEY)
+            base = segment * segment_steps
+            falls = int((np.diff(correct.astype(np.int8)) < 0).sum())
+            rows.append(
+                (seed, sample, epoch, base + int(steps[0]), base + int(steps[-1]), int(correct[0]))
+                + (int(correct[-1]), falls, int(correct.max()), len(steps), one["repeated"][0].as_py())
+            )
+        types = [pa.int32() if n in ("first_correct", "last_correct", "learnt") else pa.int64() for n in names]
+        columns = zip(*rows) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def latest_segments(spark: SparkSession, folder: str, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
+    """Each segment as of everything written so far."""
+    places = _current(spark, folder)
+    if not places:
+        return spark.createDataFrame([], _SEGMENT)
+    merged = merge_pieces(spark.read.schema(_PIECE).parquet(*places))
+    return merged.mapInArrow(lambda batches: _summaries(batches, segment_steps), _SEGMENT)
+
+
+def read_forgetting_counts(
+    spark: SparkSession, folder: str, segment_steps: int = SEGMENT_STEPS
+) -> DataFrame:
     """(seed, sample_id, forgetting, ever_learnt) over everything written so far."""
-    segments = latest_segments(spark, folder)
-    return join_segments(
-        segments.withColumn("first_at", F.struct("epoch", "first_step"))
-    )
+    segments = latest_segments(spark, folder, segment_steps)
+    return join_segments(segments.withColumn("first_at", F.struct("epoch", "first_step")))
 
 
-def late_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: how many rows came too late and were left out."""
-    return latest_segments(spark, folder).agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+def repeated_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: how many rows repeated a step that was there already."""
+    return latest_segments(spark, folder).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated"))

@@ -113,26 +113,44 @@ def test_sorted_curve(spark):
 
 
 @pytest.mark.parametrize("segment_steps", [7, S.SEGMENT_STEPS])
-def test_stream_equals_batch(spark, tmp_path, segment_steps):
+@pytest.mark.parametrize("order", [(0, 10, 20), (20, 10, 0), (10, 20, 0)])
+def test_stream_equals_batch_in_any_order(spark, tmp_path, segment_steps, order):
     draw = random.Random(2)
     sequences = {(s, i): [draw.randint(0, 1) for _ in range(30)] for s in range(2) for i in range(5)}
     log = log_of(spark, sequences)
     source, place = str(tmp_path / "log"), str(tmp_path / "out")
-    for start in (0, 10, 20):
+    for start in order:
         part = log.filter(F.col("step").between(start, start + 9))
         part.coalesce(1).write.mode("append").parquet(source)
-        # Each call takes up where the one before stopped.
+        # Each call takes up where the one before stopped; the second one finds a base.
         stream = spark.readStream.schema(LOG).parquet(source)
-        S.start_forgetting(stream, place, segment_steps).awaitTermination()
-    assert as_dict(S.read_forgetting_counts(spark, place)) == python_counts(sequences)
-    assert S.late_rows(spark, place).first().late == 0
+        S.start_forgetting(stream, place, segment_steps, compact_every=2).awaitTermination()
+    assert as_dict(S.read_forgetting_counts(spark, place, segment_steps)) == python_counts(sequences)
+    assert S.repeated_rows(spark, place).first().repeated == 0
+    assert [p.rsplit("/", 1)[1] for p in S._current(spark, place)] == ["upto=1", "batch=2"]
 
 
-def test_late_rows_are_counted_and_left_out(spark, tmp_path):
+def test_interleaved_late_rows_are_merged(spark, tmp_path):
+    """Eight rows of a sample in two files, the later steps first and some in between."""
     source, place = str(tmp_path / "log"), str(tmp_path / "out")
-    for rows in ([(0, 1, 0, 0, 1), (0, 1, 0, 4, 0)], [(0, 1, 0, 2, 0), (0, 1, 0, 5, 1), (0, 1, 0, 6, 0)]):
+    steps = [1, 0, 1, 0, 1, 0, 1, 0]
+    files = [[(0, 1, 0, i, steps[i]) for i in own] for own in ((1, 4, 5, 7), (0, 2, 3, 6))]
+    for rows in files:
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(LOG).parquet(source)
         S.start_forgetting(stream, place).awaitTermination()
-    assert as_dict(S.read_forgetting_counts(spark, place)) == {(0, 1): (2, True)}
-    assert S.late_rows(spark, place).first().late == 1
+    assert as_dict(S.read_forgetting_counts(spark, place)) == {(0, 1): (4, True)}
+
+
+def test_repeated_rows_are_told(spark, tmp_path):
+    source, place = str(tmp_path / "log"), str(tmp_path / "out")
+    for rows in ([(0, 1, 0, 0, 1), (0, 1, 0, 4, 0)], [(0, 1, 0, 4, 0), (0, 1, 0, 5, 1)]):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(LOG).parquet(source)
+        S.start_forgetting(stream, place).awaitTermination()
+    assert as_dict(S.read_forgetting_counts(spark, place)) == {(0, 1): (1, True)}
+    assert S.repeated_rows(spark, place).first().repeated == 1
+
+
+def test_nothing_written_yet(spark, tmp_path):
+    assert S.read_forgetting_counts(spark, str(tmp_path)).collect() == []
