@@ -20,9 +20,10 @@ def characters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
-def whole_chunks(text: Column, length: int) -> Column:
-    """Consecutive pieces of exactly `length` characters; a shorter tail is dropped."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{{length}}}"), F.lit(0))
+def pieces(text: Column, length: int, whole_only: bool = False) -> Column:
+    """Consecutive pieces of `length` characters, the last one shorter; dropped if `whole_only`."""
+    least = length if whole_only else 1
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{{least},{length}}}"), F.lit(0))
 
 
 def character_quality(text: Column) -> Column:

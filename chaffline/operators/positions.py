@@ -32,24 +32,43 @@ def with_position(
     `frame` narrow: it is shuffled once and checkpointed, because the cut points of a range
     partitioning are sampled and must not be drawn again between numbering and counting.
     """
+    placed = with_running_total(frame, order, None, name, within)
+    return placed
+
+
+def with_running_total(
+    frame: DataFrame,
+    order: Sequence[str | Column],
+    amount: str | None,
+    name: str,
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """Add the sum of `amount` over the rows before by `order`; without `amount`, their number.
+
+    The same steps as for positions: totals meet in a window per partition, never the rows.
+    """
     keys = [*within, *order]
     source = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    row = F.monotonically_increasing_id()
-    numbered = cut_lineage(
-        source.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_row", row)
-        .select(
-            *frame.columns,
-            F.shiftright("_row", _ROW_BITS).alias("_part"),
-            F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_at"),
+    cut = source.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    if amount is None:
+        # The row's number in its partition; a group's first number is taken off below.
+        own = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        numbered = cut.withColumn("_row", F.monotonically_increasing_id()).select(
+            *frame.columns, F.shiftright("_row", _ROW_BITS).alias("_part"), own.alias("_at")
         )
-    )
+    else:
+        inside = (
+            Window.partitionBy("_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        part = F.spark_partition_id().cast("long")
+        numbered = cut.withColumn("_part", part).withColumn(
+            "_at", F.coalesce(F.sum(amount).over(inside), F.lit(0))
+        )
+    numbered = cut_lineage(numbered)
     source.unpersist()
 
-    counts = numbered.groupBy("_part", *within).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
-    )
+    total = F.count(F.lit(1)) if amount is None else F.coalesce(F.sum(amount), F.lit(0))
+    counts = numbered.groupBy("_part", *within).agg(total.alias("_n"), F.min("_at").alias("_first"))
     before = (
         Window.partitionBy(*within)
         .orderBy("_part")

@@ -12,50 +12,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chaffline.functions.grams import Featurizer, hashed_grams
-from chaffline.functions.text import whole_chunks
-from chaffline.operators.positions import with_position
+from chaffline.functions.text import pieces
+from chaffline.operators.positions import with_running_total
 
-# Fixed value: tokens of a sample that are looked at.
-TOKEN_CAP = 512
+def chunk_texts(documents: DataFrame, block_size: int, whole_only: bool = False) -> DataFrame:
+    """(doc_id, chunk_idx, chunk): pieces of block_size + 1 characters, the last one shorter.
 
-
-def chunk_texts(documents: DataFrame, block_size: int) -> DataFrame:
-    """(doc_id, chunk_idx, chunk): pieces of block_size + 1 characters, the tail dropped.
-
-    Chunks never straddle two documents. One pass over each text, no shuffle.
+    Chunks never straddle two documents; an empty document has none. With `whole_only` the
+    shorter last pieces are left out. One pass over each text, no shuffle.
     """
     return documents.select(
         "doc_id",
-        F.posexplode(whole_chunks(F.col("text"), block_size + 1)).alias("chunk_idx", "chunk"),
+        F.posexplode(pieces(F.col("text"), block_size + 1, whole_only)).alias("chunk_idx", "chunk"),
     )
 
 
-def number_chunks(documents: DataFrame, block_size: int) -> DataFrame:
-    """(doc_id, chunk_idx, sample_id): the global position of each chunk.
+def chunk_starts(documents: DataFrame, block_size: int, whole_only: bool = False) -> DataFrame:
+    """(doc_id, first_sample): how many chunks the documents before have, one row per document."""
+    size = F.lit(block_size + 1)
+    count = F.call_function("div", F.length("text") + (0 if whole_only else block_size), size)
+    counted = documents.select("doc_id", F.coalesce(count, F.lit(0)).alias("_count"))
+    return with_running_total(counted, ["doc_id"], "_count", "first_sample").drop("_count")
+
+
+def numbered_chunks(documents: DataFrame, block_size: int, whole_only: bool = False) -> DataFrame:
+    """(sample_id, doc_id, chunk_idx, chunk): chunks with their global position.
 
-    Works on text lengths only, so the numbering shuffles no text.
+    The documents meet one offset each; chunks are cut afterwards and not shuffled.
     """
-    count = F.call_function("div", F.length("text"), F.lit(block_size + 1))
-    keys = (
-        documents.select("doc_id", count.cast("int").alias("_count"))
-        .filter("_count > 0")
-        .select("doc_id", F.explode(F.expr("sequence(0, _count - 1)")).alias("chunk_idx"))
+    started = documents.select("doc_id", "text").join(chunk_starts(documents, block_size, whole_only), "doc_id")
+    chunks = started.select(
+        "doc_id",
+        "first_sample",
+        F.posexplode(pieces(F.col("text"), block_size + 1, whole_only)).alias("chunk_idx", "chunk"),
     )
-    return with_position(keys, ["doc_id", "chunk_idx"], name="sample_id")
+    return chunks.select((F.col("first_sample") + F.col("chunk_idx")).alias("sample_id"), "doc_id", "chunk_idx", "chunk")
 
 
 def next_token_pairs(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Input and target of next-token prediction; the label is the first target token."""
+    """Input and target of next-token prediction; the label is the first target token.
+
+    A chunk of one token has an empty input, an empty target and no label.
+    """
     size = F.size(tokens)
     return chunks.select(
         *[c for c in chunks.columns if c != tokens],
         F.slice(tokens, F.lit(1), size - 1).alias("input"),
         F.slice(tokens, F.lit(2), size - 1).alias("target"),
-        F.element_at(tokens, 2).cast("long").alias("label"),
+        F.get(tokens, F.lit(1)).cast("long").alias("label"),
     )
 
 
-def cap_tokens(hidden: DataFrame, limit: int = TOKEN_CAP) -> DataFrame:
+def cap_tokens(hidden: DataFrame, limit: int) -> DataFrame:
     """The first `limit` tokens of every sample."""
     return hidden.filter(F.col("token_pos") < limit)
 

@@ -31,11 +31,10 @@ VOCABULARY_SQL = """vocabulary AS (
   FROM (SELECT DISTINCT ch FROM letters))"""
 CHUNKS_SQL = f"""chunks AS (
   SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, substr(text, i * {CHUNK} + 1, {CHUNK}) AS chunk
-  FROM (SELECT doc_id, text, unnest(range(length(text) // {CHUNK})) AS i FROM documents))"""
+  FROM (SELECT doc_id, text, unnest(range((length(text) + {BLOCK_SIZE}) // {CHUNK})) AS i FROM documents))"""
 CHUNK_LETTERS_SQL = f"""chunk_letters AS (
   SELECT doc_id, CAST((pos - 1) // {CHUNK} AS INTEGER) AS chunk_idx, (pos - 1) % {CHUNK} AS place, ch
-  FROM letters JOIN (SELECT doc_id, length(text) AS n FROM documents) USING (doc_id)
-  WHERE (pos - 1) // {CHUNK} < n // {CHUNK})"""
+  FROM letters)"""
 BIGRAMS_SQL = """pairs AS (
   SELECT a.doc_id, a.chunk_idx, a.place AS token_pos, a.ch AS context, b.ch AS next
   FROM chunk_letters a JOIN chunk_letters b
@@ -94,10 +93,7 @@ def decode_tokens(spark, folder):
 
 
 def chunk_text(spark, folder):
-    rows = documents(spark, folder)
-    return prep.chunk_texts(rows, BLOCK_SIZE).join(
-        prep.number_chunks(rows, BLOCK_SIZE), ["doc_id", "chunk_idx"]
-    )
+    return prep.numbered_chunks(documents(spark, folder), BLOCK_SIZE)
 
 
 def next_token_pairs(spark, folder):
@@ -121,10 +117,10 @@ def text_features(spark, folder):
     )
 
 
-def _model(spark, folder):
+def _model(spark, folder, chunks=None):
     """(chunks, counted model, codec); one fit of the vocabulary serves both."""
     rows = documents(spark, folder)
-    chunks = prep.chunk_texts(rows, BLOCK_SIZE)
+    chunks = prep.chunk_texts(rows, BLOCK_SIZE) if chunks is None else chunks
     codec = Codec.fit(rows)
     return chunks, model_outputs.fit_bigrams(chunks, codec.size), codec
 
@@ -132,13 +128,20 @@ def _model(spark, folder):
 def ngram_token_loss(spark, folder):
     """Losses of all tokens, summed up per chunk for output."""
     chunks, model, _ = _model(spark, folder)
-    losses = model_outputs.token_losses(chunks, model, ["doc_id", "chunk_idx"])
-    return losses.groupBy("doc_id", "chunk_idx").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.round(F.sum("loss"), 6).alias("total_loss"),
-        F.round(F.min("loss"), 6).alias("min_loss"),
-        F.round(F.max("loss"), 6).alias("max_loss"),
-        F.sum(F.when(F.col("loss") > 3, F.col("token_pos"))).alias("places_above_3"),
+    scored = model_outputs.chunk_token_losses(chunks, model, ["doc_id", "chunk_idx"])
+    above = F.filter(
+        F.transform("losses", lambda x, i: F.when(x > 3, i.cast("long"))), lambda i: i.isNotNull()
+    )
+    return scored.where(F.size("losses") > 0).select(
+        "doc_id",
+        "chunk_idx",
+        F.size("losses").cast("long").alias("n_tokens"),
+        F.round(F.aggregate("losses", F.lit(0.0), lambda acc, x: acc + x), 6).alias("total_loss"),
+        F.round(F.array_min("losses"), 6).alias("min_loss"),
+        F.round(F.array_max("losses"), 6).alias("max_loss"),
+        F.when(
+            F.size(above) > 0, F.aggregate(above, F.lit(0).cast("long"), lambda acc, i: acc + i)
+        ).alias("places_above_3"),
     )
 
 
@@ -146,11 +149,12 @@ def rank_perplexity(spark, folder):
     """Scores chunks by the mean loss of their tokens, labelled by their first target token."""
     rows = documents(spark, folder)
     chunks, model, codec = _model(spark, folder)
+    starts = prep.chunk_starts(rows, BLOCK_SIZE)
     means = model_outputs.chunk_losses(chunks, model, ["doc_id", "chunk_idx"])
-    numbered = means.join(prep.number_chunks(rows, BLOCK_SIZE), ["doc_id", "chunk_idx"])
     first = codec.token_of(F.col("first_target"))
+    sample = (F.col("first_sample") + F.col("chunk_idx")).alias("sample_id")
     return get_scorer("perplexity_filtering").score(
-        numbered.select("sample_id", "loss", "n", first.cast("long").alias("label"))
+        means.join(starts, "doc_id").select(sample, "loss", "n", first.cast("long").alias("label"))
     )
 
 
@@ -196,9 +200,10 @@ QUERIES = {
         f"""WITH {LETTERS_SQL}, {VOCABULARY_SQL}, {CHUNK_LETTERS_SQL},
         ids AS (SELECT * FROM chunk_letters JOIN vocabulary USING (ch))
         SELECT doc_id, chunk_idx, CAST(max(token_id) FILTER (place = 1) AS BIGINT) AS label,
-               string_agg(token_id, ',' ORDER BY place) FILTER (place < {BLOCK_SIZE}) AS input,
-               string_agg(token_id, ',' ORDER BY place) FILTER (place > 0) AS target
-        FROM ids GROUP BY doc_id, chunk_idx""",
+               coalesce(string_agg(token_id, ',' ORDER BY place) FILTER (place < last), '') AS input,
+               coalesce(string_agg(token_id, ',' ORDER BY place) FILTER (place > 0), '') AS target
+        FROM (SELECT *, max(place) OVER (PARTITION BY doc_id, chunk_idx) AS last FROM ids)
+        GROUP BY doc_id, chunk_idx""",
     ),
     "text_features": (
         text_features,

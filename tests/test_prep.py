@@ -43,28 +43,33 @@ def test_unknown_characters(spark):
     assert (row.blank, row.mark, row.clamped) == ("ac", "a?c", " A~")
 
 
-def test_chunks_drop_the_tail(spark):
+def test_chunks_keep_the_tail(spark):
     rows = frame(spark, ["abcdefg", "ab", "", "😀\n😀xyz"])
+    expected = [(0, 0, "abc"), (0, 1, "def"), (0, 2, "g"), (1, 0, "ab"), (3, 0, "😀\n😀"), (3, 1, "xyz")]
     found = prep.chunk_texts(rows, 2).orderBy("doc_id", "chunk_idx").collect()
-    assert [(r.doc_id, r.chunk_idx, r.chunk) for r in found] == [
-        (0, 0, "abc"),
-        (0, 1, "def"),
-        (3, 0, "😀\n😀"),
-        (3, 1, "xyz"),
-    ]
-    numbers = prep.number_chunks(rows, 2).orderBy("sample_id").collect()
-    assert [(r.doc_id, r.chunk_idx, r.sample_id) for r in numbers] == [
-        (0, 0, 0),
-        (0, 1, 1),
-        (3, 0, 2),
-        (3, 1, 3),
+    assert [(r.doc_id, r.chunk_idx, r.chunk) for r in found] == expected
+    whole = prep.chunk_texts(rows, 2, whole_only=True).orderBy("doc_id", "chunk_idx").collect()
+    assert [(r.doc_id, r.chunk_idx, r.chunk) for r in whole] == [e for e in expected if len(e[2]) == 3]
+    numbers = prep.numbered_chunks(rows, 2).orderBy("sample_id").collect()
+    assert [(r.sample_id, r.doc_id, r.chunk_idx, r.chunk) for r in numbers] == [
+        (i, *e) for i, e in enumerate(expected)
     ]
 
 
+def test_numbering_moves_no_chunk(spark):
+    rows = frame(spark, [f"{i} " * 30 for i in range(50)])
+    whole = prep.numbered_chunks(rows, 4).orderBy("sample_id").collect()
+    assert [r.sample_id for r in whole] == list(range(len(whole)))
+    assert [r.doc_id for r in whole] == sorted(r.doc_id for r in whole)
+
+
 def test_next_token_pairs(spark):
     rows = spark.createDataFrame([(1, [4, 5, 6])], "id long, tokens array<int>")
     row = prep.next_token_pairs(rows).first()
     assert (row.input, row.target, row.label) == ([4, 5], [5, 6], 5)
+    one = spark.createDataFrame([(1, [4])], "id long, tokens array<int>")
+    row = prep.next_token_pairs(one).first()
+    assert (row.input, row.target, row.label) == ([], [], None)
 
 
 def python_quality(text):
@@ -209,3 +214,32 @@ def test_counted_model_losses(spark):
     assert entropies["a"] == pytest.approx(-sum(x * math.log(x + 1e-10) for x in p))
     row = model_outputs.chunk_losses(chunks, model, ["doc_id"]).first()
     assert (row.n, row.first_target) == (4, ord("b")) and row.loss == pytest.approx(expected[0])
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_losses_of_a_large_model(spark, monkeypatch, limit):
+    """The joined path and the one with arrays give the same; the latter moves no row."""
+    import math
+    import random
+    from collections import Counter
+
+    draw = random.Random(1)
+    texts = ["".join(chr(draw.choice([97, 98, 0x4E00 + draw.randrange(30), 0x1F600])) for _ in range(draw.randrange(60))) for _ in range(40)]
+    monkeypatch.setattr(model_outputs, "MODEL_PAIRS", limit)
+    chunks = prep.chunk_texts(frame(spark, texts), 8)
+    model = model_outputs.fit_bigrams(chunks, 33)
+    pairs, contexts = Counter(), Counter()
+    pieces = {(i, j): t[9 * j : 9 * j + 9] for i, t in enumerate(texts) for j in range(-(-len(t) // 9))}
+    for piece in pieces.values():
+        for a, b in zip(piece, piece[1:]):
+            pairs[a, b] += 1
+            contexts[a] += 1
+    loss = lambda a, b: -math.log((pairs[a, b] + 1) / (contexts[a] + 33))
+    scored = model_outputs.chunk_token_losses(chunks, model, ["doc_id", "chunk_idx"])
+    found = {(r.doc_id, r.chunk_idx): r for r in scored.collect()}
+    assert set(found) == set(pieces)
+    for key, piece in pieces.items():
+        assert found[key].losses == pytest.approx([loss(a, b) for a, b in zip(piece, piece[1:])])
+        assert found[key].first_target == (ord(piece[1]) if len(piece) > 1 else None)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (limit == 0)
