@@ -25,10 +25,12 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def one_decimal(value: Column) -> Column:
     """`value` rounded to one decimal as printf does: on its exact binary value, ties to even.
 
+    NaN stays NaN.
+
     With m = floor(10 * value), 8 * value - m - 0.5 and the sum with 2 * value are exact in
     double arithmetic, so the sign tells on which side of the tie the value lies.
     """
     m = F.floor(value * 10).cast("double")
     side = (value * 8 - (m + 0.5)) + value * 2
     up = (side > 0) | ((side == 0) & (F.pmod(m, F.lit(2.0)) == 1))
-    return F.when(up, m + 1).otherwise(m) / 10
+    return F.when(F.isnan(value), value).otherwise(F.when(up, m + 1).otherwise(m) / 10)

@@ -305,12 +305,12 @@ DIRECTION_LINE = "Direction: %s"
 HIGHER = "higher is better"
 LOWER = "lower is better"
 METHOD_LINE = "--- %s ---"
-BASELINE_LINE = "  Baseline (100%% data): %.4f"
+BASELINE_LINE = "  Baseline (100%% data): %s"
 LAW_LINE = "  Scaling law: %s = %s * retention^%s + %s"
 R2_LINE = "  Scaling law R²: %s"
 BUDGETS_LINE = "  Performance at each budget:"
-BUDGET_LINE = "    %5.0f%% data → %.4f (%.1f%% of baseline, drop=%.1f%%)"
-SAFE_LINE = "  Most aggressive safe budget (<2%% drop): %.0f%% data (drop=%.1f%%)"
+BUDGET_LINE = "    %5.0f%% data → %s (%s%% of baseline, drop=%s%%)"
+SAFE_LINE = "  Most aggressive safe budget (<2%% drop): %.0f%% data (drop=%s%%)"
 NO_SAFE_LINE = "  No budget achieves <2% performance drop."
 BEST_HEADING = "--- Best Method per Budget ---"
 BEST_LINE = "  %.0f%% retention → %s"
@@ -325,6 +325,15 @@ def _number(pattern: str, value: Column) -> Column:
     return F.when(F.isnan(value), "nan").otherwise(F.format_string(pattern, value))
 
 
+def _short(value: Column) -> Column:
+    """A number with up to four decimals, without needless zeros behind the first."""
+    return F.regexp_replace(F.format_string("%.4f", value), r"(\.\d+?)0+$", "$1")
+
+
+def _percent(value: Column) -> Column:
+    return _number("%.1f", one_decimal(value))
+
+
 def conclusion_lines(curves: DataFrame, metric: Metric, fits: DataFrame | None = None) -> DataFrame:
     """(section, ordinal, line): the conclusions as text, to be read in that order."""
     # Written out, a few rows each: every part of the text reads them.
@@ -355,10 +364,10 @@ def conclusion_lines(curves: DataFrame, metric: Metric, fits: DataFrame | None =
         F.lit(metric.column),
         *[_number("%.4f", F.col(c)) for c in ("a", "b", "c")],
     )
-    r2 = F.when(F.isnan("r2"), "nan").otherwise(F.bround("r2", 4).cast("string"))
+    r2 = F.when(F.isnan("r2"), "nan").otherwise(_short(F.bround("r2", 4)))
     opening = F.array(
         F.format_string(METHOD_LINE, "_name"),
-        F.format_string(BASELINE_LINE, "baseline_value"),
+        F.format_string(BASELINE_LINE, _number("%.4f", F.col("baseline_value"))),
         law,
         F.format_string(R2_LINE, r2),
         F.lit(BUDGETS_LINE),
@@ -367,12 +376,12 @@ def conclusion_lines(curves: DataFrame, metric: Metric, fits: DataFrame | None =
     budget = F.format_string(
         BUDGET_LINE,
         "retention_pct",
-        "metric_value",
-        one_decimal(F.col("relative_pct")),
-        one_decimal(F.col("drop_pct")),
+        _number("%.4f", F.col("metric_value")),
+        _percent(F.col("relative_pct")),
+        _percent(F.col("drop_pct")),
     )
     safe = F.when(F.col("retention_pct").isNull(), NO_SAFE_LINE).otherwise(
-        F.format_string(SAFE_LINE, "retention_pct", one_decimal(F.col("drop_pct")))
+        F.format_string(SAFE_LINE, "retention_pct", _percent(F.col("drop_pct")))
     )
     best = best_method_per_budget(curves, metric)
     parts = [

@@ -34,10 +34,11 @@ ROWS_PER_FILE = 10_000_000
 EPOCH_METRICS = ("val_acc_epoch", "val_acc"), ("val_loss_epoch", "val_loss")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _holds_table(spark: SparkSession, path: str) -> bool:
+    """Is there a parquet file below `path`? An empty folder, left by a failed write, holds none."""
     try:
-        spark.read.format("binaryFile").load(path).isEmpty()
-        return True
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        return not files.select("path").isEmpty()
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return False
@@ -85,11 +86,13 @@ def read_rankings(spark: SparkSession, folder: str, method: str | None = None) -
 # Splits and subsets -------------------------------------------------------------------------
 
 def load_or_create_split(spark: SparkSession, path: str, create, seed: int) -> DataFrame:
-    """The stored split if there is one, whatever its seed; else `create(seed)`, stored."""
-    if not _exists(spark, path):
-        create(seed).withColumn("split_seed", F.lit(seed).cast("long")).write.mode(
-            "errorifexists"
-        ).parquet(path)
+    """The stored split if there is one, whatever its seed; else `create(seed)`, stored.
+
+    A folder without a parquet file is no stored split and is written anew.
+    """
+    if not _holds_table(spark, path):
+        made = create(seed).withColumn("split_seed", F.lit(seed).cast("long"))
+        made.write.mode("overwrite").parquet(path)
     return spark.read.schema(SPLIT_SCHEMA).parquet(path)
 
 
@@ -146,22 +149,29 @@ def save_run_table(runs: DataFrame, path: str) -> None:
 
 
 def read_epoch_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(run, epoch, val_acc, val_loss) from sparse metric files, under either column naming.
+    """(run, epoch, val_acc, val_loss) from sparse metric files, each under either column naming.
 
-    `run` is the file's path. A column is taken from the `_epoch` name where that exists. The
-    files of one call must share a header; another one is an error, not a shift of columns.
+    `run` is the file's path. Every file has its own header, so one folder may mix namings and
+    column orders. A column is taken from the `_epoch` name where a file has that.
     """
-    raw = spark.read.option("enforceSchema", False).csv(path, header=True)
-    columns = set(raw.columns)
-
-    def metric(*names: str):
-        present = [F.col(n).try_cast("double") for n in names if n in columns]
-        return present[0] if present else F.lit(None).cast("double")
-
-    return raw.select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("run"),
-        F.col("epoch").try_cast("long").alias("epoch"),
-        *[metric(*names).alias(names[-1]) for names in EPOCH_METRICS],
+        F.transform(F.split("value", ","), lambda cell: F.trim(F.translate(cell, '"\r', ""))).alias("cells"),
+    )
+    is_header = F.array_contains("cells", "epoch")
+    # One row per file. Files are alike in size, so no file is a hot key.
+    headers = lines.where(is_header).groupBy("run").agg(F.first("cells").alias("names"))
+    rows = lines.where(~is_header).join(headers, "run")
+
+    def cell(*names: str):
+        places = [F.array_position("names", n) for n in names]
+        place = F.coalesce(*[F.when(p > 0, p) for p in places])
+        return F.get("cells", place.cast("int") - 1)
+
+    return rows.select(
+        "run",
+        cell("epoch").try_cast("long").alias("epoch"),
+        *[cell(*names).try_cast("double").alias(names[-1]) for names in EPOCH_METRICS],
     )
 
 

@@ -264,3 +264,18 @@ def test_evaluation_of_large_logits(spark):
     row = metrics.evaluate_predictions(rows, "run").first()
     assert row.accuracy == pytest.approx(2 / 3)
     assert row.loss == pytest.approx((0 + 1000 + math.log(2)) / 3)
+
+
+def test_conclusions_of_a_zero_baseline(spark):
+    rows = curve(spark, [("a", 0, 0.0), ("a", 10, 0.5)])
+    lines = [r.line for r in C.conclusion_lines(rows, ACCURACY).orderBy("section", "ordinal").collect()]
+    assert "       90% data → 0.5000 (nan% of baseline, drop=nan%)" in lines
+    assert "  No budget achieves <2% performance drop." in lines
+
+
+@pytest.mark.parametrize("r2, text", [(0.0005, "0.0005"), (0.00004, "0.0"), (0.99871, "0.9987"), (0.5, "0.5"), (1.0, "1.0")])
+def test_r2_is_written_out(spark, r2, text):
+    rows = curve(spark, [("a", 0, 0.9), ("a", 10, 0.8)])
+    fits = C.fit_scaling_law(rows, ACCURACY).withColumns({c: F.lit(0.5) for c in "abc"}).withColumn("r2", F.lit(r2))
+    lines = [r.line for r in C.conclusion_lines(rows, ACCURACY, fits).collect()]
+    assert f"  Scaling law R²: {text}" in lines
