@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+# Nearest neighbours of a point that enter the correlation integral unless told otherwise.
+NEIGHBOURS = 50
 # Fixed values of the two measures.
 TINY = 1e-12
-MAX_NEIGHBOURS = 50
 RADII = 20
+ROWS_AT_ONCE = 512
 LOW_QUANTILE = 0.02
 HIGH_QUANTILE = 0.90
 MIN_POINTS = 5
@@ -22,30 +24,35 @@ def compress_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def singular_values(matrix: np.ndarray) -> np.ndarray:
-    rows, columns = matrix.shape
-    if rows < columns:
-        return np.sqrt(np.clip(np.linalg.eigvalsh(matrix @ matrix.T), 0.0, None))
-    return np.linalg.svd(matrix, compute_uv=False)
+    """Of a matrix or of its triangular factor, which has the same ones."""
+    return np.linalg.svd(compress_rows(matrix), compute_uv=False)
 
 
-def effective_rank(matrix: np.ndarray) -> float:
+def effective_rank(factor: np.ndarray) -> float:
     """exp of the entropy of the singular values scaled to sum 1; 1 for a zero matrix."""
-    sigma = singular_values(np.asarray(matrix, dtype=np.float64))
-    whole = sigma.sum()
-    if whole < TINY:
+    spectrum = singular_values(np.asarray(factor, dtype=np.float64))
+    if spectrum.sum() < TINY:
         return 1.0
-    share = sigma / whole
-    return float(np.exp(-(share * np.log(np.clip(share, TINY, None))).sum()))
+    weights = spectrum / spectrum.sum()
+    surprise = -np.log(np.maximum(weights, TINY))
+    return float(np.exp(weights @ surprise))
 
 
 def neighbour_distances(points: np.ndarray, k: int) -> np.ndarray:
-    """(n, k) Euclidean distances to the k nearest other points, ascending."""
+    """(n, k) Euclidean distances to the k nearest other points, ascending.
+
+    A block of rows is compared with all points at a time, so memory grows with n and not with n * n.
+    """
     centred = points - points.mean(axis=0)
     squares = (centred**2).sum(axis=1)
-    gaps = squares[:, None] + squares[None, :] - 2.0 * (centred @ centred.T)
-    np.fill_diagonal(gaps, np.inf)
-    nearest = np.sort(np.partition(gaps, k - 1, axis=1)[:, :k], axis=1)
-    return np.sqrt(np.clip(nearest, 0.0, None))
+    found = np.empty((len(points), k))
+    for start in range(0, len(points), ROWS_AT_ONCE):
+        rows = slice(start, start + ROWS_AT_ONCE)
+        gaps = squares[rows, None] + squares[None, :] - 2.0 * (centred[rows] @ centred.T)
+        own = np.arange(len(gaps))
+        gaps[own, start + own] = np.inf
+        found[rows] = np.sort(np.partition(gaps, k - 1, axis=1)[:, :k], axis=1)
+    return np.sqrt(np.clip(found, 0.0, None))
 
 
 def slope_of_middle(x: np.ndarray, y: np.ndarray) -> float:
@@ -57,13 +64,13 @@ def slope_of_middle(x: np.ndarray, y: np.ndarray) -> float:
     return float(dx @ (y - y.mean()) / (dx @ dx))
 
 
-def correlation_dimension(points: np.ndarray) -> float:
+def correlation_dimension(points: np.ndarray, neighbours: int = NEIGHBOURS) -> float:
     """Slope of the log correlation integral against the log radius."""
     cloud = np.asarray(points, dtype=np.float64)
     n = len(cloud)
     if n < MIN_POINTS:
         return DEFAULT_DIMENSION
-    distances = neighbour_distances(cloud, min(MAX_NEIGHBOURS, n - 1)).ravel()
+    distances = neighbour_distances(cloud, min(neighbours, n - 1)).ravel()
     low, high = np.quantile(distances, [LOW_QUANTILE, HIGH_QUANTILE])
     low = max(low, TINY)
     if high <= low:

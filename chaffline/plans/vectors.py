@@ -77,6 +77,11 @@ def scored(method, frame, labels=None):
     return query
 
 
+def inner_layers(spark, folder):
+    """Hidden states without the embedding layer, which is never scored."""
+    return prep.drop_embedding_layer(hidden_states(spark, folder))
+
+
 def effective_rank_layers(spark, folder):
     return spectral.effective_rank_layers(hidden_states(spark, folder)).withColumn(
         "effective_rank", F.round("effective_rank", 6)
@@ -141,7 +146,7 @@ CORR_INTEGRAL_SQL = f"""WITH {HIDDEN_STATES},
 rows_ AS (
   SELECT sample_id, layer, token_pos, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v,
          count(*) OVER (PARTITION BY sample_id, layer) AS n
-  FROM hidden_states),
+  FROM hidden_states WHERE layer >= 1),
 pairs AS (
   SELECT a.sample_id, a.layer, a.n, list_distance(a.v, b.v) AS d
   FROM rows_ a JOIN rows_ b
@@ -241,9 +246,9 @@ QUERIES = {
     ),
     "rank_intrinsic_dim": (scored("intrinsic_dimensionality_twonn", features), None),
     "effective_rank_layers": (effective_rank_layers, None),
-    "rank_effective_rank": (scored("effective_rank", hidden_states, hidden_labels), None),
+    "rank_effective_rank": (scored("effective_rank", inner_layers, hidden_labels), None),
     "rank_corr_integral": (
-        scored("corr_integral", hidden_states, hidden_labels),
+        scored("corr_integral", inner_layers, hidden_labels),
         CORR_INTEGRAL_SQL,
     ),
     "rank_entropy": (

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaffline.session import spread
 from chaffline.sources import corpus as source
 
+# Percentages of a corpus that are removed.
 BUDGETS = [0, 10, 20, 30, 50, 70, 90]
 BLOCK_SIZE = 128
 
@@ -88,6 +92,15 @@ def hidden_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LOGITS_WIDTH = 10
+
+
+def _folded(place: int) -> Column:
+    """The sum of a vector's 64 entries whose index is `place` modulo the number of logits."""
+    entries = [F.get("embedding", F.lit(i)).cast("double") for i in range(place, 64, LOGITS_WIDTH)]
+    return reduce(add, entries)
+
+
 def logits(spark: SparkSession, folder: str) -> DataFrame:
     vec = F.col("vec_id")
     return table(spark, folder, "embeddings").select(
@@ -95,14 +108,17 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
         (vec % 3).alias("run"),
         F.lit(0).alias("epoch"),
         F.col("label").cast("long").alias("label"),
-        F.slice("embedding", 1, 10).alias("logits"),
+        F.array(*[_folded(j) for j in range(LOGITS_WIDTH)]).alias("logits"),
     )
 
 
-LOGITS = """logits AS (
+FOLDED_SQL = ", ".join(
+    " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(j, 64, LOGITS_WIDTH)) for j in range(LOGITS_WIDTH)
+)
+LOGITS = f"""logits AS (
   SELECT vec_id, vec_id // 10 AS sample_id, vec_id % 3 AS run, 0 AS epoch,
          CAST(label AS BIGINT) AS label,
-         list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits
+         [{FOLDED_SQL}] AS logits
   FROM embeddings)"""
 
 

@@ -69,8 +69,10 @@ class Scorer:
         score = as_score(F.col("score")) if self.single_precision else F.col("score")
         computed = computed.withColumn("score", score)
         if "label" not in computed.columns:
-            found = frame.select("sample_id", "label").distinct() if labels is None else labels
-            computed = computed.join(found.select("sample_id", "label"), "sample_id", "left")
+            # One label per id, the smallest, so that no sample is ranked twice.
+            known = frame if labels is None else labels
+            found = known.groupBy("sample_id").agg(F.min("label").alias("label"))
+            computed = computed.join(found, "sample_id", "left")
         return computed.select(
             F.col("sample_id").cast("long").alias("sample_id"),
             F.col("label").cast("long").alias("label"),

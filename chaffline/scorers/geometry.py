@@ -112,8 +112,14 @@ def density_scores(features: DataFrame) -> DataFrame:
     return scores
 
 
-def correlation_dimension(features: DataFrame, column: str = "features") -> DataFrame:
-    """One row (dimension): correlation dimension of a whole table of points."""
+def correlation_dimension(
+    features: DataFrame, column: str = "features", neighbours: int = spectra.NEIGHBOURS
+) -> DataFrame:
+    """One row (dimension): correlation dimension of a whole table of points.
+
+    Each point's `neighbours` nearest ones enter the correlation integral, which is part of the
+    estimator.
+    """
     spark = features.sparkSession
     n = features.count()
 
@@ -122,7 +128,7 @@ def correlation_dimension(features: DataFrame, column: str = "features") -> Data
 
     if n < spectra.MIN_POINTS:
         return answer(spectra.DEFAULT_DIMENSION)
-    k = min(spectra.MAX_NEIGHBOURS, n - 1)
+    k = min(neighbours, n - 1)
     distances = nearest_distances(features, k, column).select(
         "sample_id", F.posexplode("distances").alias("_i", "distance")
     )

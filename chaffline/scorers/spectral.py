@@ -13,40 +13,64 @@ from chaffline.functions import spectra
 from chaffline.functions.arrays import as_matrix
 from chaffline.functions.keys import seeded_key
 
-# Points of a layer used for the correlation dimension, seed of the draw.
-MAX_POINTS = 500
+# Seed of the draw of points, where one is asked for.
 POINTS_SEED = 0
+# Rows of a layer's factors that meet in one group before they are reduced again.
+SALTS = 32
+
+# Values a partition gathers for all its layers at most before it gives their factors out.
+HELD_VALUES = 16 << 20
 
 _PART = "sample_id long, layer int, n_tokens long, vector array<double>"
 
 
 def _compress_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each layer's rows in a batch by fewer rows with the same singular values."""
+    """Replace each layer's rows in a partition by fewer rows with the same singular values.
+
+    A layer's rows gather until they are twice as many as its columns, then become their triangular
+    factor; so a layer leaves a partition with as many rows as its vectors have entries at most.
+    """
+    held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
     for batch in batches:
         samples = batch.column("sample_id").to_numpy()
         layers = batch.column("layer").to_numpy()
+        counts = batch.column("n_tokens").to_numpy()
         order = np.lexsort((layers, samples))
-        samples, layers = samples[order], layers[order]
+        samples, layers, counts = samples[order], layers[order], counts[order]
         new = np.flatnonzero((np.diff(samples) != 0) | (np.diff(layers) != 0)) + 1
         edges = np.concatenate([[0], new, [len(order)]]) if len(order) else np.zeros(1, int)
         matrix = as_matrix(batch.column("vector"))[order]
-        ids, which, counts, rows = [], [], [], []
         for start, stop in zip(edges[:-1], edges[1:]):
-            part = spectra.compress_rows(matrix[start:stop])
-            ids += [samples[start]] * len(part)
-            which += [layers[start]] * len(part)
-            # The first row carries the number of rows it stands for.
-            counts += [stop - start] + [0] * (len(part) - 1)
-            rows.extend(part)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(which, pa.int32()),
-                pa.array(counts, pa.int64()),
-                pa.array(rows, pa.list_(pa.float64())),
-            ],
-            names=["sample_id", "layer", "n_tokens", "vector"],
-        )
+            key = int(samples[start]), int(layers[start])
+            tokens, rows = held.pop(key, (0, matrix[:0]))
+            rows = np.concatenate([rows, matrix[start:stop]])
+            if len(rows) >= 2 * rows.shape[1]:
+                rows = spectra.compress_rows(rows)
+            held[key] = tokens + int(counts[start:stop].sum()), rows
+        if sum(rows.size for _, rows in held.values()) > HELD_VALUES:
+            yield _factors(held)
+            held = {}
+    yield _factors(held)
+
+
+def _factors(held: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    ids, which, counts, vectors = [], [], [], []
+    for (sample, layer), (tokens, rows) in held.items():
+        part = spectra.compress_rows(rows)
+        ids += [sample] * len(part)
+        which += [layer] * len(part)
+        # The first row carries the number of rows it stands for.
+        counts += [tokens] + [0] * (len(part) - 1)
+        vectors.extend(part)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids, pa.int64()),
+            pa.array(which, pa.int32()),
+            pa.array(counts, pa.int64()),
+            pa.array(vectors, pa.list_(pa.float64())),
+        ],
+        names=["sample_id", "layer", "n_tokens", "vector"],
+    )
 
 
 def _layer_rank(layer: pa.Table) -> pa.Table:
@@ -67,17 +91,22 @@ def _layer_rank(layer: pa.Table) -> pa.Table:
 def effective_rank_layers(hidden: DataFrame) -> DataFrame:
     """(sample_id, layer, n_tokens, effective_rank).
 
-    Long layers shrink before the shuffle: a batch of rows is replaced by the triangular factor
-    of its QR decomposition, which has as many rows as the vectors have entries.
+    Long layers shrink before the shuffle: a partition's rows of a layer are replaced by the
+    triangular factor of their QR decomposition, which has as many rows as the vectors have
+    entries. The factors of a layer then meet in two steps: those of some partitions first,
+    reduced again, then what is left of those.
     """
     rows = hidden.select(
         F.col("sample_id").cast("long").alias("sample_id"),
         F.col("layer").cast("int").alias("layer"),
+        F.lit(1).cast("long").alias("n_tokens"),
         F.col("vector").cast("array<double>").alias("vector"),
     )
+    parts = rows.mapInArrow(_compress_batches, _PART)
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    fewer = salted.repartition("sample_id", "layer", "_salt").drop("_salt").mapInArrow(_compress_batches, _PART)
     return (
-        rows.mapInArrow(_compress_batches, _PART)
-        .groupBy("sample_id", "layer")
+        fewer.groupBy("sample_id", "layer")
         .applyInArrow(
             _layer_rank, "sample_id long, layer int, n_tokens long, effective_rank double"
         )
@@ -93,39 +122,46 @@ def effective_rank_scores(hidden: DataFrame, digits: int = 9) -> DataFrame:
     )
 
 
-def _layer_dimension(layer: pa.Table) -> pa.Table:
-    points = as_matrix(layer.column("vector"))
-    usable = len(points) >= spectra.MIN_POINTS
-    return pa.table(
-        {
-            "sample_id": layer.column("sample_id")[: int(usable)],
-            "dimension": pa.array([spectra.correlation_dimension(points)] * usable, pa.float64()),
-        }
-    )
+def _layer_dimension(neighbours: int):
+    def dimension(layer: pa.Table) -> pa.Table:
+        points = as_matrix(layer.column("vector"))
+        usable = len(points) >= spectra.MIN_POINTS
+        found = [spectra.correlation_dimension(points, neighbours)] * usable
+        return pa.table(
+            {"sample_id": layer.column("sample_id")[: int(usable)], "dimension": pa.array(found, pa.float64())}
+        )
+
+    return dimension
 
 
 def correlation_scores(
-    hidden: DataFrame, max_points: int = MAX_POINTS, digits: int = 9
+    hidden: DataFrame,
+    max_points: int | None = None,
+    digits: int = 9,
+    neighbours: int = spectra.NEIGHBOURS,
 ) -> DataFrame:
     """Mean correlation dimension over the layers with enough points; 1 if there are none.
 
-    A seeded draw keeps at most `max_points` rows of a layer. Spark takes the draw per input
-    partition first, so a layer with very many rows reaches its group already cut.
+    All points of a layer count; `max_points` asks for a seeded draw of at most so many. Each
+    point's `neighbours` nearest ones enter the correlation integral, which is part of the
+    estimator.
     """
-    group = Window.partitionBy("sample_id", "layer")
-    key = seeded_key(POINTS_SEED, "sample_id", "layer", "token_pos")
-    drawn = (
-        hidden.withColumn("_key", key)
-        .withColumn("_draw", F.row_number().over(group.orderBy("_key", "token_pos")))
-        .filter(F.col("_draw") <= max_points)
-        .select(
-            F.col("sample_id").cast("long").alias("sample_id"),
-            "layer",
-            F.col("vector").cast("array<double>").alias("vector"),
+    rows = hidden
+    if max_points is not None:
+        group = Window.partitionBy("sample_id", "layer")
+        key = seeded_key(POINTS_SEED, "sample_id", "layer", "token_pos")
+        rows = (
+            hidden.withColumn("_key", key)
+            .withColumn("_draw", F.row_number().over(group.orderBy("_key", "token_pos")))
+            .filter(F.col("_draw") <= max_points)
         )
+    points = rows.select(
+        F.col("sample_id").cast("long").alias("sample_id"),
+        "layer",
+        F.col("vector").cast("array<double>").alias("vector"),
     )
-    dimensions = drawn.groupBy("sample_id", "layer").applyInArrow(
-        _layer_dimension, "sample_id long, dimension double"
+    dimensions = points.groupBy("sample_id", "layer").applyInArrow(
+        _layer_dimension(neighbours), "sample_id long, dimension double"
     )
     ids = hidden.select(F.col("sample_id").cast("long").alias("sample_id")).distinct()
     means = dimensions.groupBy("sample_id").agg(F.avg("dimension").alias("_mean"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 200_000
+# A table is dealt out to all cores only up to this size.
+SPREAD_BYTES = 256 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -47,13 +49,16 @@ def broadcast_if_small(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
 
 
 def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Hash `frame` over all cores if it comes in fewer partitions than there are cores.
+    """Hash `frame` over all cores if it is small and comes in fewer partitions than there are cores.
 
-    For a scan that feeds heavy work per row: a small table in one file would keep one core
-    busy. A large table has more partitions than that and is left as it is.
+    For a scan that feeds heavy work per row: a table in one file would keep one core busy. Only
+    tables of up to `SPREAD_BYTES` by Spark's own estimate are moved; a larger one is read in
+    splits of `spark.sql.files.maxPartitionBytes` and never shuffled for this.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size <= SPREAD_BYTES and frame.rdd.getNumPartitions() < cores
+    return frame.repartition(cores, key) if few else frame
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -123,3 +123,10 @@ def test_scores_are_single_precision(spark):
     row = get_scorer("heuristic_filtering").score(rows).first()
     exact = 0.4 * 2 / 5 + 0.3 * 5 / 5 + 0.15 * (1 - 1 / 5) + 0.15 * (1 - 1 / 5)
     assert row.score != exact and math.isclose(row.score, exact, rel_tol=1e-6)
+
+
+def test_one_label_per_sample(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, "d e")], "sample_id long, text string")
+    labels = spark.createDataFrame([(1, 5), (1, 3), (2, 7), (2, 7)], "sample_id long, label long")
+    ranked = get_scorer("heuristic_filtering").score(rows, labels).collect()
+    assert sorted((r.sample_id, r.label) for r in ranked) == [(1, 3), (2, 7)]

@@ -118,6 +118,27 @@ def test_correlation_scores_skip_short_layers(spark):
 
 def test_draw_keeps_the_same_points_each_time(spark):
     hidden = table(spark, [[np.random.default_rng(7).normal(size=(700, 2))]])
-    first, again = (spectral.correlation_scores(h).first().score for h in (hidden, hidden.repartition(5)))
-    assert first == again
-    assert first != spectral.correlation_scores(hidden, max_points=700).first().score
+    drawn = [spectral.correlation_scores(h, max_points=300).first().score for h in (hidden, hidden.repartition(5))]
+    assert drawn[0] == drawn[1]
+    assert drawn[0] != spectral.correlation_scores(hidden).first().score
+
+
+def test_all_points_of_a_long_layer_count(spark):
+    points = np.random.default_rng(8).normal(size=(2000, 3)).astype(np.float32)
+    found = spectral.correlation_scores(table(spark, [[points]])).first().score
+    assert found == pytest.approx(brute_dimension(points.astype(float)), rel=1e-6)
+
+
+def test_a_hot_layer_leaves_a_partition_as_one_factor(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(20_000, 6)).astype(np.float32)
+    import pandas as pd
+
+    frame = pd.DataFrame({"sample_id": 1, "layer": 1, "token_pos": np.arange(len(points)), "vector": list(points)})
+    hidden = spark.createDataFrame(frame, HIDDEN).repartition(4)
+    rows = hidden.selectExpr("sample_id", "layer", "1L AS n_tokens", "cast(vector as array<double>) AS vector")
+    parts = rows.mapInArrow(spectral._compress_batches, spectral._PART)
+    assert parts.count() <= 4 * 6
+    row = spectral.effective_rank_layers(hidden).first()
+    assert row.n_tokens == 20_000
+    assert row.effective_rank == pytest.approx(entropy_rank(points), rel=1e-6)
