@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chaffline.functions.arrays import as_matrix
 from chaffline.operators.curves import RUN_SCHEMA
 from chaffline.operators.subsets import retained_rows
+from chaffline.session import cut_lineage
 
 # Fixed value: smallest probability whose logarithm enters the loss.
 SMALLEST_PROBABILITY = 1e-12
 
 
-def gaussian_bayes(seed: int) -> Estimator:
-    """The default model: one pass over the rows, no state to seed."""
-    return NaiveBayes(modelType="gaussian")
+# Cumulated Poisson probabilities of mean 1; a seeded uniform number that passes k of
+# them gives a row the weight k in the bootstrap sample of a seed.
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
+# (cell, class) pairs whose parameters are sent to the tasks at most.
+GRID_CLASSES = 20_000
+# Part of the largest variance that is added to all of them.
+SMOOTHING = 1e-9
 
 
 def _as_ml(frame: DataFrame) -> DataFrame:
@@ -42,21 +51,133 @@ def _measure(model, frame: DataFrame) -> tuple[float, float]:
     return (nan if row[0] is None else row[0]), (nan if row[1] is None else row[1])
 
 
+def bootstrap_weight(seed: Column, sample_id: Column) -> Column:
+    """How often a seed's bootstrap sample has a row: Poisson of mean 1, by md5(seed|id)."""
+    digest = F.md5(F.concat_ws("|", seed.cast("string"), sample_id.cast("string")))
+    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return reduce(add, [(uniform >= p).cast("int") for p in POISSON])
+
+
+_CELL = ["method", "percent_removed", "seed"]
+
+
+def _bayes_grid(train, validation, subsets, seeds, test) -> DataFrame:
+    spark = train.sparkSession
+    width = train.agg(F.max(F.size("features"))).first()[0] or 0
+    members = (
+        subsets.select("method", "percent_removed", "sample_id")
+        .join(train.select("sample_id", "label", "features"), "sample_id")
+        .withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])))
+        .withColumn("w", bootstrap_weight(F.col("seed"), F.col("sample_id")).cast("double"))
+        .where("w > 0")
+    )
+    values = [F.get("features", F.lit(i)).cast("double") for i in range(width)]
+    # One row per cell and class: the cells of a grid times the classes.
+    params = cut_lineage(
+        members.groupBy(*_CELL, F.col("label").cast("long").alias("label")).agg(
+            F.sum("w").alias("n"),
+            F.array(*[F.sum(F.col("w") * v) for v in values]).alias("sums"),
+            F.array(*[F.sum(F.col("w") * v * v) for v in values]).alias("squares"),
+        )
+    )
+    if params.limit(GRID_CLASSES + 1).count() > GRID_CLASSES:
+        raise ValueError(f"more than {GRID_CLASSES} (cell, class) pairs: give an estimator instead")
+    shared = spark.sparkContext.broadcast(_cells(params.collect()))
+    measured = _measure_cells(validation, shared, "val")
+    if test is not None:
+        measured = measured.unionByName(_measure_cells(test, shared, "test"))
+    of = lambda kind, part: F.sum(F.when(F.col("kind") == kind, F.col(part)))
+    mean = lambda kind, part: F.coalesce(of(kind, part) / of(kind, "n"), F.lit(float("nan")))
+    found = measured.groupBy("cell").agg(
+        mean("val", "hits").alias("best_val_acc"),
+        mean("val", "loss").alias("best_val_loss"),
+        mean("test", "hits").alias("test_acc"),
+    )
+    names = spark.createDataFrame(
+        [(i, *cell) for i, cell in enumerate(shared.value[0])],
+        "cell int, method string, percent_removed int, seed long",
+    )
+    nan = F.lit(float("nan"))
+    return names.join(found, "cell", "left").select(
+        *_CELL, *[F.coalesce(c, nan).alias(c) for c in ("best_val_acc", "best_val_loss", "test_acc")]
+    )
+
+
+def _cells(rows: list) -> tuple[list, list]:
+    """Cells in order, and for each its classes, log priors, means and variances."""
+    by_cell: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: (*(r[c] for c in _CELL), r["label"])):
+        by_cell.setdefault(tuple(r[c] for c in _CELL), []).append(r)
+    models = []
+    for own in by_cell.values():
+        n = np.array([r["n"] for r in own])[:, None]
+        sums, squares = (np.array([r[c] for r in own], dtype=float) for c in ("sums", "squares"))
+        spread = squares.sum(0) / n.sum() - (sums.sum(0) / n.sum()) ** 2
+        variance = squares / n - (sums / n) ** 2 + SMOOTHING * spread.max(initial=0.0)
+        models.append((np.array([r["label"] for r in own]), np.log(n[:, 0] / n.sum()), sums / n, variance))
+    return list(by_cell), models
+
+
+def _measure_cells(frame: DataFrame, shared, kind: str) -> DataFrame:
+    """(cell, kind, n, hits, loss): sums over a partition's rows, for every cell."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value[1]
+        total = np.zeros((len(models), 3))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels, rows = np.asarray(batch.column("label")), as_matrix(batch.column("features"))
+            for i, (classes, prior, means, variance) in enumerate(models):
+                logs = np.stack(
+                    [
+                        p - 0.5 * ((rows - m) ** 2 / v + np.log(2 * np.pi * v)).sum(1)
+                        for p, m, v in zip(prior, means, variance)
+                    ],
+                    1,
+                )
+                top = logs.max(1, keepdims=True)
+                shares = np.exp(logs - top)
+                shares /= shares.sum(1, keepdims=True)
+                right = classes[None, :] == labels[:, None]
+                share = (shares * right).sum(1)
+                hits = classes[logs.argmax(1)] == labels
+                loss = -np.log(np.maximum(share, SMALLEST_PROBABILITY))
+                total[i] += (len(labels), hits.sum(), loss.sum())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(len(models)), pa.int32()),
+                pa.array([kind] * len(models), pa.string()),
+                *(pa.array(total[:, j]) for j in range(3)),
+            ],
+            names=["cell", "kind", "n", "hits", "loss"],
+        )
+
+    rows = frame.select(F.col("label").cast("long").alias("label"), F.col("features").cast("array<double>").alias("features"))
+    return rows.mapInArrow(measure, "cell int, kind string, n double, hits double, loss double")
+
+
 def evaluation_grid(
     train: DataFrame,
     validation: DataFrame,
     subsets: DataFrame,
     seeds: Sequence[int],
-    estimator: Callable[[int], Estimator] = gaussian_bayes,
+    estimator: Callable[[int], Estimator] | None = None,
     test: DataFrame | None = None,
     parallelism: int = 4,
 ) -> DataFrame:
     """Run results: a model fitted on each subset and measured on the validation rows.
 
     `train`, `validation` and `test` hold (sample_id, label, features), `subsets` what
-    `build_subsets` returns. Without test rows `test_acc` is NaN. The loop runs over the cells
-    of the grid, a few at a time; in each, Spark fits and measures, and two numbers come back.
+    `build_subsets` returns. Without test rows `test_acc` is NaN.
+
+    The default model is Gaussian naive Bayes, fitted for all cells at once: one aggregate over the
+    retained rows, in which every seed weighs them by its own bootstrap sample, and one pass
+    over the rows that are measured, however many cells there are. With an `estimator` (seed to
+    Spark ML estimator) the loop runs over the cells of the grid, a few at a time.
     """
+    if estimator is None:
+        return _bayes_grid(train, validation, subsets, seeds, test)
     rows = _as_ml(train).persist()
     held = _as_ml(validation).persist()
     final = _as_ml(test).persist() if test is not None else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chaffline.plans import analysis, flagship, ranking, text, vectors
+from chaffline.plans import analysis, flagship, ranking, roundtrips, text, vectors
 
 QUERIES = {
     **ranking.QUERIES,
@@ -10,4 +10,5 @@ QUERIES = {
     **vectors.QUERIES,
     **analysis.QUERIES,
     **flagship.QUERIES,
+    **roundtrips.QUERIES,
 }

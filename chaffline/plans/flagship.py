@@ -13,9 +13,11 @@ from chaffline.operators.curves import (
     aggregate_curves,
     best_method_per_budget,
 )
+from chaffline.operators.grid import POISSON as POISSON_SQL
 from chaffline.operators.grid import evaluation_grid
 from chaffline.operators.splits import VALIDATION, stratified_split
 from chaffline.operators.subsets import audit_subsets, build_subsets, retained_rows
+from chaffline.plans import analysis, ranking, text, vectors
 from chaffline.plans.analysis import COUNTS_SQL
 from chaffline.plans.ranking import QUALITY_SQL, STRATIFIED_SQL
 from chaffline.plans.views import SAMPLES, labelled_ids, prediction_log, sample_labels, texts
@@ -25,14 +27,14 @@ from chaffline.session import checkpoint_folder, cut_lineage
 from chaffline.streaming import forgetting as streaming
 
 GRID_BUDGETS = [0, 30, 70]
-GRID_SEEDS = [32]
+GRID_SEEDS = [32, 33]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    ranking = get_scorer("heuristic_filtering").score(
+    ranked = get_scorer("heuristic_filtering").score(
         texts(spark, folder), sample_labels(spark, folder)
     )
-    return audit_subsets(ranking, [30])
+    return audit_subsets(ranked, [30])
 
 
 def labelled_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,8 +54,8 @@ def grid_runs(spark: SparkSession, folder: str, methods: list[str]) -> DataFrame
     train, validation, train_texts = labelled_parts(spark, folder)
     labels = train.select("sample_id", "label")
     inputs = {"random": labels, "heuristic_filtering": train_texts, "semantic_dedup": train}
-    ranking = rank_together([get_scorer(m).scores(inputs[m], labels) for m in methods])
-    subsets = cut_lineage(build_subsets(ranking, GRID_BUDGETS))
+    ranked = rank_together([get_scorer(m).scores(inputs[m], labels) for m in methods])
+    subsets = cut_lineage(build_subsets(ranked, GRID_BUDGETS))
     return evaluation_grid(train, validation, subsets, GRID_SEEDS)
 
 
@@ -78,6 +80,21 @@ def streaming_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:
     return streaming.read_forgetting_counts(spark, place)
 
 
+STREAM_FILES = 6
+
+
+def streaming_forgetting_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The same log dealt into files whose steps interleave, one file a batch, the last steps first."""
+    place = f"{checkpoint_folder(spark)}/streaming-{uuid.uuid4().hex}"
+    log = prediction_log(spark.read.parquet(f"{folder}/events.parquet")).drop("ts")
+    for part in range(STREAM_FILES):
+        own = log.filter(F.pmod(F.xxhash64("step"), F.lit(STREAM_FILES)) == STREAM_FILES - 1 - part)
+        own.orderBy(F.desc("step")).write.mode("append").parquet(f"{place}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/log")
+    streaming.start_forgetting(stream, place, compact_every=4).awaitTermination()
+    return streaming.read_forgetting_counts(spark, place)
+
+
 FEATURES_SQL = """grams AS (
   SELECT doc_id AS sample_id,
          unnest(list_transform(range(1, length(text) - 1),
@@ -126,33 +143,57 @@ members AS (
   SELECT method, percent_removed, sample_id, label FROM (
     SELECT *, unnest({GRID_BUDGETS}) AS percent_removed FROM ranking, (SELECT count(*) AS n FROM train))
   JOIN train USING (sample_id) WHERE rank >= n * percent_removed // 100),
+drawn AS (
+  SELECT *, {' + '.join(f"CAST(u >= {p} AS INTEGER)" for p in POISSON_SQL)} AS w FROM (
+    SELECT *, ('0x' || substr(md5(concat_ws('|', seed, sample_id)), 1, 8))::BIGINT / 4294967296::DOUBLE AS u
+    FROM (SELECT *, CAST(unnest({GRID_SEEDS}) AS BIGINT) AS seed FROM members))),
 sums AS (
-  SELECT method, percent_removed, label, bucket, count(*) AS n, sum(x) AS s, sum(x * x) AS q
-  FROM members JOIN dense USING (sample_id) GROUP BY ALL),
+  SELECT method, percent_removed, seed, label, bucket, sum(w) AS n, sum(w * x) AS s, sum(w * x * x) AS q
+  FROM drawn JOIN dense USING (sample_id) WHERE w > 0 GROUP BY ALL),
 spread AS (
-  SELECT method, percent_removed, max(variance) * 1e-9::DOUBLE AS eps FROM (
-    SELECT method, percent_removed, sum(q) / sum(n) - pow(sum(s) / sum(n), 2) AS variance
-    FROM sums GROUP BY method, percent_removed, bucket) GROUP BY ALL),
+  SELECT method, percent_removed, seed, max(variance) * 1e-9::DOUBLE AS eps FROM (
+    SELECT method, percent_removed, seed, sum(q) / sum(n) - pow(sum(s) / sum(n), 2) AS variance
+    FROM sums GROUP BY method, percent_removed, seed, bucket) GROUP BY ALL),
 params AS (
-  SELECT method, percent_removed, label AS class, bucket, s / n AS mean,
+  SELECT method, percent_removed, seed, label AS class, bucket, s / n AS mean,
          q / n - pow(s / n, 2) + eps AS variance,
-         ln(n / CAST(sum(n) OVER (PARTITION BY method, percent_removed, bucket) AS DOUBLE)) AS prior
-  FROM sums JOIN spread USING (method, percent_removed)),
+         ln(n / CAST(sum(n) OVER (PARTITION BY method, percent_removed, seed, bucket) AS DOUBLE)) AS prior
+  FROM sums JOIN spread USING (method, percent_removed, seed)),
 likelihoods AS (
-  SELECT method, percent_removed, val.sample_id, val.label, class,
+  SELECT method, percent_removed, seed, val.sample_id, val.label, class,
          any_value(prior) - sum(pow(x - mean, 2) / variance + ln(2 * pi() * variance)) / 2 AS ll
   FROM val JOIN dense USING (sample_id) JOIN params USING (bucket) GROUP BY ALL),
 shares AS (
   SELECT *, exp(ll - max(ll) OVER w) / sum(exp(ll - top)) OVER w AS p,
          row_number() OVER (w ORDER BY ll DESC, class) AS place
-  FROM (SELECT *, max(ll) OVER (PARTITION BY method, percent_removed, sample_id) AS top FROM likelihoods)
-  WINDOW w AS (PARTITION BY method, percent_removed, sample_id)),
+  FROM (SELECT *, max(ll) OVER (PARTITION BY method, percent_removed, seed, sample_id) AS top FROM likelihoods)
+  WINDOW w AS (PARTITION BY method, percent_removed, seed, sample_id)),
 runs AS (
-  SELECT method, percent_removed, CAST({GRID_SEEDS[0]} AS BIGINT) AS seed,
+  SELECT method, percent_removed, seed,
          avg(CAST(class = label AS INTEGER)) FILTER (place = 1) AS best_val_acc,
          sum(-ln(greatest(p, 1e-12::DOUBLE))) FILTER (class = label)
            / (SELECT count(*) FROM val) AS best_val_loss
-  FROM shares GROUP BY method, percent_removed)"""
+  FROM shares GROUP BY method, percent_removed, seed)"""
+
+
+#: Every method with a table to feed it and SQL to check it, by its query; the last ranks from 1.
+RANKED = {
+    "heuristic_filtering": ranking.QUERIES["rank_heuristic"],
+    "random": ranking.QUERIES["rank_random"],
+    "perplexity_filtering": text.QUERIES["rank_perplexity"],
+    "llm_classifier": vectors.QUERIES["rank_entropy"],
+    "semantic_dedup": vectors.QUERIES["rank_semantic_dedup"],
+    "forgetting_events": analysis.QUERIES["rank_forgetting"],
+    "corr_integral": vectors.QUERIES["rank_corr_integral"],
+}
+
+
+def rank_every_method(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of all these methods ranked together, one-based where the method is."""
+    scores = [
+        query(spark, folder).select("sample_id", "label", "score", "method") for query, _ in RANKED.values()
+    ]
+    return rank_together(scores, {"corr_integral": 1})
 
 
 def rounded_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,6 +202,12 @@ def rounded_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "rank_every_method": (
+        rank_every_method,
+        " UNION ALL ".join(
+            f"SELECT sample_id, label, score, rank, method FROM ({sql})" for _, sql in RANKED.values()
+        ),
+    ),
     "evaluation_grid": (
         rounded_grid,
         f"""WITH {grid_sql(["random", "heuristic_filtering"])}
@@ -170,11 +217,17 @@ QUERIES = {
     "corpus_to_best_method": (
         corpus_to_best_method,
         f"""WITH {grid_sql(["random", "heuristic_filtering", "semantic_dedup"])}
-        SELECT percent_removed, method FROM runs WHERE percent_removed <> 0
+        SELECT percent_removed, method
+        FROM (SELECT method, percent_removed, avg(best_val_acc) AS best_val_acc FROM runs GROUP BY ALL)
+        WHERE percent_removed <> 0
         QUALIFY row_number() OVER (PARTITION BY percent_removed ORDER BY best_val_acc DESC, method) = 1""",
     ),
     "streaming_forgetting_counts": (
         streaming_forgetting_counts,
         f"WITH {COUNTS_SQL} SELECT * FROM counts",
     ),
+    "streaming_forgetting_late": (
+        streaming_forgetting_late,
+        f"WITH {COUNTS_SQL} SELECT * FROM counts",
+    ),
 }

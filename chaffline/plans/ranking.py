@@ -171,6 +171,32 @@ def preferred_ranking(spark, folder):
     return subsets.preferred_ranking(all_rankings(spark, folder))
 
 
+#: Lists of methods, some of them not among the preferred ones and one without a ranking.
+CONFIGURATIONS = {
+    "own first": ["own_b", "own_a"],
+    "preferred first": ["own_a", "random"],
+    "missing": ["perplexity_filtering", "own_a"],
+}
+
+
+def preferred_of_configured(spark, folder):
+    """The choice under several lists, over rankings of own and of preferred methods."""
+    both = all_rankings(spark, folder)
+    heuristic, random = (both.filter(F.col("method") == m) for m in ("heuristic_filtering", "random"))
+    named = (
+        heuristic.withColumn("method", F.lit("own_b"))
+        .unionByName(random.withColumn("method", F.lit("own_a")))
+        .unionByName(random)
+    )
+    chosen = [
+        subsets.preferred_ranking(named, methods).withColumn("configuration", F.lit(name))
+        for name, methods in CONFIGURATIONS.items()
+    ]
+    return chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).select(
+        "configuration", "method", "sample_id", "label", "score", "rank"
+    )
+
+
 def rank_summary(spark, folder):
     """The scores suffice, no rank is needed."""
     heuristic, random = all_scores(spark, folder)
@@ -278,4 +304,20 @@ QUERIES = {
         FROM samples LEFT JOIN known USING (sample_id)""",
     ),
     "preferred_ranking": (preferred_ranking, f"WITH {BOTH_SQL} SELECT * FROM heuristic"),
+    "preferred_of_configured": (
+        preferred_of_configured,
+        f"""WITH {BOTH_SQL},
+        named AS (
+          SELECT 'own_b' AS own, * FROM heuristic UNION ALL SELECT 'own_a', * FROM random_ranking
+          UNION ALL SELECT 'random', * FROM random_ranking),
+        priorities(configuration, own, place) AS (
+          VALUES ('own first', 'own_b', 1), ('own first', 'own_a', 2),
+                 ('preferred first', 'random', 1), ('preferred first', 'own_a', 2),
+                 ('missing', 'own_a', 2)),
+        best AS (
+          SELECT configuration, min(place) AS place FROM priorities SEMI JOIN named USING (own)
+          GROUP BY configuration)
+        SELECT configuration, own AS method, sample_id, label, score, rank
+        FROM best JOIN priorities USING (configuration, place) JOIN named USING (own)""",
+    ),
 }

@@ -135,13 +135,24 @@ def test_epoch_metrics_under_either_naming(spark, tmp_path, suffix):
     assert rows[0].run.endswith("metrics.csv")
 
 
-def test_epoch_metrics_without_accuracy_and_with_two_headers(spark, tmp_path):
+def test_epoch_metrics_of_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("epoch,val_loss\n0,0.5\n")
-    row = A.read_epoch_metrics(spark, str(tmp_path / "a.csv")).first()
-    assert (row.val_acc, row.val_loss) == (None, 0.5)
-    (tmp_path / "b.csv").write_text("val_acc,epoch\n0.5,0\n")
-    with pytest.raises(Exception):
-        A.read_epoch_metrics(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("val_acc,epoch\r\n0.25,7\r\n")
+    (tmp_path / "c.csv").write_text("step,val_acc_epoch,val_acc,epoch\n3,0.9,0.1,2\n4,,0.2,3\n")
+    rows = A.read_epoch_metrics(spark, str(tmp_path)).collect()
+    found = sorted((r.run[-5:], r.epoch, r.val_acc, r.val_loss) for r in rows)
+    assert found == [
+        ("a.csv", 0, None, 0.5), ("b.csv", 7, 0.25, None), ("c.csv", 2, 0.9, None), ("c.csv", 3, None, None)
+    ]
+
+
+def test_an_empty_folder_is_no_stored_split(spark, tmp_path):
+    ids = spark.range(100).withColumnRenamed("id", "sample_id")
+    (tmp_path / "split").mkdir()
+    made = A.load_or_create_split(spark, str(tmp_path / "split"), lambda seed: random_split(ids, 0.1, seed), 3)
+    assert made.count() == 100
+    again = A.load_or_create_split(spark, str(tmp_path / "split"), None, 4)
+    assert {r.split_seed for r in again.collect()} == {3}
 
 
 def test_curves_fits_and_conclusions_are_written(spark, tmp_path):
@@ -174,3 +185,21 @@ def test_grid_of_runs(spark):
         assert r.best_val_acc == 1.0 and r.best_val_loss < 0.1 and math.isnan(r.test_acc)
     tested = evaluation_grid(train, validation, subsets, [1], test=validation)
     assert {r.test_acc for r in tested.collect()} == {1.0}
+
+
+def test_seeds_of_the_grid_matter_and_estimators_are_looped_over(spark):
+    from pyspark.ml.classification import NaiveBayes
+
+    rows = spark.range(200).select(
+        F.col("id").alias("sample_id"),
+        (F.col("id") % 2).alias("label"),
+        F.array((F.col("id") % 2) + F.col("id") % 7 + 0.0, F.col("id") % 5 + 0.0).alias("features"),
+    )
+    train, validation = rows.filter("sample_id < 150"), rows.filter("sample_id >= 150")
+    subsets = build_subsets(ranking(spark, 150), [0, 50])
+    runs = evaluation_grid(train, validation, subsets, [1, 2, 3]).collect()
+    assert len({r.best_val_loss for r in runs if r.percent_removed == 0}) == 3
+    again = evaluation_grid(train, validation, subsets, [1, 2, 3]).collect()
+    assert sorted(map(str, runs)) == sorted(map(str, again))
+    looped = evaluation_grid(train, validation, subsets, [1, 2], lambda seed: NaiveBayes(modelType="gaussian"))
+    assert looped.count() == 4
