@@ -8,7 +8,7 @@ windows have equal anchors, so it is enough to bring the stretches of an anchor
 2. Each block sends the hashes of its anchors, sorted and once each, to buckets by hash. A bucket
    answers with a bit per anchor: does a second document have it? Most have not.
 3. Of the others each block sends its distinct stretches, once each, with the smallest and largest
-   document that has them. Stretches of an anchor that is in very many blocks are sent window by
+   document that has them. Stretches of an anchor that is met very often are sent window by
    window, dealt by the window itself, so a frequent line spreads over all buckets.
 4. A bucket sorts the suffixes of its stretches, computes common prefixes, and scans them with a
    stack into the tree of common-prefix intervals. An interval of at least `length` bytes whose
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chaffline.llm.arrays import binaries, ragged, raw, slices, texts_of
+from chaffline.llm.arrays import binaries, bounded, ragged, raw, slices, texts_of
 from chaffline.llm.store import attempt_name, new_folder, read_bytes, write_bytes
 from chaffline.session import cut_lineage
 
@@ -38,8 +38,12 @@ from chaffline.session import cut_lineage
 BLOCK_BYTES = 8 << 20
 #: Positions that are hashed at once.
 PART = 1 << 18
-#: Blocks that may hold an anchor before its stretches are sent window by window.
-FREQUENT_BLOCKS = 256
+#: Bytes of text whose anchors make a bucket on average.
+BUCKET_BYTES = 4 << 20
+#: Times an anchor may be met before its stretches are sent window by window.
+FREQUENT = 4096
+#: Suffixes that are sorted at once; the stretches of an anchor stay together.
+SUFFIXES = 1 << 16
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Stands for a null doc_id, which comes after all others.
@@ -115,10 +119,14 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
             values = values[:n] * power + values[width : width + n]
             power = np.uint64(int(power) ** 2 % (1 << 64))
             width *= 2
-    out = done[: max(len(data) - gram + 1, 0)]
-    out = (out ^ (out >> np.uint64(30))) * _MIX[1]
-    out = (out ^ (out >> np.uint64(27))) * _MIX[2]
-    return out ^ (out >> np.uint64(31))
+    return _mixed(done[: max(len(data) - gram + 1, 0)])
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit values."""
+    values = (values ^ (values >> np.uint64(30))) * _MIX[1]
+    values = (values ^ (values >> np.uint64(27))) * _MIX[2]
+    return values ^ (values >> np.uint64(31))
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -152,7 +160,8 @@ def stretches(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
         new = np.ones(len(starts), bool)
         new[1:] = (np.diff(anchor) != 0) | (np.diff(starts) != 1) | (np.diff(owner) != 0)
         first = np.flatnonzero(new)
-        parts.append((hashes[anchor[first]], starts[first], np.diff(first, append=len(starts)), owner[first]))
+        # Smallest hashes are small: mixed again, they are spread over all buckets alike.
+        parts.append((_mixed(hashes[anchor[first]]), starts[first], np.diff(first, append=len(starts)), owner[first]))
     if not parts:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -183,14 +192,14 @@ def _anchor_runs(length: int, buckets: int):
             for row in batch.to_pylist():
                 block = Block(read_bytes(row["path"]))
                 hashes, _, _, owner = stretches(block, length)
-                runs, twice = _distinct_anchors(hashes, owner, block.ids)
+                runs, twice, times = _distinct_anchors(hashes, owner, block.ids)
                 bucket = _bucket_of(runs, buckets)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 rows = [
                     {
                         "bucket": b, "block": row["block"], "path": row["path"], "n": int(y - x),
                         "hashes": _squeeze(np.diff(runs[x:y], prepend=np.uint64(0))),
-                        "twice": np.packbits(twice[x:y]).tobytes(),
+                        "twice": np.packbits(twice[x:y]).tobytes(), "times": _squeeze(times[x:y]),
                     }
                     for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x
                 ]
@@ -201,32 +210,37 @@ def _anchor_runs(length: int, buckets: int):
 
 _RUN = pa.schema(
     [("bucket", pa.int64()), ("block", pa.int64()), ("path", pa.string()), ("n", pa.int64())]
-    + [("hashes", pa.binary()), ("twice", pa.binary())]
+    + [("hashes", pa.binary()), ("twice", pa.binary()), ("times", pa.binary())]
 )
 
 
 def _distinct_anchors(hashes, owner, ids):
-    """Sorted distinct hashes, and whether two doc_ids of the block have them."""
+    """Sorted distinct hashes, whether two doc_ids of the block have them, and how often they occur."""
     order = np.argsort(hashes, kind="stable")
     hashes, docs = hashes[order], ids[owner[order]]
     first = np.flatnonzero(np.concatenate(([True], np.diff(hashes) != 0))) if len(hashes) else np.zeros(0, np.int64)
     if not len(first):
-        return hashes, np.zeros(0, bool)
-    return hashes[first], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+        return hashes, np.zeros(0, bool), np.zeros(0, np.uint32)
+    times = np.diff(first, append=len(hashes)).astype(np.uint32)
+    return hashes[first], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first), times
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
+def _answer_anchors(frequent: int):
     """For each run of a bucket: which anchors a second document has, and which are frequent."""
-    rows = table.to_pylist()
-    runs = [np.cumsum(_open(r["hashes"], np.uint64, r["n"]), dtype=np.uint64) for r in rows]
-    everything = np.concatenate(runs)
-    distinct, many = np.unique(everything, return_counts=True)
-    for r, run in zip(rows, runs):
-        count = many[np.searchsorted(distinct, run)]
-        own = np.unpackbits(np.frombuffer(r["twice"], np.uint8))[: r["n"]].astype(bool)
-        r["shared"] = np.packbits((count > 1) | own).tobytes()
-        r["frequent"] = np.packbits(count > FREQUENT_BLOCKS).tobytes()
-    return pa.Table.from_pylist(rows, _ANSWER)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        runs = [np.cumsum(_open(r["hashes"], np.uint64, r["n"]), dtype=np.uint64) for r in rows]
+        distinct, which, many = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+        times = np.bincount(which, weights=np.concatenate([_open(r["times"], np.uint32, r["n"]) for r in rows]))
+        for r, own_run in zip(rows, runs):
+            at = np.searchsorted(distinct, own_run)
+            own = np.unpackbits(np.frombuffer(r["twice"], np.uint8))[: r["n"]].astype(bool)
+            r["shared"] = np.packbits((many[at] > 1) | own).tobytes()
+            r["frequent"] = np.packbits(times[at] > frequent).tobytes()
+        return pa.Table.from_pylist(rows, _ANSWER)
+
+    return run
 
 
 _ANSWER = pa.schema(
@@ -243,7 +257,7 @@ def _items(block: Block, answers: list[dict], length: int, buckets: int):
     The same in every call: step 5 finds its stretches again by this order.
     """
     hashes, first, count, owner = stretches(block, length)
-    runs, _ = _distinct_anchors(hashes, owner, block.ids)
+    runs, _, _ = _distinct_anchors(hashes, owner, block.ids)
     shared, frequent = np.zeros(len(runs), bool), np.zeros(len(runs), bool)
     edges = np.searchsorted(_bucket_of(runs, buckets), np.arange(buckets + 1))
     for answer in answers:
@@ -260,8 +274,7 @@ def _items(block: Block, answers: list[dict], length: int, buckets: int):
         view = np.lib.stride_tricks.sliding_window_view(block.bytes, length)[windows]
         weights = np.cumprod(np.full(length, _MIX[0]), dtype=np.uint64)
         own = (view.astype(np.uint64) + np.uint64(1)) @ weights
-        own = (own ^ (own >> np.uint64(29))) * _MIX[1]
-        hashes = np.concatenate((hashes[~wide], own ^ (own >> np.uint64(32))))
+        hashes = np.concatenate((hashes[~wide], _mixed(own)))
         owner = np.concatenate((owner[~wide], np.repeat(owner[wide], count[wide])))
         first = np.concatenate((first[~wide], windows))
         count = np.concatenate((count[~wide], np.ones(len(windows), np.int64)))
@@ -369,47 +382,52 @@ def interval_tree(prefix: np.ndarray, left: np.ndarray, least: np.ndarray, lengt
     return found
 
 
-def _repeats(words: np.ndarray, size: np.ndarray, group: np.ndarray, least: np.ndarray, length: int):
+def _repeats(words, size, group, least, length: int, at_once: int):
     """Answers (row, start, length, smallest document) for distinct stretches sorted by group."""
     edges = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0, [True])))
     many = np.diff(edges)
     rows = np.arange(len(size))
     # A stretch that several documents have is a repeat as a whole, whatever else its anchor has.
     answers = [(rows, np.zeros(len(rows), np.int64), size, least)]
-    rest = np.flatnonzero(np.repeat(many > 1, many))
-    if len(rest):
-        data = words.astype(">u8").view(np.uint8).reshape(len(words), -1)
-        count = size[rest] - length + 1
-        row, start = np.repeat(rest, count), ragged(np.zeros(len(rest), np.int64), count)
-        width = data.shape[1]
-        wide = np.concatenate((data, np.zeros((len(data), width), np.uint8)), 1)
-        at = row.astype(np.int64) * (2 * width) + start
-        suffix = np.lib.stride_tricks.sliding_window_view(wide.ravel(), width)[at]
-        keys = np.ascontiguousarray(suffix).view(">u8").astype(np.uint64)
-        left_size = size[row] - start
-        order = np.lexsort((left_size, *keys.T[::-1], group[row]))
-        row, start, keys, left_size = row[order], start[order], keys[order], left_size[order]
-        text = keys.astype(">u8").view(np.uint8).reshape(len(keys), -1)
-        prefix = np.zeros(len(row), np.int64)
-        differ = text[1:] != text[:-1]
-        common = np.where(differ.any(1), differ.argmax(1), width)
-        common = np.minimum(common, np.minimum(left_size[1:], left_size[:-1]))
-        prefix[1:] = np.where(group[row[1:]] == group[row[:-1]], common, 0)
-        prefix[prefix < length] = 0
-        left = np.where(start > 0, data[row, np.maximum(start - 1, 0)].astype(np.int64), -1 - row)
-        # Suffixes that share nothing long enough with a neighbour are their own only occurrence.
-        near = (prefix > 0) | (np.append(prefix[1:], 0) > 0)
-        place = np.flatnonzero(near)
-        found = interval_tree(prefix[place], left[place], least[row[place]], length)
-        if found:
-            depth, first, last, doc = (np.array(x, np.int64) for x in zip(*found))
-            inside = place[ragged(first, last - first + 1)]
-            repeat = np.repeat(np.arange(len(depth)), last - first + 1)
-            answers.append((row[inside], start[inside], depth[repeat], doc[repeat]))
+    # Anchors with several stretches, so many at a time that their suffixes stay few.
+    several = np.flatnonzero(many > 1)
+    suffixes = np.add.reduceat(size - length + 1, edges[:-1])[several]
+    for x, y in bounded(suffixes.tolist(), at_once):
+        rest = ragged(edges[several[x:y]], many[several[x:y]])
+        answers.append(_suffix_repeats(words[rest], size[rest], group[rest], least[rest], length, rest))
     return tuple(np.concatenate(x) for x in zip(*answers))
 
 
-def _answer_items(length: int):
+def _suffix_repeats(words, size, group, least, length: int, names: np.ndarray):
+    """The maximal repeats among the suffixes of stretches, as answers for the rows `names`."""
+    data = words.astype(">u8").view(np.uint8).reshape(len(words), -1)
+    width = data.shape[1]
+    count = size - length + 1
+    row, start = np.repeat(np.arange(len(size)), count), ragged(np.zeros(len(size), np.int64), count)
+    wide = np.concatenate((data, np.zeros_like(data)), 1).ravel()
+    suffix = np.lib.stride_tricks.sliding_window_view(wide, width)[row * (2 * width) + start]
+    keys = np.ascontiguousarray(suffix).view(">u8").astype(np.uint64)
+    left_size = size[row] - start
+    order = np.lexsort((left_size, *keys.T[::-1], group[row]))
+    row, start, left_size = row[order], start[order], left_size[order]
+    text = np.ascontiguousarray(suffix[order])
+    differ = text[1:] != text[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), width)
+    common = np.minimum(common, np.minimum(left_size[1:], left_size[:-1]))
+    prefix = np.zeros(len(row), np.int64)
+    prefix[1:] = np.where(group[row[1:]] == group[row[:-1]], common, 0)
+    prefix[prefix < length] = 0
+    left = np.where(start > 0, data[row, np.maximum(start - 1, 0)].astype(np.int64), -1 - row)
+    # Suffixes that share nothing long enough with a neighbour are their own only occurrence.
+    place = np.flatnonzero((prefix > 0) | (np.append(prefix[1:], 0) > 0))
+    found = interval_tree(prefix[place], left[place], least[row[place]], length)
+    depth, first, last, doc = np.array(found, np.int64).reshape(-1, 4).T
+    many = last - first + 1
+    inside, repeat = place[ragged(first, many)], np.repeat(np.arange(len(depth)), many)
+    return names[row[inside]], start[inside], depth[repeat], doc[repeat]
+
+
+def _answer_items(length: int, at_once: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         anchors = np.concatenate([_open(r["anchors"], np.uint64, r["n"]) for r in rows])
@@ -432,7 +450,7 @@ def _answer_items(length: int):
         text = np.empty(len(order), np.int64)
         text[order] = np.cumsum(new) - 1
         doc = np.minimum.reduceat(least[order], heads)
-        row, start, depth, smallest = _repeats(words[one], sizes[one], anchors[one], doc, length)
+        row, start, depth, smallest = _repeats(words[one], sizes[one], anchors[one], doc, length, at_once)
 
         # Each stretch sent gets the answers of its text that name a smaller document than its largest.
         sort = np.argsort(row, kind="stable")
@@ -537,14 +555,20 @@ def _finish(length: int, buckets: int):
 
 
 def remove_repeats(
-    documents: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    length: int = 50,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    frequent: int = FREQUENT,
+    suffixes: int = SUFFIXES,
 ) -> DataFrame:
     """Documents without the passages that a document of a smaller doc_id has too.
 
     A byte goes if it lies in a string of `length` bytes that also starts in a document with a
     smaller doc_id, all judged on the input. One row per document: doc_id, n_bytes, spans (start,
     end of the removed runs) and kept, the bytes that stay. Texts are UTF-8 bytes; matches never
-    cross documents, and what stays may cut a character.
+    cross documents, and what stays may cut a character. `frequent` and `suffixes` only say how the
+    work is dealt out (see FREQUENT and SUFFIXES).
 
     doc_id is an integer; rows that repeat one are the same document, so a passage within them is
     no repeat. Null texts are empty. Rows without a doc_id count as one document after all others. Texts shorter
@@ -553,15 +577,16 @@ def remove_repeats(
     spark = documents.sparkSession
     manifest = _write_blocks(documents, new_folder(spark, "blocks"), doc_id, text)
     total = manifest.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES, 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES, 1)
 
     # One block is a whole task's work: a row of the manifest, dealt out evenly.
-    files = manifest.repartition(max(1, manifest.count()))
+    blocks = max(1, manifest.count())
+    files = manifest.repartition(blocks)
     runs = files.mapInArrow(
-        _anchor_runs(length, buckets), "bucket long, block long, path string, n long, hashes binary, twice binary"
+        _anchor_runs(length, buckets), "bucket long, block long, path string, n long, hashes binary, twice binary, times binary"
     )
     answers = runs.groupBy("bucket").applyInArrow(
-        _answer_anchors, "bucket long, block long, path string, n long, shared binary, frequent binary"
+        _answer_anchors(frequent), "bucket long, block long, path string, n long, shared binary, frequent binary"
     )
     # Per block one answer of each bucket, a few bits for each of its anchors.
     per_block = cut_lineage(
@@ -569,13 +594,13 @@ def remove_repeats(
             F.collect_list(F.struct("bucket", "n", "shared", "frequent")).alias("answers")
         )
     )
-    items = per_block.mapInArrow(
+    items = per_block.repartition(blocks).mapInArrow(
         _send_items(length, buckets),
         "bucket long, block long, path string, n long, anchors binary, sizes binary, bytes long, data binary,"
         " least binary, most binary",
     )
     spans = items.groupBy("bucket").applyInArrow(
-        _answer_items(length),
+        _answer_items(length, suffixes),
         "bucket long, block long, path string, n long, items binary, starts binary, lengths binary, docs binary",
     )
     found = cut_lineage(
@@ -585,6 +610,7 @@ def remove_repeats(
     return (
         manifest.select("block", "path")
         .join(known, "block", "left")
+        .repartition(blocks)
         .mapInArrow(
             _finish(length, buckets),
             T.StructType(

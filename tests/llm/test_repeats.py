@@ -29,8 +29,8 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def found(frame, length):
-    rows = repeats.remove_repeats(frame, length).collect()
+def found(frame, length, **dealt):
+    rows = repeats.remove_repeats(frame, length, **dealt).collect()
     return sorted(((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in rows), key=str)
 
 
@@ -39,8 +39,8 @@ def test_odd_documents(odd_documents, odd_rows, length):
     assert found(odd_documents, length) == brute(odd_rows, length)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_mutated_copies_and_periods(spark, seed):
+@pytest.mark.parametrize("seed, frequent, suffixes", [(0, 4096, 1 << 16), (1, 3, 1 << 16), (2, 4096, 40), (3, 1, 40)])
+def test_mutated_copies_and_periods(spark, seed, frequent, suffixes):
     rng = random.Random(seed)
     base = ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(4)]
     rows = []
@@ -51,8 +51,9 @@ def test_mutated_copies_and_periods(spark, seed):
             text = text[:at] + rng.choice(["x", "", "é", "ab" * 40]) + text[at + rng.randrange(3) :]
         rows.append((rng.randrange(60), text))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert found(frame, 50) == brute(rows, 50)
-    assert found(frame, 24) == brute(rows, 24)
+    dealt = {"frequent": frequent, "suffixes": suffixes}
+    assert found(frame, 50, **dealt) == brute(rows, 50)
+    assert found(frame, 24, **dealt) == brute(rows, 24)
 
 
 def test_documents_against_brute_force(spark):
@@ -65,17 +66,13 @@ def test_documents_against_brute_force(spark):
 
 
 def test_frequent_anchors_are_dealt_by_window(odd_documents, odd_rows):
-    from pathlib import Path
-
-    import pyarrow as pa
-
     block = repeats.Block.__new__(repeats.Block)
     texts = [(t or "").encode() for _, t in odd_rows]
     block.ids = np.arange(len(texts))
     block.edges = np.concatenate(([0], np.cumsum(list(map(len, texts)))))
     block.bytes = np.frombuffer(b"".join(texts), np.uint8)
     hashes, first, count, owner = repeats.stretches(block, 50)
-    runs, _ = repeats._distinct_anchors(hashes, owner, block.ids)
+    runs, _, _ = repeats._distinct_anchors(hashes, owner, block.ids)
     every = np.packbits(np.ones(len(runs), bool)).tobytes()
     answers = [{"bucket": 0, "n": len(runs), "shared": every, "frequent": every}]
     _, own, start, many, _ = repeats._items(block, answers, 50, 1)
@@ -83,7 +80,6 @@ def test_frequent_anchors_are_dealt_by_window(odd_documents, odd_rows):
     windows = {}
     for h, s in zip(own.tolist(), start.tolist()):
         assert windows.setdefault(h, block.bytes[s : s + 50].tobytes()) == block.bytes[s : s + 50].tobytes()
-    assert Path and pa
 
 
 def test_interval_tree_gives_maximal_repeats():
