@@ -35,11 +35,11 @@ from chaffline.llm.store import attempt_name, new_folder, read_bytes, write_byte
 from chaffline.session import cut_lineage
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Positions that are hashed at once.
 PART = 1 << 18
 #: Bytes of text whose anchors make a bucket on average.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 6 << 20
 #: Times an anchor may be met before its stretches are sent window by window.
 FREQUENT = 4096
 #: Suffixes that are sorted at once; the stretches of an anchor stay together.
@@ -421,10 +421,18 @@ def _suffix_repeats(words, size, group, least, length: int, names: np.ndarray):
     # Suffixes that share nothing long enough with a neighbour are their own only occurrence.
     place = np.flatnonzero((prefix > 0) | (np.append(prefix[1:], 0) > 0))
     found = interval_tree(prefix[place], left[place], least[row[place]], length)
-    depth, first, last, doc = np.array(found, np.int64).reshape(-1, 4).T
-    many = last - first + 1
-    inside, repeat = place[ragged(first, many)], np.repeat(np.arange(len(depth)), many)
-    return names[row[inside]], start[inside], depth[repeat], doc[repeat]
+    # Intervals come after those inside them. To a suffix that a longer one gave the same document
+    # a shorter one says nothing new, so nested intervals of many copies stay few answers.
+    told = np.full(len(place), -1, np.int64)
+    parts, sizes = [], []
+    for _, first, last, doc in found:
+        new = np.flatnonzero(told[first : last + 1] != doc) + first
+        told[new] = doc
+        parts.append(new)
+        sizes.append(len(new))
+    inside = place[np.concatenate(parts)] if parts else place[:0]
+    depth, _, _, doc = np.repeat(np.array(found, np.int64).reshape(-1, 4), sizes, 0).T
+    return names[row[inside]], start[inside], depth, doc
 
 
 def _answer_items(length: int, at_once: int):
@@ -512,7 +520,7 @@ def _covered(block: Block, answers: list[dict], spans: list[dict], length: int,
             begin = first[own] + start[which]
             np.add.at(change, begin, 1)
             np.add.at(change, begin + size[which], -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def _finish(length: int, buckets: int):
@@ -522,7 +530,7 @@ def _finish(length: int, buckets: int):
                 block = Block(read_bytes(row["path"]))
                 covered = _covered(block, row["answers"] or [], row["spans"] or [], length, buckets)
                 sizes = np.diff(block.edges)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
+                owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
                 edge = np.zeros(len(covered) + 1, bool)
                 edge[block.edges[:-1][sizes > 0]] = True
                 before = np.concatenate(([False], covered[:-1])) if len(covered) else covered
