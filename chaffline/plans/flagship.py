@@ -176,7 +176,7 @@ runs AS (
   FROM shares GROUP BY method, percent_removed, seed)"""
 
 
-#: Every method with a table to feed it and SQL to check it, by its query; the last ranks from 1.
+#: Every method with a table to feed it and SQL to check it, by its query; the two spectral ones rank from 1.
 RANKED = {
     "heuristic_filtering": ranking.QUERIES["rank_heuristic"],
     "random": ranking.QUERIES["rank_random"],
@@ -184,7 +184,9 @@ RANKED = {
     "llm_classifier": vectors.QUERIES["rank_entropy"],
     "semantic_dedup": vectors.QUERIES["rank_semantic_dedup"],
     "forgetting_events": analysis.QUERIES["rank_forgetting"],
+    "intrinsic_dimensionality_twonn": vectors.QUERIES["rank_intrinsic_dim"],
     "corr_integral": vectors.QUERIES["rank_corr_integral"],
+    "effective_rank": vectors.QUERIES["rank_effective_rank"],
 }
 
 
@@ -193,7 +195,7 @@ def rank_every_method(spark: SparkSession, folder: str) -> DataFrame:
     scores = [
         query(spark, folder).select("sample_id", "label", "score", "method") for query, _ in RANKED.values()
     ]
-    return rank_together(scores, {"corr_integral": 1})
+    return rank_together(scores, {"corr_integral": 1, "effective_rank": 1})
 
 
 def rounded_grid(spark: SparkSession, folder: str) -> DataFrame:

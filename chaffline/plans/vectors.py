@@ -180,6 +180,98 @@ scores AS (
 SELECT sample_id, label, score, row_number() OVER (ORDER BY score, sample_id) AS rank,
        'corr_integral' AS method FROM scores"""
 
+# Singular values by Jacobi rotations of each layer's Gram matrix, one pair of rows a step, as many
+# sweeps over all pairs as ten tokens need to reach full precision.
+SPECTRA_SQL = f"""{HIDDEN_STATES},
+layers AS (
+  SELECT sample_id, layer, count(*) AS m,
+         list(list_transform(vector, lambda x: CAST(x AS DOUBLE)) ORDER BY token_pos) AS tokens
+  FROM hidden_states GROUP BY ALL),
+pairs AS (
+  SELECT m, p, q, row_number() OVER (PARTITION BY m ORDER BY p, q) - 1 AS i, count(*) OVER (PARTITION BY m) AS n
+  FROM (SELECT DISTINCT m FROM layers), (SELECT unnest(range(64)) AS p), (SELECT unnest(range(64)) AS q)
+  WHERE p < q AND q < m),
+turns(sample_id, layer, m, step, a) AS (
+  SELECT sample_id, layer, m, CAST(0 AS BIGINT),
+         list_transform(range(m * m), lambda k: list_dot_product(tokens[k // m + 1], tokens[k % m + 1]))
+  FROM layers
+  UNION ALL
+  SELECT sample_id, layer, m, step + 1, list_transform(range(m * m), lambda k:
+    CASE WHEN k // m = p THEN c * h[p * m + k % m + 1] - s * h[q * m + k % m + 1]
+         WHEN k // m = q THEN s * h[p * m + k % m + 1] + c * h[q * m + k % m + 1] ELSE h[k + 1] END)
+  FROM (SELECT *, list_transform(range(m * m), lambda k:
+      CASE WHEN k % m = p THEN c * a[k // m * m + p + 1] - s * a[k // m * m + q + 1]
+           WHEN k % m = q THEN s * a[k // m * m + p + 1] + c * a[k // m * m + q + 1] ELSE a[k + 1] END) AS h
+    FROM (SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s
+      FROM (SELECT *, CASE WHEN z IS NULL THEN 0
+                           ELSE (CASE WHEN z < 0 THEN -1 ELSE 1 END) / (abs(z) + sqrt(1 + z * z)) END AS t
+        FROM (SELECT *, CASE WHEN abs(a[p * m + q + 1]) > 1e-300::DOUBLE
+                             THEN (a[q * m + q + 1] - a[p * m + p + 1]) / (2 * a[p * m + q + 1]) END AS z
+          FROM (SELECT turns.*, p, q FROM turns JOIN pairs ON pairs.m = turns.m AND i = step % n)))))
+  WHERE step < 450),
+spectra AS (
+  SELECT sample_id, layer, m,
+         list_transform(range(m), lambda i: sqrt(greatest(a[i * m + i + 1], 0.0::DOUBLE))) AS sigma
+  FROM turns WHERE step = 450),
+ranks AS (
+  SELECT sample_id, layer, m AS n_tokens, CASE WHEN list_sum(sigma) < 1e-12::DOUBLE THEN 1.0::DOUBLE
+    ELSE exp(-list_sum(list_transform(sigma, lambda x: x / list_sum(sigma)
+             * ln(greatest(x / list_sum(sigma), 1e-12::DOUBLE))))) END AS effective_rank
+  FROM spectra)"""
+
+RATIOS_SQL = """ratios AS (
+  SELECT sample_id, greatest(
+    greatest(max(distance) FILTER (place = 2), 1e-12::DOUBLE)
+    / greatest(max(distance) FILTER (place = 1), 1e-12::DOUBLE), 1 + 1e-12::DOUBLE) AS ratio
+  FROM placed WHERE place <= 2 GROUP BY sample_id),
+xy AS (
+  SELECT ratio, ln(ratio) AS x,
+         -ln(1 - row_number() OVER (ORDER BY ratio, sample_id) / CAST(count(*) OVER () + 1 AS DOUBLE)) AS y
+  FROM ratios)"""
+
+# Principal axes by Jacobi rotations of the covariance, 32 disjoint pairs of the 64 columns a step: in
+# round r column 63 meets column r, and any two others whose numbers add up to 2 r modulo 63.
+REDUCED_SQL = f"""{DOUBLES}, {EXACT}, {RATIOS_SQL},
+entries AS (SELECT sample_id, unnest(range(64)) AS i, unnest(v) AS x FROM points),
+centred AS (SELECT sample_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM entries),
+covariance AS (
+  SELECT list(x ORDER BY k) AS a FROM (
+    SELECT a.i * 64 + b.i AS k, sum(a.x * b.x) / ((SELECT count(*) FROM points) - 1) AS x
+    FROM centred a JOIN centred b USING (sample_id) GROUP BY 1)),
+turns(step, a, v) AS (
+  SELECT 0, a, list_transform(range(4096), lambda k: CAST(CAST(k // 64 = k % 64 AS INTEGER) AS DOUBLE))
+  FROM covariance
+  UNION ALL
+  SELECT step + 1,
+    list_transform(range(4096), lambda k:
+      c[k // 64 + 1] * (c[k % 64 + 1] * a[k + 1] + s[k % 64 + 1] * a[k // 64 * 64 + w[k % 64 + 1] + 1])
+      + s[k // 64 + 1] * (c[k % 64 + 1] * a[w[k // 64 + 1] * 64 + k % 64 + 1]
+                          + s[k % 64 + 1] * a[w[k // 64 + 1] * 64 + w[k % 64 + 1] + 1])),
+    list_transform(range(4096), lambda k:
+      c[k // 64 + 1] * v[k + 1] + s[k // 64 + 1] * v[w[k // 64 + 1] * 64 + k % 64 + 1])
+  FROM (SELECT *, list_transform(t, lambda x: 1 / sqrt(1 + x * x)) AS c,
+               list_transform(range(64), lambda i:
+                 (CASE WHEN i < w[i + 1] THEN -1 ELSE 1 END) * t[i + 1] / sqrt(1 + t[i + 1] * t[i + 1])) AS s
+    FROM (SELECT *, list_transform(z, lambda x: CASE WHEN x IS NULL THEN 0
+                 ELSE (CASE WHEN x < 0 THEN -1 ELSE 1 END) / (abs(x) + sqrt(1 + x * x)) END) AS t
+      FROM (SELECT *, list_transform(range(64), lambda i:
+                 CASE WHEN abs(a[i * 64 + w[i + 1] + 1]) > 1e-300::DOUBLE THEN
+                   (a[greatest(i, w[i + 1]) * 65 + 1] - a[least(i, w[i + 1]) * 65 + 1])
+                   / (2 * a[i * 64 + w[i + 1] + 1]) END) AS z
+        FROM (SELECT *, list_transform(range(64), lambda i: CASE WHEN i = 63 THEN step % 63
+                 WHEN i = step % 63 THEN 63 ELSE (2 * (step % 63) - i + 126) % 63 END) AS w
+              FROM turns WHERE step < 567))))),
+axes AS (
+  SELECT v[i * 64 + 1:i * 64 + 64] AS axis, row_number() OVER (ORDER BY a[i * 65 + 1] DESC) AS place
+  FROM (SELECT a, v, unnest(range(64)) AS i FROM turns WHERE step = 567)),
+chosen AS (
+  SELECT axis, place FROM axes WHERE place <= least((SELECT count(*) FROM points),
+    (SELECT greatest(floor(greatest(sum(x * y) / sum(x * x), 1.0::DOUBLE)), 1) FROM xy))),
+reduced AS (
+  SELECT sample_id, any_value(label) AS label,
+         list(CAST(CAST(list_dot_product(v, axis) AS FLOAT) AS DOUBLE) ORDER BY place) AS r
+  FROM points, chosen GROUP BY sample_id)"""
+
 QUERIES = {
     "knn_exact": (
         knn_exact,
@@ -195,23 +287,19 @@ QUERIES = {
     ),
     "twonn_dimension": (
         twonn_dimension,
-        f"""WITH {DOUBLES}, {EXACT},
-        ratios AS (
-          SELECT sample_id, greatest(
-            greatest(max(distance) FILTER (place = 2), 1e-12::DOUBLE)
-            / greatest(max(distance) FILTER (place = 1), 1e-12::DOUBLE), 1 + 1e-12::DOUBLE) AS ratio
-          FROM placed WHERE place <= 2 GROUP BY sample_id),
-        xy AS (
-          SELECT ratio, ln(ratio) AS x,
-                 -ln(1 - row_number() OVER (ORDER BY ratio, sample_id) / CAST(count(*) OVER () + 1 AS DOUBLE)) AS y
-          FROM ratios)
+        f"""WITH {DOUBLES}, {EXACT}, {RATIOS_SQL}
         SELECT round(greatest(sum(x * y) / sum(x * x), 1.0::DOUBLE), 6) AS dimension,
                round(avg(ratio), 6) AS mean_ratio,
                round(quantile_cont(ratio, 0.5::DOUBLE), 6) AS median_ratio,
                round(min(ratio), 6) AS min_ratio, round(max(ratio), 6) AS max_ratio
         FROM xy""",
     ),
-    "pca_reduce": (pca_reduce, None),
+    "pca_reduce": (
+        pca_reduce,
+        f"""WITH RECURSIVE {REDUCED_SQL}
+        SELECT sample_id, CAST(len(r) AS INTEGER) AS n_components,
+               round(sqrt(list_dot_product(r, r)), 4) AS length FROM reduced""",
+    ),
     "correlation_dimension": (
         correlation_dimension,
         f"""WITH {DOUBLES}, {EXACT},
@@ -244,9 +332,30 @@ QUERIES = {
           FROM unit a JOIN unit b ON a.sample_id <> b.sample_id GROUP BY a.sample_id)
         {RANKED.format(method='semantic_dedup')}""",
     ),
-    "rank_intrinsic_dim": (scored("intrinsic_dimensionality_twonn", features), None),
-    "effective_rank_layers": (effective_rank_layers, None),
-    "rank_effective_rank": (scored("effective_rank", inner_layers, hidden_labels), None),
+    "rank_intrinsic_dim": (
+        scored("intrinsic_dimensionality_twonn", features),
+        f"""WITH RECURSIVE {REDUCED_SQL},
+        gaps AS (
+          SELECT a.sample_id, any_value(a.label) AS label, min(list_distance(a.r, b.r), 2) AS nearest
+          FROM reduced a JOIN reduced b ON a.sample_id <> b.sample_id GROUP BY a.sample_id),
+        scores AS (SELECT sample_id, label, CAST(round(list_avg(nearest), 6) AS FLOAT) AS score FROM gaps)
+        {RANKED.format(method='intrinsic_dimensionality_twonn')}""",
+    ),
+    "effective_rank_layers": (
+        effective_rank_layers,
+        f"""WITH RECURSIVE {SPECTRA_SQL}
+        SELECT sample_id, layer, n_tokens, round(effective_rank, 6) AS effective_rank FROM ranks""",
+    ),
+    "rank_effective_rank": (
+        scored("effective_rank", inner_layers, hidden_labels),
+        f"""WITH RECURSIVE {SPECTRA_SQL},
+        scores AS (
+          SELECT sample_id, round(avg(effective_rank), 9) AS score FROM ranks WHERE layer >= 1 GROUP BY sample_id),
+        labels_ AS (
+          SELECT vec_id // 40 AS sample_id, CAST(min(label) AS BIGINT) AS label FROM embeddings GROUP BY 1)
+        SELECT sample_id, label, score, row_number() OVER (ORDER BY score, sample_id) AS rank,
+               'effective_rank' AS method FROM scores JOIN labels_ USING (sample_id)""",
+    ),
     "rank_corr_integral": (
         scored("corr_integral", inner_layers, hidden_labels),
         CORR_INTEGRAL_SQL,
