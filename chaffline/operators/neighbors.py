@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chaffline.functions.arrays import as_matrix
 from chaffline.functions.keys import seeded_key
 from chaffline.functions.vectors import SHORTEST_LENGTH, length, unit_vector
-from chaffline.session import cut_lineage
+from chaffline.session import broadcast_if_small, cut_lineage
 
 # Bytes of double-precision vectors in one block; a task holds two blocks.
 BLOCK_BYTES = 64 << 20
@@ -160,13 +162,13 @@ def _tasks(frame: DataFrame, groups: int) -> int:
     return max(1, min(groups, max(4 * cores, groups // 16)))
 
 
-def _per_pair(rows: DataFrame, k: int, pairs: int) -> DataFrame:
-    """(sample_id, nearest) from rows (row_block, col_block, block, sample_id, vector)."""
-    return (
-        rows.repartition(_tasks(rows, pairs), "row_block", "col_block")
-        .groupBy("row_block", "col_block")
-        .applyInArrow(_compare_blocks(k), _SCHEMA)
-    )
+def _per_pair(rows: DataFrame, k: int, pairs: int, *keys: str) -> DataFrame:
+    """(sample_id, nearest) from rows (row_block, col_block, block, sample_id, vector).
+
+    Blocks are told apart by `keys` too, if there are any.
+    """
+    group = [*keys, "row_block", "col_block"]
+    return rows.repartition(_tasks(rows, pairs), *group).groupBy(*group).applyInArrow(_compare_blocks(k), _SCHEMA)
 
 
 def _all_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
@@ -273,7 +275,7 @@ def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
         "_first", F.coalesce(F.sum("_parts").over(before), F.lit(0))
     )
     salt = F.pmod(F.xxhash64("sample_id"), F.col("_parts"))
-    placed = cells.join(F.broadcast(plan), "cell").withColumn(
+    placed = cells.join(broadcast_if_small(plan), "cell").withColumn(
         "block", (F.col("_first") + salt).cast("int")
     )
     ranges = placed.groupBy("block").agg(F.first("cell"), F.min("radius"), F.max("radius"))
@@ -307,15 +309,16 @@ def _visits(bounded: DataFrame, k: int, limit: int) -> DataFrame:
     plan = cut_lineage(
         asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_tables"))
     )
+    hinted = broadcast_if_small(plan)
     tables = plan.agg(F.coalesce(F.sum("_tables"), F.lit(0))).first()[0]
     visitors = (
         bounded.select("sample_id", "vector", F.explode("targets").alias("block"))
-        .join(F.broadcast(plan), "block")
+        .join(hinted, "block")
         .withColumn("_table", F.pmod(F.xxhash64("sample_id"), F.col("_tables")).cast("int"))
         .select("block", "_table", "sample_id", "vector", F.lit(True).alias("visitor"))
     )
     hosts = (
-        bounded.join(F.broadcast(plan), "block")
+        bounded.join(hinted, "block")
         .withColumn("_table", F.explode(F.sequence(F.lit(0), F.col("_tables") - 1)))
         .select("block", "_table", "sample_id", "vector", F.lit(False).alias("visitor"))
     )
@@ -379,6 +382,54 @@ def nearest_distances(
     return found.groupBy("sample_id").agg(F.slice(merged, 1, k).alias("distances"))
 
 
+def approximate_distances(
+    vectors: DataFrame,
+    k: int,
+    bucket_length: float,
+    tables: int = 8,
+    column: str = "features",
+    seed: int = 0,
+    rows_per_block: int = 4096,
+) -> DataFrame:
+    """(sample_id, distances) like `nearest_distances`, but only among candidates.
+
+    Approximate: two samples are compared if a random projection puts them into the same bucket of
+    `bucket_length` in one of `tables` tables; a true neighbour in none of them is missed, so
+    distances may be too long and lists too short. Ask for it where all pairs are out of reach. A
+    bucket of more than `rows_per_block` samples is dealt into pieces whose pairs are tasks of
+    their own, so no bucket is cut.
+    """
+    rows = vectors.select(F.col("sample_id").cast("long").alias("sample_id"), F.col(column).alias("vector"))
+    dense = rows.withColumn("_dense", array_to_vector(F.col("vector").cast("array<double>")))
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="_dense", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+    )
+    hashed = lsh.fit(dense).transform(dense).select("sample_id", "vector", F.posexplode("_hashes").alias("_table", "_hash"))
+    keyed = hashed.select(
+        "sample_id", "vector", F.xxhash64("_table", F.get(vector_to_array("_hash"), F.lit(0))).alias("bucket")
+    )
+    sizes = keyed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_pieces"))
+    sizes = cut_lineage(sizes)
+    groups = sizes.agg(F.coalesce(F.sum(F.expr("_pieces * (_pieces + 1) div 2")), F.lit(0))).first()[0]
+    large = sizes.where("_pieces > 1")
+    own, other = F.col("block"), F.col("_other")
+    pieces = F.coalesce("_pieces", F.lit(1))
+    dealt = (
+        keyed.join(large, "bucket", "left")
+        .withColumn("block", F.pmod(F.xxhash64("sample_id"), pieces).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .select(
+            "bucket", F.least(own, other).alias("row_block"), F.greatest(own, other).alias("col_block"), "block",
+            "sample_id", "vector",
+        )
+    )
+    found = _per_pair(dealt, k, groups, "bucket")
+    # A neighbour met in several tables comes several times with one distance; a true tie of two
+    # neighbours is told apart by nothing here and counts once.
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nearest"))))
+    return found.groupBy("sample_id").agg(F.slice(merged, 1, k).alias("distances"))
+
+
 def largest_similarity(
     vectors: DataFrame,
     column: str = "features",

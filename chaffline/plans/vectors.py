@@ -46,6 +46,14 @@ def knn_exact(spark, folder):
     )
 
 
+def knn_bounded(spark, folder):
+    """The same by bounds, which larger tables get by themselves, over eight blocks."""
+    found = nearest_distances(features(spark, folder), NEIGHBOURS, blocks=8, bounded=True)
+    return found.select("sample_id", F.posexplode("distances").alias("_i", "distance")).select(
+        "sample_id", (F.col("_i") + 1).alias("place"), F.round("distance", 6).alias("distance")
+    )
+
+
 def twonn_dimension(spark, folder):
     row = geometry.twonn_dimension(features(spark, folder))
     return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
@@ -279,6 +287,12 @@ QUERIES = {
         SELECT sample_id, CAST(place AS INTEGER) AS place, distance FROM distances
         WHERE place <= {NEIGHBOURS}""",
     ),
+    "knn_bounded": (
+        knn_bounded,
+        f"""WITH {DOUBLES}, {DISTANCES}
+        SELECT sample_id, CAST(place AS INTEGER) AS place, distance FROM distances
+        WHERE place <= {NEIGHBOURS}""",
+    ),
     "knn_density": (
         lambda spark, folder: geometry.knn_density(features(spark, folder)),
         f"""WITH {DOUBLES}, {EXACT}

@@ -197,3 +197,22 @@ def test_table_dimension_equals_the_one_matrix_measure(spark):
     assert geometry.correlation_dimension(table(spark, matrix[:4])).first().dimension == 1.0
     same = np.ones((9, 2), dtype=np.float32)
     assert geometry.correlation_dimension(table(spark, same)).first().dimension == 1.0
+
+
+@pytest.mark.parametrize("rows_per_block", [4096, 40])
+def test_approximate_neighbours(spark, rows_per_block):
+    from chaffline.operators.neighbors import approximate_distances
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 8)) * 10
+    points = centres[rng.integers(0, 30, 600)] + rng.normal(size=(600, 8)) * 0.2
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "sample_id long, features array<double>")
+    found = {r.sample_id: r.distances for r in approximate_distances(frame, 3, 2.0, rows_per_block=rows_per_block).collect()}
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    exact = np.sort(gaps, 1)[:, :3]
+    hits = sum(np.isclose(found[i][:3], exact[i][: len(found[i])]).sum() for i in range(600))
+    recall = hits / exact.size
+    print(f"recall of the approximate neighbours: {recall:.3f}")
+    assert recall >= 0.95
+    assert all((np.array(found[i]) >= exact[i][: len(found[i])] - 1e-9).all() for i in range(600))
