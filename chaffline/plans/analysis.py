@@ -14,7 +14,6 @@ from chaffline.plans.views import (
     epoch_metrics,
     predictions,
     run_results,
-    table,
 )
 from chaffline.scorers import forgetting as G
 from chaffline.scorers.registry import get_scorer
