@@ -156,7 +156,7 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(fold_of("doc_id", 3) != 1).select("doc_id", "toxic")
     labelled = (
         documents.select("doc_id", "text")
-        .join(labels, "doc_id")
+        .join(toxicity_chain.sample_of(labels), "doc_id")
         .withColumn("insult", ((F.col("toxic") == 1) & _has(INSULTS)).cast("int"))
         .withColumn("contempt", ((F.col("toxic") == 1) & _has(CONTEMPT)).cast("int"))
     )

@@ -28,10 +28,10 @@ MAX_ROWS = 20_000
 #: Lengths of the beginnings of longer words that count as words too, written with a star.
 BEGINNINGS = (4, 5)
 #: Words that the models know at most: those that depend most on a category in the sample.
-MAX_WORDS = 4096
+MAX_WORDS = 1024
 #: Chi-square a word must reach, and documents of the sample that must have it.
 LEAST_CHI_SQUARE = 20.0
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 3
 FOLDS = 3
 TEXT_BYTES = 8 << 20
 
@@ -82,7 +82,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_linear(
     rows: np.ndarray, columns: np.ndarray, width: int, before: np.ndarray, labels: np.ndarray,
-    penalty: float = 1e-4, steps: int = 300,
+    penalty: float = 1e-4, steps: int = 150,
 ) -> Linear:
     """Logistic regression with a squared penalty, by gradient steps scaled per weight."""
     count, extra = len(labels), before.shape[1]
@@ -99,7 +99,7 @@ def fit_linear(
             )
         )
         squares += slope * slope
-        step = 0.5 * slope / np.sqrt(squares)
+        step = slope / np.sqrt(squares)
         model.words -= step[:width]
         model.before -= step[width : width + extra]
         model.bias -= float(step[-1])
@@ -162,6 +162,15 @@ def distinct_words(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
     return chosen.mapInArrow(run, T.StructType([*fields, T.StructField("words", T.ArrayType(T.StringType()))]))
 
 
+def sample_of(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of labels with the smallest hashes of doc_id, at most `max_rows`, to be broadcast.
+
+    Labels are narrow, so the texts that belong to them are found by a scan and never shuffled.
+    """
+    known = labels.where(F.col("doc_id").isNotNull())
+    return F.broadcast(cut_lineage(known.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(max_rows)))
+
+
 def fit(labelled: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Chain:
     """Fit a chain to rows with doc_id, text and a column of 0 or 1 for each category, in chain order.
 
