@@ -32,44 +32,58 @@ LEAF_PAIRS = 256
 #: Pairs that are held at once.
 PAIRS_AT_ONCE = 2 << 20
 
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The SimHash of a text in UTF-8: a bit is 1 if set in over half of its shingles' hashes."""
+def _rehashed(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Hashes for another fingerprint: a one-to-one mix of the first ones, which are part 0."""
+    if part == 0:
+        return hashes
+    mixed = hashes + np.uint64(part * _MIX[0] % (1 << 64))
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(_MIX[1])
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(_MIX[2])
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def fingerprint(text: bytes, shingle: int, parts: int = 1) -> list[int]:
+    """The SimHashes of a text in UTF-8: a bit is 1 if set in over half of its shingles' hashes."""
     words = text.translate(LOWER_ASCII).split()
     if not words:
-        return 0
+        return [0] * parts
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
-    count = len(words) - shingle + 1
+    count = max(len(words) - shingle + 1, 1)
     begins = (ends - sizes)[:count].tolist()
-    hashes = np.fromiter(
-        (digest(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist())), np.uint64, count
-    )
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
-    return int.from_bytes(np.packbits(ones * 2 > count, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(documents: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row, the 64 bits as a signed long. Null counts as empty."""
+    lasts = ends[min(shingle, len(words)) - 1 :].tolist()
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, lasts)), np.uint64, count)
+    found = []
+    for part in range(parts):
+        columns = _rehashed(hashes, part).view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
+        found.append(int.from_bytes(np.packbits(ones * 2 > count, bitorder="little").tobytes(), "little"))
+    return found
+
+
+def fingerprints(
+    documents: DataFrame, shingle: int = 4, parts: int = 1, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, fingerprints) of every row, 64 bits each as signed longs. Null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 8 << 20):
             texts = texts_of(batch, text).cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(doc_id), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"]
-            )
+            found = np.array([fingerprint(t.as_py(), shingle, parts) for t in texts], np.uint64).ravel()
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * parts)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), lists], ["doc_id", "fingerprints"])
 
     chosen = documents.select(doc_id, text)
+    kind = chosen.schema[doc_id].dataType
     schema = T.StructType(
-        [T.StructField("doc_id", chosen.schema[doc_id].dataType), T.StructField("fingerprint", T.LongType())]
+        [T.StructField("doc_id", kind), T.StructField("fingerprints", T.ArrayType(T.LongType()))]
     )
     return chosen.mapInArrow(run, schema)
 
@@ -216,17 +230,20 @@ def _of_table(table: pa.Table, budget: int) -> pa.RecordBatch:
 
 
 def links(nodes: DataFrame, budget: int) -> DataFrame:
-    """Links (a, b) that join all (node, fingerprint) rows at most `budget` bits apart.
+    """Links (a, b) that join all (node, fingerprints) rows at most `budget` bits apart.
 
-    Not every pair is listed: within a trie those that join nothing new are left out, so the
-    components are the same and there are fewer links than rows. Fingerprints must be distinct.
+    Rows are linked if they are that near in any of their fingerprints. Not every pair is listed:
+    within a trie those that join nothing new are left out, so the components are the same and
+    there are fewer links than rows of tries. Rows must be distinct in their fingerprints.
     """
+    values = nodes.select("node", F.posexplode("fingerprints").alias("number", "fingerprint"))
     value = F.col("fingerprint")
     blocks = []
     for number, (first, size) in enumerate(block_edges(budget)):
-        part = F.shiftrightunsigned(value, BITS - first - size).bitwiseAND(F.lit((1 << size) - 1 if size < BITS else -1))
-        blocks.append(F.struct(F.lit(number).alias("block"), part.alias("part")))
-    rows = nodes.select("node", "fingerprint", F.explode(F.array(*blocks)).alias("key"))
+        mask = F.lit((1 << size) - 1 if size < BITS else -1)
+        part = F.shiftrightunsigned(value, BITS - first - size).bitwiseAND(mask)
+        blocks.append(F.struct((F.col("number") * (budget + 1) + number).alias("block"), part.alias("part")))
+    rows = values.select("node", "fingerprint", F.explode(F.array(*blocks)).alias("key"))
     rows = rows.select("node", "fingerprint", "key.block", "key.part")
     # A trie beyond the bound is dealt into pieces; only its rows meet a second time.
     big = (
@@ -253,25 +270,37 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, shingle: int = 4, budget: int = 4, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    shingle: int = 4,
+    budget: int = 4,
+    parts: int = 1,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Documents whose fingerprints differ in at most `budget` bits are linked; component_id is the
-    smallest doc_id that links reach. doc_id must be an integer.
+    smallest doc_id that links reach. doc_id must be an integer. With `parts` over 1 so many
+    independent fingerprints are made of the same shingles, and one that is near is enough: a
+    pair of similar documents has so many chances to fall under a small budget, which keeps the
+    tries selective where a larger budget would not. The fingerprint given is the first.
 
     Null texts, empty ones and those of white space have fingerprint zero, which links like any
     other. Documents of equal fingerprints are one node of the join, however many they are;
-    repeated rows share it too. A row without a doc_id links nothing: it gets the component of an
-    equal fingerprint, or null. Long texts are hashed whole.
-    An empty table gives no rows. Other columns are not read.
+    repeated rows share it too. A row without a doc_id links nothing: it gets the component of
+    equal fingerprints, or null. Long texts are hashed whole. An empty table gives no rows. Other
+    columns are not read.
     """
-    rows = cut_lineage(fingerprints(documents, shingle, doc_id, text))
-    nodes = cut_lineage(rows.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
+    rows = cut_lineage(fingerprints(documents, shingle, parts, doc_id, text))
+    known = rows.where("doc_id IS NOT NULL").groupBy("fingerprints").agg(F.min("doc_id").alias("node"))
+    nodes = cut_lineage(known)
     found = components(links(nodes, budget))
     labels = nodes.join(found, "node", "left").select(
-        "fingerprint", F.coalesce("component", "node").alias("component_id")
+        "fingerprints", F.coalesce("component", "node").alias("component_id")
+    )
+    first = F.get("fingerprints", F.lit(0))
+    digits = F.lower(F.lpad(F.hex(first), 16, "0"))
+    # Rows of equal fingerprints may be very many: they are narrow, and AQE splits such a join.
+    return rows.join(labels, "fingerprints", "left").select(
+        "doc_id", digits.alias("fingerprint"), "component_id"
     )
-    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    # Rows of one fingerprint may be very many: they are narrow, and AQE splits such a join.
-    return rows.join(labels, "fingerprint", "left").select("doc_id", digits.alias("fingerprint"), "component_id")

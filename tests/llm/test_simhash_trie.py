@@ -7,21 +7,31 @@ import xxhash
 from chaffline.llm import components, simhash_trie
 
 
-def brute_fingerprint(text, shingle):
+def mixed(value, part):
+    mask = 2**64 - 1
+    if part:
+        value = (value + part * 0x9E3779B97F4A7C15) & mask
+        value = (value ^ value >> 30) * 0xBF58476D1CE4E5B9 & mask
+        value = (value ^ value >> 27) * 0x94D049BB133111EB & mask
+        value ^= value >> 31
+    return value
+
+
+def brute_fingerprint(text, shingle, part=0):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
         return 0
     shingles = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    hashes = [mixed(xxhash.xxh64_intdigest(s, 42), part) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def brute_components(nodes, budget):
-    """Smallest id reachable, for (id, value) rows."""
-    values = np.array([v for _, v in nodes], np.uint64)
+    """Smallest id reachable, for rows (id, value) or (id, list of values)."""
+    values = np.array([np.atleast_1d(np.array(v, np.uint64)) for _, v in nodes])
     label = np.array([i for i, _ in nodes])
     while True:
-        new = np.array([label[np.bitwise_count(values ^ v) <= budget].min() for v in values])
+        new = np.array([label[(np.bitwise_count(values ^ v) <= budget).any(1)].min() for v in values])
         if (new == label).all():
             return label.tolist()
         label = new
@@ -48,11 +58,21 @@ def test_join_finds_what_all_pairs_find(spark, monkeypatch, budget, piece):
                 base ^= 1 << bit
             values.add(base)
     nodes = [(i, v) for i, v in enumerate(sorted(values, key=lambda v: v * 2654435761 % 2**64))]
-    frame = spark.createDataFrame([(i, v - 2**64 if v >> 63 else v) for i, v in nodes], "node long, fingerprint long")
+    signed = [(i, [v - 2**64 if v >> 63 else v]) for i, v in nodes]
+    frame = spark.createDataFrame(signed, "node long, fingerprints array<long>")
     found = dict(components.components(simhash_trie.links(frame, budget)).collect())
     assert [found.get(i, i) for i, _ in nodes] == brute_components(nodes, budget)
 
 
+def test_several_fingerprints(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = documents.collect()
+    nodes = [(r.doc_id, [brute_fingerprint(r.text, 5, part) for part in range(3)]) for r in rows]
+    found = {r.doc_id: r.component_id for r in simhash_trie.near_duplicates(documents, 5, 7, parts=3).collect()}
+    assert [found[d] for d, _ in nodes] == brute_components(nodes, 7)
+    assert len(set(found.values())) < len(rows)
+
+
 def test_documents_against_brute_force(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = documents.collect()
