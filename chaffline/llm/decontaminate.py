@@ -25,6 +25,10 @@ from chaffline.session import cut_lineage
 
 #: Bytes of text in a segment; a longer document is a segment of its own.
 SEGMENT_BYTES = 4 << 20
+#: A row's key has 63 bits: the lowest for its place in the segment, then those for the segment's number
+#: in its partition, and 19 for the partition.
+ROW_BITS = 24
+SEGMENT_BITS = 20
 #: Entries of the map of test terms: 128 KiB, whatever the size of the benchmark.
 MAP_BITS = 20
 
@@ -60,8 +64,11 @@ def build_index(documents: DataFrame, terms: DataFrame | None, doc_id: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
-        segment = TaskContext.get().partitionId() << 32
+        partition = TaskContext.get().partitionId()
+        segment = partition << SEGMENT_BITS
         for batch in slices(batches, text, SEGMENT_BYTES):
+            if segment >> SEGMENT_BITS != partition or batch.num_rows >> ROW_BITS:
+                raise OverflowError("a partition has too many segments, or a segment too many rows")
             edges, words = words_of(texts_of(batch, text))
             encoded = words.dictionary_encode()
             names, places = encoded.dictionary, np.asarray(encoded.indices)
@@ -244,7 +251,7 @@ def _search_segment(index: pa.Table, asked: pa.Table, within: int | None) -> pa.
     place = pa.list_(pa.int64())
     return pa.table(
         [
-            pa.array((segment << 24) + np.arange(len(ends))),
+            pa.array((segment << ROW_BITS) + np.arange(len(ends))),
             doc_ids,
             pa.array(ends - begins),
             pa.array(covered[ends] - covered[begins]),

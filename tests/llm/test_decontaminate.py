@@ -101,3 +101,12 @@ def test_empty_tables(spark, no_documents, odd_documents, odd_rows):
 def test_lists_are_intersected_from_the_rarest_on():
     rare, often = np.array([7, 90]), np.arange(100)
     assert decontaminate.phrase_starts([(2, rare), (0, often), (1, often)]).tolist() == [5, 88]
+
+
+def test_more_than_128_partitions(spark):
+    rows = [(i, f"a{i} b c d" if i % 3 else "x y z w") for i in range(300)]
+    documents = spark.sparkContext.parallelize(rows, 300).toDF("doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    found = decontaminate.decontaminate(documents, benchmark, 3).collect()
+    assert len({r.row for r in found}) == 300 and min(r.row for r in found) >= 0
+    assert {r.doc_id: r.n_hit for r in found} == {i: 0 if i % 3 else 3 for i, _ in rows}
