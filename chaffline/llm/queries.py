@@ -36,7 +36,7 @@ def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def warc_in_zip(spark: SparkSession, folder: str) -> DataFrame:
     packages = warc_zip.write_packages(table(spark, folder, "pages"))
-    page = lambda c: F.regexp_extract(c, r"page:(-?\d+)", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"page:(-?\d+)", 1).try_cast("long")
     return warc_zip.read_packages(packages).select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page(F.col("refers_to"))).alias("refers_to"),

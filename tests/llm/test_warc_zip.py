@@ -113,3 +113,13 @@ def test_broken_packages_are_errors():
 def test_empty_table(pages):
     packages = warc_zip.write_packages(pages.limit(0))
     assert packages.collect() == [] and found(packages) == []
+
+
+def test_query_on_odd_pages(spark, pages, tmp_path):
+    from chaffline.llm import queries
+
+    pages.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.warc_in_zip(spark, str(tmp_path)).collect()
+    text = lambda i: None if i is None else str(i)
+    plain = [(i if i != "None" else None, *rest) for i, *rest in expected()]
+    assert sorted(((text(r[0]), *r[1:4], text(r[4])) for r in rows), key=str) == sorted(plain, key=str)
