@@ -97,10 +97,10 @@ def _bayes_grid(train, validation, subsets, seeds, test) -> DataFrame:
         [(i, *cell) for i, cell in enumerate(shared.value[0])],
         "cell int, method string, percent_removed int, seed long",
     )
-    nan = F.lit(float("nan"))
-    return names.join(found, "cell", "left").select(
-        *_CELL, *[F.coalesce(c, nan).alias(c) for c in ("best_val_acc", "best_val_loss", "test_acc")]
-    )
+    measures = ("best_val_acc", "best_val_loss", "test_acc")
+    # A cell without a measure has NaN; the columns stay nullable, as runs are stored.
+    measured = [F.when(F.col("cell") >= 0, F.coalesce(c, F.lit(float("nan")))).alias(c) for c in measures]
+    return names.join(found, "cell", "left").select(*_CELL, *measured)
 
 
 def _cells(rows: list) -> tuple[list, list]:

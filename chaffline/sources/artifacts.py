@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from chaffline.operators.curves import RUN_SCHEMA
 from chaffline.scorers.base import RANKING_SCHEMA
+from chaffline.session import cut_lineage
 
 SPLIT_SCHEMA = T.StructType(
     [
@@ -60,16 +61,20 @@ def ranking_metadata(rankings: DataFrame, dataset: str, config: dict[str, Any])
 def save_rankings(
     rankings: DataFrame, folder: str, dataset: str = "", config: dict[str, Any] | None = None
 ) -> None:
-    """Parquet and CSV by method, and the metadata as JSON lines.
+    """Parquet and CSV by method, and the metadata as JSON lines by method.
 
-    The three are written from the first, so the ranking is computed once.
+    Only the methods in `rankings` are written anew; what other methods have stored in the folder
+    stays. The ranking is computed once and written from a checkpoint of its narrow rows.
     """
-    rankings.write.partitionBy("method").mode("overwrite").parquet(f"{folder}/scores")
-    written = read_rankings(rankings.sparkSession, folder)
-    written.write.partitionBy("method").mode("overwrite").csv(f"{folder}/scores_csv", header=True)
-    ranking_metadata(written, dataset, config or {}).write.mode("overwrite").json(
-        f"{folder}/metadata"
-    )
+    rows = cut_lineage(rankings)
+    _by_method(rows, "method").parquet(f"{folder}/scores")
+    _by_method(rows, "method").csv(f"{folder}/scores_csv", header=True)
+    _by_method(ranking_metadata(rows, dataset, config or {}), "method").json(f"{folder}/metadata")
+
+
+def _by_method(rows: DataFrame, *keys: str) -> DataFrameWriter:
+    """A writer that replaces the directories of the keys it is given rows of, and no others."""
+    return rows.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
 def read_rankings(spark: SparkSession, folder: str, method: str | None = None) -> DataFrame:
@@ -100,12 +105,12 @@ def save_subsets(subsets: DataFrame, folder: str, rows_per_file: int = ROWS_PER_
     """One directory per method and budget; `position` holds the order.
 
     A stretch of positions goes to one task, so a large budget is written by many tasks and a
-    small one does not leave a file per task.
+    small one does not leave a file per task. Methods and budgets that are not in `subsets` stay.
     """
     stretch = F.call_function("div", F.col("position"), F.lit(rows_per_file))
     keys = ["method", "percent_removed"]
     dealt = subsets.repartition(*keys, stretch)
-    dealt.write.partitionBy(*keys).mode("overwrite").parquet(folder)
+    _by_method(dealt, *keys).parquet(folder)
 
 
 def read_subsets(spark: SparkSession, folder: str) -> DataFrame:

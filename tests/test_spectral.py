@@ -134,7 +134,7 @@ def test_a_hot_layer_leaves_a_partition_as_one_factor(spark):
     points = rng.normal(size=(20_000, 6)).astype(np.float32)
     import pandas as pd
 
-    frame = pd.DataFrame({"sample_id": 1, "layer": 1, "token_pos": np.arange(len(points)), "vector": list(points)})
+    frame = pd.DataFrame({"sample_id": 1, "layer": 1, "token_pos": np.arange(len(points)), "vector": points.tolist()})
     hidden = spark.createDataFrame(frame, HIDDEN).repartition(4)
     rows = hidden.selectExpr("sample_id", "layer", "1L AS n_tokens", "cast(vector as array<double>) AS vector")
     parts = rows.mapInArrow(spectral._compress_batches, spectral._PART)
