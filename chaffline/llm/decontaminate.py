@@ -25,10 +25,8 @@ from chaffline.session import cut_lineage
 
 #: Bytes of text in a segment; a longer document is a segment of its own.
 SEGMENT_BYTES = 4 << 20
-#: A row's key has 63 bits: the lowest for its place in the segment, then those for the segment's number
-#: in its partition, and 19 for the partition.
-ROW_BITS = 24
-SEGMENT_BITS = 20
+#: A segment's number has 63 bits: 31 for its partition, the lowest for its place in the partition.
+SEGMENT_BITS = 32
 #: Entries of the map of test terms: 128 KiB, whatever the size of the benchmark.
 MAP_BITS = 20
 
@@ -67,8 +65,6 @@ def build_index(documents: DataFrame, terms: DataFrame | None, doc_id: str, text
         partition = TaskContext.get().partitionId()
         segment = partition << SEGMENT_BITS
         for batch in slices(batches, text, SEGMENT_BYTES):
-            if segment >> SEGMENT_BITS != partition or batch.num_rows >> ROW_BITS:
-                raise OverflowError("a partition has too many segments, or a segment too many rows")
             edges, words = words_of(texts_of(batch, text))
             encoded = words.dictionary_encode()
             names, places = encoded.dictionary, np.asarray(encoded.indices)
@@ -169,9 +165,9 @@ def search(index: DataFrame, phrases: DataFrame, within: int | None = None) -> D
     """Documents with the phrases found in them; `index` must be written (it is read three times).
 
     Phrases are exact; with `within`, their terms need only lie in some stretch of so many words,
-    in any order. One row per document: row (a key of its own for each row of the table), doc_id,
-    n_words, n_hit (words inside a match), and matches: phrase and the positions of its first and
-    last words in the document.
+    in any order. One row per document: segment and place (together a key of its own for each row
+    of the table), doc_id, n_words, n_hit (words inside a match), and matches: phrase and the
+    positions of its first and last words in the document.
     """
     postings = index.where("term IS NOT NULL")
     counts = postings.groupBy("term").agg(F.sum("n").alias("n"))
@@ -201,7 +197,8 @@ def search(index: DataFrame, phrases: DataFrame, within: int | None = None) -> D
     place = T.ArrayType(T.LongType())
     match = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("first", place), T.StructField("last", place)])
     schema = T.StructType(
-        [T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_words", T.LongType())]
+        [T.StructField("segment", T.LongType()), T.StructField("place", T.LongType())]
+        + [T.StructField("doc_id", kind), T.StructField("n_words", T.LongType())]
         + [T.StructField("n_hit", T.LongType()), T.StructField("matches", T.ArrayType(match))]
     )
     return index.groupBy("segment").cogroup(asked.groupBy("home")).applyInArrow(run, schema)
@@ -251,13 +248,14 @@ def _search_segment(index: pa.Table, asked: pa.Table, within: int | None) -> pa.
     place = pa.list_(pa.int64())
     return pa.table(
         [
-            pa.array((segment << ROW_BITS) + np.arange(len(ends))),
+            pa.array(np.full(len(ends), segment)),
+            pa.array(np.arange(len(ends))),
             doc_ids,
             pa.array(ends - begins),
             pa.array(covered[ends] - covered[begins]),
             pa.array(per_document, pa.list_(pa.struct([("phrase", pa.string()), ("first", place), ("last", place)]))),
         ],
-        names=["row", "doc_id", "n_words", "n_hit", "matches"],
+        names=["segment", "place", "doc_id", "n_words", "n_hit", "matches"],
     )
 
 
@@ -270,7 +268,9 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """Documents with the test items found in them: row, doc_id, n_words, n_hit, items, matches.
+    """Documents with the test items found in them.
+
+    Columns: segment and place (the key of a row), doc_id, n_words, n_hit, items, matches.
 
     Words are runs of digits, letters a-z (A-Z in lower case) and non-ASCII characters. An item is
     found where any window of its words occurs; n_hit counts the words inside such windows.
@@ -286,12 +286,12 @@ def decontaminate(
     index = cut_lineage(build_index(documents, terms, doc_id, text))
     found = cut_lineage(search(index, windows))
     hits = (
-        found.select("row", F.explode("matches.phrase").alias("phrase"))
+        found.select("segment", "place", F.explode("matches.phrase").alias("phrase"))
         .join(windows, "phrase")
-        .groupBy("row")
+        .groupBy("segment", "place")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
-    return found.join(hits, "row", "left").select(
-        "row", "doc_id", "n_words", "n_hit",
+    return found.join(hits, ["segment", "place"], "left").select(
+        "segment", "place", "doc_id", "n_words", "n_hit",
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "matches",
     )

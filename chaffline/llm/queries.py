@@ -101,20 +101,20 @@ items AS (
   FROM benchmark),
 item_starts AS (
   SELECT item_id, words, least(len(words), 10) AS size,
-         unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS at
+         unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS first
   FROM items WHERE len(words) > 0),
 windows AS (
-  SELECT DISTINCT item_id, size, array_to_string(words[at:at + size - 1], ' ') AS phrase FROM item_starts),
+  SELECT DISTINCT item_id, size, array_to_string(words[first:first + size - 1], ' ') AS phrase FROM item_starts),
 sizes AS (SELECT DISTINCT size FROM windows),
 doc_starts AS (
-  SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS at
+  SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS first
   FROM plain, sizes WHERE len(words) >= size),
 doc_windows AS (
-  SELECT doc_id, size, at, array_to_string(words[at:at + size - 1], ' ') AS phrase FROM doc_starts),
-matches AS (SELECT doc_id, size, at, item_id FROM doc_windows JOIN windows USING (size, phrase)),
+  SELECT doc_id, size, first, array_to_string(words[first:first + size - 1], ' ') AS phrase FROM doc_starts),
+matches AS (SELECT doc_id, size, first, item_id FROM doc_windows JOIN windows USING (size, phrase)),
 hit AS (
   SELECT doc_id, count(DISTINCT place) AS n_hit
-  FROM (SELECT doc_id, unnest(range(at, at + size)) AS place FROM (SELECT DISTINCT doc_id, size, at FROM matches))
+  FROM (SELECT doc_id, unnest(range(first, first + size)) AS place FROM (SELECT DISTINCT doc_id, size, first FROM matches))
   GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed

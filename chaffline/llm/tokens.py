@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ class Encoder:
 
     For tokenizers whose pre-tokens begin at a space between two other characters that are no
     white space; there a text's ids are those of its parts. Byte-level BPE and BPE with word
-    ends are of that kind. Strings of special tokens count as ordinary text.
+    ends are of that kind. A special token written out in a text is that token, as in the
+    library: a text is cut there, and what is left and right of it are texts of their own.
     """
 
     def __init__(self, path: str):
@@ -41,7 +43,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take part of the text around them are not supported")
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self._special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.size = self.tokenizer.get_vocab_size()
         self._mark = np.array(self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids, np.uint32)
         self._clear()
@@ -136,6 +142,8 @@ class Encoder:
         size = np.asarray(pc.binary_length(parts))
         odd = (size == 0) | (size != np.asarray(pc.binary_length(pc.utf8_trim_whitespace(parts))))
         odd_text = np.add.reduceat(odd, starts[:-1]) > 0
+        if self._special is not None:
+            odd_text |= np.asarray(pc.match_substring_regex(texts, self._special.pattern))
 
         words = parts.dictionary_encode()
         slots = self._lookup([" " + w for w in words.dictionary.to_pylist()])[np.asarray(words.indices)]
@@ -145,7 +153,7 @@ class Encoder:
             pieces, at = [], 0
             for i in np.flatnonzero(odd_text):
                 pieces.append(slots[starts[at] : starts[i]])
-                own = self._lookup(_parts(texts[int(i)].as_py()))
+                own = self._lookup(self._cut(texts[int(i)].as_py()))
                 per_text[i] = len(own)
                 pieces.append(own)
                 at = i + 1
@@ -157,6 +165,13 @@ class Encoder:
         ends = np.cumsum(per_text)
         return ids, before[ends] - before[ends - per_text]
 
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text that are encoded one by one; special tokens are parts of their own."""
+        if self._special is None:
+            return _parts(text)
+        pieces = self._special.split(text)
+        return [p for i, piece in enumerate(pieces) for p in ([piece] if i % 2 else _parts(piece)) if p or len(pieces) == 1]
+
     def batch(self, batch: pa.RecordBatch, column: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Like `encode` for a column, null as empty, with `end_id` behind each text."""
         ids, counts = self.encode(texts_of(batch, column))

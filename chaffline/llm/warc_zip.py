@@ -13,9 +13,11 @@ import base64
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -149,14 +151,16 @@ def digest_hex(label: str) -> str:
 
 
 def _urn(key) -> str:
-    return f"<urn:page:{key}>"
+    """The record id of a page; a page without an id gets one that no other record has."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if key is None else f"<urn:page:{key}>"
 
 
-def _page_record(row: dict) -> bytes:
+def _page_record(row: dict, date: str) -> bytes:
     payload = (row["payload"] or "").encode()
     headers = {
         "WARC-Type": row["record_type"],
         "WARC-Record-ID": _urn(row["page_id"]),
+        "WARC-Date": date,
         "WARC-Target-URI": row["url"],
         "WARC-Payload-Digest": digest_label(row["payload_digest"]),
         "WARC-Payload-Length": str(row["payload_bytes"]),
@@ -185,7 +189,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload.cast("binary")).alias("payload_digest"),
     )
-    # Per digest and task one row is shuffled; only digests of several pages are joined back.
+    # What repeats is found from one row per digest and task; the payloads then move once, by digest.
     repeated = (
         keyed.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
@@ -213,6 +217,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, written = TaskContext.get().partitionId(), []
+        date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         data, lines = bytearray(), []
 
         def close() -> None:
@@ -231,7 +236,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, least_bytes: int
         for batch in slices(batches, "payload", 8 << 20):
             for row in batch.to_pylist():
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                record = packer.compress(_page_record(row)) + packer.flush()
+                record = packer.compress(_page_record(row, date)) + packer.flush()
                 place = {"offset": len(data), "length": len(record), "filename": "data.warc.gz"}
                 lines.append(f"urn:page:{row['page_id']} - {json.dumps(place)}\n")
                 data += record
@@ -287,16 +292,17 @@ def _ranges(members: list[Member], read: ReadAt) -> Iterator[tuple[int, int, lis
         if name not in places:
             yield archive.offset, archive.size, None
             continue
-        at, parts = 0, []
+        at, total, parts = 0, 0, []
         for offset, length in sorted(places[name]):
-            if parts and (sum(parts) + length > RANGE_BYTES or at + sum(parts) != offset):
-                yield archive.offset + at, sum(parts), parts
+            if parts and (total + length > RANGE_BYTES or at + total != offset):
+                yield archive.offset + at, total, parts
                 parts = []
             if not parts:
-                at = offset
+                at, total = offset, 0
             parts.append(length)
+            total += length
         if parts:
-            yield archive.offset + at, sum(parts), parts
+            yield archive.offset + at, total, parts
 
 
 def _records(read: ReadAt, offset: int, length: int, parts: list[int] | None) -> Iterator[bytes]:

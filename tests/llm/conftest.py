@@ -17,7 +17,7 @@ def _rows():
     shared = prose(60)
     texts = [
         None, "", " ", "\t\n", "a", "A b", "Hello  world", " lead and trail ", "nbsp here x", "one\x00two three",
-        "tabs\there\r\nand lines", "don't 'quote' it's", "<|endoftext|> is text", "é combining ́ mark", "日本語 テスト 文",
+        "tabs\there\r\nand lines", "don't 'quote' it's", "<|endoftext|> is a token", "a <|endoftext|> b<|endoftext|>", "x<|startoftext|>  y <|endoftext|><|ENDOFTEXT|>", "<|endoftext|>", "é combining ́ mark", "日本語 テスト 文",
         "emoji 🙂 🙂🙂 x", prose(3000), prose(40), prose(41) + "  " + prose(5), shared, "pre " + shared + " post",
         shared.upper(), shared + " " + shared, "ab" * 400, "ab" * 400 + "c", "z" * 49, "z" * 50, "q z" + "z" * 50, "12 34",
         "\x0b\x0cform", "x y z", prose(2047),

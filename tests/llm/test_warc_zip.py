@@ -38,8 +38,14 @@ def expected():
 
 
 def found(frame):
-    name = lambda u: None if u is None else u.removeprefix("<urn:page:").removesuffix(">")
+    def name(urn):
+        if urn is None:
+            return None
+        return "None" if urn.startswith("<urn:uuid:") else urn.removeprefix("<urn:page:").removesuffix(">")
+
     rows = warc_zip.read_packages(frame).collect()
+    without = [r.record_id for r in rows if "uuid" in r.record_id]
+    assert len(set(without)) == len(without)  # a page without an id has a record id of its own
     for r in rows:
         assert (r.payload is None) == (r.record_type == "revisit")
     return sorted(
