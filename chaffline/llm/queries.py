@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaffline.llm import (
-    arrow_tokens, decontaminate, exact_dedup, language_id, packing, quality_qda, repeats, simhash_trie,
-    toxicity_chain, warc_zip,
+    arrow_tokens, decontaminate, exact_dedup, hard_negatives, language_id, packing, quality_qda, repeats, simhash_trie,
+    toxicity_chain, vector_codes, warc_zip,
 )
 
 # Seed words that tell kinds of toxic training documents apart.
@@ -176,6 +176,78 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vector_compression(spark: SparkSession, folder: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, folder, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select("vec_id", F.concat_ws("", digits).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def _vector_compression_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(sub) AS sub, min({{'d': d, 'e': e}}) AS best
+  FROM (SELECT vec_id, p, sub, e,
+               CAST(list_sum(list_transform(range(1, len(sub) + 1), lambda i: (sub[i] - entry[i]) * (sub[i] - entry[i]))) AS BIGINT) AS d
+        FROM cut JOIN b{r} USING (p))
+  GROUP BY vec_id, p)"""
+    move = """
+b{s} AS MATERIALIZED (
+  SELECT p, e, coalesce(moved, entry) AS entry
+  FROM b{r} LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS moved
+    FROM (SELECT p, best.e AS e, i, CAST(sum(sub[i]) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT p, best, sub, unnest(range(1, len(sub) + 1)) AS i FROM a{r}) GROUP BY p, best.e, i)
+    GROUP BY p, e) USING (p, e))"""
+    steps = [(assign.format(r=r), move.format(r=r, s=r + 1)) for r in range(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS sub
+  FROM (SELECT vec_id, v, unnest(range({parts})) AS p FROM kept)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, sub AS entry
+  FROM cut JOIN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{",".join(s for pair in steps for s in pair)},
+{assign.format(r=rounds)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books"""
+
+
+def hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
+
+
+HARD_NEGATIVES = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM kept a JOIN kept r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
+
 QUERIES = {
     "op1_harmonic_packing": (harmonic_packing, None),
     "op2_warc_in_zip": (warc_in_zip, WARC_IN_ZIP),
@@ -187,4 +259,6 @@ QUERIES = {
     "op8_quality_discriminant": (quality_discriminant, None),
     "op9_toxicity_chain": (toxicity, None),
     "op10_repeated_passages": (repeated_passages, None),
+    "op11_orchard_vector_codes": (vector_compression, _vector_compression_sql()),
+    "op13_onebit_hard_negatives": (hard_negative_mining, HARD_NEGATIVES),
 }
