@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chaffline.llm import (
     arrow_tokens, decontaminate, exact_dedup, hard_negatives, language_id, packing, quality_qda, repeats, simhash_trie,
-    toxicity_chain, vector_codes, warc_zip,
+    substrings, toxicity_chain, vector_codes, warc_zip,
 )
 
 # Seed words that tell kinds of toxic training documents apart.
@@ -221,6 +221,34 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM coded JOIN kept USING (vec_id), books"""
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeated_spans(table(spark, folder, "documents"), size=13)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["last"] - s["first"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+SUBSTRING_DEDUP = r"""
+WITH plain AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS first FROM plain WHERE len(words) >= 13),
+windows AS (
+  SELECT doc_id, first, array_to_string(words[first:first + 12], ' ') AS phrase FROM starts),
+earlier AS (SELECT phrase, min(doc_id) AS least FROM windows GROUP BY phrase),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, first + 13)) AS place
+  FROM windows JOIN earlier USING (phrase) WHERE doc_id > least),
+lists AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM plain)
+       ANTI JOIN gone USING (doc_id, place)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM plain LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
@@ -260,5 +288,6 @@ QUERIES = {
     "op9_toxicity_chain": (toxicity, None),
     "op10_repeated_passages": (repeated_passages, None),
     "op11_orchard_vector_codes": (vector_compression, _vector_compression_sql()),
+    "op12_suffix_automata": (substring_dedup, SUBSTRING_DEDUP),
     "op13_onebit_hard_negatives": (hard_negative_mining, HARD_NEGATIVES),
 }
