@@ -91,7 +91,7 @@ def streaming_forgetting_late(spark: SparkSession, folder: str) -> DataFrame:
         own = log.filter(F.pmod(F.xxhash64("step"), F.lit(STREAM_FILES)) == STREAM_FILES - 1 - part)
         own.orderBy(F.desc("step")).write.mode("append").parquet(f"{place}/log")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/log")
-    streaming.start_forgetting(stream, place, compact_every=4).awaitTermination()
+    streaming.start_forgetting(stream, place).awaitTermination()
     return streaming.read_forgetting_counts(spark, place)
 
 

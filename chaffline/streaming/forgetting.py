@@ -1,10 +1,12 @@
-"""Forgetting counts over an arriving prediction log.
-
-A micro-batch is cut into pieces: the rows of a sample, epoch and stretch of `SEGMENT_STEPS` steps,
-as sorted steps with their outcomes. Pieces are written, nothing is held as state, so rows may
-arrive in any order and at any time and a stream may run for ever. When counts are read the
-pieces of a segment are merged exactly. Every `compact_every` batches the pieces written so far
-become one base, so the number of folders stays bounded.
+"""Forgetting counts over an arriving prediction log, in Spark's keyed state.
+
+Two stateful steps. The first is keyed by (seed, sample, epoch, stretch of `SEGMENT_STEPS` steps) and
+keeps the outcomes of its steps as sorted offsets and bits, so rows may arrive in any order and at
+any time; of a segment that changed it emits a summary of one row. The second is keyed by (seed,
+sample), keeps the summaries of its segments, joins them end to end and emits the counts that
+changed. A sample with a large share of the log is so spread over many keys of the first step, and
+the second sees a row per segment. Reading counts costs a row per sample: they are read from the
+state itself, or taken from the stream of changes.
 """
 
 from __future__ import annotations
@@ -13,76 +15,107 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from chaffline.scorers.forgetting import join_segments
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 SEGMENT_STEPS = 100_000
-COMPACT_EVERY = 32
-
-_KEY = ["seed", "sample_id", "epoch", "segment"]
-# Steps are offsets inside the segment, 4 bytes each; outcomes are bits.
-_PIECE = "seed long, sample_id long, epoch long, segment long, n long, repeated long, steps binary, correct binary"
-_SEGMENT = (
-    "seed long, sample_id long, epoch long, first_step long, last_step long, first_correct int, "
-    "last_correct int, falls long, learnt int, n_rows long, repeated long"
-)
-
 
-def _pieces_of(rows: pa.Table) -> pa.Table:
-    steps = rows["step"].to_numpy()
-    correct = rows["correct"].to_numpy()
-    return _piece(rows, steps, correct, 0)
+_SEGMENT_KEY = ["seed", "sample_id", "epoch", "segment"]
+_SEGMENT = "first_correct int, last_correct int, falls long, learnt int, repeated long"
+_COUNTS = "seed long, sample_id long, forgetting long, ever_learnt boolean, repeated long"
+# Value of Spark's setting for a state store that these steps can use.
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _merge(pieces: pa.Table) -> pa.Table:
-    steps, correct = _unpack(pieces)
-    return _piece(pieces, steps, correct, int(np.sum(pieces["repeated"].to_numpy())))
+def merge_steps(
+    steps: np.ndarray, correct: np.ndarray, more: np.ndarray, outcomes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both sets of steps in order with their outcomes, and how many repeated a step.
 
-
-def _unpack(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    steps = [np.frombuffer(b, "<i4") for b in pieces["steps"].to_pylist()]
-    bits = [
-        np.unpackbits(np.frombuffer(b, np.uint8))[: len(s)]
-        for b, s in zip(pieces["correct"].to_pylist(), steps)
-    ]
-    return np.concatenate(steps), np.concatenate(bits)
-
-
-def _piece(keyed: pa.Table, steps: np.ndarray, correct: np.ndarray, repeated: int) -> pa.Table:
-    """One piece in step order. Of rows that repeat a step the wrong one counts, the rest are told."""
+    Of rows that repeat a step the wrong one counts.
+    """
+    steps, correct = np.concatenate([steps, more]), np.concatenate([correct, outcomes])
     order = np.lexsort((correct, steps))
     steps, correct = steps[order], correct[order]
-    new = np.concatenate(([True], np.diff(steps) != 0))
-    found = {k: keyed[k][:1] for k in _KEY}
-    found |= {
-        "n": pa.array([int(new.sum())], pa.int64()),
-        "repeated": pa.array([repeated + int((~new).sum())], pa.int64()),
-        "steps": pa.array([steps[new].astype("<i4").tobytes()], pa.binary()),
-        "correct": pa.array([np.packbits(correct[new].astype(bool)).tobytes()], pa.binary()),
-    }
-    return pa.table(found)
-
-
-def forgetting_pieces(log: DataFrame, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
-    """The pieces of a batch of the log: one row per segment that it touches."""
+    new = np.ones(len(steps), bool)
+    new[1:] = steps[1:] != steps[:-1]
+    return steps[new], correct[new], int((~new).sum())
+
+
+class SegmentProcessor(StatefulProcessor):
+    """Outcomes of the steps of a segment; emits its summary when rows have come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # Offsets inside the segment, 4 bytes each; outcomes as bits.
+        self._rows = handle.getValueState("rows", "n long, steps binary, correct binary, repeated long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        given = [(r.step, r.correct) for r in rows]
+        steps, outcomes = np.array(given, dtype=np.int64).reshape(-1, 2).T
+        known, correct, repeated = np.zeros(0, "<i4"), np.zeros(0, np.uint8), 0
+        held = self._rows.get()
+        if held is not None:
+            known = np.frombuffer(held[1], "<i4")
+            correct = np.unpackbits(np.frombuffer(held[2], np.uint8))[: held[0]]
+            repeated = held[3]
+        steps, correct, again = merge_steps(known, correct, steps.astype("<i4"), outcomes.astype(np.uint8))
+        repeated += again
+        self._rows.update((len(steps), steps.tobytes(), np.packbits(correct).tobytes(), repeated))
+        falls = int((correct[1:] < correct[:-1]).sum())
+        yield Row(
+            seed=key[0], sample_id=key[1], epoch=key[2], segment=key[3], first_correct=int(correct[0]),
+            last_correct=int(correct[-1]), falls=falls, learnt=int(correct.max()), repeated=repeated,
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class CountProcessor(StatefulProcessor):
+    """Summaries of the segments of a sample; emits its counts when a segment changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._segments = handle.getMapState("segments", "epoch long, segment long", _SEGMENT)
+        self._counts = handle.getValueState("counts", "forgetting long, ever_learnt boolean, repeated long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        changed = {(r.epoch, r.segment): (r.first_correct, r.last_correct, r.falls, r.learnt, r.repeated) for r in rows}
+        every = dict(changed)
+        if self._segments.exists():
+            every = {tuple(place): tuple(summary) for place, summary in self._segments.iterator()} | changed
+        for place, summary in changed.items():
+            self._segments.updateValue(place, summary)
+        ordered = [every[place] for place in sorted(every)]
+        # A step from correct to wrong may also lie between two segments.
+        between = sum(a[1] > b[0] for a, b in zip(ordered, ordered[1:]))
+        counts = (between + sum(s[2] for s in ordered), any(s[3] for s in ordered), sum(s[4] for s in ordered))
+        self._counts.update(counts)
+        yield Row(seed=key[0], sample_id=key[1], forgetting=counts[0], ever_learnt=counts[1], repeated=counts[2])
+
+    def close(self) -> None:
+        pass
+
+
+def count_changes(log: DataFrame, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
+    """The stream of changed counts (seed, sample_id, forgetting, ever_learnt, repeated) of a log.
+
+    A sample's latest row is its count so far; `repeated` tells how many of its rows repeated a step.
+    """
     keyed = log.select(
         F.col("seed").cast("long").alias("seed"),
         F.col("sample_id").cast("long").alias("sample_id"),
         F.col("epoch").cast("long").alias("epoch"),
-        F.call_function("div", F.col("step"), F.lit(segment_steps)).alias("segment"),
+        F.call_function("div", F.col("step"), F.lit(segment_steps)).cast("long").alias("segment"),
         F.pmod(F.col("step"), F.lit(segment_steps)).cast("int").alias("step"),
         F.col("correct").cast("int").alias("correct"),
     )
-    return keyed.groupBy(*_KEY).applyInArrow(_pieces_of, _PIECE)
-
-
-def merge_pieces(pieces: DataFrame) -> DataFrame:
-    """One piece per segment. A segment has at most one row per step, so a group stays bounded."""
-    return pieces.groupBy(*_KEY).applyInArrow(_merge, _PIECE)
+    key = "seed long, sample_id long, epoch long, segment long"
+    segments = keyed.groupBy(*_SEGMENT_KEY).transformWithState(
+        SegmentProcessor(), f"{key}, {_SEGMENT}", "Append", "None"
+    )
+    return segments.groupBy("seed", "sample_id").transformWithState(CountProcessor(), _COUNTS, "Append", "None")
 
 
 def start_forgetting(
@@ -90,96 +123,51 @@ def start_forgetting(
     folder: str,
     segment_steps: int = SEGMENT_STEPS,
     trigger: dict[str, Any] | None = None,
-    compact_every: int = COMPACT_EVERY,
+    on_change=None,
 ) -> StreamingQuery:
-    """Run the operator; pieces go to `folder`/pieces, one directory per batch.
+    """Run the operator with its state and progress in `folder`.
 
-    A repeated batch replaces its own directory, so a restart does not count twice. A base is
-    complete once it has its success mark; only then are the directories it holds removed.
+    `on_change(counts, batch_id)` gets the changed counts of each batch; without it they stay in the
+    state, from which `read_forgetting_counts` takes them.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        pieces = forgetting_pieces(batch, segment_steps)
-        pieces.write.mode("overwrite").parquet(f"{folder}/pieces/batch={batch_id}")
-        if (batch_id + 1) % compact_every == 0:
-            old = [p for p in _current(spark, folder) if not p.endswith(f"/base/upto={batch_id}")]
-            merged = merge_pieces(spark.read.schema(_PIECE).parquet(*old))
-            merged.write.mode("overwrite").parquet(f"{folder}/base/upto={batch_id}")
-            for path in old:
-                _path(spark, path)[1].delete(_path(spark, path)[0], True)
-
-    return (
-        log.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def _path(spark: SparkSession, place: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def _complete(spark: SparkSession, folder: str, kind: str) -> dict[int, str]:
-    """The written directories `kind`=number below a folder that have their success mark."""
-    path, files = _path(spark, folder)
-    if not files.exists(path):
-        return {}
-    found = {}
-    for status in files.listStatus(path):
-        name = status.getPath().getName()
-        place = f"{folder}/{name}"
-        if name.startswith(f"{kind}=") and files.exists(_path(spark, f"{place}/_SUCCESS")[0]):
-            found[int(name.split("=")[1])] = place
-    return found
-
-
-def _current(spark: SparkSession, folder: str) -> list[str]:
-    """The newest base and the batches after it."""
-    bases = _complete(spark, f"{folder}/base", "upto")
-    newest = max(bases, default=-1)
-    batches = _complete(spark, f"{folder}/pieces", "batch")
-    return [p for b, p in bases.items() if b == newest] + [p for b, p in sorted(batches.items()) if b > newest]
-
-
-def _summaries(batches: Iterator[pa.RecordBatch], segment_steps: int) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _SEGMENT.split(", ")]
-    for batch in batches:
-        rows = []
-        for i in range(batch.num_rows):
-            one = pa.Table.from_batches([batch.slice(i, 1)])
-            steps, correct = _unpack(one)
-            seed, sample, epoch, segment = (one[k][0].as_py() for k in _KEY)
-            base = segment * segment_steps
-            falls = int((np.diff(correct.astype(np.int8)) < 0).sum())
-            rows.append(
-                (seed, sample, epoch, base + int(steps[0]), base + int(steps[-1]), int(correct[0]))
-                + (int(correct[-1]), falls, int(correct.max()), len(steps), one["repeated"][0].as_py())
-            )
-        types = [pa.int32() if n in ("first_correct", "last_correct", "learnt") else pa.int64() for n in names]
-        columns = zip(*rows) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-
-def latest_segments(spark: SparkSession, folder: str, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
-    """Each segment as of everything written so far."""
-    places = _current(spark, folder)
-    if not places:
-        return spark.createDataFrame([], _SEGMENT)
-    merged = merge_pieces(spark.read.schema(_PIECE).parquet(*places))
-    return merged.mapInArrow(lambda batches: _summaries(batches, segment_steps), _SEGMENT)
-
-
-def read_forgetting_counts(
-    spark: SparkSession, folder: str, segment_steps: int = SEGMENT_STEPS
-) -> DataFrame:
-    """(seed, sample_id, forgetting, ever_learnt) over everything written so far."""
-    segments = latest_segments(spark, folder, segment_steps)
-    return join_segments(segments.withColumn("first_at", F.struct("epoch", "first_step")))
+    spark = log.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    # The query keeps the setting it starts with.
+    spark.conf.set(setting, _STORE)
+    try:
+        writer = count_changes(log, segment_steps).writeStream.outputMode("append")
+        writer = writer.format("noop") if on_change is None else writer.foreachBatch(on_change)
+        return (
+            writer.option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(seed, sample_id, forgetting, ever_learnt, repeated) as the state has them after the last batch."""
+    place = f"{folder}/checkpoint"
+    try:
+        steps = spark.read.format("state-metadata").load(place).select("operatorId", "operatorProperties").distinct()
+        known = [r.operatorId for r in steps.collect() if '"counts"' in r.operatorProperties]  # a row per step
+    except AnalysisException as missing:
+        if "STDS" not in str(missing) and "PATH_NOT_FOUND" not in str(missing):
+            raise
+        known = []
+    if not known:
+        return spark.createDataFrame([], _COUNTS)
+    state = spark.read.format("statestore").option("operatorId", known[0]).option("stateVarName", "counts").load(place)
+    return state.select("key.seed", "key.sample_id", "value.forgetting", "value.ever_learnt", "value.repeated")
+
+
+def read_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(seed, sample_id, forgetting, ever_learnt) over all batches so far."""
+    return _counts(spark, folder).drop("repeated")
 
 
 def repeated_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row: how many rows repeated a step that was there already."""
-    return latest_segments(spark, folder).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated"))
+    return _counts(spark, folder).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated"))

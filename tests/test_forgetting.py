@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,12 +124,11 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path, segment_steps, order)
     for start in order:
         part = log.filter(F.col("step").between(start, start + 9))
         part.coalesce(1).write.mode("append").parquet(source)
-        # Each call takes up where the one before stopped; the second one finds a base.
+        # Each call takes up where the one before stopped.
         stream = spark.readStream.schema(LOG).parquet(source)
-        S.start_forgetting(stream, place, segment_steps, compact_every=2).awaitTermination()
-    assert as_dict(S.read_forgetting_counts(spark, place, segment_steps)) == python_counts(sequences)
+        S.start_forgetting(stream, place, segment_steps).awaitTermination()
+    assert as_dict(S.read_forgetting_counts(spark, place)) == python_counts(sequences)
     assert S.repeated_rows(spark, place).first().repeated == 0
-    assert [p.rsplit("/", 1)[1] for p in S._current(spark, place)] == ["upto=1", "batch=2"]
 
 
 def test_interleaved_late_rows_are_merged(spark, tmp_path):
@@ -152,5 +153,23 @@ def test_repeated_rows_are_told(spark, tmp_path):
     assert S.repeated_rows(spark, place).first().repeated == 1
 
 
+def test_only_changed_counts_are_emitted(spark, tmp_path):
+    source, place, seen = str(tmp_path / "log"), str(tmp_path / "out"), []
+
+    def note(counts, _):
+        seen.append({(r.sample_id, r.forgetting) for r in counts.collect()})
+
+    for rows in ([(0, 1, 0, 0, 1), (0, 2, 0, 0, 1)], [(0, 2, 0, 9, 0)], [(0, 1, 1, 0, 0), (0, 2, 0, 5, 0), (0, 2, 0, 7, 1)]):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(LOG).parquet(source)
+        S.start_forgetting(stream, place, segment_steps=4, on_change=note).awaitTermination()
+    assert seen == [{(1, 0), (2, 0)}, {(2, 1)}, {(1, 1), (2, 2)}]
+
+
+def test_merge_of_steps():
+    steps, correct, repeated = S.merge_steps(np.array([1, 5]), np.array([1, 1]), np.array([5, 0, 9, 9]), np.array([0, 1, 1, 1]))
+    assert (steps.tolist(), correct.tolist(), repeated) == ([0, 1, 5, 9], [1, 1, 0, 1], 2)
+
+
 def test_nothing_written_yet(spark, tmp_path):
     assert S.read_forgetting_counts(spark, str(tmp_path)).collect() == []
