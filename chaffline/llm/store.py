@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from chaffline.session import checkpoint_folder
 
@@ -18,6 +18,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write `frame` as a table of its own in the shared folder and return the written rows.
+
+    Compressed and read by columns, where `cut_lineage` keeps whole rows; the files stay.
+    """
+    spark = frame.sparkSession
+    path = f"{new_folder(spark, name)}/rows"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it of a path or URI."""
     if uri.startswith("file:"):

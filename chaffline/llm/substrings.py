@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chaffline.llm.arrays import ragged, raw, slices, texts_of
+from chaffline.llm.store import stored
 from chaffline.session import broadcast_if_small, cut_lineage
 
 #: Words of an anchor gram.
@@ -38,8 +39,12 @@ GRAM = 5
 TEXT_BYTES = 2 << 20
 #: Reference windows in a shard, about.
 SHARD_WINDOWS = 40_000
-#: Windows of a stretch that go to one shard together.
-RUN_WINDOWS = 4096
+#: Windows of a stretch at most: a window's place has so many bits beside the number of its stretch.
+PLACE_BITS = 12
+#: Stretches of a partition, at most: a number of these bits beside the partition's.
+STRETCH_BITS = 24
+#: Neighbouring windows of a stretch that go to one shard together.
+TOGETHER_BITS = 9
 #: Windows that are streamed against a shard in one task, about.
 STREAM_WINDOWS = 400_000
 #: Bits of the map of anchors: 16 to 32 for each, and never more than 2**29 (64 MiB).
@@ -207,10 +212,11 @@ def _marked(hashes: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
 def stretches(documents: DataFrame, size: int, doc: str, text: str) -> DataFrame:
     """(doc, key, start, n, words): runs of n windows whose anchors several documents may have.
 
-    `key` is a hash of the whole text, `start` the run's first word; at most RUN_WINDOWS windows a run.
+    `key` is a hash of the whole text, `start` the run's first word; at most 2**PLACE_BITS windows a run.
     """
     marks, bits = anchor_map(cut_lineage(repeated_anchors(documents, size, doc, text)))
     sent = documents.sparkSession.sparkContext.broadcast(marks)
+    most = 1 << PLACE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(sent.value, np.uint8)
@@ -226,8 +232,8 @@ def stretches(documents: DataFrame, size: int, doc: str, text: str) -> DataFrame
             first = np.flatnonzero(fresh)
             # Long runs are cut; the window at a cut begins the next piece.
             lengths = np.diff(np.append(first, len(starts)))
-            pieces = -(-lengths // RUN_WINDOWS)
-            begin = np.repeat(first, pieces) + ragged(np.zeros(len(first), np.int64), pieces) * RUN_WINDOWS
+            pieces = -(-lengths // most)
+            begin = np.repeat(first, pieces) + ragged(np.zeros(len(first), np.int64), pieces) * most
             end = np.append(begin[1:], len(starts)) - 1
             texts = [words.text(starts[a], starts[b] + size) for a, b in zip(begin.tolist(), end.tolist())]
             rows = pa.array(owner[begin])
@@ -244,7 +250,7 @@ def stretches(documents: DataFrame, size: int, doc: str, text: str) -> DataFrame
 
 def _window_rows(size: int, turn: int, bits: int):
     """Windows of stretches with hashes of a turn's own; `bits` of a hash are used."""
-    base = np.uint64(_GRAM_BASE + 4 * turn + 2)
+    base, place_bits = np.uint64(_GRAM_BASE + 4 * turn + 2), PLACE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "words", TEXT_BYTES):
@@ -253,10 +259,10 @@ def _window_rows(size: int, turn: int, bits: int):
             own = _mixed(words.hashes + base)
             found = _stretch_hashes(own, starts, starts + size, int(base) | 1) >> np.uint64(64 - bits)
             owner = np.searchsorted(words.edges, starts, side="right") - 1
-            rows = pa.array(owner)
+            place = (np.asarray(batch.column("sid"))[owner] << place_bits) + starts - words.edges[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), batch.column("doc").take(rows), batch.column("sid").take(rows), pa.array((starts - words.edges[owner]).astype(np.int32))],
-                ["hash", "doc", "sid", "at"],
+                [pa.array(found.view(np.int64)), batch.column("doc").take(pa.array(owner)), pa.array(place)],
+                ["hash", "doc", "place"],
             )
 
     return run
@@ -341,11 +347,11 @@ def _stream(size: int):
         automaton = SuffixAutomaton([(d, t.split(" ")) for d, t in zip(shard["doc"].to_pylist(), shard["words"].to_pylist())])
         out: list[tuple[int, int, int, bool]] = []
         for sid, doc, start, count, text in zip(*(asked[c].to_pylist() for c in ("sid", "doc", "start", "n", "words"))):
-            hit = np.zeros(count, bool)
+            hit = np.full(count, -1, np.int8)
             for end, smallest in automaton.matches(text.split(" "), size):
                 hit[end - size] = smallest < doc
-            edges = np.flatnonzero(np.diff(hit, prepend=~hit[0], append=~hit[-1]))
-            out += [(sid, start + int(a), start + int(b), bool(hit[a])) for a, b in zip(edges, edges[1:])]
+            edges = np.flatnonzero(np.diff(hit, prepend=2, append=2))
+            out += [(sid, start + int(a), start + int(b), hit[a] > 0) for a, b in zip(edges, edges[1:]) if hit[a]]
         columns = list(zip(*out)) if out else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "first", "last", "found"])
@@ -353,9 +359,6 @@ def _stream(size: int):
     return run
 
 
-_RUN = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())]))
-
-
 def _cut_runs(size: int, columns: list[str]):
     """Rows with a stretch's words and window starts (ascending) as one row for each run of windows."""
 
@@ -383,23 +386,22 @@ def _cut_runs(size: int, columns: list[str]):
 
 def _round(runs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     """Spans (sid, first, last, found) of the windows that were sent to a shard; in windows of a stretch."""
-    place = F.struct("doc", "sid", "at")
-    first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max("doc").alias("high")).where("first.doc < high")
-    first = cut_lineage(first.select("hash", F.col("first.doc").alias("first_doc"), F.col("first.sid").alias("first_sid"), F.col("first.at").alias("first_at")))
+    first = windows.groupBy("hash").agg(
+        F.min_by("place", "doc").alias("first"), F.min("doc").alias("low"), F.max("doc").alias("high")
+    )
+    first = stored(first.where("low < high").select("hash", "first", "low"), "windows")
     shards = max(1, -(-first.count() // SHARD_WINDOWS))
     # Neighbouring first windows share a shard, so that runs of them stay whole.
-    shard = F.pmod(F.xxhash64("first_sid", F.shiftright("first_at", 9)), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64(F.shiftright("first", TOGETHER_BITS)), F.lit(shards)).alias("shard")
     texts = runs.select("sid", "doc", "words")
-    schema = "shard long, doc long, start long, n long, words string"
-    reference = (
-        first.groupBy(shard, F.col("first_sid").alias("sid")).agg(F.collect_list("first_at").alias("places"))
-        .join(texts, "sid").mapInArrow(_cut_runs(size, ["shard", "doc"]), schema)
-    )
-    asked = windows.join(first, "hash").where("doc > first_doc").select(shard, "sid", "at", "hash")
-    asked = asked.groupBy("shard", "sid").agg(F.collect_list("at").alias("places"))
-    asked = cut_lineage(
-        asked.join(texts, "sid").mapInArrow(_cut_runs(size, ["shard", "sid", "doc"]), "shard long, sid long, doc long, start long, n long, words string")
-    )
+    sid, at = F.shiftright("place", PLACE_BITS).alias("sid"), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1)
+    places = F.collect_list(at.cast("int")).alias("places")
+    cut = "shard long, {}doc long, start long, n long, words string"
+    reference = first.select(shard, F.col("first").alias("place")).groupBy("shard", sid).agg(places)
+    reference = reference.join(texts, "sid").mapInArrow(_cut_runs(size, ["shard", "doc"]), cut.format(""))
+    asked = windows.join(first, "hash").where("doc > low").select(shard, "place").groupBy("shard", sid).agg(places)
+    asked = asked.join(texts, "sid").mapInArrow(_cut_runs(size, ["shard", "sid", "doc"]), cut.format("sid long, "))
+    asked = stored(asked, "streams")
     pieces = asked.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WINDOWS).cast("int").alias("pieces"))
     pieces = broadcast_if_small(cut_lineage(pieces))
     dealt = asked.join(pieces, "shard").withColumn("piece", F.pmod(F.xxhash64("sid", "start"), F.col("pieces")).cast("int"))
@@ -419,30 +421,35 @@ def repeated_spans(documents: DataFrame, size: int, doc: str, text: str, bits: i
     sent; fewer cost more rounds and change nothing else.
     """
     known = documents.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
+    number = F.monotonically_increasing_id()
+    row, part = number.bitwiseAND((1 << 33) - 1), F.shiftright(number, 33)
+    sid = F.when(row < 1 << STRETCH_BITS, F.shiftleft(part, STRETCH_BITS) + row).otherwise(
+        F.raise_error(F.lit("a partition has too many stretches")).cast("long")
+    )
     every = stretches(known, size, "doc", "text").withColumn("digest", F.unhex(F.sha2("words", 256)))
-    every = cut_lineage(every.withColumn("sid", F.monotonically_increasing_id()))
+    every = stored(every.withColumn("sid", sid), "stretches")
     # Of equal stretches the one of the smallest document is streamed; in later documents all of it goes.
     chief = every.groupBy("digest").agg(F.min(F.struct("doc", "sid")).alias("chief"))
     chief = cut_lineage(chief.select("digest", F.col("chief.doc").alias("chief_doc"), F.col("chief.sid").alias("chief_sid")))
-    runs = cut_lineage(every.join(chief.select(F.col("chief_sid").alias("sid")), "sid", "left_semi").select("sid", "doc", "words"))
+    runs = stored(every.join(chief.select(F.col("chief_sid").alias("sid")), "sid", "left_semi").select("sid", "doc", "words"), "runs")
 
     spans, pending, turn = [], runs, 0
     while True:
         rows = _window_rows(size, turn, min(bits + 8 * turn, 64))
-        windows = pending.mapInArrow(rows, "hash long, doc long, sid long, at int")
+        windows = pending.mapInArrow(rows, "hash long, doc long, place long")
         if turn:
-            windows = windows.join(places, ["sid", "at"], "left_semi")
+            windows = windows.join(places, "place", "left_semi")
         found = _round(runs, windows, size)
         spans.append(found.where("found").select("sid", "first", "last"))
         vain = found.where("NOT found")
         if vain.isEmpty():
             break
         # All windows of a hash that sent one in vain go again, as the first of them may share it.
-        starts = F.sequence(F.col("first").cast("int"), F.col("last").cast("int") - 1)
-        vain = vain.select("sid", F.explode(starts).alias("at"))
-        hashes = windows.join(vain, ["sid", "at"], "left_semi").select("hash").distinct()
-        places = cut_lineage(windows.join(hashes, "hash", "left_semi").select("sid", "at"))
-        pending = runs.join(places.select("sid").distinct(), "sid", "left_semi")
+        begin = F.shiftleft("sid", PLACE_BITS)
+        vain = vain.select(F.explode(F.sequence(begin + F.col("first"), begin + F.col("last") - 1)).alias("place"))
+        hashes = windows.join(vain, "place", "left_semi").select("hash").distinct()
+        places = cut_lineage(windows.join(hashes, "hash", "left_semi").select("place"))
+        pending = runs.join(places.select(F.shiftright("place", PLACE_BITS).alias("sid")).distinct(), "sid", "left_semi")
         turn += 1
     found = reduce(DataFrame.union, spans).groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     own = every.drop("words").join(chief, "digest")
