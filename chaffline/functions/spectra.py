@@ -76,7 +76,15 @@ def correlation_dimension(points: np.ndarray, neighbours: int = NEIGHBOURS) -> f
     if high <= low:
         return DEFAULT_DIMENSION
     radii = np.logspace(np.log10(low), np.log10(high), RADII)
-    within = np.searchsorted(np.sort(distances), radii, side="left") / n / (n - 1)
+    return dimension_of_counts(low, high, n, np.searchsorted(np.sort(distances), radii, side="left"))
+
+
+def dimension_of_counts(low: float, high: float, n: float, counts: np.ndarray) -> float:
+    """The dimension from how many distances of n points lie within each of the radii from low to high."""
+    if high <= low:
+        return DEFAULT_DIMENSION
+    radii = np.logspace(np.log10(low), np.log10(high), RADII)
+    within = counts / n / (n - 1)
     seen = within > TINY
     if seen.sum() < 3:
         return DEFAULT_DIMENSION

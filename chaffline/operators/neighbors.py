@@ -351,6 +351,33 @@ def _meet(k: int):
     return meet
 
 
+def nearest_within(points: DataFrame, k: int, keys: list[str], rows_per_block: int = BOUNDED_BLOCK) -> DataFrame:
+    """(*keys, sample_id, nearest): like `nearest_distances`, within each group of `keys`.
+
+    Groups may be of any size: one of more than `rows_per_block` rows is dealt into blocks, a pair of
+    blocks being a task group, so a hot group is spread over all cores and no group is held whole.
+    `points` has the columns keys, sample_id (a row's own) and vector, and must be written.
+    """
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_blocks"))
+    sizes = cut_lineage(sizes)
+    pairs = sizes.agg(F.coalesce(F.sum(F.expr("_blocks * (_blocks + 1) div 2")), F.lit(0))).first()[0]
+    own, other = F.col("block"), F.col("_other")
+    dealt = (
+        points.join(broadcast_if_small(sizes), keys)
+        .withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select(
+            *keys, F.least(own, other).alias("row_block"), F.greatest(own, other).alias("col_block"), "block",
+            "sample_id", "vector",
+        )
+    )
+    found = _per_pair(dealt, k, max(pairs, 1), *keys)
+    # A row comes once for each block of its group, with k values at most.
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("nearest"))), 1, k)
+    best = found.groupBy("sample_id").agg(merged.alias("distances"))
+    return points.select(*keys, "sample_id").join(best, "sample_id")
+
+
 def nearest_distances(
     vectors: DataFrame,
     k: int,

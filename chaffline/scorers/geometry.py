@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chaffline.functions import spectra
 from chaffline.operators.neighbors import largest_similarity, nearest_distances
 from chaffline.operators.positions import with_position
-from chaffline.session import cut_lineage
+from chaffline.operators.selection import quantiles
+from chaffline.session import broadcast_if_small, cut_lineage
 
 # Fixed values of the two-neighbour estimator and of the density score.
 SHORTEST_DISTANCE = 1e-12
@@ -129,37 +133,40 @@ def correlation_dimension(
     if n < spectra.MIN_POINTS:
         return answer(spectra.DEFAULT_DIMENSION)
     k = min(neighbours, n - 1)
-    distances = nearest_distances(features, k, column).select(
-        "sample_id", F.posexplode("distances").alias("_i", "distance")
-    )
-    placed = with_position(distances, ["distance", "sample_id", "_i"])
-    low, high = exact_quantiles(
-        placed, "distance", n * k, [spectra.LOW_QUANTILE, spectra.HIGH_QUANTILE]
-    )
-    low = max(low, spectra.TINY)
-    if high <= low:
-        return answer(spectra.DEFAULT_DIMENSION)
-    radii = np.logspace(np.log10(low), np.log10(high), spectra.RADII)
-    counted = placed.agg(*[F.count_if(F.col("distance") < float(r)) for r in radii]).first()
-    within = np.array(counted, dtype=np.float64) / n / (n - 1)
-    seen = within > spectra.TINY
-    if seen.sum() < 3:
-        return answer(spectra.DEFAULT_DIMENSION)
-    slope = spectra.slope_of_middle(np.log(radii[seen]), np.log(within[seen]))
-    return answer(max(slope, spectra.SMALLEST_DIMENSION))
-
-
-def exact_quantiles(placed: DataFrame, column: str, n: int, shares: list[float]) -> list[float]:
-    """Interpolated quantiles of a positioned column of n rows: two rows are read for each."""
-    wanted = []
-    for share in shares:
-        below = math.floor((n - 1) * share)
-        for position in (below, min(below + 1, n - 1)):
-            wanted.append(F.max(F.when(F.col("position") == position, F.col(column))))
-    values = placed.agg(*wanted).first()
-    found = []
-    for i, share in enumerate(shares):
-        low, high = values[2 * i], values[2 * i + 1]
-        part = (n - 1) * share - math.floor((n - 1) * share)
-        found.append(low + (high - low) * part)
-    return found
+    distances = cut_lineage(nearest_distances(features, k, column).select("distances"))
+    found = correlation_slopes(distances, n, []).first()
+    return answer(found.dimension if found else spectra.DEFAULT_DIMENSION)
+
+
+def _number_below(radius: Column) -> Column:
+    return F.size(F.filter("distances", lambda d: d < radius))
+
+
+def correlation_slopes(distances: DataFrame, n: int | Column, within: list[str]) -> DataFrame:
+    """(*within, dimension) from the nearest distances of the points of each cloud.
+
+    `distances` holds a row (*within, distances) for each point and is read a few times, never sorted:
+    the two radii are selected by histograms, then each task counts what lies within the radii.
+    `n` is the number of points of a cloud, or a column of `distances` with it.
+    """
+    values = distances.select(*within, F.explode("distances").alias("distance"))
+    ends = quantiles(values, "distance", [spectra.LOW_QUANTILE, spectra.HIGH_QUANTILE], within)
+    ends = cut_lineage(ends.select(*within, F.greatest("q0", F.lit(spectra.TINY)).alias("_low"), F.col("q1").alias("_high")))
+    joined = distances.join(broadcast_if_small(ends), within) if within else distances.crossJoin(F.broadcast(ends))
+    step = (F.log10("_high") - F.log10("_low")) / (spectra.RADII - 1)
+    inner = [F.pow(F.lit(10.0), F.log10("_low") + step * i) for i in range(spectra.RADII)]
+    counted = [F.coalesce(F.sum(_number_below(r)), F.lit(0)).alias(f"_c{i}") for i, r in enumerate(inner)]
+    size = F.max(F.lit(n) if isinstance(n, int) else n).cast("double").alias("_n")
+    counts = joined.groupBy(*within, "_low", "_high").agg(size, *counted)
+
+    def slope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, size = (batch.column(c).to_numpy() for c in ("_low", "_high", "_n"))
+            counts = np.array([batch.column(f"_c{i}").to_numpy() for i in range(spectra.RADII)], float).T
+            found = [spectra.dimension_of_counts(*row) for row in zip(low, high, size, counts.reshape(-1, spectra.RADII))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in within), pa.array(found, pa.float64())], [*within, "dimension"]
+            )
+
+    schema = T.StructType([*(counts.schema[c] for c in within), T.StructField("dimension", T.DoubleType())])
+    return counts.mapInArrow(slope, schema)

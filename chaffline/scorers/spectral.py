@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from chaffline.functions import spectra
 from chaffline.functions.arrays import as_matrix
 from chaffline.functions.keys import seeded_key
+from chaffline.operators.neighbors import nearest_within
+from chaffline.scorers.geometry import correlation_slopes
+from chaffline.session import broadcast_if_small, cut_lineage
 
+# Points of a layer up to which one task measures it.
+LAYER_POINTS = 4096
 # Seed of the draw of points, where one is asked for.
 POINTS_SEED = 0
 # Rows of a layer's factors that meet in one group before they are reduced again.
@@ -144,7 +149,9 @@ def correlation_scores(
 
     All points of a layer count; `max_points` asks for a seeded draw of at most so many. Each
     point's `neighbours` nearest ones enter the correlation integral, which is part of the
-    estimator.
+    estimator. A layer of up to `LAYER_POINTS` points is measured by one task; of a larger one
+    blocks of points are compared pair by pair, its quantiles are selected by histograms and its
+    counts are added up, so that it takes all cores and is held by none.
     """
     rows = hidden
     if max_points is not None:
@@ -160,12 +167,34 @@ def correlation_scores(
         "layer",
         F.col("vector").cast("array<double>").alias("vector"),
     )
-    dimensions = points.groupBy("sample_id", "layer").applyInArrow(
-        _layer_dimension(neighbours), "sample_id long, dimension double"
-    )
+    layer = ["sample_id", "layer"]
+    sizes = points.groupBy(*layer).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > LAYER_POINTS))
+    if large.isEmpty():
+        small = points
+    else:
+        hinted = broadcast_if_small(large)
+        small = points.join(hinted, layer, "left_anti")
+    dimensions = small.groupBy(*layer).applyInArrow(_layer_dimension(neighbours), "sample_id long, dimension double")
+    if not large.isEmpty():
+        long_layers = _long_dimensions(points.join(hinted, layer), neighbours)
+        dimensions = dimensions.unionByName(long_layers)
     ids = hidden.select(F.col("sample_id").cast("long").alias("sample_id")).distinct()
     means = dimensions.groupBy("sample_id").agg(F.avg("dimension").alias("_mean"))
     default = F.lit(spectra.DEFAULT_DIMENSION)
     return ids.join(means, "sample_id", "left").select(
         "sample_id", F.round(F.coalesce("_mean", default), digits).alias("score")
     )
+
+
+def _long_dimensions(points: DataFrame, neighbours: int) -> DataFrame:
+    """(sample_id, dimension) of layers (sample_id, layer, vector, _n) of any size."""
+    named = points.select(
+        F.col("sample_id").alias("_sample"), F.col("layer").alias("_layer"), "_n", "vector",
+        F.monotonically_increasing_id().alias("sample_id"),
+    )
+    written = cut_lineage(named)  # a point's number must stay its own
+    keys = ["_sample", "_layer", "_n"]
+    near = cut_lineage(nearest_within(written, neighbours, keys).drop("sample_id"))
+    found = correlation_slopes(near, F.col("_n"), ["_sample", "_layer"])
+    return found.select(F.col("_sample").alias("sample_id"), "dimension")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chaffline.functions import spectra
+from chaffline.operators.neighbors import nearest_within
 from chaffline.scorers import spectral
 from chaffline.scorers.registry import get_scorer
 
@@ -129,6 +130,21 @@ def test_all_points_of_a_long_layer_count(spark):
     assert found == pytest.approx(brute_dimension(points.astype(float)), rel=1e-6)
 
 
+@pytest.mark.parametrize("most", [50, 700])
+def test_long_layers_are_measured_in_blocks(spark, monkeypatch, most):
+    """Layers beyond the bound beside shorter ones; the same numbers as from one task each."""
+    monkeypatch.setattr(spectral, "LAYER_POINTS", most)
+    monkeypatch.setattr(spectral, "nearest_within", lambda p, k, keys: nearest_within(p, k, keys, rows_per_block=90))
+    rng = np.random.default_rng(11)
+    clouds = [[rng.normal(size=(n, d)) for n, d in own] for own in (((800, 3), (40, 2)), ((60, 4),), ((3, 2),), ((710, 2), (800, 1)))]
+    clouds[1].append(np.ones((900, 2)))  # copies of one point
+    hidden = table(spark, [[c.astype(np.float32) for c in own] for own in clouds])
+    got = {r.sample_id: r.score for r in spectral.correlation_scores(hidden).collect()}
+    for i, own in enumerate(clouds):
+        layers = [spectra.correlation_dimension(c.astype(np.float32).astype(float)) for c in own if len(c) >= 5]
+        assert got[i] == pytest.approx(np.mean(layers) if layers else 1.0, rel=1e-6)
+
+
 def test_a_hot_layer_leaves_a_partition_as_one_factor(spark):
     rng = np.random.default_rng(9)
     points = rng.normal(size=(20_000, 6)).astype(np.float32)
