@@ -1,16 +1,18 @@
-"""SimHash near-duplicates: a self-join of binary tries under a Hamming error budget.
-
-Fingerprints that differ in at most k of 64 bits agree in at least one of k + 1 blocks of bits. For
-each block the fingerprints with the same block value form a binary trie over their other bits.
-Node pairs of a trie are walked together, one bit a step, the bits in which they differ add up,
-and a pair beyond the budget is dropped with all that lies below. A trie lives in one task as a
-sorted array, a node being a range of it; many tries of a partition are walked at once.
-Tries larger than `TRIE_ROWS` are dealt out in pieces, each pair of pieces being a task of its own.
+"""SimHash near-duplicates: a self-join of one binary trie under a Hamming error budget.
+
+All distinct fingerprints form one binary trie over their bits, from the highest on. Pairs of its
+nodes are walked together, one bit a step; the bits in which they differ add up, and a pair beyond the
+budget is dropped with all that lies below. The trie is partitioned by its leading bits: a piece is
+what lies below a node, and the pairs of nodes that are within the budget there are all that
+tasks get; others are dropped before a row moves. Crowded nodes are cut further, by their last bits,
+as what lies below one node may agree in many of the next. A piece lives in a task as a sorted
+array, a node being a range of it; many pairs are walked at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,18 @@ from pyspark.sql import types as T
 
 from chaffline.llm.arrays import LOWER_ASCII, slices, texts_of
 from chaffline.llm.components import components
-from chaffline.session import cut_lineage
+from chaffline.session import broadcast_if_small, cut_lineage
 
 BITS = 64
 SEED = 42
-#: Fingerprints of one trie that a task takes whole.
+#: Fingerprints below a node of the partition, on average.
 TRIE_ROWS = 20_000
+#: Bits by which the trie is partitioned, and by which a crowded node is cut further, at most.
+MOST_PREFIX, MOST_FURTHER = 20, 12
 #: Node pairs with at most so many pairs of fingerprints below them are compared directly.
-LEAF_PAIRS = 256
+LEAF_PAIRS = 16
 #: Pairs that are held at once.
-PAIRS_AT_ONCE = 2 << 20
+PAIRS_AT_ONCE = 1 << 19
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -88,19 +92,14 @@ def fingerprints(
     return chosen.mapInArrow(run, schema)
 
 
-def block_edges(budget: int) -> list[tuple[int, int]]:
-    """The (first bit, number of bits) of budget + 1 blocks, counted from the highest bit."""
-    cuts = [round(i * BITS / (budget + 1)) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _join_tries(values: np.ndarray, sides: np.ndarray, groups: np.ndarray, budget: int, counts: dict | None = None):
+    """Index pairs within the budget, walking all pairs of pieces of the sorted rows at once.
 
-
-def _join_tries(values: np.ndarray, sides: np.ndarray, groups: np.ndarray, budget: int):
-    """Index pairs within the budget, walking all tries of the sorted rows at once.
-
-    `groups` numbers the tries, ascending, `sides` is 0 or 1 within a trie that was split in two
-    pieces (only pairs between pieces count), and -1 where the trie is whole; rows are sorted by
-    (group, side, value).
+    `groups` numbers the pairs of pieces, ascending, `sides` is 0 or 1 for the two pieces (only pairs
+    between them count), and -1 where a piece meets itself; rows are sorted by (group, side, value).
+    `counts`, if given, adds up the node pairs that are walked, pruned and compared directly.
     """
+    counts = {} if counts is None else counts
     edges = np.flatnonzero(np.concatenate(([True], (np.diff(groups) != 0) | (np.diff(sides) != 0), [True])))
     low, high = edges[:-1], edges[1:]
     whole = sides[low] < 0
@@ -119,6 +118,7 @@ def _join_tries(values: np.ndarray, sides: np.ndarray, groups: np.ndarray, budge
             stack.append((a[half:], a_end[half:], b[half:], b_end[half:], errors[half:], bit))
             a, a_end, b, b_end, errors = a[:half], a_end[:half], b[:half], b_end[:half], errors[:half]
         leaf = ((a_end - a) * (b_end - b) <= LEAF_PAIRS) | (bit == BITS)
+        counts["leaves"] = counts.get("leaves", 0) + int(leaf.sum())
         yield from _compare(values, a[leaf], a_end[leaf], b[leaf], b_end[leaf], budget)
         inner = ~leaf
         if not inner.any():
@@ -134,7 +134,10 @@ def _join_tries(values: np.ndarray, sides: np.ndarray, groups: np.ndarray, budge
             (a_mid[other], a_end[other], b[other], b_mid[other], errors[other] + 1),
         ]
         a, a_end, b, b_end, errors = (np.concatenate(x) for x in zip(*children))
-        keep = (a < a_end) & (b < b_end) & (errors <= budget)
+        there = (a < a_end) & (b < b_end)
+        keep = there & (errors <= budget)
+        counts["walked"] = counts.get("walked", 0) + int(keep.sum())
+        counts["pruned"] = counts.get("pruned", 0) + int((there & ~keep).sum())
         stack.append((a[keep], a_end[keep], b[keep], b_end[keep], errors[keep], bit + 1))
 
 
@@ -229,43 +232,64 @@ def _of_table(table: pa.Table, budget: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], ["a", "b"])
 
 
+def prefix_pairs(values: DataFrame, budget: int, rows_per_node: int | None = None) -> DataFrame:
+    """Rows (node, fingerprint) as (node, fingerprint, trie, side), once for each pair of trie nodes.
+
+    The nodes are those of the leading bits under which `rows_per_node` rows lie on average. A row
+    goes to the pairs of its node with every node that differs from it in at most `budget` of those
+    bits. Where one of a pair holds many more rows than that, both are cut further by their last bits,
+    and only pairs that are still within the budget are kept.
+    """
+    per_node = rows_per_node or TRIE_ROWS
+    count = values.count()
+    bits = min(max(-(-count // per_node) - 1, 0).bit_length(), MOST_PREFIX)
+    value = F.col("fingerprint")
+    top = lambda width: F.shiftrightunsigned(value, BITS - width) if width else F.lit(0).cast("long")
+    rows = values.withColumn("own", top(bits))
+    crowded = rows.groupBy("own").count().where(F.col("count") > 2 * per_node)
+    further = F.least(F.ceil(F.log2(F.col("count") / per_node)), F.lit(MOST_FURTHER)).cast("int").alias("further")
+    crowded = broadcast_if_small(cut_lineage(crowded.select(F.col("own").alias("crowd"), further)))
+    masks = [m for n in range(min(budget, bits) + 1) for m in _masks(bits, n)]
+    paired = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+    paired = paired.withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
+    for side in ("own", "other"):
+        found = crowded.select(F.col("crowd").alias(side), F.col("further").alias(f"{side}_further"))
+        paired = paired.join(found, side, "left")
+    width = F.greatest(F.coalesce("own_further", F.lit(0)), F.coalesce("other_further", F.lit(0)))
+    paired = paired.withColumn("width", width).withColumn("rest", F.lit(budget) - F.bit_count("mask"))
+    # The last bits of a row, and what they may be on the other side.
+    below = F.expr("fingerprint & (shiftleft(1L, width) - 1)")
+    inner = F.expr("filter(sequence(0L, shiftleft(1L, width) - 1), x -> bit_count(x) <= rest)")
+    paired = paired.withColumn("below", F.when(F.col("width") > 0, below).otherwise(0))
+    paired = paired.withColumn("inner", F.explode(F.when(F.col("width") > 0, inner).otherwise(F.array(F.lit(0).cast("long")))))
+    paired = paired.withColumn("other_below", F.col("below").bitwiseXOR(F.col("inner")))
+    mine, others = F.struct("own", "below"), F.struct(F.col("other").alias("own"), F.col("other_below").alias("below"))
+    return paired.select(
+        "node", "fingerprint", F.xxhash64(F.least(mine, others), F.greatest(mine, others)).alias("trie"),
+        F.when(mine == others, -1).otherwise((mine > others).cast("int")).alias("side"),
+    )
+
+
+def _masks(bits: int, ones: int) -> list[int]:
+    return [sum(1 << i for i in chosen) for chosen in combinations(range(bits), ones)]
+
+
 def links(nodes: DataFrame, budget: int) -> DataFrame:
     """Links (a, b) that join all (node, fingerprints) rows at most `budget` bits apart.
 
     Rows are linked if they are that near in any of their fingerprints. Not every pair is listed:
-    within a trie those that join nothing new are left out, so the components are the same and
-    there are fewer links than rows of tries. Rows must be distinct in their fingerprints.
+    within a pair of trie nodes those that join nothing new are left out, so the components are the
+    same and there are fewer links than rows. Rows must be distinct in their fingerprints.
     """
-    values = nodes.select("node", F.posexplode("fingerprints").alias("number", "fingerprint"))
-    value = F.col("fingerprint")
-    blocks = []
-    for number, (first, size) in enumerate(block_edges(budget)):
-        mask = F.lit((1 << size) - 1 if size < BITS else -1)
-        part = F.shiftrightunsigned(value, BITS - first - size).bitwiseAND(mask)
-        blocks.append(F.struct((F.col("number") * (budget + 1) + number).alias("block"), part.alias("part")))
-    rows = values.select("node", "fingerprint", F.explode(F.array(*blocks)).alias("key"))
-    rows = rows.select("node", "fingerprint", "key.block", "key.part")
-    # A trie beyond the bound is dealt into pieces; only its rows meet a second time.
-    big = (
-        rows.groupBy("block", "part").count().where(F.col("count") > TRIE_ROWS)
-        .select("block", "part", F.ceil(F.col("count") / TRIE_ROWS).cast("int").alias("pieces"))
-    )
-    piece = F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("pieces")).cast("int")
-    others = F.sequence(F.lit(0), F.col("pieces") - 1)
-    dealt = (
-        rows.join(big, ["block", "part"], "left")
-        .withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(piece))
-        .withColumn("other", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(others)))
-        .select(
-            "node",
-            "fingerprint",
-            F.xxhash64("block", "part", F.least("piece", "other"), F.greatest("piece", "other")).alias("trie"),
-            F.when(F.col("piece") == F.col("other"), -1)
-            .otherwise((F.col("piece") > F.col("other")).cast("int"))
-            .alias("side"),
-        )
-    )
-    tries = dealt.repartition("trie").sortWithinPartitions("trie")
+    numbers = nodes.select(F.max(F.size("fingerprints"))).first()[0] or 0
+    found = None
+    for number in range(numbers):
+        values = nodes.select("node", F.col("fingerprints")[number].alias("fingerprint"))
+        own = prefix_pairs(values, budget).withColumn("trie", F.xxhash64("trie", F.lit(number)))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    tries = found.repartition("trie").sortWithinPartitions("trie")
     return tries.mapInArrow(_links(budget), "a long, b long")
 
 

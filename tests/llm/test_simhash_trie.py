@@ -64,6 +64,42 @@ def test_join_finds_what_all_pairs_find(spark, monkeypatch, budget, piece):
     assert [found.get(i, i) for i, _ in nodes] == brute_components(nodes, budget)
 
 
+@pytest.mark.parametrize("budget", [1, 4])
+def test_crowded_nodes_are_cut_further(spark, budget):
+    """Most fingerprints below one node: its pairs are dealt by further bits, and none is lost."""
+    rng = random.Random(budget)
+    values = {(0xABC << 52) | rng.getrandbits(52) for _ in range(150)} | {rng.getrandbits(64) for _ in range(60)}
+    for base in list(values):
+        values.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))
+    nodes = sorted(values)
+    signed = [(i, v - 2**64 if v >> 63 else v) for i, v in enumerate(nodes)]
+    frame = spark.createDataFrame(signed, "node long, fingerprint long")
+    groups = {}
+    for r in simhash_trie.prefix_pairs(frame, budget, rows_per_node=20).collect():
+        groups.setdefault(r.trie, {}).setdefault(r.side, set()).add(r.node)
+    met = set()
+    for sides in groups.values():
+        assert sum(map(len, sides.values())) < len(nodes) / 2
+        pairs = [(a, b) for a in sides.get(-1, ()) for b in sides.get(-1, ())] + [(a, b) for a in sides.get(0, ()) for b in sides.get(1, ())]
+        met |= {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    near = {(a, b) for a in range(len(nodes)) for b in range(a) if (nodes[a] ^ nodes[b]).bit_count() <= budget}
+    assert {(b, a) for a, b in near} <= met
+
+
+def test_node_pairs_are_walked_and_pruned(spark):
+    """On real fingerprints the walk does the work: node pairs end by the budget, and fewer rows are compared than all."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    prints = {r.fingerprints[0] for r in simhash_trie.fingerprints(documents).collect()}
+    values = np.sort(np.array(list(prints), np.int64).view(np.uint64))
+    counts, n = {}, len(values)
+    none = np.zeros(n, np.int64)
+    pairs = sum(len(a) for a, _ in simhash_trie._join_tries(values, none - 1, none, 4, counts))
+    every = sum(int((np.bitwise_count(values[i + 1 :] ^ v) <= 4).sum()) for i, v in enumerate(values))
+    assert pairs >= every > 0
+    assert counts["walked"] > 20 * n and counts["pruned"] > 20 * n
+    assert counts["leaves"] * simhash_trie.LEAF_PAIRS < n * n / 2
+
+
 def test_several_fingerprints(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = documents.collect()
