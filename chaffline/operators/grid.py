@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chaffline.functions.arrays import as_matrix
+from chaffline.operators import logistic
 from chaffline.operators.curves import RUN_SCHEMA
 from chaffline.operators.subsets import retained_rows
 from chaffline.session import cut_lineage
@@ -31,6 +32,8 @@ POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 GRID_CLASSES = 20_000
 # Part of the largest variance that is added to all of them.
 SMOOTHING = 1e-9
+# Of the logistic model: penalty on squared weights, passes at most, and the slope that is flat enough.
+PENALTY, PASSES, FLAT = 1e-2, 60, 1e-4
 
 
 def _as_ml(frame: DataFrame) -> DataFrame:
@@ -83,9 +86,73 @@ def _bayes_grid(train, validation, subsets, seeds, test) -> DataFrame:
     if params.limit(GRID_CLASSES + 1).count() > GRID_CLASSES:
         raise ValueError(f"more than {GRID_CLASSES} (cell, class) pairs: give an estimator instead")
     shared = spark.sparkContext.broadcast(_cells(params.collect()))
-    measured = _measure_cells(validation, shared, "val")
+    return _measured_cells(shared, _bayes_logs, validation, test)
+
+
+def _members(train: DataFrame, subsets: DataFrame, seeds: Sequence[int]) -> tuple[DataFrame, list[tuple]]:
+    """Rows (sample_id, label, features, cells, weights), and the cells in the order of their numbers."""
+    names = subsets.select("method", "percent_removed").distinct().collect()  # a row per method and budget
+    cells = sorted((r[0], r[1], int(s)) for r in names for s in seeds)
+    numbers = train.sparkSession.createDataFrame(
+        [(i, *c) for i, c in enumerate(cells)], "cell int, method string, percent_removed int, seed long"
+    )
+    own = (
+        subsets.select("method", "percent_removed", "sample_id")
+        .join(F.broadcast(numbers), ["method", "percent_removed"])
+        .withColumn("w", bootstrap_weight(F.col("seed"), F.col("sample_id")).cast("double"))
+        .where("w > 0")
+        .groupBy("sample_id")
+        .agg(F.sort_array(F.collect_list(F.struct("cell", "w"))).alias("own"))  # a cell each at most
+    )
+    return train.select("sample_id", "label", "features").join(own, "sample_id").select(
+        "sample_id", "label", "features", F.col("own.cell").alias("cells"), F.col("own.w").alias("weights")
+    ), cells
+
+
+def _logistic_grid(train, validation, subsets, seeds, test) -> DataFrame:
+    spark = train.sparkSession
+    members, cells = _members(train, subsets, seeds)
+    width = train.agg(F.max(F.size("features"))).first()[0] or 0
+    values = [F.get("features", F.lit(i)).cast("double") for i in range(width)]
+    centre, spread = train.agg(
+        F.array(*[F.avg(v) for v in values]), F.array(*[F.stddev_pop(v) for v in values])
+    ).first()
+    classes = np.sort(np.array([r[0] for r in train.select(F.col("label").cast("long")).distinct().limit(GRID_CLASSES + 1).collect()]))
+    if len(cells) * len(classes) > GRID_CLASSES:
+        raise ValueError(f"more than {GRID_CLASSES} (cell, class) pairs: give an estimator instead")
+    centre, spread = np.array(centre, float), np.array(spread, float)
+    spread[~(spread > 0)] = 1.0
+    scaled = F.transform(
+        "features", lambda x, i: (x.cast("double") - F.get(F.lit(centre.tolist()), i)) / F.get(F.lit(spread.tolist()), i)
+    )
+    number = F.array_position(F.lit(classes.tolist()), F.col("label").cast("long")).cast("int") - 1
+    rows = cut_lineage(
+        members.select(F.concat(scaled, F.array(F.lit(1.0))).alias("features"), number.alias("class"), "cells", "weights")
+    )
+    weights, _ = logistic.fit_cells(rows, len(cells), len(classes), width + 1, PENALTY, PASSES, FLAT)
+    models = [(classes, centre, spread, w) for w in weights]
+    return _measured_cells(spark.sparkContext.broadcast((cells, models)), _logistic_logs, validation, test)
+
+
+def _logistic_logs(rows: np.ndarray, model: tuple) -> np.ndarray:
+    _, centre, spread, weights = model
+    inner = np.concatenate([(rows - centre) / spread, np.ones((len(rows), 1))], axis=1)
+    return logistic.log_chances(inner, weights[None])[:, 0]
+
+
+def _bayes_logs(rows: np.ndarray, model: tuple) -> np.ndarray:
+    _, prior, means, variance = model
+    return np.stack(
+        [p - 0.5 * ((rows - m) ** 2 / v + np.log(2 * np.pi * v)).sum(1) for p, m, v in zip(prior, means, variance)], 1
+    )
+
+
+def _measured_cells(shared, logs, validation: DataFrame, test: DataFrame | None) -> DataFrame:
+    """Run results of the cells' models; `logs` gives the classes' logarithms for rows and a model."""
+    spark = validation.sparkSession
+    measured = _measure_cells(validation, shared, logs, "val")
     if test is not None:
-        measured = measured.unionByName(_measure_cells(test, shared, "test"))
+        measured = measured.unionByName(_measure_cells(test, shared, logs, "test"))
     of = lambda kind, part: F.sum(F.when(F.col("kind") == kind, F.col(part)))
     mean = lambda kind, part: F.coalesce(of(kind, part) / of(kind, "n"), F.lit(float("nan")))
     found = measured.groupBy("cell").agg(
@@ -118,7 +185,7 @@ def _cells(rows: list) -> tuple[list, list]:
     return list(by_cell), models
 
 
-def _measure_cells(frame: DataFrame, shared, kind: str) -> DataFrame:
+def _measure_cells(frame: DataFrame, shared, logs_of, kind: str) -> DataFrame:
     """(cell, kind, n, hits, loss): sums over a partition's rows, for every cell."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +195,8 @@ def _measure_cells(frame: DataFrame, shared, kind: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             labels, rows = np.asarray(batch.column("label")), as_matrix(batch.column("features"))
-            for i, (classes, prior, means, variance) in enumerate(models):
-                logs = np.stack(
-                    [
-                        p - 0.5 * ((rows - m) ** 2 / v + np.log(2 * np.pi * v)).sum(1)
-                        for p, m, v in zip(prior, means, variance)
-                    ],
-                    1,
-                )
+            for i, model in enumerate(models):
+                classes, logs = model[0], logs_of(rows, model)
                 top = logs.max(1, keepdims=True)
                 shares = np.exp(logs - top)
                 shares /= shares.sum(1, keepdims=True)
@@ -165,6 +226,7 @@ def evaluation_grid(
     estimator: Callable[[int], Estimator] | None = None,
     test: DataFrame | None = None,
     parallelism: int = 4,
+    model: str = "bayes",
 ) -> DataFrame:
     """Run results: a model fitted on each subset and measured on the validation rows.
 
@@ -173,11 +235,14 @@ def evaluation_grid(
 
     The default model is Gaussian naive Bayes, fitted for all cells at once: one aggregate over the
     retained rows, in which every seed weighs them by its own bootstrap sample, and one pass
-    over the rows that are measured, however many cells there are. With an `estimator` (seed to
+    over the rows that are measured, however many cells there are. `model="logistic"` fits multinomial
+    logistic regressions instead, of scaled features and with a small penalty, from the same bootstrap
+    samples: each pass over the rows takes a step in all cells. With an `estimator` (seed to
     Spark ML estimator) the loop runs over the cells of the grid, a few at a time.
     """
     if estimator is None:
-        return _bayes_grid(train, validation, subsets, seeds, test)
+        fitted = {"bayes": _bayes_grid, "logistic": _logistic_grid}[model]
+        return fitted(train, validation, subsets, seeds, test)
     rows = _as_ml(train).persist()
     held = _as_ml(validation).persist()
     final = _as_ml(test).persist() if test is not None else None

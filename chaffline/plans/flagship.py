@@ -50,19 +50,27 @@ def labelled_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return retained_rows(rows, of_train), retained_rows(rows, of_validation), retained_rows(chosen, of_train)
 
 
-def grid_runs(spark: SparkSession, folder: str, methods: list[str]) -> DataFrame:
+def grid_runs(spark: SparkSession, folder: str, methods: list[str], model: str = "bayes") -> DataFrame:
     train, validation, train_texts = labelled_parts(spark, folder)
     labels = train.select("sample_id", "label")
     inputs = {"random": labels, "heuristic_filtering": train_texts, "semantic_dedup": train}
     ranked = rank_together([get_scorer(m).scores(inputs[m], labels) for m in methods])
     subsets = cut_lineage(build_subsets(ranked, GRID_BUDGETS))
-    return evaluation_grid(train, validation, subsets, GRID_SEEDS)
+    return evaluation_grid(train, validation, subsets, GRID_SEEDS, model=model)
 
 
 def grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid_runs(spark, folder, ["random", "heuristic_filtering"])
 
 
+def logistic_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The same grid with logistic regressions, all cells fitted side by side."""
+    runs = grid_runs(spark, folder, ["random", "heuristic_filtering"], "logistic")
+    return runs.select(
+        "method", "percent_removed", "seed", *[F.round(c, 3).alias(c) for c in ("best_val_acc", "best_val_loss", "test_acc")]
+    )
+
+
 def corpus_to_best_method(spark: SparkSession, folder: str) -> DataFrame:
     """Text, features, scores, subsets, runs, curves, best method: all in one go."""
     runs = grid_runs(spark, folder, ["random", "heuristic_filtering", "semantic_dedup"])
@@ -216,6 +224,7 @@ QUERIES = {
         SELECT method, percent_removed, seed, round(best_val_acc, 5) AS best_val_acc,
                round(best_val_loss, 5) AS best_val_loss, 'nan'::DOUBLE AS test_acc FROM runs""",
     ),
+    "evaluation_grid_logistic": (logistic_grid, None),
     "corpus_to_best_method": (
         corpus_to_best_method,
         f"""WITH {grid_sql(["random", "heuristic_filtering", "semantic_dedup"])}
