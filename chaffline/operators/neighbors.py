@@ -1,8 +1,10 @@
 """Exact nearest neighbours by a blocked self-join.
 
 Vectors are put into blocks of bounded size and a pair of blocks is one task group: a matrix
-product per tile, of which only the k best values per vector leave the task. The N * N pairs
-are never rows, and no block grows with a cluster or with the copies of one vector.
+product per tile, of which only the k best values per vector leave the task. The product is taken
+in single precision with a certain bound of its error; only pairs that may be among the best are
+measured in double precision. The N * N pairs are never rows, and no block grows with a cluster or
+with the copies of one vector.
 
 The blocks of a small table are all paired with each other. Those of a large one are cut along
 the data: a vector belongs to the nearest of a set of pivots, and crowded cells are split by a hash. Neighbours
@@ -43,6 +45,8 @@ MOST_PIVOTS = 4096
 TILE = 2048
 # Slack on the bounds, relative to the distances, for rounding in the products.
 SLACK = 1e-7
+# Pairs that are measured in double precision at once.
+PAIRS_AT_ONCE = 1 << 17
 # Vectors whose bounds to all blocks are held at once.
 BOUND_ROWS = 256
 
@@ -63,24 +67,86 @@ def block_plan(n: int, width: int, cores: int) -> tuple[int, bool]:
 
 
 class _Best:
-    """The k smallest costs seen per row, and the partner of each."""
+    """The k smallest squared distances seen per row, and the partner of each."""
 
     def __init__(self, rows: int, k: int) -> None:
         self.cost = np.full((rows, k), np.inf)
         self.partner = np.full((rows, k), -1, dtype=np.int64)
 
-    def offer(self, start: int, cost: np.ndarray, first_partner: int) -> None:
+    def merge(self, row: np.ndarray, cost: np.ndarray, partner: np.ndarray) -> None:
+        """Take exact squared distances of some pairs into account."""
+        if not len(row):
+            return
         k = self.cost.shape[1]
-        if cost.shape[1] > k:
-            columns = np.argpartition(cost, k - 1, axis=1)[:, :k]
-        else:
-            columns = np.broadcast_to(np.arange(cost.shape[1]), cost.shape)
-        stop = start + len(cost)
-        every = np.concatenate([self.cost[start:stop], np.take_along_axis(cost, columns, 1)], 1)
-        whom = np.concatenate([self.partner[start:stop], columns + first_partner], 1)
-        order = np.argsort(every, axis=1, kind="stable")[:, :k]
-        self.cost[start:stop] = np.take_along_axis(every, order, 1)
-        self.partner[start:stop] = np.take_along_axis(whom, order, 1)
+        touched, back = np.unique(row, return_inverse=True)
+        owner = np.concatenate([np.repeat(np.arange(len(touched)), k), back])
+        every = np.concatenate([self.cost[touched].ravel(), cost])
+        whom = np.concatenate([self.partner[touched].ravel(), partner])
+        order = np.lexsort((whom, every, owner))
+        owner = owner[order]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        rank = np.arange(len(owner)) - np.repeat(first, np.diff(first, append=len(owner)))
+        kept = order[rank < k]
+        self.cost[touched] = every[kept].reshape(-1, k)
+        self.partner[touched] = whom[kept].reshape(-1, k)
+
+    def values(self) -> np.ndarray:
+        """Distances to the kept partners, ascending; inf where there is none."""
+        return np.sqrt(self.cost)
+
+
+class _Rough:
+    """Vectors in single precision, and how wrong a product formula with them may be."""
+
+    def __init__(self, matrix: np.ndarray, centre: np.ndarray) -> None:
+        self.exact = matrix
+        moved = matrix - centre
+        self.single = moved.astype(np.float32)
+        squares = (moved**2).sum(1)
+        self.squares = squares.astype(np.float32)
+        # Worst case of a sum of so many rounded products, and of what is added to it.
+        self.slack = (matrix.shape[1] + 16) * 1.2e-7 * squares
+
+
+def _offer(best: _Best, rows: _Rough, others: _Rough, mine: slice, theirs: slice, rough: np.ndarray) -> int:
+    """Show one tile of rough squared distances to the rows' best; returns how many pairs were measured.
+
+    A pair is measured in double precision only if its rough distance leaves room below the row's
+    k-th best, so the answer is exact while most pairs cost one single-precision product.
+    """
+    k, start = best.cost.shape[1], mine.start
+    bound = best.cost[mine, -1]
+    measured = 0
+    seeded = None
+    open_rows = np.flatnonzero(np.isinf(bound))
+    if len(open_rows):
+        some = min(k, rough.shape[1])
+        columns = np.argpartition(rough[open_rows], some - 1, axis=1)[:, :some]
+        seeded = np.repeat(open_rows, some), columns.ravel()
+        real = np.isfinite(rough[seeded])
+        measured += _measure(best, rows, others, start, theirs.start, seeded[0][real], seeded[1][real])
+        bound = best.cost[mine, -1]
+    limit = (bound + rows.slack[mine]).astype(np.float32)[:, None] + others.slack[theirs].astype(np.float32)[None, :]
+    wanted = rough <= limit
+    wanted[bound == 0] = False  # cannot be improved
+    if seeded is not None:
+        wanted[seeded] = False
+    left, right = np.nonzero(wanted & np.isfinite(rough))
+    for at in range(0, len(left), PAIRS_AT_ONCE):
+        part = slice(at, at + PAIRS_AT_ONCE)
+        measured += _measure(best, rows, others, start, theirs.start, left[part], right[part])
+    return measured
+
+
+def _measure(best, rows, others, start: int, first: int, left: np.ndarray, right: np.ndarray) -> int:
+    gaps = rows.exact[start + left] - others.exact[first + right]
+    best.merge(start + left, (gaps**2).sum(axis=1), first + right)
+    return len(left)
+
+
+def _rough_tile(rows: _Rough, others: _Rough, mine: slice, theirs: slice) -> np.ndarray:
+    products = rows.single[mine] @ others.single[theirs].T
+    return rows.squares[mine][:, None] + others.squares[theirs][None, :] - 2 * products
 
 
 def _squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -88,40 +154,35 @@ def _squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * (left @ right.T)
 
 
-def _exact(rows: np.ndarray, others: np.ndarray, best: _Best) -> np.ndarray:
-    """Distances to the kept partners, free of cancellation, ascending; inf where there is none."""
-    values = np.full(best.cost.shape, np.inf)
-    for column in range(values.shape[1]):
-        mine = np.isfinite(best.cost[:, column])
-        gaps = rows[mine] - others[best.partner[mine, column]]
-        values[mine, column] = np.sqrt((gaps**2).sum(axis=1))
-    values.sort(axis=1)
-    return values
-
-
-def _inside(matrix: np.ndarray, k: int) -> np.ndarray:
-    """(n, k) distances to the nearest other rows of the same block."""
-    best = _Best(len(matrix), k)
-    for i in range(0, len(matrix), TILE):
-        for j in range(i, len(matrix), TILE):
-            cost = _squares(matrix[i : i + TILE], matrix[j : j + TILE])
-            if i == j:
-                np.fill_diagonal(cost, np.inf)
-            best.offer(i, cost, j)
-            if i != j:
-                best.offer(j, cost.T, i)
-    return _exact(matrix, matrix, best)
-
-
-def _between(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances from the rows of each block to the nearest ones of the other."""
+def _tiles(n: int) -> list[slice]:
+    return [slice(i, min(i + TILE, n)) for i in range(0, n, TILE)]
+
+
+def _inside(matrix: np.ndarray, k: int) -> _Best:
+    """The nearest other rows of the same block."""
+    best, rows = _Best(len(matrix), k), _Rough(matrix, matrix.mean(axis=0))
+    for i, mine in enumerate(_tiles(len(matrix))):
+        for theirs in _tiles(len(matrix))[i:]:
+            rough = _rough_tile(rows, rows, mine, theirs)
+            if mine == theirs:
+                np.fill_diagonal(rough, np.inf)
+            _offer(best, rows, rows, mine, theirs, rough)
+            if mine != theirs:
+                _offer(best, rows, rows, theirs, mine, rough.T)
+    return best
+
+
+def _between(left: np.ndarray, right: np.ndarray, k: int) -> tuple[_Best, _Best]:
+    """The nearest rows of the other block, for the rows of each."""
+    centre = (left if len(left) else right).mean(axis=0)
+    rows, others = _Rough(left, centre), _Rough(right, centre)
     for_left, for_right = _Best(len(left), k), _Best(len(right), k)
-    for i in range(0, len(left), TILE):
-        for j in range(0, len(right), TILE):
-            cost = _squares(left[i : i + TILE], right[j : j + TILE])
-            for_left.offer(i, cost, j)
-            for_right.offer(j, cost.T, i)
-    return _exact(left, right, for_left), _exact(right, left, for_right)
+    for mine in _tiles(len(left)):
+        for theirs in _tiles(len(right)):
+            rough = _rough_tile(rows, others, mine, theirs)
+            _offer(for_left, rows, others, mine, theirs, rough)
+            _offer(for_right, others, rows, theirs, mine, rough.T)
+    return for_left, for_right
 
 
 def _as_lists(values: np.ndarray) -> pa.ListArray:
@@ -130,22 +191,33 @@ def _as_lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept]))
 
 
-def _compare_blocks(k: int):
-    """Group function over a pair of blocks: each row's best values in the other block."""
+def _compare_blocks(k: int, partners: bool = False):
+    """Group function over a pair of blocks: each row's best values in the other block.
+
+    With `partners` a value is a pair of distance and partner.
+    """
+
+    def lists(best: _Best, others: np.ndarray) -> pa.ListArray:
+        values = _as_lists(best.values())
+        if not partners:
+            return values
+        whom = others[best.partner[np.isfinite(best.cost)]]
+        pairs = pa.StructArray.from_arrays([values.values, pa.array(whom)], ["distance", "partner"])
+        return pa.ListArray.from_arrays(values.offsets, pairs)
 
     def compare(pair: pa.Table) -> pa.Table:
         ids = pair.column("sample_id").to_numpy()
         matrix = as_matrix(pair.column("vector"))
         first = pair.column("block").to_numpy() == pair.column("row_block")[0].as_py()
         if pair.column("row_block")[0] == pair.column("col_block")[0]:
-            parts = [(ids, _inside(matrix, k))]
+            parts = [(ids, lists(_inside(matrix, k), ids))]
         else:
             left, right = _between(matrix[first], matrix[~first], k)
-            parts = [(ids[first], left), (ids[~first], right)]
+            parts = [(ids[first], lists(left, ids[~first])), (ids[~first], lists(right, ids[first]))]
         return pa.Table.from_arrays(
             [
                 pa.chunked_array([pa.array(i) for i, _ in parts], pa.int64()),
-                pa.chunked_array([_as_lists(v) for _, v in parts], pa.list_(pa.float64())),
+                pa.chunked_array([v for _, v in parts], parts[0][1].type),
             ],
             names=["sample_id", "nearest"],
         )
@@ -162,13 +234,14 @@ def _tasks(frame: DataFrame, groups: int) -> int:
     return max(1, min(groups, max(4 * cores, groups // 16)))
 
 
-def _per_pair(rows: DataFrame, k: int, pairs: int, *keys: str) -> DataFrame:
+def _per_pair(rows: DataFrame, k: int, pairs: int, *keys: str, partners: bool = False) -> DataFrame:
     """(sample_id, nearest) from rows (row_block, col_block, block, sample_id, vector).
 
     Blocks are told apart by `keys` too, if there are any.
     """
     group = [*keys, "row_block", "col_block"]
-    return rows.repartition(_tasks(rows, pairs), *group).groupBy(*group).applyInArrow(_compare_blocks(k), _SCHEMA)
+    schema = "sample_id long, nearest array<struct<distance: double, partner: long>>" if partners else _SCHEMA
+    return rows.repartition(_tasks(rows, pairs), *group).groupBy(*group).applyInArrow(_compare_blocks(k, partners), schema)
 
 
 def _all_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
@@ -224,7 +297,7 @@ def _bound_blocks(k: int, pivots: np.ndarray, shells: np.ndarray):
     def bound(block: pa.Table) -> pa.Table:
         matrix = as_matrix(block.column("vector"))
         own = block.column("block")[0].as_py()
-        inside = _inside(matrix, k)
+        inside = _inside(matrix, k).values()
         reach = inside[:, -1]
         home = cell[own]
         twice = 2.0 * np.sqrt(((pivots - pivots[home]) ** 2).sum(axis=1))
@@ -338,13 +411,15 @@ def _meet(k: int):
         matrix = as_matrix(table.column("vector"))
         guests, hosts = matrix[visitor], matrix[~visitor]
         best = _Best(len(guests), k)
-        for i in range(0, len(guests), TILE):
-            for j in range(0, len(hosts), TILE):
-                best.offer(i, _squares(guests[i : i + TILE], hosts[j : j + TILE]), j)
+        centre = matrix.mean(axis=0)
+        rows, others = _Rough(guests, centre), _Rough(hosts, centre)
+        for mine in _tiles(len(guests)):
+            for theirs in _tiles(len(hosts)):
+                _offer(best, rows, others, mine, theirs, _rough_tile(rows, others, mine, theirs))
         return pa.table(
             {
                 "sample_id": pa.array(table.column("sample_id").to_numpy()[visitor]),
-                "nearest": _as_lists(_exact(guests, hosts, best)),
+                "nearest": _as_lists(best.values()),
             }
         )
 
@@ -450,11 +525,10 @@ def approximate_distances(
             "sample_id", "vector",
         )
     )
-    found = _per_pair(dealt, k, groups, "bucket")
-    # A neighbour met in several tables comes several times with one distance; a true tie of two
-    # neighbours is told apart by nothing here and counts once.
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nearest"))))
-    return found.groupBy("sample_id").agg(F.slice(merged, 1, k).alias("distances"))
+    found = _per_pair(dealt, k, groups, "bucket", partners=True)
+    # A neighbour met in several tables comes several times, always with one distance.
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nearest")))), 1, k)
+    return found.groupBy("sample_id").agg(F.transform(merged, lambda pair: pair["distance"]).alias("distances"))
 
 
 def largest_similarity(

@@ -216,3 +216,25 @@ def test_approximate_neighbours(spark, rows_per_block):
     print(f"recall of the approximate neighbours: {recall:.3f}")
     assert recall >= 0.95
     assert all((np.array(found[i]) >= exact[i][: len(found[i])] - 1e-9).all() for i in range(600))
+
+
+def test_approximate_distances_keep_ties(spark):
+    """Equal vectors are neighbours of each other, however often they meet."""
+    rows = [[1.0, 2.0]] * 4 + [[9.0, 9.0], [9.0, 9.5]]
+    found = {r.sample_id: r.distances for r in neighbors.approximate_distances(table(spark, rows), 2, 2.0).collect()}
+    assert all(found[i] == [0.0, 0.0] for i in range(4))
+
+
+def test_few_pairs_are_measured_exactly():
+    """Vectors without structure: the rough products rule out nearly all pairs, and nothing is lost."""
+    matrix = np.random.default_rng(4).normal(size=(5000, 64)) + 100.0
+    best, rows = neighbors._Best(1000, 5), neighbors._Rough(matrix, matrix.mean(axis=0))
+    measured = 0
+    for theirs in neighbors._tiles(len(matrix)):
+        rough = neighbors._rough_tile(rows, rows, slice(0, 1000), theirs)
+        if theirs.start == 0:
+            np.fill_diagonal(rough, np.inf)
+        measured += neighbors._offer(best, rows, rows, slice(0, 1000), theirs, rough)
+    every = np.array([np.sort(np.sqrt(((matrix - v) ** 2).sum(1)))[1:6] for v in matrix[:1000]])
+    assert np.allclose(best.values(), every, rtol=1e-12)
+    assert measured < 0.01 * 1000 * len(matrix)
