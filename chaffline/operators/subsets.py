@@ -82,6 +82,28 @@ def build_subsets(
     )
 
 
+def nested_subsets(
+    ranking: DataFrame, percentiles: Sequence[int], direction: str = REMOVE_EASY
+) -> tuple[DataFrame, DataFrame]:
+    """The subsets of all budgets with each sample once, and where each budget begins.
+
+    Returns rows (method, direction, place, sample_id), place 0 going first, and cuts (method,
+    direction, percent_removed, cut, n): a budget keeps the places from its cut on. Samples that no
+    budget keeps are left out.
+    """
+    rows = _budget_rows(ranking, percentiles, direction)
+    budgets = F.array(*[F.lit(int(p)) for p in percentiles])
+    least = F.array_min(F.transform(budgets, lambda p: _cut(p)))
+    way = F.lit(direction).alias("direction")
+    kept = rows.where(F.col("_place") >= least).select("method", way, F.col("_place").alias("place"), "sample_id")
+    cuts = (
+        rows.groupBy("method").agg(F.max("_n").alias("_n"))
+        .select("method", way, F.explode(budgets).alias("percent_removed"), F.col("_n").alias("n"), "_n")
+        .select("method", "direction", "percent_removed", _cut(F.col("percent_removed")).alias("cut"), "n")
+    )
+    return kept, cuts
+
+
 def audit_subsets(
     ranking: DataFrame, percentiles: Sequence[int], direction: str = REMOVE_EASY
 ) -> DataFrame:

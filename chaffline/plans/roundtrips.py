@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaffline.operators import curves as C
+from chaffline.operators import subsets
 from chaffline.operators.splits import random_split
 from chaffline.plans import analysis, ranking
 from chaffline.plans.views import EPOCH_METRICS, RUN_RESULTS, epoch_metrics, run_results, sample_labels
 from chaffline.session import checkpoint_folder
 from chaffline.sources import artifacts
+from chaffline.sources.runs import compact_runs, compacted_runs, write_text
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -45,8 +48,17 @@ def stored_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
     for row in runs.collect():  # a row per method and budget
         name = f"{place}/{row.method}/p{row.percent_removed:02d}/seed{row.seed}/run_summary.json"
-        spark.createDataFrame([row], runs.schema).coalesce(1).write.json(name)
-    return analysis.rounded(artifacts.read_run_summaries(spark, place))
+        write_text(name, json.dumps(row.asDict()))
+    compact_runs(spark, place, f"{place}-table")
+    return analysis.rounded(compacted_runs(spark, f"{place}-table"))
+
+
+def stored_nested_subsets(spark: SparkSession, folder: str) -> DataFrame:
+    """The subsets of both directions, each sample stored once for all budgets of a direction."""
+    place = _place(spark, "nested")
+    for direction in (subsets.REMOVE_EASY, subsets.REMOVE_HARD):
+        artifacts.save_nested_subsets(ranking.heuristic_ranking(spark, folder), ranking.BUDGETS, place, direction)
+    return artifacts.read_nested_subsets(spark, place)
 
 
 def stored_epoch_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,5 +102,15 @@ QUERIES = {
         f"""WITH {EPOCH_METRICS}
         SELECT epoch, round(val_acc, 6) AS val_acc, round(val_loss, 6) AS val_loss FROM epoch_metrics""",
     ),
+    "stored_nested_subsets": (
+        stored_nested_subsets,
+        " UNION ALL ".join(
+            f"SELECT method, '{direction}' AS direction, percent_removed, position, sample_id FROM ({sql})"
+            for direction, sql in (
+                (subsets.REMOVE_EASY, ranking.QUERIES["subset_remove_easy"][1]),
+                (subsets.REMOVE_HARD, ranking.QUERIES["subset_remove_hard"][1]),
+            )
+        ),
+    ),
     "stored_curves": (stored_curves, analysis.QUERIES["aggregate_curves"][1]),
 }

@@ -18,6 +18,7 @@ from chaffline.functions import spectra
 from chaffline.operators.neighbors import largest_similarity, nearest_distances
 from chaffline.operators.positions import with_position
 from chaffline.operators.selection import quantiles
+from chaffline.operators.subspace import principal_axes, project
 from chaffline.session import broadcast_if_small, cut_lineage
 
 # Fixed values of the two-neighbour estimator and of the density score.
@@ -25,6 +26,8 @@ SHORTEST_DISTANCE = 1e-12
 SMALLEST_RATIO = 1.0 + 1e-12
 SMALLEST_DIMENSION = 1.0
 DENSITY_NEIGHBOURS = 2
+# Features up to which the covariance is held as a matrix.
+NARROW = 2048
 
 
 def redundancy_scores(features: DataFrame, digits: int = 6) -> DataFrame:
@@ -95,11 +98,14 @@ def twonn_dimension(features: DataFrame, column: str = "features") -> DataFrame:
 def reduce_features(features: DataFrame, dimension: float, column: str = "features") -> DataFrame:
     """(sample_id, reduced): principal components, floor(dimension) of them within the shape.
 
-    The d x d covariance is the only thing that reaches the driver. Components are not centred
-    and their signs are free; neither changes distances between samples.
+    Up to `NARROW` features the d x d covariance is the only thing that reaches the driver; beyond,
+    the axes are found by block power steps. Components are not centred and their signs are free;
+    neither changes distances between samples.
     """
     n, width = features.agg(F.count(F.lit(1)), F.max(F.size(column))).first()
     components = min(max(math.floor(dimension), 1), n, width)
+    if width > NARROW:
+        return project(features, principal_axes(features, components, column), column, "reduced")
     dense = features.select("sample_id", array_to_vector(F.col(column)).alias("_vector"))
     model = PCA(k=components, inputCol="_vector", outputCol="_reduced").fit(dense)
     return model.transform(dense).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from chaffline.operators.curves import RUN_SCHEMA
+from chaffline.operators.subsets import REMOVE_EASY, nested_subsets
 from chaffline.scorers.base import RANKING_SCHEMA
-from chaffline.session import cut_lineage
+from chaffline.session import broadcast_if_small, cut_lineage
+from chaffline.sources.runs import run_files
 
 SPLIT_SCHEMA = T.StructType(
     [
@@ -29,6 +32,16 @@ SUBSET_SCHEMA = T.StructType(
         T.StructField("percent_removed", T.IntegerType()),
     ]
 )
+PLACE_SCHEMA = T.StructType(
+    [T.StructField("place", T.LongType()), T.StructField("sample_id", T.LongType())]
+    + [T.StructField("method", T.StringType()), T.StructField("direction", T.StringType())]
+)
+CUT_SCHEMA = T.StructType(
+    [T.StructField("percent_removed", T.IntegerType()), T.StructField("cut", T.LongType()), T.StructField("n", T.LongType())]
+    + [T.StructField("method", T.StringType()), T.StructField("direction", T.StringType())]
+)
+# Bytes of a row group of nested subsets: what a budget reads beyond its range at most.
+ROW_GROUP_BYTES = 8 << 20
 # Retained samples in one file of a subset.
 ROWS_PER_FILE = 10_000_000
 # Names of an epoch metric, the preferred one first.
@@ -118,6 +131,58 @@ def read_subsets(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SUBSET_SCHEMA).parquet(folder)
 
 
+def save_nested_subsets(
+    ranking: DataFrame,
+    percentiles: Sequence[int],
+    folder: str,
+    direction: str = REMOVE_EASY,
+    row_group_bytes: int = ROW_GROUP_BYTES,
+) -> None:
+    """The subsets of all budgets stored once: samples in the order of their places, and the cuts.
+
+    However many budgets there are, a sample is one row, and a budget a range of places, which row
+    groups tell by their statistics. Other methods and directions in the folder stay.
+    """
+    rows, cuts = nested_subsets(ranking, percentiles, direction)
+    keys = ["method", "direction"]
+    placed = rows.repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "place")
+    _by_method(placed, *keys).option("parquet.block.size", str(row_group_bytes)).parquet(f"{folder}/places")
+    _by_method(cuts, *keys).parquet(f"{folder}/cuts")
+
+
+def read_nested_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """(percent_removed, cut, n, method, direction): a row for each stored budget."""
+    return spark.read.schema(CUT_SCHEMA).parquet(f"{folder}/cuts")
+
+
+def read_nested_subset(
+    spark: SparkSession, folder: str, method: str, percent_removed: int, direction: str = REMOVE_EASY
+) -> DataFrame:
+    """One budget as (method, percent_removed, position, sample_id); a budget not stored is an error.
+
+    The range of places is part of the scan: files and row groups below the cut are not read.
+    """
+    own = (F.col("method") == method) & (F.col("direction") == direction)
+    cut = read_nested_cuts(spark, folder).where(own & (F.col("percent_removed") == percent_removed)).first()
+    if cut is None:
+        raise FileNotFoundError(f"no subset by {method!r} at {percent_removed}% under {folder}")
+    places = spark.read.schema(PLACE_SCHEMA).parquet(f"{folder}/places").where(own & (F.col("place") >= cut.cut))
+    percent = F.lit(percent_removed).cast("int").alias("percent_removed")
+    return places.select("method", percent, (F.col("place") - cut.cut).alias("position"), "sample_id")
+
+
+def read_nested_subsets(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored budgets as (method, direction, percent_removed, position, sample_id).
+
+    A sample is repeated for the budgets that keep it; the cuts, a few rows, are broadcast.
+    """
+    places = spark.read.schema(PLACE_SCHEMA).parquet(f"{folder}/places")
+    cuts = broadcast_if_small(read_nested_cuts(spark, folder))
+    return places.join(cuts, ["method", "direction"]).where(F.col("place") >= F.col("cut")).select(
+        "method", "direction", "percent_removed", (F.col("place") - F.col("cut")).alias("position"), "sample_id"
+    )
+
+
 def subset_manifest(subsets: DataFrame) -> DataFrame:
     """(method, percent_removed, path): the directory of every budget present."""
     return subsets.select("method", "percent_removed").distinct().withColumn(
@@ -129,14 +194,11 @@ def subset_manifest(subsets: DataFrame) -> DataFrame:
 # Runs ---------------------------------------------------------------------------------------
 
 def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """`<root>/<method>/pNN/seedS/run_summary.json`, one run each; no files give no rows."""
-    pattern = f"{root}/*/p*/seed*/run_summary.json"
-    try:
-        return spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(pattern)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return spark.createDataFrame([], RUN_SCHEMA)
-        raise
+    """`<root>/<method>/pNN/seedS/run_summary.json`, one run each; no files give no rows.
+
+    Read by the `run_summaries` source, hundreds of files a task.
+    """
+    return run_files(spark, root).select(*RUN_SCHEMA.names)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from chaffline.operators.splits import random_split
 from chaffline.operators.subsets import build_subsets
 from chaffline.scorers.base import RANKING_SCHEMA
 from chaffline.sources import artifacts as A
+from chaffline.sources import runs
 from chaffline.sources.corpus import documents, text_files
 
 
@@ -91,6 +93,47 @@ def test_subsets_round_trip_and_pruning(spark, tmp_path):
     ]
 
 
+def test_nested_subsets_are_stored_once(spark, tmp_path):
+    """Every budget reads back as it was built, from one row a sample and a pushed range of places."""
+    folder, budgets = str(tmp_path / "nested"), [0, 5, 30, 100]
+    rows = ranking(spark)
+    other = rows.withColumn("method", F.lit("z"))
+    for direction in ("remove_easy", "remove_hard"):
+        A.save_nested_subsets(rows, budgets, folder, direction)
+    A.save_nested_subsets(other, [30, 50], folder)
+    A.save_nested_subsets(rows, budgets, folder)  # again; the other method and direction stay
+    n = rows.count()
+    stored = spark.read.parquet(f"{folder}/places").groupBy("method", "direction").count().collect()
+    assert {(r.method, r.direction): r["count"] for r in stored} == {
+        ("m", "remove_easy"): n, ("m", "remove_hard"): n, ("z", "remove_easy"): n - n * 30 // 100,
+    }
+    key = lambda frame: sorted(map(tuple, frame.select("method", "percent_removed", "position", "sample_id").collect()))
+    every = A.read_nested_subsets(spark, folder)
+    for direction in ("remove_easy", "remove_hard"):
+        built = build_subsets(rows, budgets, direction)
+        assert key(every.where((F.col("method") == "m") & (F.col("direction") == direction))) == key(built)
+        one = A.read_nested_subset(spark, folder, "m", 30, direction)
+        assert key(one) == key(built.where("percent_removed = 30"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(place,{n * 30 // 100})" in plan
+    with pytest.raises(FileNotFoundError):
+        A.read_nested_subset(spark, folder, "m", 31)
+
+
+def test_a_second_method_leaves_the_first(spark, tmp_path):
+    folder = str(tmp_path / "two")
+    first, second = ranking(spark, 20), ranking(spark, 30).withColumn("method", F.lit("other"))
+    for own in (first, second):
+        A.save_rankings(own, f"{folder}/rankings", "corpus")
+        A.save_subsets(build_subsets(own, [0, 50]), f"{folder}/subsets")
+    assert A.read_rankings(spark, f"{folder}/rankings").groupBy("method").count().count() == 2
+    assert spark.read.json(f"{folder}/rankings/metadata").count() == 2
+    assert spark.read.csv(f"{folder}/rankings/scores_csv", header=True).count() == 50
+    assert {(r[0], r[1]): r[2] for r in A.read_subsets(spark, f"{folder}/subsets").groupBy("method", "percent_removed").count().collect()} == {
+        ("m", 0): 20, ("m", 50): 10, ("other", 0): 30, ("other", 50): 15,
+    }
+
+
 def write_run(root, method, p, seed, test_acc):
     folder = root / method / f"p{p:02d}" / f"seed{seed}"
     folder.mkdir(parents=True)
@@ -108,6 +151,38 @@ def write_run(root, method, p, seed, test_acc):
     (folder / "run_summary.json").write_text(text)
 
 
+def test_many_files_are_few_tasks(spark, tmp_path):
+    for p in range(0, 60, 5):
+        for seed in range(25):
+            write_run(tmp_path, "m", p, seed, 0.5 + p / 1000)
+    (tmp_path / "m" / "notes.json").write_text("not a summary")
+    files = runs.run_files(spark, str(tmp_path), files_per_task=100)
+    assert files.rdd.getNumPartitions() == 3 and files.count() == 300
+    assert A.read_run_summaries(spark, f"file://{tmp_path}").count() == 300
+
+
+def test_compaction_takes_what_is_new(spark, tmp_path):
+    root, table = tmp_path / "runs", str(tmp_path / "table")
+    assert runs.compacted_runs(spark, table).collect() == []
+    write_run(root, "m", 0, 1, 0.5)
+    write_run(root, "m", 5, 1, float("nan"))
+    assert [runs.compact_runs(spark, str(root), table) for _ in range(2)] == [2, 0]
+    write_run(root, "n", 0, 1, 0.7)
+    changed = root / "m" / "p00" / "seed1" / "run_summary.json"
+    changed.write_text(changed.read_text().replace("0.5", "0.75"))
+    os.utime(changed, (2e9, 2e9))
+    assert runs.compact_runs(spark, str(root), table) == 2
+    found = {(r.method, r.percent_removed): r.test_acc for r in runs.compacted_runs(spark, table).collect()}
+    assert found["m", 0] == 0.75 and math.isnan(found["m", 5]) and found["n", 0] == 0.7 and len(found) == 3
+
+
+def test_a_broken_summary_is_named(spark, tmp_path):
+    write_run(tmp_path, "m", 0, 1, 0.5)
+    (tmp_path / "m" / "p00" / "seed1" / "run_summary.json").write_text("{")
+    with pytest.raises(Exception, match="p00/seed1/run_summary.json is no run summary"):
+        A.read_run_summaries(spark, str(tmp_path)).collect()
+
+
 def test_run_summaries(spark, tmp_path):
     assert A.read_run_summaries(spark, str(tmp_path)).schema == C.RUN_SCHEMA
     assert A.read_run_summaries(spark, str(tmp_path)).count() == 0
