@@ -27,8 +27,9 @@ from chaffline.session import broadcast_if_small, cut_lineage
 
 BITS = 64
 SEED = 42
-#: Fingerprints below a node of the partition, on average.
-TRIE_ROWS = 20_000
+#: Fingerprints below a node of the partition, on average. Larger pieces mean fewer copies of a row: it goes
+#: to all nodes within the budget, whose number grows with the bits of the partition.
+TRIE_ROWS = 100_000
 #: Bits by which the trie is partitioned, and by which a crowded node is cut further, at most.
 MOST_PREFIX, MOST_FURTHER = 20, 12
 #: Node pairs with at most so many pairs of fingerprints below them are compared directly.

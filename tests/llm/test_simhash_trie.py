@@ -47,7 +47,7 @@ def test_odd_documents(odd_documents, odd_rows):
 
 
 @pytest.mark.parametrize("budget", [0, 1, 4, 8])
-@pytest.mark.parametrize("piece", [20_000, 50])
+@pytest.mark.parametrize("piece", [100_000, 50])
 def test_join_finds_what_all_pairs_find(spark, monkeypatch, budget, piece):
     monkeypatch.setattr(simhash_trie, "TRIE_ROWS", piece)
     rng = random.Random(budget)
