@@ -3,9 +3,10 @@
 Characters are letters in lower case; everything between them is one space. Grams of all training
 texts are counted in Spark. The highest order discounts its counts, the lower ones count in how
 many contexts a gram appears, and all orders are interpolated down to a uniform distribution over
-the letters seen. The model is kept as sorted arrays of gram hashes with a log probability
-and a back-off weight per language. Hashes have `SLOT_BITS` bits, so an array has at most 2**22
-entries however large the corpus is; that is the bound of what is sent to the tasks.
+the letters seen. A language's model is kept as sorted arrays of 64-bit gram hashes, each with a log
+probability and a back-off weight. It grows with the corpus: up to `MODEL_ROWS` rows it is sent to
+the tasks, a larger one stays a table in Spark, with which the distinct grams of each document are
+joined.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,8 @@ from chaffline.llm.arrays import slices, texts_of
 from chaffline.session import cut_lineage
 
 ORDER = 3
-SLOT_BITS = 22
+#: Rows of a model that are sent to all tasks at most.
+MODEL_ROWS = 4_000_000
 #: Gram codes up to this number are counted in an array, above by sorting.
 DENSE_CODES = 1 << 22
 TEXT_BYTES = 4 << 20
@@ -183,36 +185,44 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted slots per size, and for each slot and language a log probability and a back-off."""
+    """Per language and size of gram: sorted hashes, log probabilities (NaN if none) and back-offs."""
 
     languages: list[str]
     order: int
-    slots: list[np.ndarray]
-    logp: list[np.ndarray]  # NaN where a language does not have the gram
-    backoff: list[np.ndarray]  # 0 where it is no context
-
-    def _find(self, size: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        mask = (1 << SLOT_BITS) - 1
-        wanted = np.fromiter((xxhash.xxh64_intdigest(t, 42) & mask for t in texts), np.int64, len(texts))
-        own = self.slots[size]
-        at = np.searchsorted(own, wanted)
-        known = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == wanted) if len(own) else np.zeros(len(at), bool)
-        width = len(self.languages)
-        logp, backoff = np.full((len(texts), width), np.nan), np.zeros((len(texts), width))
-        logp[known], backoff[known] = self.logp[size][at[known]], self.backoff[size][at[known]]
+    hashes: list[list[np.ndarray]]
+    logp: list[list[np.ndarray]]
+    backoff: list[list[np.ndarray]]
+
+    def _find(self, language: int, size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.hashes[language][size]
+        logp, backoff = np.full(len(wanted), np.nan), np.zeros(len(wanted))
+        if len(own):
+            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            known = own[at] == wanted
+            logp[known] = self.logp[language][size][at[known]]
+            backoff[known] = self.backoff[language][size][at[known]]
         return logp, backoff
 
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
         """For each gram of full order the log probability of its last character, by language."""
-        total = np.repeat(self.logp[0][:1] + self.backoff[0][:1], len(texts), 0)
-        for size in range(1, self.order + 1):
-            short, which = np.unique([t[self.order - size :] for t in texts], return_inverse=True)
-            logp, _ = self._find(size, short.tolist())
-            if size > 1:
-                context, place = np.unique([t[self.order - size : -1] for t in texts], return_inverse=True)
-                total = total + self._find(size - 1, context.tolist())[1][place]
-            own = logp[which]
-            total = np.where(np.isnan(own), total, own)
+        order, count = self.order, len(self.languages)
+        asked = {}
+        for size in range(1, order + 1):
+            for name, cut in (("gram", slice(order - size, None)), ("context", slice(order - size, -1))):
+                short, which = np.unique([t[cut] for t in texts], return_inverse=True)
+                hashes = (xxhash.xxh64_intdigest(t, 42) for t in short.tolist())
+                asked[name, size] = np.fromiter(hashes, np.uint64, len(short)).view(np.int64), which
+        total = np.zeros((len(texts), count))
+        for language in range(count):
+            # The row of size 0 has the empty gram.
+            total[:, language] = self.logp[language][0][0] + self.backoff[language][0][0]
+            for size in range(1, order + 1):
+                if size > 1:
+                    wanted, which = asked["context", size]
+                    total[:, language] += self._find(language, size - 1, wanted)[1][which]
+                wanted, which = asked["gram", size]
+                own = self._find(language, size, wanted)[0][which]
+                total[:, language] = np.where(np.isnan(own), total[:, language], own)
         return total
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,96 +238,165 @@ class Model:
         return -sums / np.maximum(counts, 1)[:, None], counts
 
 
-def collect_model(rows: DataFrame, order: int) -> Model:
-    """The rows as sorted arrays. At most 2**SLOT_BITS slots per size and language leave Spark."""
-    slot = F.xxhash64("gram").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")
-    # Grams that share a slot become one: its larger probability and weight.
-    table = (
-        rows.groupBy("lang", "size", slot)
-        .agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-        .toArrow()
-    )
-    languages = sorted(set(table["lang"].to_pylist()))
-    language = np.searchsorted(languages, np.asarray(table["lang"].to_pylist(), dtype=object)) if languages else []
-    size, slots = np.asarray(table["size"]), np.asarray(table["slot"])
-    logp, backoff = (
-        np.asarray(table[c].to_pandas(), dtype=np.float64) for c in ("logp", "backoff")
-    )
+@dataclass
+class ModelTable:
+    """A model that stays in Spark: a row per gram with its values by number of language."""
+
+    languages: list[str]
+    order: int
+    grams: DataFrame  # gram, size, logp map<int, double>, backoff map<int, double>
+
+    def resolved(self, asked: DataFrame) -> DataFrame:
+        """(gram, logp array by language) of the distinct `gram`s of full order in a table."""
+        order, found = self.order, asked.select("gram").distinct()
+        base = self.grams.where("size = 0").select("logp", "backoff").first()
+        numbers = range(len(self.languages))
+        value = {i: F.lit(base.logp[i] + base.backoff.get(i, 0.0)) for i in numbers}
+        for size in range(1, order + 1):
+            known = self.grams.where(F.col("size") == size).select(F.col("gram").alias(f"_g{size}"), F.col("logp").alias(f"_l{size}"))
+            found = found.withColumn(f"_g{size}", F.substring("gram", order - size + 1, size)).join(known, f"_g{size}", "left")
+            if size > 1:
+                context = self.grams.where(F.col("size") == size - 1).select(F.col("gram").alias(f"_c{size}"), F.col("backoff").alias(f"_b{size}"))
+                found = found.withColumn(f"_c{size}", F.substring("gram", order - size + 1, size - 1)).join(context, f"_c{size}", "left")
+            for i in numbers:
+                own = F.try_element_at(f"_l{size}", F.lit(i))
+                weight = F.coalesce(F.try_element_at(f"_b{size}", F.lit(i)), F.lit(0.0)) if size > 1 else F.lit(0.0)
+                value[i] = F.coalesce(own, value[i] + weight)
+        return found.select("gram", F.array(*[value[i] for i in numbers]).alias("logp"))
+
+
+def build_model(rows: DataFrame, order: int) -> Model | ModelTable:
+    """The rows as sorted arrays where they are at most `MODEL_ROWS`, else as a table."""
+    rows = cut_lineage(rows)
+    languages = sorted(r[0] for r in rows.where("size = 0").select("lang").collect())  # a row per language
+    if rows.count() > MODEL_ROWS:
+        numbers = F.create_map(*[F.lit(x) for pair in zip(languages, range(len(languages))) for x in pair])
+        entry = lambda c: F.map_from_entries(
+            F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.element_at(numbers, F.col("lang")), F.col(c))))
+        )
+        table = rows.groupBy("gram", "size").agg(entry("logp").alias("logp"), entry("backoff").alias("backoff"))
+        return ModelTable(languages, order, cut_lineage(table))
+    table = rows.select("lang", "size", F.xxhash64("gram").alias("hash"), "logp", "backoff").toArrow()
+    language = np.searchsorted(languages, np.asarray(table["lang"].to_pylist(), dtype=object)) if languages else np.zeros(0, int)
+    size, hashes = np.asarray(table["size"]), np.asarray(table["hash"])
+    logp, backoff = (np.asarray(table[c].to_pandas(), dtype=np.float64) for c in ("logp", "backoff"))
     model = Model(languages, order, [], [], [])
-    for k in range(order + 1):
-        own = size == k
-        distinct, at = np.unique(slots[own], return_inverse=True)
-        first = np.full((len(distinct), len(languages)), np.nan, np.float32)
-        second = np.zeros((len(distinct), len(languages)), np.float32)
-        first[at, np.asarray(language)[own].astype(int)] = logp[own]
-        second[at, np.asarray(language)[own].astype(int)] = np.nan_to_num(backoff[own], nan=0.0)
-        model.slots.append(distinct)
-        model.logp.append(first)
-        model.backoff.append(second)
+    for number in range(len(languages)):
+        parts = [np.flatnonzero((language == number) & (size == k)) for k in range(order + 1)]
+        parts = [own[np.argsort(hashes[own])] for own in parts]
+        model.hashes.append([hashes[own] for own in parts])
+        model.logp.append([logp[own].astype(np.float32) for own in parts])
+        model.backoff.append([np.nan_to_num(backoff[own], nan=0.0).astype(np.float32) for own in parts])
     return model
 
 
-def fit_model(documents: DataFrame, order: int = ORDER, lang: str = "lang", text: str = "text") -> Model:
+def fit_model(documents: DataFrame, order: int = ORDER, lang: str = "lang", text: str = "text") -> Model | ModelTable:
     """Models of all languages of the rows with a language; counts cover all of their texts."""
     training = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return collect_model(kneser_ney(count_grams(training, order, lang, text), order), order)
+    return build_model(kneser_ney(count_grams(training, order, lang, text), order), order)
 
 
-def identify(
-    documents: DataFrame,
-    model: Model,
-    limits: dict[str, tuple[float, float]] | None = None,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), cross_entropy (nats per character), chars, rejected.
+_SCORED = "entropy array<double>, chars long, lettered boolean"
 
-    The language with the lowest cross-entropy per character wins, the first by name among equal
-    ones. The score is its probability among the languages, counting at most 64 characters. A text
-    that is null or has no letter is `und` with score 0. With `limits` (see `calibrate`) a text
-    whose cross-entropy is above its language's limit is rejected and `und` too. Texts are read
-    whole. An empty table gives no rows, a model without languages only `und`. Other columns are
-    not read; repeated rows and null doc_ids stay as they are.
-    """
+
+def _entropies(documents: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, entropy by language, chars, lettered) with a model that the tasks hold."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.languages, "und"], object)
         for batch in slices(batches, text, TEXT_BYTES):
             texts = texts_of(batch, text).to_pylist()
             lettered = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
-            if not model.languages:
-                entropy, chars = np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
-                lettered[:] = False
-            else:
-                entropy, chars = model.cross_entropies(texts)
-            best = entropy.argmin(1)
-            low = entropy[np.arange(len(texts)), best]
-            ahead = np.exp(-(entropy - low[:, None]) * np.minimum(chars, CONFIDENT_CHARS)[:, None])
-            score = np.where(lettered, 1 / ahead.sum(1), 0.0)
-            rejected = np.zeros(len(texts), bool)
-            if limits and model.languages:
-                mean, spread = (np.array([limits.get(x, (np.inf, 0.0))[i] for x in model.languages]) for i in (0, 1))
-                rejected = lettered & (low > mean[best] + spread[best] / np.sqrt(np.maximum(chars, 1)))
-            best = np.where(lettered & ~rejected, best, len(names) - 1)
+            entropy, chars = model.cross_entropies(texts)
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * entropy.shape[1])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(entropy.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(doc_id), pa.array(names[best], pa.string()), pa.array(score),
-                    pa.array(low.astype(np.float64)), pa.array(chars.astype(np.int64)), pa.array(rejected),
-                ],
-                ["doc_id", "lang_pred", "score", "cross_entropy", "chars", "rejected"],
+                [batch.column(doc_id), lists, pa.array(chars.astype(np.int64)), pa.array(lettered)],
+                ["doc_id", "entropy", "chars", "lettered"],
             )
 
     chosen = documents.select(doc_id, text)
-    schema = T.StructType(
-        [T.StructField("doc_id", chosen.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType())]
-        + [T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType())]
-        + [T.StructField("chars", T.LongType()), T.StructField("rejected", T.BooleanType())]
-    )
+    schema = T.StructType([T.StructField("doc_id", chosen.schema[doc_id].dataType)])
+    for field in T._parse_datatype_string(_SCORED).fields:
+        schema.add(field)
     return chosen.mapInArrow(run, schema)
 
 
+def _joined_entropies(documents: DataFrame, model: ModelTable, doc_id: str, text: str) -> DataFrame:
+    """The same with a model in Spark: the distinct grams of each document meet the table."""
+    keyed = cut_lineage(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")))
+    order = model.order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_BYTES):
+            codes, owner = folded(texts_of(batch, "text").to_pylist(), order)
+            rows, which, owner = grams(codes, owner, order)
+            size = max(len(rows), 1)
+            found, counts = np.unique(owner * size + which, return_counts=True)
+            texts = pa.array(_strings(rows) if len(rows) else [], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(found // size)), texts.take(pa.array(found % size)), pa.array(counts.astype(np.int64))],
+                ["row", "gram", "n"],
+            )
+
+    counted = cut_lineage(keyed.select("row", "text").mapInArrow(run, "row long, gram string, n long"))
+    values = counted.join(cut_lineage(model.resolved(counted)), "gram")
+    sums = [F.sum(F.col("n") * F.col("logp")[i]).alias(f"_s{i}") for i in range(len(model.languages))]
+    per_row = values.groupBy("row").agg(F.sum("n").alias("chars"), *sums)
+    entropy = F.array(*[F.coalesce(-F.col(f"_s{i}") / F.col("chars"), F.lit(0.0)) for i in range(len(model.languages))])
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return keyed.join(per_row, "row", "left").select(
+        "doc_id", entropy.alias("entropy"), F.coalesce("chars", F.lit(0)).alias("chars"), lettered.alias("lettered")
+    )
+
+
+def identify(
+    documents: DataFrame,
+    model: Model | ModelTable,
+    limits: dict[str, tuple[float, float]] | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    name_rejected: bool = False,
+) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1), cross_entropy (nats per character), chars, rejected.
+
+    The language with the lowest cross-entropy per character wins, the first by name among equal
+    ones. The score is its probability among the languages, counting at most 64 characters. A text
+    that is null or has no letter is `und` with score 0. With `limits` (see `calibrate`) a text
+    whose cross-entropy is above its language's limit is rejected, and `und` too unless
+    `name_rejected` asks for the language all the same. Texts are read whole. An empty table gives
+    no rows, a model without languages only `und`. Other columns are not read; repeated rows and
+    null doc_ids stay as they are.
+    """
+    if not model.languages:
+        plain = documents.select(F.col(doc_id).alias("doc_id"))
+        return plain.select(
+            "doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"),
+            F.lit(0).cast("long").alias("chars"), F.lit(False).alias("rejected"),
+        )
+    scored = (_joined_entropies if isinstance(model, ModelTable) else _entropies)(documents, model, doc_id, text)
+    low = F.array_min("entropy")
+    best = F.array_position("entropy", low).cast("int") - 1
+    ahead = F.aggregate(
+        "entropy", F.lit(0.0), lambda s, e: s + F.exp((F.col("low") - e) * F.least(F.col("chars"), F.lit(CONFIDENT_CHARS)))
+    )
+    name = F.get(F.lit(model.languages), F.col("best"))
+    bound: Column = F.lit(float("inf"))
+    if limits:
+        of = lambda i: F.lit([float(limits.get(x, (np.inf, 0.0))[i]) for x in model.languages])
+        bound = F.get(of(0), F.col("best")) + F.get(of(1), F.col("best")) / F.sqrt(F.greatest(F.col("chars"), F.lit(1)))
+    rejected = F.col("lettered") & (F.col("low") > bound)
+    named = F.col("lettered") if name_rejected else F.col("lettered") & ~F.col("rejected")
+    return (
+        scored.withColumn("low", low).withColumn("best", best).withColumn("rejected", rejected)
+        .select(
+            "doc_id", F.when(named, name).otherwise("und").alias("lang_pred"),
+            F.when(F.col("lettered"), 1 / ahead).otherwise(0.0).alias("score"), F.col("low").alias("cross_entropy"), "chars", "rejected",
+        )
+    )
+
+
 def calibrate(scored: DataFrame, deviations: float = 6.0) -> dict[str, tuple[float, float]]:
     """Limits of accepted cross-entropies, from texts known to be in a model's languages.
 

@@ -131,9 +131,11 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def kneser_ney_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    model = language_id.fit_model(documents.where(fold_of("doc_id", 5) != 0).select("lang", "text"))
-    return language_id.identify(documents, model).select(
-        "doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score"
+    learnt = documents.where(fold_of("doc_id", 5) != 0)
+    model = language_id.fit_model(learnt.select("lang", "text"))
+    limits = language_id.calibrate(language_id.identify(learnt.where("lang IS NOT NULL"), model))
+    return language_id.identify(documents, model, limits, name_rejected=True).select(
+        "doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
     )
 
 

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from chaffline.llm import language_id, queries
@@ -47,6 +48,48 @@ def test_probabilities(spark, order):
         assert found[:, i].tolist() == pytest.approx([math.log(truth(g)) for g in grams], rel=1e-4)
 
 
+@pytest.mark.parametrize("most", [language_id.MODEL_ROWS, 0])
+def test_language_and_score_by_brute_force(spark, monkeypatch, most):
+    """The chosen language, its score and the cross-entropy, with the model in tasks and as a table."""
+    monkeypatch.setattr(language_id, "MODEL_ROWS", most)
+    texts = {"x": ["abracadabra", "abc abd", "cab"], "y": ["zzyzx", "xyz xyzzy"], "z": ["axa bxb", "zab"]}
+    rows = [(lang, t) for lang, own in texts.items() for t in own]
+    model = language_id.fit_model(spark.createDataFrame(rows, "lang string, text string"))
+    assert isinstance(model, language_id.Model if most else language_id.ModelTable)
+    truth = {lang: brute_model(own, 3) for lang, own in texts.items()}
+    asked = ["abra cab", "zyx", "xaxaxa zabra", "q", "a", None, " 12 ", "ZYZZY!", "ab" * 200, "日本"]
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in language_id.identify(frame, model).collect()}
+    for i, text in enumerate(asked):
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, False)
+            continue
+        codes, _ = language_id.folded([text], 3)
+        plain = "".join(map(chr, codes))
+        grams = [plain[j - 2 : j + 1] for j in range(3, len(plain))]
+        entropy = {lang: -sum(math.log(p(g)) for g in grams) / len(grams) for lang, p in truth.items()}
+        best = min(sorted(entropy), key=entropy.get)
+        score = 1 / sum(math.exp(-(e - entropy[best]) * min(len(grams), 64)) for e in entropy.values())
+        assert got[i].lang_pred == best and got[i].chars == len(grams)
+        assert (got[i].score, got[i].cross_entropy) == (pytest.approx(score, rel=1e-3), pytest.approx(entropy[best], rel=1e-4))
+
+
+def test_ten_million_grams_hide_no_unseen_one():
+    """However many grams a language has, one that it has not is unknown."""
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(-(2**63), 2**63 - 1, 10_000_000))
+    one = np.zeros(1, np.float32)
+    model = language_id.Model(["x"], 1, [[np.zeros(1, np.int64), hashes]], [[one, np.zeros(len(hashes), np.float32)]], [[one, one]])
+    unseen = rng.integers(-(2**63), 2**63 - 1, 100_000)
+    assert np.isnan(model._find(0, 1, unseen[~np.isin(unseen, hashes)])[0]).all()
+
+
+def test_the_query_tells_what_it_rejects(spark):
+    rows = queries.kneser_ney_language(spark, FOLDER).collect()
+    assert 0 <= sum(r.rejected for r in rows) < 0.05 * len(rows)
+    assert all(r.lang_pred != "und" for r in rows if r.rejected)
+
+
 def test_probabilities_sum_to_one(spark):
     model = language_id.fit_model(spark.createDataFrame([("x", "abcabcabd"), ("x", "bad cab")], "lang string, text string"))
     for context in ("ab", "ca", "qq", "\2\2"):
