@@ -107,7 +107,7 @@ def evaluate(members: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 @dataclass
-class _Descent:
+class Descent:
     """Where one cell is: its best point, its direction and the length of the step it tries."""
 
     point: np.ndarray
@@ -164,7 +164,7 @@ def fit_cells(
     Each cell minimises its mean cross entropy plus penalty / 2 times the squares of its weights, but
     for the last feature's, which is the constant. A cell without rows keeps zero weights.
     """
-    states = [_Descent(np.zeros((classes, width))) for _ in range(cells)]
+    states = [Descent(np.zeros((classes, width))) for _ in range(cells)]
     used = 0
     while used < passes and not all(s.done for s in states):
         trials = np.array([s.trial() for s in states])
