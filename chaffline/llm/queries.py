@@ -11,11 +11,8 @@ from chaffline.llm import (
     substrings, toxicity_chain, vector_codes, warc_zip,
 )
 
-# Seed words that tell kinds of toxic training documents apart.
-INSULTS = ["clown", "idiot", "loser", "moron", "scum"]
-CONTEMPT = ["disgusting", "pathetic", "stupid", "trash", "worthless"]
-
-CATEGORIES = ["insult", "contempt", "toxic"]
+#: Kinds of toxic documents, learnt from the labelled ones, then the label itself.
+CATEGORIES = ["kind_1", "kind_2", "toxic"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -148,21 +145,12 @@ def quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _has(words: list[str]):
-    pattern = r"(^|[^0-9a-z\x80-\x{10FFFF}])(" + "|".join(words) + r")($|[^0-9a-z\x80-\x{10FFFF}])"
-    return F.lower(F.coalesce("text", F.lit(""))).rlike(pattern)
-
-
 def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").where(fold_of("doc_id", 3) != 1).select("doc_id", "toxic")
-    labelled = (
-        documents.select("doc_id", "text")
-        .join(toxicity_chain.sample_of(labels), "doc_id")
-        .withColumn("insult", ((F.col("toxic") == 1) & _has(INSULTS)).cast("int"))
-        .withColumn("contempt", ((F.col("toxic") == 1) & _has(CONTEMPT)).cast("int"))
-    )
-    chain = toxicity_chain.fit(labelled, CATEGORIES)
+    sample = toxicity_chain.sample_of(labels, documents, "toxic")
+    labelled = toxicity_chain.with_kinds(documents.select("doc_id", "text").join(sample, "doc_id"), "toxic", 2)
+    chain = toxicity_chain.fit(labelled, CATEGORIES, known_by=["toxic"])
     return toxicity_chain.score(documents, chain).select(
         "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"),
         *[F.col(c).alias(f"{c}_score") for c in CATEGORIES], (F.col("toxic") >= chain.thresholds[-1]).alias("toxic"),

@@ -71,19 +71,49 @@ def test_toxicity_of_odd_documents(spark, odd_documents, odd_rows, no_documents)
     assert toxicity_chain.score(no_documents, chain).collect() == []
 
 
-def test_later_models_use_earlier_probabilities():
+def test_later_models_use_earlier_probabilities(spark):
     """The second label is the first one's: with words that say nothing else the chain passes it on."""
     rng = np.random.default_rng(3)
     first = rng.integers(0, 2, 600)
     rows, columns = np.arange(600), first  # word 0 or word 1
     labels = np.stack((first, first), 1).astype(float)
-    chain = toxicity_chain.fit_chain(rows, columns, ["a", "b"], labels, np.arange(600) % 3, ["x", "y"])
+    chain = toxicity_chain.fit_chain(spark, rows, columns, ["a", "b"], labels, np.arange(600) % 3, ["x", "y"])
     assert chain.models[1].before[0] > 0.05
     found = chain.probabilities(np.array([0, 1]), np.array([0, 1]), 3)
     assert found[0].max() < 0.1 and found[1].min() > 0.9
 
 
+def test_a_fit_is_the_optimum():
+    """Against Newton steps on the dense matrix of the same words."""
+    rng = np.random.default_rng(4)
+    matrix = (rng.random((200, 12)) < 0.3).astype(float)
+    before = rng.normal(size=(200, 2))
+    labels = (rng.random(200) < 1 / (1 + np.exp(-(matrix @ rng.normal(size=12) + before[:, 0])))).astype(float)
+    rows, columns = np.nonzero(matrix)
+    model = toxicity_chain.fit_linear(rows, columns, 12, before, labels, penalty=1e-2)
+    full = np.concatenate((matrix, before, np.ones((200, 1))), 1)
+    penalty = np.diag([1e-2] * 14 + [0.0])
+    point = np.zeros(15)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ point))
+        slope = full.T @ (p - labels) / 200 + penalty @ point
+        point -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full / 200 + penalty, slope)
+    found = np.concatenate((model.words, model.before, [model.bias]))
+    assert found == pytest.approx(point, abs=1e-3)
+
+
+def test_kinds_share_words():
+    groups = [["idle", "vain"], ["loud", "rude"]]
+    words = [groups[i % 2][j] for i in range(40) for j in range(2)]
+    names = sorted({w for g in groups for w in g})
+    rows, columns = np.repeat(np.arange(40), 2), np.array([names.index(w) for w in words])
+    found = toxicity_chain.kinds_of(rows, columns, 40, 4, 2)
+    assert len(set(found[::2])) == 1 and len(set(found[1::2])) == 1 and found[0] != found[1]
+
+
 def test_sample_is_bounded(spark):
-    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("x", F.lit(1))
-    chain = toxicity_chain.fit(documents, ["x"], max_rows=50, max_words=7)
-    assert len(chain.vocabulary) <= 7
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("x"))
+    bad = spark.createDataFrame([(None, 1), (10**9, 1), (3, None), (4, 7)], "doc_id long, x int")
+    sample = toxicity_chain.sample_of(labels.union(bad), documents, "x", 50)
+    assert sample.count() == 50 and sample.where("doc_id = 1000000000 OR x NOT IN (0, 1)").count() == 0
