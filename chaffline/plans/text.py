@@ -16,7 +16,7 @@ from chaffline.plans.views import (
     sample_labels,
     texts,
 )
-from chaffline.scorers import model_outputs
+from chaffline.scorers import context_tree, model_outputs
 from chaffline.scorers.registry import get_scorer
 from chaffline.sources import corpus
 
@@ -125,6 +125,16 @@ def _model(spark, folder, chunks=None):
     return chunks, model_outputs.fit_bigrams(chunks, codec.size), codec
 
 
+def context_tree_loss(spark, folder):
+    """Mean loss per chunk under a context tree of the chunks of four documents in five; the fifth is unseen."""
+    rows = documents(spark, folder)
+    chunks = prep.chunk_texts(rows, BLOCK_SIZE)
+    model = context_tree.fit_tree(chunks.where("doc_id % 5 <> 0"), Codec.fit(rows).size)
+    return context_tree.tree_losses(chunks, model, ["doc_id", "chunk_idx"]).select(
+        "doc_id", "chunk_idx", F.round("loss", 5).alias("loss"), "n"
+    )
+
+
 def ngram_token_loss(spark, folder):
     """Losses of all tokens, summed up per chunk for output."""
     chunks, model, _ = _model(spark, folder)
@@ -167,6 +177,7 @@ def context_entropy(spark, folder):
 
 
 QUERIES = {
+    "context_tree_loss": (context_tree_loss, None),
     "scan_documents": (scan_documents, "SELECT doc_id, text FROM documents"),
     "sample_labels": (sample_labels, f"WITH {SAMPLES} SELECT sample_id, label FROM samples"),
     "samples_for_subset": (
