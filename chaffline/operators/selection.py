@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from chaffline.session import broadcast_if_small, cut_lineage
 
 #: Buckets of an interval.
 BUCKETS = 1024
+#: Values that the driver takes at most.
+FEW = 1 << 18
 #: Ratio of an interval's ends from which on buckets are equal in the logarithm.
 WIDE = 8.0
 
@@ -82,9 +85,17 @@ def select_ranks(values: DataFrame, column: str, ranks: DataFrame, within: Seque
 
 
 def quantiles(values: DataFrame, column: str, shares: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
-    """(*within, q0, q1, ...): quantiles interpolated between the two nearest values."""
+    """(*within, q0, q1, ...): quantiles interpolated between the two nearest values.
+
+    A table of at most `FEW` values without groups is measured on the driver.
+    """
     keys = list(within)
     known = values.where(F.abs(F.col(column).cast("double")) < F.lit(float("inf")))
+    if not keys:
+        few = known.select(F.col(column).cast("double").alias("v")).limit(FEW + 1).toArrow()["v"].to_numpy()
+        if len(few) <= FEW:
+            row = [tuple(float(q) for q in np.quantile(few, list(shares)))] if len(few) else []
+            return values.sparkSession.createDataFrame(row, ", ".join(f"q{i} double" for i in range(len(shares))))
     sizes = cut_lineage(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0"))
     place = lambda share: (F.col("_n") - 1) * F.lit(float(share))
     wanted = F.array(*[F.floor(place(s)) for s in shares], *[F.least(F.floor(place(s)) + 1, F.col("_n") - 1) for s in shares])

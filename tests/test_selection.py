@@ -29,15 +29,17 @@ def test_ranks_are_exact(spark, monkeypatch, buckets):
     assert got == {(g, r): np.sort(groups[g])[r] for g, r in wanted}
 
 
-def test_quantiles_equal_numpy(spark):
+def test_quantiles_equal_numpy(spark, monkeypatch):
     values = frame(spark, GROUPS)
     shares = [0.0, 0.02, 0.5, 0.9, 1.0]
     for r in selection.quantiles(values, "v", shares, ["g"]).collect():
         expected = np.quantile(GROUPS[r.g], shares)
         assert [r[f"q{i}"] for i in range(5)] == pytest.approx(expected, rel=1e-12)
-    whole = selection.quantiles(values.where("g = 1"), "v", [0.25]).first()
-    assert whole.q0 == pytest.approx(np.quantile(GROUPS[1], 0.25), rel=1e-12)
-    assert selection.quantiles(values.limit(0), "v", [0.5]).collect() == []
+    for few in (selection.FEW, 10):
+        monkeypatch.setattr(selection, "FEW", few)
+        whole = selection.quantiles(values.where("g = 1"), "v", [0.25]).first()
+        assert whole.q0 == pytest.approx(np.quantile(GROUPS[1], 0.25), rel=1e-12)
+        assert selection.quantiles(values.limit(0), "v", [0.5]).collect() == []
 
 
 def test_no_range_exchange(spark):
