@@ -44,6 +44,8 @@ CUT_SCHEMA = T.StructType(
 ROW_GROUP_BYTES = 8 << 20
 # Retained samples in one file of a subset.
 ROWS_PER_FILE = 10_000_000
+# A comma outside of quotes: an even number of quotes follows.
+UNQUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 # Names of an epoch metric, the preferred one first.
 EPOCH_METRICS = ("val_acc_epoch", "val_acc"), ("val_loss_epoch", "val_loss")
 
@@ -219,16 +221,17 @@ def read_epoch_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(run, epoch, val_acc, val_loss) from sparse metric files, each under either column naming.
 
     `run` is the file's path. Every file has its own header, so one folder may mix namings and
-    column orders. A column is taken from the `_epoch` name where a file has that.
+    column orders. A column is taken from the `_epoch` name where a file has that. Cells in quotes may
+    hold commas. The headers, a row per file, are broadcast if they are few; lines are not shuffled then.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("run"),
-        F.transform(F.split("value", ","), lambda cell: F.trim(F.translate(cell, '"\r', ""))).alias("cells"),
+        F.transform(F.split("value", UNQUOTED_COMMA), lambda cell: F.trim(F.translate(cell, '"\r', ""))).alias("cells"),
     )
     is_header = F.array_contains("cells", "epoch")
     # One row per file. Files are alike in size, so no file is a hot key.
-    headers = lines.where(is_header).groupBy("run").agg(F.first("cells").alias("names"))
-    rows = lines.where(~is_header).join(headers, "run")
+    headers = cut_lineage(lines.where(is_header).groupBy("run").agg(F.first("cells").alias("names")))
+    rows = lines.where(~is_header).join(broadcast_if_small(headers), "run")
 
     def cell(*names: str):
         places = [F.array_position("names", n) for n in names]

@@ -214,10 +214,12 @@ def test_epoch_metrics_of_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("epoch,val_loss\n0,0.5\n")
     (tmp_path / "b.csv").write_text("val_acc,epoch\r\n0.25,7\r\n")
     (tmp_path / "c.csv").write_text("step,val_acc_epoch,val_acc,epoch\n3,0.9,0.1,2\n4,,0.2,3\n")
+    (tmp_path / "d.csv").write_text('note,epoch,val_acc\n"a, ""b""",4,0.5\n')
     rows = A.read_epoch_metrics(spark, str(tmp_path)).collect()
     found = sorted((r.run[-5:], r.epoch, r.val_acc, r.val_loss) for r in rows)
     assert found == [
-        ("a.csv", 0, None, 0.5), ("b.csv", 7, 0.25, None), ("c.csv", 2, 0.9, None), ("c.csv", 3, None, None)
+        ("a.csv", 0, None, 0.5), ("b.csv", 7, 0.25, None), ("c.csv", 2, 0.9, None), ("c.csv", 3, None, None),
+        ("d.csv", 4, 0.5, None),
     ]
 
 
