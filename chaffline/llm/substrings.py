@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from chaffline.llm.arrays import ragged, raw, slices, texts_of
 from chaffline.llm.store import stored
-from chaffline.session import broadcast_if_small, cut_lineage
+from chaffline.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 #: Words of an anchor gram.
 GRAM = 5
@@ -47,6 +47,8 @@ STRETCH_BITS = 24
 TOGETHER_BITS = 9
 #: Windows that are streamed against a shard in one task, about.
 STREAM_WINDOWS = 400_000
+#: Spans that are sent to all tasks at most, 16 bytes each; more meet the documents in a shuffle.
+BROADCAST_SPANS = 2_000_000
 #: Bits of the map of anchors: 16 to 32 for each, and never more than 2**29 (64 MiB).
 LEAST_MAP_BITS, MOST_MAP_BITS = 16, 29
 #: Bits that an anchor sets in the map.
@@ -507,9 +509,12 @@ def remove_repeated_spans(documents: DataFrame, size: int = 13, doc_id: str = "d
     spans = cut_lineage(
         repeated_spans(documents, size, doc_id, text).groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     )
+    rows, total = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and total <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
     plain = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = plain.withColumn("key", F.xxhash64("text")).withColumn("doc", F.col("doc_id").cast("long"))
-    joined = keyed.join(broadcast_if_small(spans), ["doc", "key"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans")
     schema = T.StructType(
         [T.StructField("doc_id", plain.schema["doc_id"].dataType), T.StructField("n_words", T.LongType())]
         + [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))]

@@ -66,7 +66,7 @@ def test_passages(spark, seed):
 
 
 def test_small_shards_and_pieces(spark, monkeypatch):
-    for name, value in (("SHARD_WINDOWS", 20), ("STREAM_WINDOWS", 30), ("PLACE_BITS", 3), ("TOGETHER_BITS", 1), ("TEXT_BYTES", 300)):
+    for name, value in (("SHARD_WINDOWS", 20), ("STREAM_WINDOWS", 30), ("PLACE_BITS", 3), ("TOGETHER_BITS", 1), ("BROADCAST_SPANS", 3), ("TEXT_BYTES", 300)):
         monkeypatch.setattr(substrings, name, value)
     rows = passages(3, 40)
     assert found(spark, rows, size=6) == brute(rows, 6)
