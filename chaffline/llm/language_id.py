@@ -407,7 +407,7 @@ def calibrate(scored: DataFrame, deviations: float = 6.0) -> dict[str, tuple[flo
     means = known.groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"))
     off = (F.col("cross_entropy") - F.col("mean")) * F.sqrt("chars")
     rows = (
-        known.join(means, "lang_pred")
+        known.join(F.broadcast(means), "lang_pred")  # a row per language
         .groupBy("lang_pred")
         .agg(F.first("mean").alias("mean"), F.sqrt(F.avg(off * off)).alias("spread"))
         .collect()  # a row per language
