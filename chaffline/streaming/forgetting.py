@@ -1,12 +1,14 @@
 """Forgetting counts over an arriving prediction log, in Spark's keyed state.
 
-Two stateful steps. The first is keyed by (seed, sample, epoch, stretch of `SEGMENT_STEPS` steps) and
-keeps the outcomes of its steps as sorted offsets and bits, so rows may arrive in any order and at
-any time; of a segment that changed it emits a summary of one row. The second is keyed by (seed,
-sample), keeps the summaries of its segments, joins them end to end and emits the counts that
-changed. A sample with a large share of the log is so spread over many keys of the first step, and
-the second sees a row per segment. Reading counts costs a row per sample: they are read from the
-state itself, or taken from the stream of changes.
+Two stateful steps, both on groups of samples, as a call to the state costs as much as hundreds of
+rows. The first is keyed by (seed, epoch, stretch of `SEGMENT_STEPS` steps, one of `SEGMENT_GROUPS`
+groups of samples) and keeps the outcomes of each sample's steps as sorted offsets and bits, so rows
+may arrive in any order and at any time; of a sample's segment that got rows it emits a summary of one
+row. The second is keyed by (seed, one of `COUNT_GROUPS` groups), keeps the summaries of its samples'
+segments, joins them end to end and emits the counts that changed. A sample with a large share of the
+log is so spread over many keys of the first step, and the second sees a row per segment. Reading
+counts costs a few bytes per sample: they are read from the state itself, or taken from the stream
+of changes.
 """
 
 from __future__ import annotations
@@ -15,16 +17,28 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 SEGMENT_STEPS = 100_000
+# Groups of samples by hash: of a segment, and of a seed. A group's state is read and written whole.
+SEGMENT_GROUPS, COUNT_GROUPS = 128, 4096
+# The group of rows without a sample.
+_NO_SAMPLE = -1
 
-_SEGMENT_KEY = ["seed", "sample_id", "epoch", "segment"]
+_SEGMENT_KEY = ["seed", "epoch", "segment", "group"]
 _SEGMENT = "first_correct int, last_correct int, falls long, learnt int, repeated long"
 _COUNTS = "seed long, sample_id long, forgetting long, ever_learnt boolean, repeated long"
+# A segment's summary and a sample's counts as the state has them.
+_SUMMARY_ROW = np.dtype(
+    [("sample_id", "<i8"), ("epoch", "<i8"), ("segment", "<i8"), ("falls", "<i8"), ("repeated", "<i8")]
+    + [("first_correct", "u1"), ("last_correct", "u1"), ("learnt", "u1")]
+)
+_COUNTS_ROW = np.dtype([("sample_id", "<i8"), ("forgetting", "<i8"), ("repeated", "<i8"), ("ever_learnt", "?")])
 # Value of Spark's setting for a state store that these steps can use.
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,78 +58,140 @@ def merge_steps(
     return steps[new], correct[new], int((~new).sum())
 
 
+def _given(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows of a key; a value that is missing would be counted as some number."""
+    given = pd.concat(list(rows), ignore_index=True)
+    if given.isna().to_numpy().any():
+        raise ValueError("a prediction log needs epoch, step and correct in every row")
+    return given
+
+
 class SegmentProcessor(StatefulProcessor):
-    """Outcomes of the steps of a segment; emits its summary when rows have come."""
+    """Outcomes of the steps of a segment, for a group of samples; emits summaries of those that rows have come for."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Offsets inside the segment, 4 bytes each; outcomes as bits.
-        self._rows = handle.getValueState("rows", "n long, steps binary, correct binary, repeated long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        given = [(r.step, r.correct) for r in rows]
-        steps, outcomes = np.array(given, dtype=np.int64).reshape(-1, 2).T
-        known, correct, repeated = np.zeros(0, "<i4"), np.zeros(0, np.uint8), 0
-        held = self._rows.get()
-        if held is not None:
-            known = np.frombuffer(held[1], "<i4")
-            correct = np.unpackbits(np.frombuffer(held[2], np.uint8))[: held[0]]
-            repeated = held[3]
-        steps, correct, again = merge_steps(known, correct, steps.astype("<i4"), outcomes.astype(np.uint8))
-        repeated += again
-        self._rows.update((len(steps), steps.tobytes(), np.packbits(correct).tobytes(), repeated))
-        falls = int((correct[1:] < correct[:-1]).sum())
-        yield Row(
-            seed=key[0], sample_id=key[1], epoch=key[2], segment=key[3], first_correct=int(correct[0]),
-            last_correct=int(correct[-1]), falls=falls, learnt=int(correct.max()), repeated=repeated,
+        # Samples in order with their numbers of steps and of repeated rows, 20 bytes a sample; then the
+        # steps sample by sample: offsets inside the segment, 4 bytes each, and outcomes as bits.
+        held = "samples binary, sizes binary, repeated binary, steps binary, correct binary"
+        self._rows = handle.getValueState("rows", held)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = _given(rows)
+        held = self._rows.get() or (b"", b"", b"", b"", b"")
+        known, sizes, again, steps, bits = (
+            np.frombuffer(part, kind) for part, kind in zip(held, ("<i8", "<i4", "<i8", "<i4", "u1"))
         )
+        correct = np.unpackbits(bits)[: len(steps)]
+        samples, place = np.unique(np.concatenate([known, given["sample_id"].to_numpy("i8")]), return_inverse=True)
+        before, coming = np.repeat(place[: len(known)], sizes), place[len(known) :]
+        # Step and sample as one number, so all samples are merged at once.
+        both, correct, _ = merge_steps(
+            before << 32 | steps, correct, coming << 32 | given["step"].to_numpy("i8"), given["correct"].to_numpy("u1")
+        )
+        owner, steps = both >> 32, both & 0xFFFFFFFF
+        n = len(samples)
+        sizes = np.bincount(owner, minlength=n)
+        repeated = np.bincount(before, minlength=n) + np.bincount(coming, minlength=n) - sizes
+        repeated[place[: len(known)]] += again
+        self._rows.update((
+            samples.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), repeated.astype("<i8").tobytes(),
+            steps.astype("<i4").tobytes(), np.packbits(correct).tobytes(),
+        ))
+        last = np.cumsum(sizes) - 1
+        first = last - sizes + 1
+        fell = (correct[1:] < correct[:-1]) & (owner[1:] == owner[:-1])
+        falls = np.bincount(owner[1:][fell], minlength=n)
+        changed = np.unique(coming)
+        yield pd.DataFrame({
+            "seed": key[0], "epoch": key[1], "segment": key[2], "group": key[3],
+            "sample_id": samples[changed],
+            "first_correct": correct[first][changed].astype(np.int32),
+            "last_correct": correct[last][changed].astype(np.int32),
+            "falls": falls[changed],
+            "learnt": np.maximum.reduceat(correct, first)[changed].astype(np.int32),
+            "repeated": repeated[changed],
+        })
 
     def close(self) -> None:
         pass
 
 
 class CountProcessor(StatefulProcessor):
-    """Summaries of the segments of a sample; emits its counts when a segment changed."""
+    """Summaries of the segments of a group of samples; emits the counts of those with a segment that changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._segments = handle.getMapState("segments", "epoch long, segment long", _SEGMENT)
-        self._counts = handle.getValueState("counts", "forgetting long, ever_learnt boolean, repeated long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        changed = {(r.epoch, r.segment): (r.first_correct, r.last_correct, r.falls, r.learnt, r.repeated) for r in rows}
-        every = dict(changed)
-        if self._segments.exists():
-            every = {tuple(place): tuple(summary) for place, summary in self._segments.iterator()} | changed
-        for place, summary in changed.items():
-            self._segments.updateValue(place, summary)
-        ordered = [every[place] for place in sorted(every)]
+        self._segments = handle.getValueState("segments", "summaries binary")
+        self._counts = handle.getValueState("counts", "counts binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = _given(rows)
+        changed = np.zeros(len(given), _SUMMARY_ROW)
+        for name in _SUMMARY_ROW.names:
+            changed[name] = given[name].to_numpy()
+        held = self._segments.get()
+        every = np.concatenate([np.frombuffer(held[0] if held else b"", _SUMMARY_ROW), changed])
+        every = every[np.lexsort((np.arange(len(every)), every["segment"], every["epoch"], every["sample_id"]))]
+        # A new summary takes the place of the one before it.
+        place = every[["sample_id", "epoch", "segment"]]
+        every = every[np.append(place[1:] != place[:-1], True)]
+        self._segments.update((every.tobytes(),))
+        same = every["sample_id"][1:] == every["sample_id"][:-1]
+        first = np.flatnonzero(np.append(True, ~same))
         # A step from correct to wrong may also lie between two segments.
-        between = sum(a[1] > b[0] for a, b in zip(ordered, ordered[1:]))
-        counts = (between + sum(s[2] for s in ordered), any(s[3] for s in ordered), sum(s[4] for s in ordered))
-        self._counts.update(counts)
-        yield Row(seed=key[0], sample_id=key[1], forgetting=counts[0], ever_learnt=counts[1], repeated=counts[2])
+        falls = every["falls"].copy()
+        falls[1:] += same & (every["last_correct"][:-1] > every["first_correct"][1:])
+        counts = np.zeros(len(first), _COUNTS_ROW)
+        counts["sample_id"] = every["sample_id"][first]
+        counts["forgetting"] = np.add.reduceat(falls, first)
+        counts["repeated"] = np.add.reduceat(every["repeated"], first)
+        counts["ever_learnt"] = np.maximum.reduceat(every["learnt"], first) > 0
+        self._counts.update((counts.tobytes(),))
+        counts = counts[np.isin(counts["sample_id"], changed["sample_id"])]
+        yield pd.DataFrame({"seed": key[0], "group": key[1], **{c: counts[c] for c in _COUNTS_ROW.names}})
 
     def close(self) -> None:
         pass
 
 
+def _group(sample: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(sample), F.lit(groups)).cast("int")
+
+
+def _with_missing_sample(counts: DataFrame) -> DataFrame:
+    sample = F.when(F.col("group") != _NO_SAMPLE, F.col("sample_id")).alias("sample_id")
+    return counts.select("seed", sample, "forgetting", "ever_learnt", "repeated")
+
+
 def count_changes(log: DataFrame, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
     """The stream of changed counts (seed, sample_id, forgetting, ever_learnt, repeated) of a log.
 
     A sample's latest row is its count so far; `repeated` tells how many of its rows repeated a step.
     """
+    sample = F.col("sample_id").cast("long")
     keyed = log.select(
         F.col("seed").cast("long").alias("seed"),
-        F.col("sample_id").cast("long").alias("sample_id"),
         F.col("epoch").cast("long").alias("epoch"),
         F.call_function("div", F.col("step"), F.lit(segment_steps)).cast("long").alias("segment"),
+        F.when(sample.isNull(), _NO_SAMPLE).otherwise(_group(sample, SEGMENT_GROUPS)).alias("group"),
+        F.coalesce(sample, F.lit(0)).alias("sample_id"),
         F.pmod(F.col("step"), F.lit(segment_steps)).cast("int").alias("step"),
         F.col("correct").cast("int").alias("correct"),
     )
-    key = "seed long, sample_id long, epoch long, segment long"
-    segments = keyed.groupBy(*_SEGMENT_KEY).transformWithState(
-        SegmentProcessor(), f"{key}, {_SEGMENT}", "Append", "None"
+    segments = keyed.groupBy(*_SEGMENT_KEY).transformWithStateInPandas(
+        SegmentProcessor(),
+        f"seed long, epoch long, segment long, group int, sample_id long, {_SEGMENT}",
+        "Append",
+        "None",
     )
-    return segments.groupBy("seed", "sample_id").transformWithState(CountProcessor(), _COUNTS, "Append", "None")
+    missing = F.col("group") == _NO_SAMPLE
+    joined = segments.withColumn("group", F.when(missing, F.col("group")).otherwise(_group(F.col("sample_id"), COUNT_GROUPS)))
+    counts = joined.groupBy("seed", "group").transformWithStateInPandas(
+        CountProcessor(),
+        "seed long, group int, sample_id long, forgetting long, ever_learnt boolean, repeated long",
+        "Append",
+        "None",
+    )
+    return _with_missing_sample(counts)
 
 
 def start_forgetting(
@@ -160,7 +236,18 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
     if not known:
         return spark.createDataFrame([], _COUNTS)
     state = spark.read.format("statestore").option("operatorId", known[0]).option("stateVarName", "counts").load(place)
-    return state.select("key.seed", "key.sample_id", "value.forgetting", "value.ever_learnt", "value.repeated")
+    groups = state.select("key.seed", "key.group", "value.counts")
+    counts = "seed long, group int, sample_id long, forgetting long, ever_learnt boolean, repeated long"
+    return _with_missing_sample(groups.mapInArrow(_rows_of_groups, counts))
+
+
+def _rows_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for seed, group, held in zip(*(column.to_pylist() for column in batch.columns)):
+            counts = np.frombuffer(held, _COUNTS_ROW)
+            parts = {c: pa.array(counts[c]) for c in ("sample_id", "forgetting", "ever_learnt", "repeated")}
+            keys = {"seed": pa.array([seed] * len(counts), pa.int64()), "group": pa.array([group] * len(counts), pa.int32())}
+            yield pa.RecordBatch.from_pydict(keys | parts)
 
 
 def read_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -173,3 +173,15 @@ def test_merge_of_steps():
 
 def test_nothing_written_yet(spark, tmp_path):
     assert S.read_forgetting_counts(spark, str(tmp_path)).collect() == []
+
+
+def test_samples_share_keys_of_the_state(spark, tmp_path):
+    """Before, every sample was a key, and each key costs calls to the state. No sample is a sample, too."""
+    source, place = str(tmp_path / "log"), str(tmp_path / "out")
+    steps = [1, 0, 1, 0]
+    rows = [(0, sample, 0, i, steps[i]) for sample in [None, *range(-500, 500)] for i in range(4)]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(source)
+    S.start_forgetting(spark.readStream.schema(LOG).parquet(source), place).awaitTermination()
+    assert as_dict(S.read_forgetting_counts(spark, place)) == {(0, s): (2, True) for s in [None, *range(-500, 500)]}
+    state = spark.read.format("statestore").option("stateVarName", "rows").option("operatorId", 1)
+    assert state.load(f"{place}/checkpoint").count() <= S.SEGMENT_GROUPS + 1
