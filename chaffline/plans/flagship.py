@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,17 +89,24 @@ def streaming_forgetting_counts(spark: SparkSession, folder: str) -> DataFrame:
     return streaming.read_forgetting_counts(spark, place)
 
 
+# Parts of the log, a batch each, and rows of one of its files at most (about).
 STREAM_FILES = 6
+FILE_ROWS = 500_000
 
 
 def streaming_forgetting_late(spark: SparkSession, folder: str) -> DataFrame:
-    """The same log dealt into files whose steps interleave, one file a batch, the last steps first."""
+    """The same log dealt into parts whose steps interleave, one part a batch, the last steps first.
+
+    A part is one file, or as many as its rows ask for; the number of batches does not grow with them.
+    """
     place = f"{checkpoint_folder(spark)}/streaming-{uuid.uuid4().hex}"
     log = prediction_log(spark.read.parquet(f"{folder}/events.parquet")).drop("ts")
+    files = max(1, math.ceil(log.count() / STREAM_FILES / FILE_ROWS))
     for part in range(STREAM_FILES):
         own = log.filter(F.pmod(F.xxhash64("step"), F.lit(STREAM_FILES)) == STREAM_FILES - 1 - part)
-        own.orderBy(F.desc("step")).write.mode("append").parquet(f"{place}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/log")
+        own = own.repartitionByRange(files, F.desc("step")).sortWithinPartitions(F.desc("step"))
+        own.write.mode("append").parquet(f"{place}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/log")
     streaming.start_forgetting(stream, place).awaitTermination()
     return streaming.read_forgetting_counts(spark, place)
 

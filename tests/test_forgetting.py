@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chaffline.plans import flagship
+from chaffline.plans.views import predictions
 from chaffline.scorers import forgetting as G
 from chaffline.scorers.registry import get_scorer
 from chaffline.streaming import forgetting as S
@@ -175,6 +177,27 @@ def test_nothing_written_yet(spark, tmp_path):
     assert S.read_forgetting_counts(spark, str(tmp_path)).collect() == []
 
 
+def test_late_parts_are_a_batch_each_however_many_files(spark, tmp_path, monkeypatch):
+    """Before, each file of a part was a batch, and a part had more of them the larger the table."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("event_id"),
+        (F.col("id") * 7 % 20).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "view").otherwise("click").alias("event_type"),
+        F.lit(None).cast("timestamp").alias("ts"),
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    started, start = [], S.start_forgetting
+    monkeypatch.setattr(flagship, "FILE_ROWS", 200, raising=False)
+    monkeypatch.setattr(flagship.streaming, "start_forgetting", lambda *a: started.append(start(*a)) or started[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = as_dict(flagship.streaming_forgetting_late(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert started[0].lastProgress.batchId < flagship.STREAM_FILES + 1
+    assert found == as_dict(G.forgetting_counts(predictions(spark, str(tmp_path))))
+
+
 def test_samples_share_keys_of_the_state(spark, tmp_path):
     """Before, every sample was a key, and each key costs calls to the state. No sample is a sample, too."""
     source, place = str(tmp_path / "log"), str(tmp_path / "out")
