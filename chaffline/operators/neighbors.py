@@ -12,7 +12,9 @@ inside the own block give every vector a bound, and it visits another block only
 triangle inequality leaves room for a distance below that bound. What is skipped cannot hold a
 nearer neighbour, so the answer stays exact. In clustered data most visits fall away, for
 copies of one vector (bound 0) all of them; data without structure need all N * N products, as
-any exact method does.
+any exact method does. Vectors with few visits are sent to the blocks; those with many would be
+copied to all of them, so their blocks are written once, packed, and the tasks read pairs of packs
+as they are: what is shuffled and written grows with the table and not with its square.
 """
 
 from __future__ import annotations
@@ -49,6 +51,13 @@ SLACK = 1e-7
 PAIRS_AT_ONCE = 1 << 17
 # Vectors whose bounds to all blocks are held at once.
 BOUND_ROWS = 256
+# Blocks that a vector is sent to at most; one that has to look at more is compared pack by pack.
+MOST_VISITS = 8
+# Bytes of the vectors of one pack, about, and packs per core at least (their root): a task holds two.
+PACK_BYTES = 16 << 20
+PACKED_TASKS = 4
+# Packs of asking vectors that a task holds; a partition may have a few.
+PACKS_HELD = 3
 
 _SCHEMA = "sample_id long, nearest array<double>"
 
@@ -284,40 +293,58 @@ def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
+def _worth_a_look(
+    rows: np.ndarray, reach: np.ndarray, home: int, pivots: np.ndarray, shells: np.ndarray
+) -> np.ndarray:
+    """For rows of one cell and their bounds: which of the blocks may hold a nearer vector (rows, blocks).
+
+    `shells` holds, by block, its pivot and the range of its radii. A vector at distance r from that
+    pivot is at least r - high or low - r away from all vectors of the block. As these are nearer to
+    their pivot than to the one of this cell, `home`, at distance s, the vector is also at least
+    (r * r - s * s) / 2 over the distance of the pivots away.
+    """
+    cell, low, high = shells[:, 0].astype(int), shells[:, 1], shells[:, 2]
+    own = ((rows - pivots[home]) ** 2).sum(axis=1)
+    cells, back = np.unique(cell, return_inverse=True)
+    twice = 2.0 * np.sqrt(((pivots[cells] - pivots[home]) ** 2).sum(axis=1))
+    # Pivots at (almost) the same place divide nothing: no bound from them.
+    twice = np.where(twice > SLACK, twice, np.inf)
+    wanted = np.zeros((len(rows), len(shells)), bool)
+    for start in range(0, len(rows), BOUND_ROWS):
+        part = slice(start, start + BOUND_ROWS)
+        squares = np.clip(_squares(rows[part], pivots[cells]), 0.0, None)
+        beyond = ((squares - own[part, None]) / twice)[:, back]
+        away = np.sqrt(squares)
+        slack = SLACK * (1.0 + away.max(initial=0.0))
+        away = away[:, back]
+        gap = np.maximum(np.maximum(away - high, low - away), beyond)
+        wanted[part] = gap < reach[part, None] + slack
+    return wanted
+
+
 def _bound_blocks(k: int, pivots: np.ndarray, shells: np.ndarray):
     """Group function over one block: neighbours inside it, and the blocks worth a look per row.
 
-    `shells` holds, by block id, the pivot of the block and the range of its radii. A vector at
-    distance r from that pivot is at least r - high or low - r away from all vectors of it. As
-    these are nearer to their pivot than to the one of this block, at distance s, the vector is
-    also at least (r * r - s * s) / 2 over the distance of the pivots away.
+    A row that has to look at more than `MOST_VISITS` is marked as wide and has no list of them.
     """
-    cell, low, high = shells[:, 0].astype(int), shells[:, 1], shells[:, 2]
 
     def bound(block: pa.Table) -> pa.Table:
         matrix = as_matrix(block.column("vector"))
         own = block.column("block")[0].as_py()
         inside = _inside(matrix, k).values()
         reach = inside[:, -1]
-        home = cell[own]
-        twice = 2.0 * np.sqrt(((pivots - pivots[home]) ** 2).sum(axis=1))
-        # Pivots at (almost) the same place divide nothing: no bound from them.
-        twice = np.where(twice > SLACK, twice, np.inf)
         targets: list[list[int]] = [[]] * len(matrix)
+        wide = np.zeros(len(matrix), bool)
         # A bound of 0 cannot be improved.
         open_rows = np.flatnonzero(reach > 0)
         for start in range(0, len(open_rows), BOUND_ROWS):
             rows = open_rows[start : start + BOUND_ROWS]
-            squares = np.clip(_squares(matrix[rows], pivots), 0.0, None)
-            beyond = ((squares - squares[:, [home]]) / twice)[:, cell]
-            away = np.sqrt(squares)
-            slack = SLACK * (1.0 + away.max(initial=0.0))
-            away = away[:, cell]
-            gap = np.maximum(np.maximum(away - high, low - away), beyond)
-            wanted = gap < reach[rows, None] + slack
+            wanted = _worth_a_look(matrix[rows], reach[rows], int(shells[own, 0]), pivots, shells)
             wanted[:, own] = False
+            wide[rows] = wanted.sum(axis=1) > MOST_VISITS
             for row, wants in zip(rows, wanted):
-                targets[row] = np.flatnonzero(wants).tolist()
+                if not wide[row]:
+                    targets[row] = np.flatnonzero(wants).tolist()
         return pa.Table.from_arrays(
             [
                 block.column("sample_id"),
@@ -325,8 +352,9 @@ def _bound_blocks(k: int, pivots: np.ndarray, shells: np.ndarray):
                 block.column("block"),
                 block.column("vector"),
                 pa.chunked_array([pa.array(targets, pa.list_(pa.int32()))]),
+                pa.chunked_array([pa.array(np.where(wide, reach, np.nan), from_pandas=True)]),
             ],
-            names=["sample_id", "nearest", "block", "vector", "targets"],
+            names=["sample_id", "nearest", "block", "vector", "targets", "wide_reach"],
         )
 
     return bound
@@ -363,13 +391,179 @@ def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
         .groupBy("block")
         .applyInArrow(
             _bound_blocks(k, pivots, shells),
-            f"{_SCHEMA}, block int, vector array<double>, targets array<int>",
+            f"{_SCHEMA}, block int, vector array<double>, targets array<int>, wide_reach double",
         )
     )
-    return bounded.select("sample_id", "nearest").unionByName(
-        _visits(bounded, k, math.ceil(n / blocks))
+    found = bounded.select("sample_id", "nearest").unionByName(_visits(bounded, k, math.ceil(n / blocks)))
+    looked = _packs_met(bounded, k, pivots, shells)
+    return found if looked is None else found.unionByName(looked)
+
+
+def _packed(rows: DataFrame, sizes: dict[int, int], width: int, tag: str) -> tuple[DataFrame, int]:
+    """Rows (block, sample_id, vector, wide_reach) as one row per pack of neighbouring blocks, written, and the packs.
+
+    A block of more rows than a pack has is dealt over several; columns are named after `tag`.
+    """
+    spark = rows.sparkSession
+    n = sum(sizes.values())
+    by_cores = math.ceil(math.sqrt(PACKED_TASKS * PACKED_TASKS * spark.sparkContext.defaultParallelism))
+    limit = max(1, min(PACK_BYTES // (8 * max(width, 1)), math.ceil(n / by_cores)))
+    plan, packs, filled = [], 0, limit
+    for block in sorted(sizes):
+        parts = max(1, round(sizes[block] / limit))
+        if parts == 1 and packs and filled + sizes[block] <= limit:
+            filled += sizes[block]
+            plan.append((block, packs - 1, 1))
+        else:
+            plan.append((block, packs, parts))
+            packs, filled = packs + parts, sizes[block] if parts == 1 else limit
+    # One row per block.
+    placed = rows.join(F.broadcast(spark.createDataFrame(plan, "block int, _first int, _parts int")), "block").withColumn(
+        "pack", (F.col("_first") + F.pmod(F.xxhash64("sample_id"), F.col("_parts"))).cast("int")
     )
 
+    def pack(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        matrix = as_matrix(table.column("vector"))[order]
+        columns = [block[order].astype("<i4"), table.column("sample_id").to_numpy()[order].astype("<i8"), matrix]
+        reach = np.array(table.column("wide_reach").to_pandas(), dtype=np.float64)[order]
+        held = [pa.array([c.tobytes()], pa.large_binary()).cast(pa.binary()) for c in (*columns, reach)]
+        names = [f"{tag}_{c}" for c in ("pack", "block", "ids", "vectors", "reach")]
+        return pa.table(dict(zip(names, [pa.array([table.column("pack")[0].as_py()], pa.int32()), *held])))
+
+    fields = f"{tag}_pack int, {tag}_block binary, {tag}_ids binary, {tag}_vectors binary, {tag}_reach binary"
+    whole = placed.select("pack", "block", "sample_id", "vector", "wide_reach")
+    return cut_lineage(whole.repartitionByRange(packs, "pack").groupBy("pack").applyInArrow(pack, fields)), packs
+
+
+def _packs_met(bounded: DataFrame, k: int, pivots: np.ndarray, shells: np.ndarray) -> DataFrame | None:
+    """(sample_id, nearest): the best values in other blocks of the vectors marked as wide; None without any.
+
+    A task reads pairs of packs where they are written, so nothing is shuffled for this.
+    """
+    spark = bounded.sparkSession
+    # One row per block.
+    counts = bounded.groupBy("block").agg(F.count(F.lit(1)), F.count("wide_reach")).collect()
+    wide = {r[0]: r[2] for r in counts if r[2]}
+    if not wide:
+        return None
+    width = pivots.shape[1]
+    every, _ = _packed(bounded, {r[0]: r[1] for r in counts}, width, "r")
+    asking, packs = _packed(bounded.where("wide_reach is not null"), wide, width, "l")
+    pairs = asking.crossJoin(every.drop("r_reach", "r_ids").hint("shuffle_replicate_nl"))
+    tasks = max(PACKED_TASKS * spark.sparkContext.defaultParallelism, packs)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    # A row is two packs, and a batch must not hold more of them.
+    spark.conf.set(setting, "1")
+    try:
+        return cut_lineage(pairs.coalesce(tasks).mapInArrow(_meet_packs(k, pivots, shells), _SCHEMA))
+    finally:
+        spark.conf.set(setting, before)
+
+
+class _Searching:
+    """The vectors of one pack that ask, with their best so far."""
+
+    def __init__(self, blocks: np.ndarray, ids: np.ndarray, matrix: np.ndarray, reach: np.ndarray, k: int, centre: np.ndarray):
+        self.ids, self.reach = ids, reach
+        self.best, self.rows = _Best(len(ids), k), _Rough(matrix, centre)
+        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+        self.parts = [(int(blocks[a]), slice(a, b)) for a, b in zip(starts, [*starts[1:], len(blocks)])]
+        d = matrix.shape[1]
+        self.exact_squares = ((matrix - centre) ** 2).sum(axis=1)
+        self.extended = np.ones((len(ids), d + 2), np.float32)
+        self.extended[:, :d] = self.rows.single
+
+    def limits(self, mine) -> np.ndarray:
+        return np.minimum(self.reach[mine] ** 2, self.best.cost[mine, -1])
+
+    def look(self, mine: np.ndarray, others: _Rough, extended: np.ndarray, theirs: slice) -> None:
+        """Show the rows numbered `mine` a tile of others.
+
+        One single-precision product tells the pairs that may be below a row's limit: with two more
+        entries a side it is (limit - squared distance) / 2 and the most that rounding may be wrong by.
+        """
+        limit = self.limits(mine)
+        opened = np.isinf(limit)
+        if opened.any():
+            # Rows without a limit get one from their nearest of this tile.
+            self._seed(mine[opened], others, theirs)
+            mine, limit = mine[~opened], limit[~opened]
+        d = others.single.shape[1]
+        worst = (d + 20) * 1.2e-7
+        self.extended[mine, d] = (limit - self.exact_squares[mine]) / 2 + worst * (self.exact_squares[mine] + limit)
+        at = np.flatnonzero(self.extended[mine] @ extended[theirs].T >= 0)
+        left, right = mine[at // (theirs.stop - theirs.start)], theirs.start + at % (theirs.stop - theirs.start)
+        for start in range(0, len(left), PAIRS_AT_ONCE):
+            part = slice(start, start + PAIRS_AT_ONCE)
+            _measure(self.best, self.rows, others, 0, 0, left[part], right[part])
+
+    def _seed(self, mine: np.ndarray, others: _Rough, theirs: slice) -> None:
+        asking = _Rough.__new__(_Rough)
+        for name in ("exact", "single", "squares", "slack"):
+            setattr(asking, name, getattr(self.rows, name)[mine])
+        k = self.best.cost.shape[1]
+        best = _Best(len(mine), k)
+        best.cost, best.partner = self.best.cost[mine], self.best.partner[mine]
+        whole = slice(0, len(mine))
+        _offer(best, asking, others, whole, theirs, _rough_tile(asking, others, whole, theirs))
+        self.best.cost[mine], self.best.partner[mine] = best.cost, best.partner
+
+
+def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray):
+    """Arrow function over pairs of packs: the best values of the asking ones in other blocks than their own."""
+    centre, width = pivots.mean(axis=0), pivots.shape[1]
+
+    def column(batch: pa.RecordBatch, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(batch.column(name)[0].as_buffer(), kind)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Searching] = {}
+
+        def results(asking: _Searching) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(asking.ids), _as_lists(asking.best.values())], names=["sample_id", "nearest"]
+            )
+
+        for many in batches:
+            for batch in (many.slice(i, 1) for i in range(many.num_rows)):
+                pack = batch.column("l_pack")[0].as_py()
+                if pack not in held:
+                    if len(held) == PACKS_HELD:
+                        yield results(held.pop(next(iter(held))))
+                    held[pack] = _Searching(
+                        column(batch, "l_block", "<i4"), column(batch, "l_ids", "<i8").copy(),
+                        column(batch, "l_vectors", "<f8").reshape(-1, width).copy(),
+                        column(batch, "l_reach", "<f8").copy(), k, centre,
+                    )
+                asking = held[pack]
+                blocks = column(batch, "r_block", "<i4")
+                others = _Rough(column(batch, "r_vectors", "<f8").reshape(-1, width), centre)
+                squares = ((others.exact - centre) ** 2).sum(axis=1)
+                extended = np.ones((len(blocks), width + 2), np.float32)
+                extended[:, :width] = others.single
+                extended[:, width + 1] = (width + 20) * 1.2e-7 * squares - squares / 2
+                starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+                for own, mine in asking.parts:
+                    rows = np.arange(mine.start, mine.stop)
+                    reach = np.sqrt(asking.limits(rows))
+                    wanted = _worth_a_look(
+                        asking.rows.exact[mine], reach, int(shells[own, 0]), pivots, shells[blocks[starts]]
+                    )
+                    for i, (first, stop) in enumerate(zip(starts, [*starts[1:], len(blocks)])):
+                        if blocks[first] == own or not wanted[:, i].any():
+                            continue
+                        chosen = rows[wanted[:, i]]
+                        for at in range(0, len(chosen), TILE):
+                            for tile in _tiles(stop - first):
+                                asking.look(chosen[at : at + TILE], others, extended, slice(first + tile.start, first + tile.stop))
+        for asking in held.values():
+            yield results(asking)
+
+    return meet
+
 
 def _visits(bounded: DataFrame, k: int, limit: int) -> DataFrame:
     """(sample_id, nearest): each vector's best values in the blocks it has to look at.

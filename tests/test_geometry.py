@@ -238,3 +238,38 @@ def test_few_pairs_are_measured_exactly():
     every = np.array([np.sort(np.sqrt(((matrix - v) ** 2).sum(1)))[1:6] for v in matrix[:1000]])
     assert np.allclose(best.values(), every, rtol=1e-12)
     assert measured < 0.01 * 1000 * len(matrix)
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_vectors_with_many_visits_are_compared_by_packs_and_not_sent(spark, monkeypatch, k):
+    """Before, vectors without structure were copied to every block: the rows shuffled grew with the square."""
+    matrix = points(1500, 12, 3)
+    matrix[40:60] = matrix[0]
+    sent, met = [], []
+    visits, packs = neighbors._visits, neighbors._packs_met
+
+    def counting(bounded, *rest):
+        sent.append(bounded.agg(F.max(F.size("targets")), F.sum(F.size("targets"))).first())
+        return visits(bounded, *rest)
+
+    def looking(*given):
+        met.append(packs(*given))
+        return met[-1]
+
+    monkeypatch.setattr(neighbors, "_visits", counting)
+    monkeypatch.setattr(neighbors, "_packs_met", looking, raising=False)
+    rows = nearest_distances(table(spark, matrix), k, blocks=30, bounded=True).collect()
+    found = {r.sample_id: r.distances for r in rows}
+    assert np.allclose([found[i] for i in range(1500)], all_distances(matrix)[:, :k], atol=1e-9)
+    assert sent[0][0] <= 8 and sent[0][1] < 4 * 1500
+    # A row comes once for each task that met its pack, not for each block.
+    assert met[0].groupBy("sample_id").count().agg(F.max("count")).first()[0] <= 6
+
+
+def test_packs_hold_blocks_of_any_size(spark, monkeypatch):
+    """One block of half the table is dealt over several packs."""
+    monkeypatch.setattr(neighbors, "PACK_BYTES", 8 * 5 * 64)
+    matrix = points(700, 5, 4)
+    rows = nearest_distances(table(spark, matrix), 2, blocks=20, bounded=True).collect()
+    found = {r.sample_id: r.distances for r in rows}
+    assert np.allclose([found[i] for i in range(700)], all_distances(matrix)[:, :2], atol=1e-9)
