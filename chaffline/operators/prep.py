@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ from chaffline.functions.grams import Featurizer, hashed_grams
 from chaffline.functions.text import pieces
 from chaffline.operators.positions import with_running_total
 
+# Bytes of text that a function on texts gets at once, about.
+TEXT_BYTES = 4 << 20
+
+
 def chunk_texts(documents: DataFrame, block_size: int, whole_only: bool = False) -> DataFrame:
     """(doc_id, chunk_idx, chunk): pieces of block_size + 1 characters, the last one shorter.
 
@@ -101,16 +106,28 @@ def mean_pool(hidden: DataFrame) -> DataFrame:
     )
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `TEXT_BYTES` of text, or of one longer text.
+
+    A batch holds up to 10,000 texts or 64 MB, which are several times as much as Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // TEXT_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for first, stop in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(first, stop - first)
+
+
 def text_features(samples: DataFrame, featurize: Featurizer | None = None) -> DataFrame:
     """(sample_id, features): one vector per text by a function from texts to an (n, d) array.
 
-    The function gets whole texts in Arrow batches, so any model can be put here; the default
-    needs none and hashes character grams. No row leaves its partition.
+    The function gets whole texts, of about `TEXT_BYTES` at once, so any model can be put here; the
+    default needs none and hashes character grams. No row leaves its partition.
     """
     function = featurize or hashed_grams()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, "text")):
             vectors = function(batch.column("text").to_pylist())
             values = pa.array(np.ascontiguousarray(vectors, dtype=np.float64).ravel())
             offsets = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]

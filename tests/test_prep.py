@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +245,17 @@ def test_losses_of_a_large_model(spark, monkeypatch, limit):
         assert found[key].first_target == (ord(piece[1]) if len(piece) > 1 else None)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert ("Exchange" in plan) == (limit == 0)
+
+
+def test_a_function_on_texts_gets_slices_of_a_batch(spark, monkeypatch):
+    """Before, it got a whole batch at once: up to 64 MB of text as Python strings."""
+    monkeypatch.setattr(prep, "TEXT_BYTES", 100, raising=False)
+    texts = ["abcdé" * n for n in (1, 0, 3, 40, 2, 5, 7, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["sample_id", "text"])
+    parts = list(prep._slices(batch, "text"))
+    assert sum((p.column("sample_id").to_pylist() for p in parts), []) == list(range(9))
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()[:-1]) < 100 for p in parts)
+    assert len(parts) >= 3 and list(prep._slices(batch.slice(0, 0), "text")) == []
+    frame = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string").coalesce(1)
+    seen = prep.text_features(frame, lambda given: np.array([[len(given), len(t or "")] for t in given], float))
+    assert [r.features[1] for r in seen.orderBy("sample_id").collect()] == [len(t or "") for t in texts]
