@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,46 +41,83 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]
         yield first, texts[first:]
 
 
-class _Grams:
-    """The grams of all sizes of some texts: for each place the number of the gram that ends there."""
+class _Windows:
+    """The distinct windows of at most `size` characters of some texts: those that begin at each place, or end there.
 
-    def __init__(self, texts: list[str], longest: int):
-        self.joined = "".join(texts)
+    A window is cut short by the end of its text. Each is an exact integer, a letter's number by letter's number,
+    from the place on; where these would need more than 63 bits, what is there already is numbered anew.
+    """
+
+    def __init__(self, texts: list[str], size: int, ending: bool = False):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.owner = np.repeat(np.arange(len(texts)), sizes)
         self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        codes = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
-        letters, number = np.unique(codes, return_inverse=True)
-        #: By size: which gram ends at each place (-1 where the text is too short), and each gram's text.
-        self.which: list[np.ndarray] = []
-        self.texts: list[list[str]] = []
-        before = np.zeros(len(codes), np.int64)
-        for size in range(1, longest + 1):
-            there = np.flatnonzero(self.place >= size - 1)
-            # A gram is that of the place before and one more letter.
-            earlier = before[there - 1] if size > 1 else np.zeros(len(there), np.int64)
-            distinct, first, back = np.unique(earlier * max(len(letters), 1) + number[there], return_index=True, return_inverse=True)
-            own = np.full(len(codes), -1, np.int64)
-            own[there] = back
-            ends = there[first] + 1
-            self.which.append(own)
-            self.texts.append([self.joined[e - size : e] for e in ends.tolist()])
-            before = own
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        met = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        met[codes] = True
+        self.letters = np.flatnonzero(met).astype(np.uint32)
+        numbers = np.cumsum(met)[codes]  # 0 is the end of a text
+        self.size, self.bits = size, len(self.letters).bit_length()
+        #: By place in a window: the keys that were numbered anew before it, or None.
+        self.tables: list[np.ndarray | None] = [None] * size
+        room = self.place if ending else sizes[self.owner] - 1 - self.place
+        keys, used = numbers, self.bits
+        for i in range(1, size):
+            if used + self.bits > 63:
+                self.tables[i], keys = np.unique(keys, return_inverse=True)
+                used = len(self.tables[i]).bit_length()
+            further = np.zeros_like(numbers)
+            if ending:
+                further[i:] = numbers[:-i]
+            else:
+                further[:-i] = numbers[i:]
+            further[room < i] = 0
+            keys, used = (keys << self.bits) | further, used + self.bits
+        self.keys = keys
+
+    def spelt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of windows (windows, size), the letter of the place first, and how many each has."""
+        numbers = np.empty((len(keys), self.size), np.int64)
+        for i in range(self.size - 1, 0, -1):
+            numbers[:, i] = keys & ((1 << self.bits) - 1)
+            keys = keys >> self.bits
+            if self.tables[i] is not None:
+                keys = self.tables[i][keys]
+        numbers[:, 0] = keys
+        return self.letters[np.maximum(numbers, 1) - 1], (numbers > 0).sum(axis=1)
+
+
+def _utf8(points: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The first `lengths` code points of each row in UTF-8, end to end, and where each row begins."""
+    there = np.arange(points.shape[1]) < lengths[:, None]
+    width = (1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)) * there
+    starts = np.concatenate([[0], np.cumsum(width.sum(axis=1))])
+    return points[there].astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), starts
 
 
 def count_grams(chunks: DataFrame, depth: int) -> DataFrame:
-    """(gram, n) of all sizes up to depth + 1; grams never straddle two chunks."""
+    """(gram, n) of all sizes up to depth + 1; grams never straddle two chunks.
+
+    Only the longest gram from each place is counted in the tasks; the shorter ones are its beginnings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch, "chunk"):
-                found = _Grams(texts, depth + 1)
-                for which, names in zip(found.which, found.texts):
-                    counts = np.bincount(which[which >= 0], minlength=len(names))
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts.astype(np.int64))], ["gram", "n"])
+                found = _Windows(texts, depth + 1)
+                ordered = np.sort(found.keys)
+                first = np.flatnonzero(np.diff(ordered, prepend=-1))
+                data, starts = _utf8(*found.spelt(ordered[first]))
+                buffers = pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)
+                n = np.diff(first, append=len(ordered))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.StringArray.from_buffers(len(first), *buffers), pa.array(n.astype(np.int64))], ["longest", "n"]
+                )
 
-    counted = chunks.select("chunk").mapInArrow(run, "gram string, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = chunks.select("chunk").mapInArrow(run, "longest string, n long")
+    longest = counted.groupBy("longest").agg(F.sum("n").alias("n"))
+    beginnings = F.expr("transform(sequence(1, length(longest)), i -> substring(longest, 1, i))")
+    return longest.select(F.explode(beginnings).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def fit_tree(chunks: DataFrame, vocabulary_size: int, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
@@ -128,30 +166,45 @@ class Tree:
     depth: int
     share: float
 
-    def _find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        wanted = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+    def _find(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities and escapes of grams, given as rows of code points; NaN if there is none."""
+        data, starts = _utf8(points, lengths)
+        pieces = (data[i:j] for i, j in pairwise(starts.tolist()))
+        wanted = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in pieces), np.uint64, len(points)).view(np.int64)
+        # In order the search stays in the cache.
+        order = np.argsort(wanted)
+        at = np.empty(len(wanted), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, wanted[order]), len(self.hashes) - 1)
         known = self.hashes[at] == wanted
         return np.where(known, self.chances[at], np.nan), np.where(known, self.escapes[at], np.nan)
 
+    def _window_losses(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The loss of the last character of each window; `points` holds a window from its last to its first.
+
+        The longest gram that is predicted says the probability, times the escapes of the longer contexts.
+        """
+        chances = np.full(len(points), self.share)
+        escapes = np.ones(points.shape)
+        open_rows = np.arange(len(points))
+        for size in range(points.shape[1], 0, -1):
+            rows = open_rows[lengths[open_rows] >= size]
+            grams = points[rows, size - 1 :: -1] if size < points.shape[1] else points[rows, ::-1]
+            own, _ = self._find(grams, np.full(len(rows), size))
+            known = ~np.isnan(own)
+            chances[rows[known]] = own[known]
+            _, leaving = self._find(grams[~known, : size - 1], np.full((~known).sum(), size - 1))
+            escapes[rows[~known], size - 1] = np.where(np.isnan(leaving), 1.0, leaving)
+            open_rows = np.setdiff1d(open_rows, rows[known], assume_unique=True)
+        for size in range(points.shape[1]):
+            chances *= escapes[:, size]
+        return -np.log(chances)
+
     def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The loss of every character but the first of each text, and the text it belongs to."""
-        found = _Grams(texts, self.depth + 1)
-        chances = np.full(len(found.owner), self.share)
-        escapes = self._find([""])[1]  # of the context before, by the gram that it is
-        for size in range(1, self.depth + 2):
-            which = found.which[size - 1]
-            there = np.flatnonzero(which >= 0)
-            if not len(there):
-                break
-            own, next_escapes = self._find(found.texts[size - 1])
-            context = found.which[size - 2][there - 1] if size > 1 else np.zeros(len(there), np.int64)
-            leaving = escapes[context]
-            fallen = np.where(np.isnan(leaving), chances[there], chances[there] * leaving)
-            chances[there] = np.where(np.isnan(own[which[there]]), fallen, own[which[there]])
-            escapes = next_escapes
+        found = _Windows(texts, self.depth + 1, ending=True)
+        keys, back = np.unique(found.keys, return_inverse=True)
         later = found.place > 0
-        return -np.log(chances[later]), found.owner[later]
+        return self._window_losses(*found.spelt(keys))[back[later]], found.owner[later]
 
 
 def tree_losses(chunks: DataFrame, model: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
