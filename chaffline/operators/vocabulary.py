@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,26 @@ FIRST_PRINTABLE = 32
 LAST_PRINTABLE = 126
 
 
+# Code points that Unicode has.
+CODE_POINTS = 0x110000
+
+
+def _characters_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct characters of all texts of a task."""
+    met = np.zeros(CODE_POINTS, bool)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            met[np.frombuffer((text or "").encode("utf-32-le"), np.uint32)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(map(chr, np.flatnonzero(met).tolist()), pa.string())], ["ch"])
+
+
 def build_vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     """(ch, token_id): the distinct characters by code point, ids dense from 0.
 
-    Each text gives its distinct characters only, so few rows are shuffled. The window sees
+    Each task gives its distinct characters only, so few rows are shuffled. The window sees
     distinct characters, of which Unicode has at most 1,114,112.
     """
-    distinct = texts.select(
-        F.explode(F.array_distinct(characters(F.col(column)))).alias("ch")
-    ).distinct()
+    distinct = texts.select(column).mapInArrow(_characters_met, "ch string").distinct()
     numbered = F.expr("row_number() over (order by ch)") - 1
     return distinct.select("ch", numbered.cast("int").alias("token_id"))
 

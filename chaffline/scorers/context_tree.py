@@ -3,8 +3,9 @@
 Each context, from none to `depth` characters, predicts the next character from its own counts and
 leaves to the next shorter context the share that new characters had in it (Witten and Bell's
 escape). Contexts met less than `least` times are cut off; what they would have said is said by the
-shorter one, so all probabilities still sum to 1. Grams are counted per Arrow batch, so counts are
-shuffled and never characters; probabilities are joined level by level in Spark.
+shorter one, so all probabilities still sum to 1. Grams are counted in the tasks, as integers, so counts
+are shuffled and never characters; probabilities are joined level by level in Spark. A task looks up a
+window of characters once and keeps its loss.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ DEPTH, LEAST = 5, 2
 MODEL_ROWS = 4_000_000
 #: Characters that a task works on at once.
 CHARACTERS_AT_ONCE = 1 << 20
+#: Windows that a task holds, with a count or a loss of 8 bytes, and that it spells at once.
+HELD = 1 << 21
+ROWS_AT_ONCE = 1 << 16
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
@@ -41,50 +45,91 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]
         yield first, texts[first:]
 
 
+class _Letters:
+    """Numbers of the characters met so far, from 1 on."""
+
+    def __init__(self, size: int):
+        #: Characters that fit a key of `size` numbers, and the bits of a number.
+        self.size, self.bits = size, 63 // size
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.points = np.zeros(0x110000, np.int64), np.zeros(0, np.uint32)
+
+    def room_for(self, points: np.ndarray) -> bool:
+        """Number the characters that are new; False if not all of them had room."""
+        new = np.unique(points[self.numbers[points] == 0])
+        if len(self.points) + len(new) >= 1 << self.bits:
+            return False
+        self.meet(new)
+        return True
+
+    def meet(self, new: np.ndarray) -> None:
+        self.numbers[new] = np.arange(len(self.points) + 1, len(self.points) + len(new) + 1)
+        self.points = np.concatenate([self.points, new])
+
+
 class _Windows:
-    """The distinct windows of at most `size` characters of some texts: those that begin at each place, or end there.
+    """The windows of at most `size` characters of some texts: those that begin at each place, or end there.
 
     A window is cut short by the end of its text. Each is an exact integer, a letter's number by letter's number,
-    from the place on; where these would need more than 63 bits, what is there already is numbered anew.
+    from the place on. The keys of several slices of texts agree (`lasting`) while the numbers of `letters` fit;
+    else numbers are those of this slice, and where they need more than 63 bits what is there is numbered anew.
     """
 
-    def __init__(self, texts: list[str], size: int, ending: bool = False):
+    def __init__(self, texts: list[str], points: np.ndarray, letters: _Letters, ending: bool = False):
+        self.size, self.lasting = letters.size, letters.room_for(points)
+        if not self.lasting:
+            letters = _Letters(self.size)
+            letters.meet(np.unique(points))
+            letters.bits = len(letters.points).bit_length()
+        self.points, self.bits = letters.points, letters.bits
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(texts)), sizes)
-        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        met = np.zeros(int(codes.max(initial=0)) + 1, bool)
-        met[codes] = True
-        self.letters = np.flatnonzero(met).astype(np.uint32)
-        numbers = np.cumsum(met)[codes]  # 0 is the end of a text
-        self.size, self.bits = size, len(self.letters).bit_length()
+        # Zeros between two texts, as many as a window may reach over the end.
+        gap = self.size - 1
+        at = np.arange(len(points)) + (self.owner + 1) * gap
+        numbers = np.zeros(len(points) + (len(texts) + 1) * gap, np.int64)
+        numbers[at] = letters.numbers[points]
         #: By place in a window: the keys that were numbered anew before it, or None.
-        self.tables: list[np.ndarray | None] = [None] * size
-        room = self.place if ending else sizes[self.owner] - 1 - self.place
-        keys, used = numbers, self.bits
-        for i in range(1, size):
+        self.tables: list[np.ndarray | None] = [None] * self.size
+        keys, used = numbers.copy(), self.bits
+        for i in range(1, self.size):
             if used + self.bits > 63:
                 self.tables[i], keys = np.unique(keys, return_inverse=True)
                 used = len(self.tables[i]).bit_length()
-            further = np.zeros_like(numbers)
+            keys <<= self.bits
             if ending:
-                further[i:] = numbers[:-i]
+                keys[i:] |= numbers[:-i]
             else:
-                further[:-i] = numbers[i:]
-            further[room < i] = 0
-            keys, used = (keys << self.bits) | further, used + self.bits
-        self.keys = keys
-
-    def spelt(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code points of windows (windows, size), the letter of the place first, and how many each has."""
-        numbers = np.empty((len(keys), self.size), np.int64)
-        for i in range(self.size - 1, 0, -1):
-            numbers[:, i] = keys & ((1 << self.bits) - 1)
-            keys = keys >> self.bits
-            if self.tables[i] is not None:
-                keys = self.tables[i][keys]
-        numbers[:, 0] = keys
-        return self.letters[np.maximum(numbers, 1) - 1], (numbers > 0).sum(axis=1)
+                keys[:-i] |= numbers[i:]
+            used += self.bits
+        self.keys = keys[at]
+
+
+def _spelt(keys: np.ndarray, found: _Windows | _Letters) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of windows (windows, size), the letter of the place first, and how many each has."""
+    numbers = np.empty((len(keys), found.size), np.int64)
+    tables = getattr(found, "tables", [None] * found.size)
+    for i in range(found.size - 1, 0, -1):
+        numbers[:, i] = keys & ((1 << found.bits) - 1)
+        keys = keys >> found.bits
+        if tables[i] is not None:
+            keys = tables[i][keys]
+    numbers[:, 0] = keys
+    return found.points[np.maximum(numbers, 1) - 1], (numbers > 0).sum(axis=1)
+
+
+def _code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def _utf8(points: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -101,18 +146,40 @@ def count_grams(chunks: DataFrame, depth: int) -> DataFrame:
     Only the longest gram from each place is counted in the tasks; the shorter ones are its beginnings.
     """
 
+    def rows(keys: np.ndarray, counts: np.ndarray, found: _Windows | _Letters) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), ROWS_AT_ONCE):
+            data, starts = _utf8(*_spelt(keys[at : at + ROWS_AT_ONCE], found))
+            buffers = pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)
+            longest = pa.StringArray.from_buffers(len(starts) - 1, *buffers)
+            yield pa.RecordBatch.from_arrays([longest, pa.array(counts[at : at + ROWS_AT_ONCE])], ["longest", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, held, size = _Letters(depth + 1), [], 0
         for batch in batches:
             for _, texts in _slices(batch, "chunk"):
-                found = _Windows(texts, depth + 1)
+                points = _code_points(texts)
+                if not letters.room_for(points):
+                    for part in held:
+                        yield from rows(*part, letters)
+                    letters.forget()
+                    held, size = [], 0
+                found = _Windows(texts, points, letters)
                 ordered = np.sort(found.keys)
                 first = np.flatnonzero(np.diff(ordered, prepend=-1))
-                data, starts = _utf8(*found.spelt(ordered[first]))
-                buffers = pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)
-                n = np.diff(first, append=len(ordered))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.StringArray.from_buffers(len(first), *buffers), pa.array(n.astype(np.int64))], ["longest", "n"]
-                )
+                part = ordered[first], np.diff(first, append=len(ordered)).astype(np.int64)
+                if not found.lasting:
+                    yield from rows(*part, found)
+                    continue
+                held.append(part)
+                size += len(first)
+                if size > HELD:
+                    held = [_added_up(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from rows(*held[0], letters)
+                        held, size = [], 0
+        if held:
+            yield from rows(*_added_up(*map(np.concatenate, zip(*held))), letters)
 
     counted = chunks.select("chunk").mapInArrow(run, "longest string, n long")
     longest = counted.groupBy("longest").agg(F.sum("n").alias("n"))
@@ -178,7 +245,7 @@ class Tree:
         known = self.hashes[at] == wanted
         return np.where(known, self.chances[at], np.nan), np.where(known, self.escapes[at], np.nan)
 
-    def _window_losses(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def window_losses(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The loss of the last character of each window; `points` holds a window from its last to its first.
 
         The longest gram that is predicted says the probability, times the escapes of the longer contexts.
@@ -199,12 +266,44 @@ class Tree:
             chances *= escapes[:, size]
         return -np.log(chances)
 
+
+class _Scored:
+    """The losses of windows that a task has met, `HELD` at most."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.letters = tree, _Letters(tree.depth + 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.letters.forget()
+        self.keys, self.values, self.new, self.size = np.full(1, -1), np.zeros(1), [], 0
+
+    def _of(self, keys: np.ndarray, found: _Windows) -> np.ndarray:
+        if not found.lasting:
+            return self.tree.window_losses(*_spelt(keys, found))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        losses = self.values[at]
+        missing = np.flatnonzero(self.keys[at] != keys)
+        losses[missing] = self.tree.window_losses(*_spelt(keys[missing], found))
+        if len(self.keys) < HELD:
+            self.new.append((keys[missing], losses[missing]))
+            self.size += len(missing)
+            if self.size > len(self.keys) // 4:
+                self.keys, first = np.unique(np.concatenate([self.keys, *(k for k, _ in self.new)]), return_index=True)
+                self.values = np.concatenate([self.values, *(v for _, v in self.new)])[first]
+                self.new, self.size = [], 0
+        return losses
+
     def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The loss of every character but the first of each text, and the text it belongs to."""
-        found = _Windows(texts, self.depth + 1, ending=True)
+        points = _code_points(texts)
+        if not self.letters.room_for(points):
+            self.forget()
+        found = _Windows(texts, points, self.letters, ending=True)
         keys, back = np.unique(found.keys, return_inverse=True)
-        later = found.place > 0
-        return self._window_losses(*found.spelt(keys))[back[later]], found.owner[later]
+        later = np.ones(len(back), bool)
+        later[found.starts[found.starts < len(back)]] = False
+        return self._of(keys, found)[back[later]], found.owner[later]
 
 
 def tree_losses(chunks: DataFrame, model: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
@@ -222,9 +321,10 @@ def tree_losses(chunks: DataFrame, model: DataFrame, keys: list[str], depth: int
     shared = chunks.sparkSession.sparkContext.broadcast(Tree(rows["hash"].to_numpy()[order], chances, escapes, depth, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _Scored(shared.value)
         for batch in batches:
             for first, texts in _slices(batch, "chunk"):
-                losses, owner = shared.value.losses(texts)
+                losses, owner = scored.losses(texts)
                 n = np.bincount(owner, minlength=len(texts))
                 total = np.bincount(owner, weights=losses, minlength=len(texts))
                 has = np.flatnonzero(n)

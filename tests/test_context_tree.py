@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,62 @@ def test_longer_context_beats_pairs_on_held_out_chunks(spark):
         for r in held.select("chunk").collect() for a, b in zip(r.chunk, r.chunk[1:])
     ]
     assert math.exp(row[0]) < 0.8 * math.exp(np.mean(losses))
+
+
+def many_letters():
+    """Texts of more letters than a key has room for beside each other, with repeats, and of few."""
+    wide = "".join(chr(0x4E00 + 7 * i % 1500) for i in range(3000))
+    return ["abab \0ab", wide, "\0\0", wide[::-1], None, "ba🙂ab", "", "a", wide[5:40] * 2, "abab"]
+
+
+@pytest.mark.parametrize(("depth", "at_once", "held"), [(5, 1 << 20, 1 << 21), (5, 4, 8), (2, 4, 3), (12, 4, 8), (70, 64, 8)])
+def test_grams_of_many_letters_and_small_slices(spark, monkeypatch, depth, at_once, held):
+    monkeypatch.setattr(context_tree, "CHARACTERS_AT_ONCE", at_once)
+    monkeypatch.setattr(context_tree, "HELD", held)
+    texts = [t[:200] if t and depth > 12 else t for t in many_letters()]
+    expected = Counter(t[i : i + k] for t in texts if t for i in range(len(t)) for k in range(1, depth + 2) if i + k <= len(t))
+    chunks = spark.createDataFrame([(t,) for t in texts], "chunk string").coalesce(1)
+    assert {r.gram: r.n for r in context_tree.count_grams(chunks, depth).collect()} == expected
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 4])
+def test_losses_of_many_letters_equal_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(context_tree, "CHARACTERS_AT_ONCE", at_once)
+    texts = many_letters()
+    model = context_tree.fit_tree(frame(spark, texts), 1600, 5, 2)
+    chance = brute([t or "" for t in texts], 1600, 5, 2)
+    asked = [*texts, "ab" + texts[1][7:30] + "Ω"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "id long, chunk string").coalesce(1)
+    got = {r.id: r.loss for r in context_tree.tree_losses(rows, model, ["id"], 5).collect()}
+    assert got == {
+        i: pytest.approx(np.mean([-math.log(chance(t[max(0, j - 5) : j], t[j])) for j in range(1, len(t))]), rel=1e-9)
+        for i, t in enumerate(asked) if t and len(t) > 1
+    }
+
+
+def test_tasks_give_each_longest_gram_once_and_look_up_each_window_once(monkeypatch):
+    """However many slices a task has: the work on grams that are met again does not grow with them."""
+    monkeypatch.setattr(context_tree, "CHARACTERS_AT_ONCE", 10)
+    texts, given = ["abcabc", "bcabca"] * 20, []
+
+    class Chunks:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            given.extend(r for b in run(iter([pa.RecordBatch.from_pydict({"chunk": texts})])) for r in b.to_pylist())
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        context_tree.count_grams(Chunks(), 2)
+    expected = Counter(t[i : i + 3] for t in texts for i in range(len(t)))
+    assert sorted((r["longest"], r["n"]) for r in given) == sorted(expected.items())
+
+    tree = context_tree.Tree(np.zeros(1, np.int64), np.full(1, np.nan), np.full(1, 0.5), 2, 0.1)
+    asked = []
+    look = context_tree.Tree.window_losses
+    monkeypatch.setattr(context_tree.Tree, "window_losses", lambda *a: asked.append(len(a[1])) or look(*a))
+    scored = context_tree._Scored(tree)
+    for text in texts:
+        scored.losses([text])
+    assert sum(asked) == len({t[max(0, i - 2) : i + 1] for t in texts for i in range(len(t))})
