@@ -27,9 +27,9 @@ DEPTH, LEAST = 5, 2
 #: Rows of a model that are sent to every task at most: 24 bytes each. A larger tree is cut by counts.
 MODEL_ROWS = 4_000_000
 #: Characters that a task works on at once.
-CHARACTERS_AT_ONCE = 1 << 20
+CHARACTERS_AT_ONCE = 1 << 18
 #: Windows that a task holds, with a count or a loss of 8 bytes, and that it spells at once.
-HELD = 1 << 21
+HELD = 1 << 22
 ROWS_AT_ONCE = 1 << 16
 
 
