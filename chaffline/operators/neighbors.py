@@ -13,8 +13,9 @@ triangle inequality leaves room for a distance below that bound. What is skipped
 nearer neighbour, so the answer stays exact. In clustered data most visits fall away, for
 copies of one vector (bound 0) all of them; data without structure need all N * N products, as
 any exact method does. Vectors with few visits are sent to the blocks; those with many would be
-copied to all of them, so their blocks are written once, packed, and the tasks read pairs of packs
-as they are: what is shuffled and written grows with the table and not with its square.
+copied to all of them. So blocks are written once, in packs, when their bounds are found, and the tasks read
+pairs of packs as they are. A vector is shuffled once and written twice, in the precision of its
+table: what is shuffled and written grows with the table and not with its square.
 """
 
 from __future__ import annotations
@@ -53,11 +54,13 @@ PAIRS_AT_ONCE = 1 << 17
 BOUND_ROWS = 256
 # Blocks that a vector is sent to at most; one that has to look at more is compared pack by pack.
 MOST_VISITS = 8
-# Bytes of the vectors of one pack, about, and packs per core at least (their root): a task holds two.
+# Bytes of the vectors of one pack, about, and packs per core at least: a task holds two.
 PACK_BYTES = 16 << 20
 PACKED_TASKS = 4
 # Packs of asking vectors that a task holds; a partition may have a few.
 PACKS_HELD = 3
+# Share of the vectors that ask from which on the packs ask as they are, and are not written again without the others.
+ASKING_SHARE = 0.5
 
 _SCHEMA = "sample_id long, nearest array<double>"
 
@@ -68,9 +71,10 @@ def block_plan(n: int, width: int, cores: int) -> tuple[int, bool]:
     Their bytes are bounded in any case. A small table gets enough blocks to keep all cores
     busy, a large one so many that visits can be told apart.
     """
-    by_size = math.ceil(n * max(width, 1) * 8 / BLOCK_BYTES)
+    size = n * max(width, 1) * 8
     if n > ALL_PAIRS_ROWS:
-        return max(by_size, min(MOST_PIVOTS, math.ceil(n / BOUNDED_BLOCK))), True
+        return max(math.ceil(size / PACK_BYTES), min(MOST_PIVOTS, math.ceil(n / BOUNDED_BLOCK))), True
+    by_size = math.ceil(size / BLOCK_BYTES)
     by_cores = min(math.ceil(n / SMALLEST_BLOCK), math.ceil(math.sqrt(4 * cores)))
     return max(by_size, by_cores, 1), False
 
@@ -269,7 +273,7 @@ def _all_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
     return _per_pair(rows, k, blocks * (blocks + 1) // 2)
 
 
-def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _assign(vectors: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
     """Add `cell`, the nearest pivot, and `radius`, the distance to it."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +292,7 @@ def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
                 names=[*batch.schema.names, "cell", "radius"],
             )
 
-    return vectors.mapInArrow(
-        nearest, "sample_id long, vector array<double>, cell int, radius double"
-    )
+    return vectors.mapInArrow(nearest, f"sample_id long, vector array<{kind}>, cell int, radius double")
 
 
 def _worth_a_look(
@@ -322,51 +324,139 @@ def _worth_a_look(
     return wanted
 
 
-def _bound_blocks(k: int, pivots: np.ndarray, shells: np.ndarray):
-    """Group function over one block: neighbours inside it, and the blocks worth a look per row.
+def _stretches(block: np.ndarray) -> list[slice]:
+    """Where each block lies in a pack, whose rows are in the order of blocks."""
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    return [slice(a, b) for a, b in zip(starts, [*starts[1:], len(block)])]
+
+
+_PACK = (
+    "pack int, rows int, asking int, block binary, ids binary, vectors binary, reach binary, nearest binary, "
+    "visitor binary, target binary"
+)
 
-    A row that has to look at more than `MOST_VISITS` is marked as wide and has no list of them.
+
+def _bound_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str):
+    """Group function over one pack: its blocks, neighbours inside them, and the blocks worth a look per row.
+
+    Gives one row of `_PACK`. A row of the pack that has to look at more than `MOST_VISITS` blocks has its bound in
+    `reach` and no targets; the others have no `reach` (NaN).
     """
 
-    def bound(block: pa.Table) -> pa.Table:
-        matrix = as_matrix(block.column("vector"))
-        own = block.column("block")[0].as_py()
-        inside = _inside(matrix, k).values()
-        reach = inside[:, -1]
-        targets: list[list[int]] = [[]] * len(matrix)
-        wide = np.zeros(len(matrix), bool)
+    def inside(matrix: np.ndarray, own: int) -> tuple[np.ndarray, ...]:
+        nearest = _inside(matrix, k).values()
+        bound = nearest[:, -1]
+        reach = np.full(len(matrix), np.nan)
+        visitors, targets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         # A bound of 0 cannot be improved.
-        open_rows = np.flatnonzero(reach > 0)
+        open_rows = np.flatnonzero(bound > 0)
         for start in range(0, len(open_rows), BOUND_ROWS):
             rows = open_rows[start : start + BOUND_ROWS]
-            wanted = _worth_a_look(matrix[rows], reach[rows], int(shells[own, 0]), pivots, shells)
+            wanted = _worth_a_look(matrix[rows], bound[rows], int(shells[own, 0]), pivots, shells)
             wanted[:, own] = False
-            wide[rows] = wanted.sum(axis=1) > MOST_VISITS
-            for row, wants in zip(rows, wanted):
-                if not wide[row]:
-                    targets[row] = np.flatnonzero(wants).tolist()
-        return pa.Table.from_arrays(
-            [
-                block.column("sample_id"),
-                pa.chunked_array([_as_lists(inside)]),
-                block.column("block"),
-                block.column("vector"),
-                pa.chunked_array([pa.array(targets, pa.list_(pa.int32()))]),
-                pa.chunked_array([pa.array(np.where(wide, reach, np.nan), from_pandas=True)]),
-            ],
-            names=["sample_id", "nearest", "block", "vector", "targets", "wide_reach"],
+            wide = wanted.sum(axis=1) > MOST_VISITS
+            reach[rows[wide]] = bound[rows[wide]]
+            left, right = np.nonzero(wanted & ~wide[:, None])
+            visitors.append(rows[left])
+            targets.append(right)
+        return nearest, reach, np.concatenate(visitors), np.concatenate(targets)
+
+    def bound(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        matrix = as_matrix(table.column("vector"))[order]
+        found = [(part, inside(matrix[part], int(block[part.start]))) for part in _stretches(block)]
+        nearest, reach = (np.concatenate([f[i] for _, f in found]) for i in (0, 1))
+        visitor = np.concatenate([part.start + f[2] for part, f in found])
+        target = np.concatenate([f[3] for _, f in found])
+        return _pack_row(
+            table, block, order, matrix.astype(_DTYPES[kind]), reach, nearest, visitor.astype("<i4"), target.astype("<i4")
         )
 
     return bound
 
 
+_DTYPES = {"float": "<f4", "double": "<f8"}
+
+
+def _pack_row(table, block, order, matrix, reach, nearest, visitor, target) -> pa.Table:
+    """One row of `_PACK`."""
+    ids = table.column("sample_id").to_numpy()[order].astype("<i8")
+    held = [block.astype("<i4"), ids, matrix, reach, nearest, visitor, target]
+    numbers = [table.column("pack")[0].as_py(), len(block), int((~np.isnan(reach)).sum())]
+    columns = [pa.array([i], pa.int32()) for i in numbers] + [pa.array([c.tobytes()], pa.binary()) for c in held]
+    return pa.table(dict(zip([field.split()[0] for field in _PACK.split(", ")], columns)))
+
+
+def _held(batch: pa.RecordBatch, name: str, kind: str) -> np.ndarray:
+    """A column of a batch of one pack as an array."""
+    return np.frombuffer(batch.column(name)[0].as_py(), kind)
+
+
+def _unpacked(packs: DataFrame, k: int, width: int, kind: str, columns: list[str]) -> DataFrame:
+    """The rows of packs: sample_id, block, vector, wide_reach (NULL if it does not ask), nearest, targets, as asked for."""
+    types = {
+        "sample_id": "long", "block": "int", "vector": f"array<{kind}>", "wide_reach": "double",
+        "nearest": "array<double>", "targets": "array<int>",
+    }
+
+    def vectors(pack: pa.RecordBatch) -> pa.ListArray:
+        values = _held(pack, "vectors", _DTYPES[kind])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values))
+
+    def targets(pack: pa.RecordBatch) -> pa.ListArray:
+        sizes = np.bincount(_held(pack, "visitor", "<i4"), minlength=pack.column("rows")[0].as_py())
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_held(pack, "target", "<i4")))
+
+    made = {
+        "sample_id": lambda pack: pa.array(_held(pack, "ids", "<i8")),
+        "block": lambda pack: pa.array(_held(pack, "block", "<i4")),
+        "vector": vectors,
+        "wide_reach": lambda pack: pa.array(_held(pack, "reach", "<f8"), from_pandas=True),
+        "nearest": lambda pack: _as_lists(_held(pack, "nearest", "<f8").reshape(-1, k)),
+        "targets": targets,
+    }
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for many in batches:
+            for pack in (many.slice(i, 1) for i in range(many.num_rows)):
+                yield pa.RecordBatch.from_arrays([made[c](pack) for c in columns], names=columns)
+
+    return packs.mapInArrow(rows, ", ".join(f"{c} {types[c]}" for c in columns))
+
+
+def _pack_plan(sizes: dict[int, int], width: int, cores: int) -> list[tuple[int, int]]:
+    """(block, pack): neighbouring blocks share a pack of about `PACK_BYTES`, or less to keep all cores busy."""
+    by_cores = math.ceil(sum(sizes.values()) / (PACKED_TASKS * cores))
+    limit = min(PACK_BYTES // (8 * max(width, 1)), max(by_cores, SMALLEST_BLOCK))
+    plan, pack, filled = [], -1, math.inf
+    for block in sorted(sizes):
+        if filled + sizes[block] > limit:
+            pack, filled = pack + 1, 0
+        filled += sizes[block]
+        plan.append((block, pack))
+    return plan
+
+
+def _by_pack(rows: DataFrame, plan: list[tuple[int, int]], make) -> DataFrame:
+    """Rows (block, ...) as one row of `_PACK` per pack, written."""
+    # One row per block.
+    hinted = F.broadcast(rows.sparkSession.createDataFrame(plan, "block int, pack int"))
+    packs = plan[-1][1] + 1
+    return cut_lineage(rows.join(hinted, "block").repartitionByRange(packs, "pack").groupBy("pack").applyInArrow(make, _PACK))
+
+
 def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
     n = vectors.count()
-    rows = vectors.select("sample_id", F.col("vector").cast("array<double>").alias("vector"))
+    # Single precision loses nothing of a table that has no more, and is widened inside tasks.
+    kind = "float" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select("sample_id", F.col("vector").cast(f"array<{kind}>").alias("vector"))
     drawn = rows.orderBy(seeded_key(0, "sample_id"), "sample_id").limit(min(blocks, MOST_PIVOTS))
-    pivots = np.array([r.vector for r in drawn.select("vector").collect()])
-    # Written once: four steps read it, and the pivots' products need not be repeated.
-    cells = cut_lineage(_assign(rows, pivots))
+    pivots = np.array([r.vector for r in drawn.select("vector").collect()], dtype=np.float64)
+    # Written once: three steps read it, and the pivots' products need not be repeated.
+    cells = cut_lineage(_assign(rows, pivots, kind))
 
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -379,86 +469,71 @@ def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
     placed = cells.join(broadcast_if_small(plan), "cell").withColumn(
         "block", (F.col("_first") + salt).cast("int")
     )
-    ranges = placed.groupBy("block").agg(F.first("cell"), F.min("radius"), F.max("radius"))
+    ranges = placed.groupBy("block").agg(F.first("cell"), F.min("radius"), F.max("radius"), F.count(F.lit(1)))
     found = {r[0]: r[1:] for r in ranges.collect()}
     # Collected: one row per block. A part of a cell may stay empty; nothing is in its reach.
-    empty = (0, math.inf, -math.inf)
-    shells = np.array([found.get(b, empty) for b in range(max(found) + 1)], dtype=np.float64)
-
-    bounded = cut_lineage(
-        placed.select("block", "sample_id", "vector")
-        .repartition(_tasks(placed, len(shells)), "block")
-        .groupBy("block")
-        .applyInArrow(
-            _bound_blocks(k, pivots, shells),
-            f"{_SCHEMA}, block int, vector array<double>, targets array<int>, wide_reach double",
-        )
+    empty = (0, math.inf, -math.inf, 0)
+    shells = np.array([found.get(b, empty)[:3] for b in range(max(found) + 1)], dtype=np.float64)
+
+    width = pivots.shape[1]
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    packs = _by_pack(
+        placed.select("block", "sample_id", "vector"),
+        _pack_plan({b: f[3] for b, f in found.items()}, width, cores),
+        _bound_packs(k, pivots, shells, kind),
     )
-    found = bounded.select("sample_id", "nearest").unionByName(_visits(bounded, k, math.ceil(n / blocks)))
-    looked = _packs_met(bounded, k, pivots, shells)
+    visitors = _unpacked(packs, k, width, kind, ["sample_id", "block", "vector", "targets"])
+    found = _unpacked(packs, k, width, kind, ["sample_id", "nearest"])
+    found = found.unionByName(_visits(visitors, k, math.ceil(n / blocks)))
+    looked = _packs_met(packs, k, pivots, shells, kind)
     return found if looked is None else found.unionByName(looked)
 
 
-def _packed(rows: DataFrame, sizes: dict[int, int], width: int, tag: str) -> tuple[DataFrame, int]:
-    """Rows (block, sample_id, vector, wide_reach) as one row per pack of neighbouring blocks, written, and the packs.
-
-    A block of more rows than a pack has is dealt over several; columns are named after `tag`.
-    """
-    spark = rows.sparkSession
-    n = sum(sizes.values())
-    by_cores = math.ceil(math.sqrt(PACKED_TASKS * PACKED_TASKS * spark.sparkContext.defaultParallelism))
-    limit = max(1, min(PACK_BYTES // (8 * max(width, 1)), math.ceil(n / by_cores)))
-    plan, packs, filled = [], 0, limit
-    for block in sorted(sizes):
-        parts = max(1, round(sizes[block] / limit))
-        if parts == 1 and packs and filled + sizes[block] <= limit:
-            filled += sizes[block]
-            plan.append((block, packs - 1, 1))
-        else:
-            plan.append((block, packs, parts))
-            packs, filled = packs + parts, sizes[block] if parts == 1 else limit
+def _asking(packs: DataFrame, k: int, width: int, kind: str) -> DataFrame | None:
+    """The packs of the vectors that have a reach: `packs` themselves, or new ones if those are few; None without any."""
+    n, wide = packs.agg(F.sum("rows"), F.sum("asking")).first()
+    if not wide:
+        return None
+    if wide >= ASKING_SHARE * n:
+        return packs
+    rows = _unpacked(packs.where("asking > 0"), k, width, kind, ["sample_id", "block", "vector", "wide_reach"])
+    rows = rows.where("wide_reach is not null")
     # One row per block.
-    placed = rows.join(F.broadcast(spark.createDataFrame(plan, "block int, _first int, _parts int")), "block").withColumn(
-        "pack", (F.col("_first") + F.pmod(F.xxhash64("sample_id"), F.col("_parts"))).cast("int")
-    )
+    sizes = {r[0]: r[1] for r in rows.groupBy("block").count().collect()}
 
     def pack(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
-        matrix = as_matrix(table.column("vector"))[order]
-        columns = [block[order].astype("<i4"), table.column("sample_id").to_numpy()[order].astype("<i8"), matrix]
-        reach = np.array(table.column("wide_reach").to_pandas(), dtype=np.float64)[order]
-        held = [pa.array([c.tobytes()], pa.large_binary()).cast(pa.binary()) for c in (*columns, reach)]
-        names = [f"{tag}_{c}" for c in ("pack", "block", "ids", "vectors", "reach")]
-        return pa.table(dict(zip(names, [pa.array([table.column("pack")[0].as_py()], pa.int32()), *held])))
+        none = np.zeros(0, "<i4")
+        reach = table.column("wide_reach").to_numpy()[order]
+        vectors = as_matrix(table.column("vector"))[order].astype(_DTYPES[kind])
+        return _pack_row(table, block[order], order, vectors, reach, none, none, none)
 
-    fields = f"{tag}_pack int, {tag}_block binary, {tag}_ids binary, {tag}_vectors binary, {tag}_reach binary"
-    whole = placed.select("pack", "block", "sample_id", "vector", "wide_reach")
-    return cut_lineage(whole.repartitionByRange(packs, "pack").groupBy("pack").applyInArrow(pack, fields)), packs
+    cores = packs.sparkSession.sparkContext.defaultParallelism
+    return _by_pack(rows, _pack_plan(sizes, width, cores), pack)
 
 
-def _packs_met(bounded: DataFrame, k: int, pivots: np.ndarray, shells: np.ndarray) -> DataFrame | None:
-    """(sample_id, nearest): the best values in other blocks of the vectors marked as wide; None without any.
+def _packs_met(packs: DataFrame, k: int, pivots: np.ndarray, shells: np.ndarray, kind: str) -> DataFrame | None:
+    """(sample_id, nearest): the best values in other blocks of the vectors that ask; None without any.
 
-    A task reads pairs of packs where they are written, so nothing is shuffled for this.
+    A task reads pairs of packs where they are written, so nothing is shuffled for this. It has all pairs of the
+    packs that ask in it, so that a vector's values are written once, unless there are too few to keep the cores busy.
     """
-    spark = bounded.sparkSession
-    # One row per block.
-    counts = bounded.groupBy("block").agg(F.count(F.lit(1)), F.count("wide_reach")).collect()
-    wide = {r[0]: r[2] for r in counts if r[2]}
-    if not wide:
+    spark = packs.sparkSession
+    asking = _asking(packs, k, pivots.shape[1], kind)
+    if asking is None:
         return None
-    width = pivots.shape[1]
-    every, _ = _packed(bounded, {r[0]: r[1] for r in counts}, width, "r")
-    asking, packs = _packed(bounded.where("wide_reach is not null"), wide, width, "l")
-    pairs = asking.crossJoin(every.drop("r_reach", "r_ids").hint("shuffle_replicate_nl"))
-    tasks = max(PACKED_TASKS * spark.sparkContext.defaultParallelism, packs)
+    asking = asking.where("asking > 0").select(*[F.col(c).alias(f"l_{c}") for c in ("pack", "block", "ids", "vectors", "reach")])
+    every = packs.select(*[F.col(c).alias(f"r_{c}") for c in ("block", "vectors")])
+    pairs = asking.crossJoin(every.hint("shuffle_replicate_nl"))
+    cores, own = spark.sparkContext.defaultParallelism, asking.rdd.getNumPartitions()
+    tasks = own if own > cores else PACKED_TASKS * cores
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     # A row is two packs, and a batch must not hold more of them.
     spark.conf.set(setting, "1")
     try:
-        return cut_lineage(pairs.coalesce(tasks).mapInArrow(_meet_packs(k, pivots, shells), _SCHEMA))
+        return cut_lineage(pairs.coalesce(tasks).mapInArrow(_meet_packs(k, pivots, shells, kind), _SCHEMA))
     finally:
         spark.conf.set(setting, before)
 
@@ -469,8 +544,7 @@ class _Searching:
     def __init__(self, blocks: np.ndarray, ids: np.ndarray, matrix: np.ndarray, reach: np.ndarray, k: int, centre: np.ndarray):
         self.ids, self.reach = ids, reach
         self.best, self.rows = _Best(len(ids), k), _Rough(matrix, centre)
-        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
-        self.parts = [(int(blocks[a]), slice(a, b)) for a, b in zip(starts, [*starts[1:], len(blocks)])]
+        self.parts = [(int(blocks[part.start]), part) for part in _stretches(blocks)]
         d = matrix.shape[1]
         self.exact_squares = ((matrix - centre) ** 2).sum(axis=1)
         self.extended = np.ones((len(ids), d + 2), np.float32)
@@ -512,12 +586,18 @@ class _Searching:
         self.best.cost[mine], self.best.partner[mine] = best.cost, best.partner
 
 
-def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray):
+def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str):
     """Arrow function over pairs of packs: the best values of the asking ones in other blocks than their own."""
     centre, width = pivots.mean(axis=0), pivots.shape[1]
 
-    def column(batch: pa.RecordBatch, name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(batch.column(name)[0].as_buffer(), kind)
+    def vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return _held(batch, name, _DTYPES[kind]).reshape(-1, width).astype(np.float64)
+
+    def search(batch: pa.RecordBatch) -> _Searching:
+        reach = _held(batch, "l_reach", "<f8")
+        asks = ~np.isnan(reach)
+        blocks, ids = _held(batch, "l_block", "<i4")[asks], _held(batch, "l_ids", "<i8")[asks]
+        return _Searching(blocks, ids, vectors(batch, "l_vectors")[asks], reach[asks], k, centre)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Searching] = {}
@@ -533,28 +613,26 @@ def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray):
                 if pack not in held:
                     if len(held) == PACKS_HELD:
                         yield results(held.pop(next(iter(held))))
-                    held[pack] = _Searching(
-                        column(batch, "l_block", "<i4"), column(batch, "l_ids", "<i8").copy(),
-                        column(batch, "l_vectors", "<f8").reshape(-1, width).copy(),
-                        column(batch, "l_reach", "<f8").copy(), k, centre,
-                    )
+                    held[pack] = search(batch)
                 asking = held[pack]
-                blocks = column(batch, "r_block", "<i4")
-                others = _Rough(column(batch, "r_vectors", "<f8").reshape(-1, width), centre)
+                blocks = _held(batch, "r_block", "<i4")
+                others = _Rough(vectors(batch, "r_vectors"), centre)
                 squares = ((others.exact - centre) ** 2).sum(axis=1)
                 extended = np.ones((len(blocks), width + 2), np.float32)
                 extended[:, :width] = others.single
                 extended[:, width + 1] = (width + 20) * 1.2e-7 * squares - squares / 2
-                starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+                stretches = _stretches(blocks)
+                whose = [int(blocks[part.start]) for part in stretches]
                 for own, mine in asking.parts:
                     rows = np.arange(mine.start, mine.stop)
                     reach = np.sqrt(asking.limits(rows))
                     wanted = _worth_a_look(
-                        asking.rows.exact[mine], reach, int(shells[own, 0]), pivots, shells[blocks[starts]]
+                        asking.rows.exact[mine], reach, int(shells[own, 0]), pivots, shells[whose]
                     )
-                    for i, (first, stop) in enumerate(zip(starts, [*starts[1:], len(blocks)])):
-                        if blocks[first] == own or not wanted[:, i].any():
+                    for i, part in enumerate(stretches):
+                        if whose[i] == own or not wanted[:, i].any():
                             continue
+                        first, stop = part.start, part.stop
                         chosen = rows[wanted[:, i]]
                         for at in range(0, len(chosen), TILE):
                             for tile in _tiles(stop - first):

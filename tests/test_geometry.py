@@ -273,3 +273,50 @@ def test_packs_hold_blocks_of_any_size(spark, monkeypatch):
     rows = nearest_distances(table(spark, matrix), 2, blocks=20, bounded=True).collect()
     found = {r.sample_id: r.distances for r in rows}
     assert np.allclose([found[i] for i in range(700)], all_distances(matrix)[:, :2], atol=1e-9)
+
+
+def test_a_vector_is_written_twice_in_the_precision_of_its_table(spark, monkeypatch):
+    """Before, vectors were written four times in double precision, and their values by every task that met them."""
+    matrix = points(3000, 48, 5)
+    written, met = [], []
+    cut, packs = neighbors.cut_lineage, neighbors._packs_met
+
+    def weighing(frame):
+        frame = cut(frame)
+        sizes = [F.length(c) if t == "binary" else F.size(c) * 4 * (1 + (t == "array<double>")) for c, t in frame.dtypes
+                 if c in ("vector", "vectors") or c.endswith("_vectors")]
+        written.extend(frame.agg(F.sum(size)).first()[0] for size in sizes)
+        return frame
+
+    def looking(*given):
+        met.append(packs(*given))
+        return met[-1]
+
+    monkeypatch.setattr(neighbors, "cut_lineage", weighing)
+    monkeypatch.setattr(neighbors, "_packs_met", looking)
+    rows = nearest_distances(table(spark, matrix), 2, blocks=30, bounded=True).collect()
+    found = {r.sample_id: r.distances for r in rows}
+    assert np.allclose([found[i] for i in range(3000)], all_distances(matrix)[:, :2], atol=1e-9)
+    assert sum(written) <= 2 * matrix.nbytes
+    assert met[0].groupBy("sample_id").count().agg(F.max("count")).first()[0] == 1
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_few_vectors_that_ask_get_packs_of_their_own(spark, monkeypatch, kind):
+    """Tight clusters, and scattered vectors that have to look at many blocks."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16)) * 4
+    matrix = np.concatenate([centres[np.arange(1200) % 20] + rng.normal(size=(1200, 16)) * 0.01, rng.normal(size=(150, 16)) * 4])
+    matrix = matrix.astype(np.float32)
+    asked = []
+    plan = neighbors._pack_plan
+
+    def counting(sizes, *rest):
+        asked.append(sum(sizes.values()))
+        return plan(sizes, *rest)
+
+    monkeypatch.setattr(neighbors, "_pack_plan", counting)
+    vectors = table(spark, matrix).withColumn("features", F.col("features").cast(f"array<{kind}>"))
+    found = {r.sample_id: r.distances for r in nearest_distances(vectors, 3, blocks=40, bounded=True).collect()}
+    assert np.allclose([found[i] for i in range(1350)], all_distances(matrix)[:, :3], atol=1e-9)
+    assert len(asked) == 2 and 0 < asked[1] < 1350 / 2
