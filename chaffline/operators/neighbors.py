@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chaffline.functions.arrays import as_matrix
+from chaffline.functions.arrays import as_matrix, unit_rows
 from chaffline.functions.keys import seeded_key
-from chaffline.functions.vectors import SHORTEST_LENGTH, length, unit_vector
+from chaffline.functions.vectors import SHORTEST_LENGTH, length
 from chaffline.session import broadcast_if_small, cut_lineage
 
 # Bytes of double-precision vectors in one block; a task holds two blocks.
@@ -46,6 +47,8 @@ BOUNDED_BLOCK = 2048
 MOST_PIVOTS = 4096
 # Vectors per side of one matrix product.
 TILE = 2048
+# The same where packs meet: so few that the products stay in a core's cache.
+LOOK = 512
 # Slack on the bounds, relative to the distances, for rounding in the products.
 SLACK = 1e-7
 # Pairs that are measured in double precision at once.
@@ -167,8 +170,13 @@ def _squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * (left @ right.T)
 
 
-def _tiles(n: int) -> list[slice]:
-    return [slice(i, min(i + TILE, n)) for i in range(0, n, TILE)]
+def _tiles(n: int, step: int = TILE) -> list[slice]:
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, unit: bool) -> np.ndarray:
+    """A column of vectors as a double-precision matrix; of their directions with `unit`."""
+    return unit_rows(as_matrix(column)) if unit else as_matrix(column)
 
 
 def _inside(matrix: np.ndarray, k: int) -> _Best:
@@ -204,7 +212,7 @@ def _as_lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept]))
 
 
-def _compare_blocks(k: int, partners: bool = False):
+def _compare_blocks(k: int, partners: bool = False, unit: bool = False):
     """Group function over a pair of blocks: each row's best values in the other block.
 
     With `partners` a value is a pair of distance and partner.
@@ -220,7 +228,7 @@ def _compare_blocks(k: int, partners: bool = False):
 
     def compare(pair: pa.Table) -> pa.Table:
         ids = pair.column("sample_id").to_numpy()
-        matrix = as_matrix(pair.column("vector"))
+        matrix = _vectors(pair.column("vector"), unit)
         first = pair.column("block").to_numpy() == pair.column("row_block")[0].as_py()
         if pair.column("row_block")[0] == pair.column("col_block")[0]:
             parts = [(ids, lists(_inside(matrix, k), ids))]
@@ -247,17 +255,20 @@ def _tasks(frame: DataFrame, groups: int) -> int:
     return max(1, min(groups, max(4 * cores, groups // 16)))
 
 
-def _per_pair(rows: DataFrame, k: int, pairs: int, *keys: str, partners: bool = False) -> DataFrame:
+def _per_pair(
+    rows: DataFrame, k: int, pairs: int, *keys: str, partners: bool = False, unit: bool = False
+) -> DataFrame:
     """(sample_id, nearest) from rows (row_block, col_block, block, sample_id, vector).
 
     Blocks are told apart by `keys` too, if there are any.
     """
     group = [*keys, "row_block", "col_block"]
     schema = "sample_id long, nearest array<struct<distance: double, partner: long>>" if partners else _SCHEMA
-    return rows.repartition(_tasks(rows, pairs), *group).groupBy(*group).applyInArrow(_compare_blocks(k, partners), schema)
+    dealt = rows.repartition(_tasks(rows, pairs), *group)
+    return dealt.groupBy(*group).applyInArrow(_compare_blocks(k, partners, unit), schema)
 
 
-def _all_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
+def _all_pairs(vectors: DataFrame, k: int, blocks: int, unit: bool) -> DataFrame:
     own, other = F.col("block"), F.col("_other")
     rows = (
         vectors.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
@@ -270,17 +281,17 @@ def _all_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
             "vector",
         )
     )
-    return _per_pair(rows, k, blocks * (blocks + 1) // 2)
+    return _per_pair(rows, k, blocks * (blocks + 1) // 2, unit=unit)
 
 
-def _assign(vectors: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
+def _assign(vectors: DataFrame, pivots: np.ndarray, kind: str, unit: bool) -> DataFrame:
     """Add `cell`, the nearest pivot, and `radius`, the distance to it."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = as_matrix(batch.column("vector"))
+            matrix = _vectors(batch.column("vector"), unit)
             cells = [
                 _squares(matrix[i : i + TILE], pivots).argmin(axis=1)
                 for i in range(0, len(matrix), TILE)
@@ -336,7 +347,7 @@ _PACK = (
 )
 
 
-def _bound_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str):
+def _bound_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str, unit: bool):
     """Group function over one pack: its blocks, neighbours inside them, and the blocks worth a look per row.
 
     Gives one row of `_PACK`. A row of the pack that has to look at more than `MOST_VISITS` blocks has its bound in
@@ -365,13 +376,14 @@ def _bound_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str):
         block = table.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
         block = block[order]
-        matrix = as_matrix(table.column("vector"))[order]
+        held = as_matrix(table.column("vector"))[order]
+        matrix = unit_rows(held) if unit else held
         found = [(part, inside(matrix[part], int(block[part.start]))) for part in _stretches(block)]
         nearest, reach = (np.concatenate([f[i] for _, f in found]) for i in (0, 1))
         visitor = np.concatenate([part.start + f[2] for part, f in found])
         target = np.concatenate([f[3] for _, f in found])
         return _pack_row(
-            table, block, order, matrix.astype(_DTYPES[kind]), reach, nearest, visitor.astype("<i4"), target.astype("<i4")
+            table, block, order, held.astype(_DTYPES[kind]), reach, nearest, visitor.astype("<i4"), target.astype("<i4")
         )
 
     return bound
@@ -448,15 +460,16 @@ def _by_pack(rows: DataFrame, plan: list[tuple[int, int]], make) -> DataFrame:
     return cut_lineage(rows.join(hinted, "block").repartitionByRange(packs, "pack").groupBy("pack").applyInArrow(make, _PACK))
 
 
-def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
+def _bounded_pairs(vectors: DataFrame, k: int, blocks: int, unit: bool) -> DataFrame:
     n = vectors.count()
-    # Single precision loses nothing of a table that has no more, and is widened inside tasks.
+    # Single precision loses nothing of a table that has no more, and is widened inside tasks; so are directions found.
     kind = "float" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select("sample_id", F.col("vector").cast(f"array<{kind}>").alias("vector"))
     drawn = rows.orderBy(seeded_key(0, "sample_id"), "sample_id").limit(min(blocks, MOST_PIVOTS))
     pivots = np.array([r.vector for r in drawn.select("vector").collect()], dtype=np.float64)
+    pivots = unit_rows(pivots) if unit else pivots
     # Written once: three steps read it, and the pivots' products need not be repeated.
-    cells = cut_lineage(_assign(rows, pivots, kind))
+    cells = cut_lineage(_assign(rows, pivots, kind, unit))
 
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -480,12 +493,13 @@ def _bounded_pairs(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
     packs = _by_pack(
         placed.select("block", "sample_id", "vector"),
         _pack_plan({b: f[3] for b, f in found.items()}, width, cores),
-        _bound_packs(k, pivots, shells, kind),
+        _bound_packs(k, pivots, shells, kind, unit),
     )
     visitors = _unpacked(packs, k, width, kind, ["sample_id", "block", "vector", "targets"])
     found = _unpacked(packs, k, width, kind, ["sample_id", "nearest"])
-    found = found.unionByName(_visits(visitors, k, math.ceil(n / blocks)))
-    looked = _packs_met(packs, k, pivots, shells, kind)
+    visits = partial(_visits, unit=True) if unit else _visits
+    found = found.unionByName(visits(visitors, k, math.ceil(n / blocks)))
+    looked = _packs_met(packs, k, pivots, shells, kind, unit)
     return found if looked is None else found.unionByName(looked)
 
 
@@ -513,7 +527,9 @@ def _asking(packs: DataFrame, k: int, width: int, kind: str) -> DataFrame | None
     return _by_pack(rows, _pack_plan(sizes, width, cores), pack)
 
 
-def _packs_met(packs: DataFrame, k: int, pivots: np.ndarray, shells: np.ndarray, kind: str) -> DataFrame | None:
+def _packs_met(
+    packs: DataFrame, k: int, pivots: np.ndarray, shells: np.ndarray, kind: str, unit: bool
+) -> DataFrame | None:
     """(sample_id, nearest): the best values in other blocks of the vectors that ask; None without any.
 
     A task reads pairs of packs where they are written, so nothing is shuffled for this. It has all pairs of the
@@ -533,7 +549,7 @@ def _packs_met(packs: DataFrame, k: int, pivots: np.ndarray, shells: np.ndarray,
     # A row is two packs, and a batch must not hold more of them.
     spark.conf.set(setting, "1")
     try:
-        return cut_lineage(pairs.coalesce(tasks).mapInArrow(_meet_packs(k, pivots, shells, kind), _SCHEMA))
+        return cut_lineage(pairs.coalesce(tasks).mapInArrow(_meet_packs(k, pivots, shells, kind, unit), _SCHEMA))
     finally:
         spark.conf.set(setting, before)
 
@@ -586,12 +602,13 @@ class _Searching:
         self.best.cost[mine], self.best.partner[mine] = best.cost, best.partner
 
 
-def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str):
+def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str, unit: bool):
     """Arrow function over pairs of packs: the best values of the asking ones in other blocks than their own."""
     centre, width = pivots.mean(axis=0), pivots.shape[1]
 
     def vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return _held(batch, name, _DTYPES[kind]).reshape(-1, width).astype(np.float64)
+        matrix = _held(batch, name, _DTYPES[kind]).reshape(-1, width).astype(np.float64)
+        return unit_rows(matrix) if unit else matrix
 
     def search(batch: pa.RecordBatch) -> _Searching:
         reach = _held(batch, "l_reach", "<f8")
@@ -634,16 +651,16 @@ def _meet_packs(k: int, pivots: np.ndarray, shells: np.ndarray, kind: str):
                             continue
                         first, stop = part.start, part.stop
                         chosen = rows[wanted[:, i]]
-                        for at in range(0, len(chosen), TILE):
-                            for tile in _tiles(stop - first):
-                                asking.look(chosen[at : at + TILE], others, extended, slice(first + tile.start, first + tile.stop))
+                        for asked in _tiles(len(chosen), LOOK):
+                            for tile in _tiles(stop - first, LOOK):
+                                asking.look(chosen[asked], others, extended, slice(first + tile.start, first + tile.stop))
         for asking in held.values():
             yield results(asking)
 
     return meet
 
 
-def _visits(bounded: DataFrame, k: int, limit: int) -> DataFrame:
+def _visits(bounded: DataFrame, k: int, limit: int, unit: bool = False) -> DataFrame:
     """(sample_id, nearest): each vector's best values in the blocks it has to look at.
 
     The visitors of a block are dealt into tables of about `limit`; the block's own vectors are
@@ -671,16 +688,16 @@ def _visits(bounded: DataFrame, k: int, limit: int) -> DataFrame:
         visitors.unionByName(hosts)
         .repartition(_tasks(bounded, tables), "block", "_table")
         .groupBy("block", "_table")
-        .applyInArrow(_meet(k), _SCHEMA)
+        .applyInArrow(_meet(k, unit), _SCHEMA)
     )
 
 
-def _meet(k: int):
+def _meet(k: int, unit: bool):
     """Group function: the visitors' best values among the hosts."""
 
     def meet(table: pa.Table) -> pa.Table:
         visitor = table.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
-        matrix = as_matrix(table.column("vector"))
+        matrix = _vectors(table.column("vector"), unit)
         guests, hosts = matrix[visitor], matrix[~visitor]
         best = _Best(len(guests), k)
         centre = matrix.mean(axis=0)
@@ -731,12 +748,15 @@ def nearest_distances(
     column: str = "features",
     blocks: int | None = None,
     bounded: bool | None = None,
+    unit: bool = False,
 ) -> DataFrame:
     """(sample_id, distances): ascending Euclidean distances to the k nearest other samples.
 
     Fewer than k where there are not that many others. Equal vectors are neighbours at
     distance 0; a sample is told from itself by its row, not by its distance. The blocks and the
-    use of bounds follow from the size of the table unless both are given.
+    use of bounds follow from the size of the table unless both are given. With `unit` the vectors are
+    divided by their lengths first, inside tasks, so that they move in the precision of their table;
+    none may be zero.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -748,7 +768,7 @@ def nearest_distances(
         cores = rows.sparkSession.sparkContext.defaultParallelism
         planned = block_plan(n, width or 1, cores)
         blocks, bounded = blocks or planned[0], planned[1] if bounded is None else bounded
-    found = (_bounded_pairs if bounded else _all_pairs)(rows, k, blocks)
+    found = (_bounded_pairs if bounded else _all_pairs)(rows, k, blocks, unit)
     if k == 1:
         best = F.min(F.get("nearest", F.lit(0)))
         return found.groupBy("sample_id").agg(F.array_compact(F.array(best)).alias("distances"))
@@ -817,9 +837,9 @@ def largest_similarity(
     """
     sized = vectors.select("sample_id", F.col(column).alias("_v"), length(F.col(column)).alias("_size"))
     zero = F.col("_size") < SHORTEST_LENGTH
-    units = sized.filter(~zero).select("sample_id", unit_vector(F.col("_v")).alias("unit"))
+    others = sized.filter(~zero).select("sample_id", "_v")
     distance = F.get("distances", F.lit(0))
-    among = nearest_distances(units, 1, "unit", blocks, bounded).select(
+    among = nearest_distances(others, 1, "_v", blocks, bounded, unit=True).select(
         "sample_id", (F.lit(1.0) - distance * distance / 2).alias("similarity")
     )
     zeros = sized.filter(zero).select("sample_id")

@@ -320,3 +320,37 @@ def test_few_vectors_that_ask_get_packs_of_their_own(spark, monkeypatch, kind):
     found = {r.sample_id: r.distances for r in nearest_distances(vectors, 3, blocks=40, bounded=True).collect()}
     assert np.allclose([found[i] for i in range(1350)], all_distances(matrix)[:, :3], atol=1e-9)
     assert len(asked) == 2 and 0 < asked[1] < 1350 / 2
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_directions_are_shuffled_and_written_in_the_precision_of_the_table(spark, monkeypatch, bounded):
+    """Before, unit vectors were made ahead of the search and moved in double precision."""
+    matrix = points(3000, 48, 14)
+    moved, written = [], []
+    cut, pairs, visits = neighbors.cut_lineage, neighbors._per_pair, neighbors._visits
+
+    def weighing(frame):
+        frame = cut(frame)
+        sizes = [F.length(c) if t == "binary" else F.size(c) * 4 * (1 + (t == "array<double>")) for c, t in frame.dtypes
+                 if c in ("vector", "vectors") or c.endswith("_vectors")]
+        written.extend(frame.agg(F.sum(size)).first()[0] for size in sizes)
+        return frame
+
+    def dealing(step):
+        def deal(rows, *rest, **options):
+            moved.append(dict(rows.dtypes)["vector"])
+            return step(rows, *rest, **options)
+
+        return deal
+
+    monkeypatch.setattr(neighbors, "cut_lineage", weighing)
+    monkeypatch.setattr(neighbors, "_per_pair", dealing(pairs))
+    monkeypatch.setattr(neighbors, "_visits", dealing(visits))
+    rows = largest_similarity(table(spark, matrix), blocks=30 if bounded else 4, bounded=bounded).collect()
+    unit = matrix.astype(np.float64) / np.linalg.norm(matrix.astype(np.float64), axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -1)
+    found = {r.sample_id: r.similarity for r in rows}
+    assert np.allclose([found[i] for i in range(3000)], cosine.max(axis=1), atol=1e-9)
+    assert moved == ["array<float>"]
+    assert len(written) == 2 * bounded and sum(written) <= 2 * matrix.nbytes
