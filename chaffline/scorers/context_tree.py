@@ -4,12 +4,17 @@ Each context, from none to `depth` characters, predicts the next character from
 leaves to the next shorter context the share that new characters had in it (Witten and Bell's
 escape). Contexts met less than `least` times are cut off; what they would have said is said by the
 shorter one, so all probabilities still sum to 1. Grams are counted in the tasks, as integers, so counts
-are shuffled and never characters; probabilities are joined level by level in Spark. A task looks up a
-window of characters once and keeps its loss.
+are shuffled and never characters; probabilities are joined level by level in Spark. The tree is whole
+however many rows it has: tasks write it to the shared folder, sorted by hash, and the tasks that score map
+those files. A task looks up a window of characters once and keeps its loss.
 """
 
 from __future__ import annotations
 
+import mmap
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -17,15 +22,19 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chaffline.session import cut_lineage
+from chaffline.session import checkpoint_folder, cut_lineage
+from chaffline.sources.runs import _locate
 
 #: Characters of context at most, and times a context must be met.
 DEPTH, LEAST = 5, 2
-#: Rows of a model that are sent to every task at most: 24 bytes each. A larger tree is cut by counts.
-MODEL_ROWS = 4_000_000
+#: Rows that a tree may have, if a caller sets it: a larger tree is then cut by counts. Nothing here sets it.
+MODEL_ROWS: int | None = None
+#: Rows of a model in a file, about, of 24 bytes each.
+FILE_ROWS = 1 << 20
 #: Characters that a task works on at once.
 CHARACTERS_AT_ONCE = 1 << 18
 #: Windows that a task holds, with a count or a loss of 8 bytes, and that it spells at once.
@@ -187,24 +196,33 @@ def count_grams(chunks: DataFrame, depth: int) -> DataFrame:
     return longest.select(F.explode(beginnings).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _kept(contexts: DataFrame, least: int) -> DataFrame:
+    return contexts.where((F.col("total") >= least) | (F.col("context") == ""))
+
+
+def _least_of(contexts: DataFrame, least: int, most: int) -> int:
+    """`least`, doubled until the tree has at most `most` rows."""
+    while True:
+        rows = _kept(contexts, least).agg(F.coalesce(F.sum("types"), F.lit(0)) + F.count(F.lit(1))).first()[0]
+        if rows <= most:
+            return least
+        least *= 2
+
+
 def fit_tree(chunks: DataFrame, vocabulary_size: int, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """(gram, p, escape): the probability of a gram's last character after the others, and of leaving it as a context.
 
     Null where a gram is not predicted, or is no context. The row of the empty gram has the share of
-    a character that was never seen. A tree of more than `MODEL_ROWS` rows is cut by twice the count
-    until it has no more.
+    a character that was never seen. The tree is whole, whatever its size, unless `MODEL_ROWS` is set.
     """
     counts = cut_lineage(count_grams(chunks, depth).withColumn("size", F.length("gram")))
     contexts = cut_lineage(
         counts.groupBy(F.expr("substring(gram, 1, size - 1)").alias("context"))
         .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
     )
-    while True:
-        kept = contexts.where((F.col("total") >= least) | (F.col("context") == ""))
-        rows = kept.agg(F.coalesce(F.sum("types"), F.lit(0)) + F.count(F.lit(1))).first()[0]
-        if rows <= MODEL_ROWS:
-            break
-        least *= 2
+    if MODEL_ROWS is not None:
+        least = _least_of(contexts, least, MODEL_ROWS)
+    kept = _kept(contexts, least)
     whole = F.col("total") + F.col("types")
     kept = kept.select("context", whole.alias("whole"), "types", (F.col("types") / whole).alias("escape"))
     share = 1.0 / (vocabulary_size + 1)
@@ -214,7 +232,7 @@ def fit_tree(chunks: DataFrame, vocabulary_size: int, depth: int = DEPTH, least:
         own = counts.where(F.col("size") == size).select(
             "gram", "n", F.substring("gram", 1, size - 1).alias("context"), F.substring("gram", 2, size - 1).alias("shorter")
         )
-        level = own.join(kept, "context").join(
+        level = own.join(kept.where(F.length("context") == size - 1), "context").join(
             lower.select(F.col("gram").alias("shorter"), F.col("p").alias("below")), "shorter"
         )
         lower = cut_lineage(level.select("gram", ((F.col("n") + F.col("types") * F.col("below")) / F.col("whole")).alias("p")))
@@ -233,6 +251,12 @@ class Tree:
     depth: int
     share: float
 
+    def _values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities and escapes of hashes in order."""
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        known = self.hashes[at] == wanted
+        return np.where(known, self.chances[at], np.nan), np.where(known, self.escapes[at], np.nan)
+
     def _find(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities and escapes of grams, given as rows of code points; NaN if there is none."""
         data, starts = _utf8(points, lengths)
@@ -240,10 +264,9 @@ class Tree:
         wanted = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in pieces), np.uint64, len(points)).view(np.int64)
         # In order the search stays in the cache.
         order = np.argsort(wanted)
-        at = np.empty(len(wanted), np.int64)
-        at[order] = np.minimum(np.searchsorted(self.hashes, wanted[order]), len(self.hashes) - 1)
-        known = self.hashes[at] == wanted
-        return np.where(known, self.chances[at], np.nan), np.where(known, self.escapes[at], np.nan)
+        chances, escapes = np.empty(len(wanted)), np.empty(len(wanted))
+        chances[order], escapes[order] = self._values(wanted[order])
+        return chances, escapes
 
     def window_losses(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The loss of the last character of each window; `points` holds a window from its last to its first.
@@ -267,6 +290,77 @@ class Tree:
         return -np.log(chances)
 
 
+@dataclass
+class _File:
+    """Rows of a model in the shared folder: their hashes in order, then their probabilities, then their escapes."""
+
+    place: str
+    rows: int
+    first: int
+
+    def mapped(self) -> Tree:
+        """The rows without reading them; files of a store that cannot be mapped are fetched to a file without a name."""
+        store, path = _locate(self.place)
+        if isinstance(store, fs.LocalFileSystem):
+            data = pa.memory_map(path).read_buffer()
+        else:
+            with store.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
+                shutil.copyfileobj(source, copy)
+                copy.flush()
+                data = mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
+        arrays = (np.frombuffer(data, kind, self.rows, i * 8 * self.rows) for i, kind in enumerate((np.int64, np.float64, np.float64)))
+        return Tree(*arrays, 0, np.nan)
+
+
+class FiledTree(Tree):
+    """A model that stays in files of the shared folder, each with a range of hashes. Memory does not grow with it."""
+
+    def __init__(self, files: list[_File], depth: int, share: float):
+        self.files, self.depth, self.share = sorted(files, key=lambda f: f.first), depth, share
+        self.open: list[Tree | None] = [None] * len(files)
+
+    def _values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.empty((2, len(wanted)))
+        # What comes before the first file is looked for there.
+        cuts = np.searchsorted(wanted, np.array([f.first for f in self.files[1:]], np.int64))
+        for i, (start, end) in enumerate(pairwise([0, *cuts.tolist(), len(wanted)])):
+            if start < end:
+                self.open[i] = self.open[i] or self.files[i].mapped()
+                found[:, start:end] = self.open[i]._values(wanted[start:end])
+        return found[0], found[1]
+
+
+def file_tree(model: DataFrame, depth: int) -> FiledTree:
+    """Write a model's rows to the shared folder, from the tasks; the files stay until their folder is removed.
+
+    The driver gets a line per file. A file of a task that failed is in no line and is never read.
+    """
+    folder = f"{checkpoint_folder(model.sparkSession).rstrip('/')}/context-tree-{uuid.uuid4().hex[:12]}"
+    store, path = _locate(folder)
+    store.create_dir(path, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not columns:
+            return
+        hashes, chances, escapes = map(np.concatenate, zip(*columns))
+        order = np.argsort(hashes)
+        place = f"{folder}/{uuid.uuid4().hex}"
+        store, path = _locate(place)
+        with store.open_output_stream(path, compression=None) as sink:
+            for values in (hashes, chances, escapes):
+                sink.write(values[order].tobytes())
+        yield pa.RecordBatch.from_pydict({"place": [place], "rows": [len(order)], "first": [hashes[order[0]]]})
+
+    number = lambda c: F.coalesce(c, F.lit(float("nan")))
+    # The empty gram is a context only.
+    chance = number(F.when(F.col("gram") != "", F.col("p"))).alias("p")
+    rows = model.select(F.xxhash64("gram").alias("hash"), chance, number(F.col("escape")).alias("escape"))
+    files = rows.repartitionByRange(-(-model.count() // FILE_ROWS), "hash").mapInArrow(write, "place string, rows long, first long")
+    share = model.where("gram = ''").select("p").first()[0]
+    return FiledTree([_File(*f) for f in files.collect()], depth, share)
+
+
 class _Scored:
     """The losses of windows that a task has met, `HELD` at most."""
 
@@ -312,13 +406,7 @@ def tree_losses(chunks: DataFrame, model: DataFrame, keys: list[str], depth: int
     Any chunks may be scored, also those that the model has not seen. A character never seen has the
     share that all contexts leave to new ones.
     """
-    rows = model.select(F.xxhash64("gram").alias("hash"), "p", "escape", (F.col("gram") == "").alias("root")).toArrow()
-    order = np.argsort(rows["hash"].to_numpy())
-    chances, escapes = (rows[c].to_pandas().to_numpy(dtype=np.float64)[order] for c in ("p", "escape"))
-    root = np.asarray(rows["root"].to_pandas())[order]
-    share = float(chances[root][0])
-    chances[root] = np.nan
-    shared = chunks.sparkSession.sparkContext.broadcast(Tree(rows["hash"].to_numpy()[order], chances, escapes, depth, share))
+    shared = chunks.sparkSession.sparkContext.broadcast(file_tree(model, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _Scored(shared.value)

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from chaffline.operators.prep import chunk_texts
@@ -138,3 +139,47 @@ def test_tasks_give_each_longest_gram_once_and_look_up_each_window_once(monkeypa
     for text in texts:
         scored.losses([text])
     assert sum(asked) == len({t[max(0, i - 2) : i + 1] for t in texts for i in range(len(t))})
+
+
+def test_a_tree_of_millions_of_rows_is_not_cut(spark):
+    """Before, contexts met once went from a tree of more than four million rows, and stayed in a smaller one."""
+    letters = np.random.default_rng(0).integers(0x4E00, 0x4E00 + 1000, (50, 13_000)).astype(np.uint32)
+    texts = [row.tobytes().decode("utf-32-le") for row in letters]
+    grams = [len({t[i : i + k] for t in texts for i in range(len(t) - k + 1)}) for k in range(1, 7)]
+    contexts = 1 + sum(len({t[i : i + k] for t in texts for i in range(len(t) - k)}) for k in range(1, 6))
+    assert sum(grams) + contexts > 4_000_000
+    model = context_tree.fit_tree(frame(spark, texts), 1000, 5, 1)
+    row = model.agg(F.count(F.when(F.col("gram") != "", F.col("p"))), F.count("escape")).first()
+    assert tuple(row) == (sum(grams), contexts)
+
+
+def test_losses_by_a_model_of_many_files_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "FILE_ROWS", 7)
+    texts = ["abracadabra", "bra bra cad", "über 🙂🙂 abra", "a", "", None, "aaaaab"]
+    model = context_tree.fit_tree(frame(spark, texts), 12, 4, 1)
+    asked = [t for t in [*texts, "cab zab", "qqq", "raca🙂b"] if t and len(t) > 1]
+    got = {r.id: r.loss for r in context_tree.tree_losses(frame(spark, asked), model, ["id"], 4).collect()}
+    chance = brute([t or "" for t in texts], 12, 4, 1)
+    assert got == {
+        i: pytest.approx(np.mean([-math.log(chance(t[max(0, j - 4) : j], t[j])) for j in range(1, len(t))]), rel=1e-9)
+        for i, t in enumerate(asked)
+    }
+
+
+@pytest.mark.parametrize("mappable", [True, False])
+def test_rows_of_files_are_found_as_they_were_fitted(spark, monkeypatch, mappable):
+    monkeypatch.setattr(context_tree, "FILE_ROWS", 7)
+    model = context_tree.fit_tree(frame(spark, ["abracadabra", "bra bra cad"]), 12, 3, 1)
+    tree = context_tree.file_tree(model, 3)
+    rows = model.collect()
+    assert len(tree.files) > 3 and sum(f.rows for f in tree.files) == len(rows)
+    if not mappable:
+        locate = context_tree._locate
+        monkeypatch.setattr(context_tree, "_locate", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), locate(uri)[1][1:]))
+    asked = [r.gram for r in rows] + ["x", "xyz", "bq"]
+    points = np.array([[ord(c) for c in t.ljust(4)] for t in asked], np.uint32)
+    chances, escapes = tree._find(points, np.array([len(t) for t in asked]))
+    none = float("nan")
+    expected = [(none if r.p is None or not r.gram else r.p, none if r.escape is None else r.escape) for r in rows] + [(none, none)] * 3
+    np.testing.assert_array_equal(np.stack([chances, escapes], axis=1), np.array(expected))
+    assert tree.share == 1 / 13
